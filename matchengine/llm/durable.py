@@ -1,0 +1,31 @@
+"""Intermediate tables in the folder that all of a cluster shares.
+
+``keep`` writes a DataFrame as Parquet under ``spark.checkpoint.dir`` and reads
+it again: lineage ends there, nothing is computed twice, and a lost executor
+takes nothing with it.  Only where the setting is absent, as in tests, a
+folder of this machine is used.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="matchengine-"))
+    return folder.rstrip("/")
+
+
+def keep(frame: DataFrame, name: str) -> DataFrame:
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import packing
+from matchengine.llm import line_dedup, packing, quality
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
 
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,7 +50,7 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,6 +58,45 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": r"""
+            WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text IS NOT NULL),
+            w AS (
+              SELECT doc_id, p, 3 AS size, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS key FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+              UNION ALL SELECT doc_id, p, 1, line FROM l WHERE length(line) >= 200),
+            again AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, key ORDER BY doc_id, p) AS place FROM w WHERE key IS NOT NULL),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS p FROM again WHERE place > 1),
+            kept AS (
+              SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed, coalesce(string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY l.p), '') AS text
+              FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+            SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+            FROM documents d LEFT JOIN kept k USING (doc_id)""",
+        "op3_adaptive_quality": r"""
+            WITH d AS (
+              SELECT doc_id, lang, source, coalesce(text, '') AS text,
+                     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+              FROM documents),
+            win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+            twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n FROM win) WHERE n > 1),
+            repeated AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS x FROM twice) GROUP BY doc_id),
+            c AS (
+              SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
+                     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+              FROM d LEFT JOIN repeated r USING (doc_id)),
+            b AS (
+              SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                     least(1000 * n_symbols // nullif(word_chars, 0), 1000) AS r0, least(1000 * n_dup_lines // nullif(n_lines, 0), 1000) AS r1,
+                     least(1000 * n_repeat_words // nullif(n_words, 0), 1000) AS r2, least(10 * word_chars // nullif(n_words, 0), 1000) AS r3
+              FROM c),
+            q AS (
+              SELECT lang, source, quantile_disc(r0, [0.25, 0.75]) AS q0, quantile_disc(r1, [0.25, 0.75]) AS q1, quantile_disc(r2, [0.25, 0.75]) AS q2, quantile_disc(r3, [0.25, 0.75]) AS q3
+              FROM b GROUP BY ALL)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+                   NOT base_failed AND NOT coalesce(r0 > q0[2] + 3 * (q0[2] - q0[1]) + 50, false) AND NOT coalesce(r1 > q1[2] + 3 * (q1[2] - q1[1]) + 300, false)
+                   AND NOT coalesce(r2 > q2[2] + 3 * (q2[2] - q2[1]) + 100, false) AND NOT coalesce(r3 > q3[2] + 3 * (q3[2] - q3[1]) + 20 OR r3 < q3[1] - 3 * (q3[2] - q3[1]) - 20, false) AS kept
+            FROM b JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source""",
         "op5_url_trie": r"""
             WITH parts AS (
               SELECT page_id,
