@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import line_dedup, packing, quality
+from matchengine.llm import line_dedup, packing, quality, token_files
+from matchengine.llm.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
 
@@ -49,8 +51,14 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), dc.contaminated().alias("contaminated"))
 
 
+def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
