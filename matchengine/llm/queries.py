@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import line_dedup, packing, quality, token_files
+from matchengine.llm import langid, line_dedup, packing, quality, token_files
 from matchengine.llm.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
@@ -57,8 +57,13 @@ def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.train(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
