@@ -1,0 +1,30 @@
+"""Connected components of an edge table, smallest member as the name.
+
+Labels start as the vertices themselves.  Each round takes the least label
+among a vertex and its neighbours and then the label of that label, so paths
+shorten by more than half; the loop ends when no label has changed.  Every
+round is written to the shared folder, so lineage stays short.  Only a count
+comes to the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from matchengine.llm.durable import keep
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) to (vertex, component); vertices without edges are absent."""
+    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = keep(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("n")).select("vertex", F.least("vertex", "n").alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("vertex").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("n"))
+        hooked = labels.join(near.withColumnRenamed("a", "vertex"), "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "n").alias("component"))
+        hooked = keep(hooked, "labels")
+        of = hooked.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
+        jumped = keep(hooked.join(of, "component").select("vertex", "was", F.col("top").alias("component")), "labels")
+        labels = jumped.select("vertex", "component")
+        if jumped.where("was <> component").limit(1).count() == 0:
+            return labels

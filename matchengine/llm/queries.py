@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import langid, line_dedup, packing, quality, token_files
+from matchengine.llm import jaccard, langid, line_dedup, packing, quality, token_files
 from matchengine.llm.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
@@ -62,8 +62,12 @@ def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, langid.train(documents))
 
 
+def op10_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op10_jaccard_tiles)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,4 +143,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
                    sha256(coalesce(i.names, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
             FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)""",
+        "op10_jaccard_tiles": rf"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({_FOLD}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (
+              SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS key
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.key = y.key AND x.doc_id <> y.doc_id GROUP BY ALL),
+            link AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+            reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id
+            FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.doc_id = d.doc_id GROUP BY ALL""",
     }
