@@ -8,6 +8,7 @@ folder of this machine is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,13 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    They go when the driver's JVM collects the plans that nobody holds; a long
+    job with large steps need not wait for that to happen by chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

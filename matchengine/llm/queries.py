@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import jaccard, langid, line_dedup, packing, quality, token_files
+from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, token_files
 from matchengine.llm.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
@@ -62,12 +62,16 @@ def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, langid.train(documents))
 
 
+def op9_byte_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op10_jaccard_tiles)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op9_byte_suffix_dedup, op10_jaccard_tiles)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
