@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, token_files
+from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, quotations, token_files
 from matchengine.llm.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
@@ -32,6 +32,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,7 +75,7 @@ def op10_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op9_byte_suffix_dedup, op10_jaccard_tiles)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quotation_linking, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op9_byte_suffix_dedup, op10_jaccard_tiles)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,6 +95,20 @@ def oracle_sql() -> dict[str, str]:
               FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
             SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
             FROM documents d LEFT JOIN kept k USING (doc_id)""",
+        "op2_quotation_linking": r"""
+            WITH m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS lines FROM conversations),
+            l AS (SELECT conv_id, turn, role, text, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM m),
+            p AS (
+              SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, length(regexp_extract(line, '^(?:[ \t]*>)+')) - length(replace(regexp_extract(line, '^(?:[ \t]*>)+'), '>', '')) AS level FROM l),
+            q AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(substr(line, length(marks) + 1)), '\s+', ' ', 'g')) AS key FROM p WHERE level > 0),
+            own AS (SELECT conv_id, turn, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS key FROM p WHERE level = 0),
+            parent AS (
+              SELECT q.conv_id, q.turn, arg_min(o.turn, struct_pack(a := q.level, b := -o.turn)) AS up
+              FROM q JOIN own o ON o.conv_id = q.conv_id AND o.key = q.key AND o.turn < q.turn WHERE q.key <> '' GROUP BY ALL)
+            SELECT m.conv_id, m.turn, m.role, p.up AS parent_turn, coalesce(p.up, m.turn) AS thread_turn, CAST(CASE WHEN p.up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth,
+                   CAST(len(list_filter(m.lines, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) AS BIGINT) AS n_quoted,
+                   array_to_string(list_filter(m.lines, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS text
+            FROM m LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn""",
         "op3_adaptive_quality": r"""
             WITH d AS (
               SELECT doc_id, lang, source, coalesce(text, '') AS text,
