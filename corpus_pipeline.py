@@ -1,11 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, line dedup, near copies, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; all but the last return the columns of ``documents``.
+
+1. quality: documents that the adaptive quality rules reject go;
+2. lines: later copies of repeated line runs are deleted from the texts, and
+   documents of which nothing is left go;
+3. near_copies: of documents linked by five-word shingles at a similarity of
+   0.8 or more, the one with the smallest id of each group stays;
+4. decontaminate: documents with benchmark passages by the contract's rule go;
+5. pack: the rest is tokenised and packed into sequences of 2048 tokens.
+
+Tokenisation is beyond SQL, so ORACLE_SQL is None; the tests hold every stage
+against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchengine.llm import decontaminate as dc
+from matchengine.llm import jaccard, line_dedup, packing, quality
+from matchengine.llm.durable import keep
+from matchengine.llm.tokens import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(docs, drop_empty=True)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one_each(docs, n=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dc.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_copies", near_copy_stage),
+    ("decontaminate", decontamination_stage),
+    ("pack", packing_stage),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of what the stages keep of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
