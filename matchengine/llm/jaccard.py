@@ -14,7 +14,8 @@ document.  The join has three parts.
    common prefix token form a tile; tiles with equal members are one.  Inside a
    tile, classes are sorted by size and compared band by band: sizes within
    the threshold, different components, and a bound on the overlap
-   (n_x + n_y - d) / 2 from the d bits in which hashed bitmaps differ.
+   (n_x + n_y - d) / 2 from the d bits in which hashed bitmaps differ.  Bitmaps
+   are as wide as a set is large; a wider one folds to a narrower.
 3. Exact check of the pairs that are left, by intersecting sorted arrays.
 
 First each class is compared with its closest member of every other component
@@ -41,10 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.llm import textvec as tv
-from matchengine.llm.components import components
-from matchengine.llm.durable import keep
+from matchengine.operators.components import components
+from matchengine.durable import keep
 
-BITS = 1024
+#: Bitmap widths; a set has the least that is as large as itself, or the last.
+WIDTHS = np.array([1 << 10, 1 << 12, 1 << 14, 1 << 16])
 KEYS = 4
 SKETCH_SLICES, SKETCH_SLICE = 64, 4096
 FILTER_BITS = 1 << 23
@@ -88,9 +90,11 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         sketch += np.bincount((tv.mix(sets) & _U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
         size = np.diff(begin)
         some = np.flatnonzero(size)
-        bitmap = np.zeros((len(size), BITS), bool)
-        bitmap[np.repeat(np.arange(len(size)), size), (tv.mix(sets ^ _HASHES[0]) & _U(BITS - 1)).astype(np.int64)] = True
-        bitmap = np.packbits(bitmap, axis=1)
+        width = WIDTHS[np.minimum(np.searchsorted(WIDTHS, size), len(WIDTHS) - 1)]
+        base = np.append(0, np.cumsum(width))
+        bitmap = np.zeros(base[-1], bool)
+        bitmap[np.repeat(base[:-1], size) + (tv.mix(sets ^ _HASHES[0]).astype(np.int64) & (np.repeat(width, size) - 1))] = True
+        bitmap = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32).tobytes()), pa.py_buffer(np.packbits(bitmap).tobytes())])
         least = np.zeros((8, len(size)), _U)
         if len(some):
             for j in range(8):
@@ -99,7 +103,7 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64))).cast(lists)
         m = part.num_rows
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(size, pa.int64()), pa.array(_sums(tv.mix(sets), begin).view(np.int64)), pa.array(_sums(tv.mix(sets * _HASHES[7]), begin).view(np.int64)), pa.array([b.tobytes() for b in bitmap], pa.binary()), keys, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+            [part.column(0), pa.array(size, pa.int64()), pa.array(_sums(tv.mix(sets), begin).view(np.int64)), pa.array(_sums(tv.mix(sets * _HASHES[7]), begin).view(np.int64)), bitmap, keys, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
             names=names,
         )
     if sketch.any():
@@ -190,39 +194,57 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, size)[chosen].view(np.int64)), pa.array(name[chosen])], names=["tile", "f1"])
 
 
+def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of one width or wider ones, as rows of 64-bit words."""
+    own = 8 * len(bitmaps[0])
+    words = np.frombuffer(b"".join(bitmaps), np.uint64)
+    return np.bitwise_or.reduce(words.reshape(len(bitmaps), own // width, width // 64), axis=1)
+
+
+def _may_link(n1: np.ndarray, n2: np.ndarray, different: np.ndarray, percent: int) -> np.ndarray:
+    """False where the bits that differ leave too small an overlap."""
+    overlap = np.minimum((n1 + n2 - different) // 2, np.minimum(n1, n2))
+    return 100 * overlap >= percent * (n1 + n2 - overlap)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a tile that may be links and join two components."""
     for rows in _runs(batches):
         tile, rep, size, comp = (rows.column(k).to_numpy() for k in (0, 1, 2, 3))
-        bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(tile), -1)
-        begin = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile))
-        left, right, far = [], [], []
-        for low, high in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            for block in range(low, high, 256):
-                mine = slice(block, min(block + 256, high))
-                # Sorted by size: partners reach up to the band's largest size.
-                reach = low + int(np.searchsorted(size[low:high], size[mine][-1] * 100 // percent, "right"))
-                for other in range(block, reach, 1024):
-                    theirs = slice(other, min(other + 1024, reach))
-                    different = np.bitwise_count(bits[mine, None, :] ^ bits[None, theirs, :]).sum(axis=2, dtype=np.int64)
-                    both = size[mine][:, None] + size[theirs][None, :]
-                    overlap = np.minimum((both - different) // 2, size[mine][:, None])
-                    may = (100 * overlap >= percent * (both - overlap)) & (comp[mine][:, None] != comp[theirs][None, :])
-                    may &= np.arange(mine.start, mine.stop)[:, None] < np.arange(theirs.start, theirs.stop)[None, :]
-                    a, b = np.nonzero(may)
-                    left.append(a + mine.start)
-                    right.append(b + theirs.start)
-                    far.append(different[a, b])
-        if not left:
-            continue
+        bitmaps = rows.column(4).to_pylist()
+        # Bands: one tile, one width; sizes ascend inside a tile.
+        width = np.array([8 * len(x) for x in bitmaps])
+        edge = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (width[1:] != width[:-1])))
+        bands = list(zip(edge.tolist(), np.append(edge[1:], len(tile)).tolist(), strict=True))
+        left, right, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (low, high) in enumerate(bands):
+            step = max(1, min(256, (1 << 20) // int(width[low])))
+            for block in range(low, high, step):
+                mine = slice(block, min(block + step, high))
+                bits, largest = _folded(bitmaps[mine], int(width[low])), size[mine][-1] * 100 // percent
+                for start, stop in bands[k:]:
+                    if tile[start] != tile[low] or size[start] > largest:
+                        break
+                    reach = start + int(np.searchsorted(size[start:stop], largest, "right"))
+                    for other in range(max(start, block), reach, 4 * step):
+                        theirs = slice(other, min(other + 4 * step, reach))
+                        different = np.bitwise_count(bits[:, None, :] ^ _folded(bitmaps[theirs], int(width[low]))[None, :, :]).sum(axis=2, dtype=np.int64)
+                        may = _may_link(size[mine][:, None], size[theirs][None, :], different, percent) & (comp[mine][:, None] != comp[theirs][None, :])
+                        may &= np.arange(mine.start, mine.stop)[:, None] < np.arange(theirs.start, theirs.stop)[None, :]
+                        a, b = np.nonzero(may)
+                        left.append(a + mine.start)
+                        right.append(b + theirs.start)
+                        far.append(different[a, b])
         a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        if closest and len(a):
-            order = np.lexsort((d, comp[b], a))
-            first = np.append(True, (a[order][1:] != a[order][:-1]) | (comp[b][order][1:] != comp[b][order][:-1]))
-            keep_a = order[first]
-            order = np.lexsort((d[keep_a], b[keep_a], comp[a[keep_a]]))
-            x, y = comp[a[keep_a]][order], b[keep_a][order]
-            a, b = a[keep_a][order][first := np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))], y[first]
+        if not len(a):
+            continue
+        if closest:
+            for swapped in (False, True):
+                one, two = (b, comp[a]) if swapped else (a, comp[b])
+                order = np.lexsort((d, two, one))
+                one, two = one[order], two[order]
+                first = order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))]
+                a, b, d = a[first], b[first], d[first]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
 
 
@@ -238,8 +260,7 @@ def _document_filter(ids: DataFrame) -> bytes:
 
 
 def check_pairs(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents that are links, by exact intersection."""
-    pairs = keep(pairs.select("a", "b").distinct(), "pairs")
+    """The pairs (a, b), a written table, that are links by exact intersection."""
     wanted = documents.sparkSession.sparkContext.broadcast(_document_filter(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     candidates = documents.select("doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
@@ -291,7 +312,8 @@ def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     member = classes.select("rep", F.explode("keys").alias("key"))
     hub = keep(member.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a"), "hubs")
     stars = member.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = keep(check_pairs(documents, closer(stars), n, percent), "links")
+    checked = keep(closer(stars), "pairs")
+    links = keep(check_pairs(documents, checked, n, percent), "links")
     comps = components(links)
 
     # 2. tiles
@@ -305,7 +327,9 @@ def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         open_tiles = named.join(mixed, "tile").join(classes.select("rep", "bitmap"), "rep").select("tile", "rep", "n_shingles", "comp", "bitmap")
         dealt = open_tiles.repartition("tile").sortWithinPartitions("tile", "n_shingles", "rep")
         pairs = dealt.mapInArrow(lambda b, closest=closest: _compare(b, percent, closest), "a long, b long").distinct()
+        pairs = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         links = keep(links.unionByName(check_pairs(documents, pairs, n, percent)), "links")
+        checked = checked.unionByName(pairs)
         comps = components(links)
 
     named = classes.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("n_shingles").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("component"))
@@ -316,9 +340,11 @@ def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n1), BITS // 64) for k in (4, 5))
-        overlap = np.minimum((n1 + n2 - np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)) // 2, np.minimum(n1, n2))
-        yield batch.select(["a", "b"]).filter(pa.array(100 * overlap >= percent * (n1 + n2 - overlap)))
+        different = np.zeros(len(n1), np.int64)
+        for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            width = 8 * min(len(x), len(y))
+            different[k] = np.bitwise_count(_folded([x], width) ^ _folded([y], width)).sum()
+        yield batch.select(["a", "b"]).filter(pa.array(_may_link(n1, n2, different, percent)))
 
 
 def keep_one_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
