@@ -22,13 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchengine.llm.durable import keep
+from matchengine.durable import keep
 
 BINS = 1000
 SPACE = " \t-\r"
 SYMBOLS = "#*$%&|<>"
 #: ratio: (slack above the upper fence, slack below the lower fence or None)
-RATIOS = {"symbol_ratio": (50, None), "dup_line_ratio": (300, None), "repeat_ratio": (100, None), "word_length": (20, 20)}
+RATIOS = {"symbol_ratio": (50, None), "dup_line_ratio": (500, None), "repeat_ratio": (190, None), "word_length": (20, 20)}
 
 
 def counts(documents: DataFrame, *, text: str, carry: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
 from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, quotations, token_files
-from matchengine.llm.durable import shared_folder
+from matchengine.durable import shared_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
 
@@ -133,8 +133,8 @@ def oracle_sql() -> dict[str, str]:
               SELECT lang, source, quantile_disc(r0, [0.25, 0.75]) AS q0, quantile_disc(r1, [0.25, 0.75]) AS q1, quantile_disc(r2, [0.25, 0.75]) AS q2, quantile_disc(r3, [0.25, 0.75]) AS q3
               FROM b GROUP BY ALL)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-                   NOT base_failed AND NOT coalesce(r0 > q0[2] + 3 * (q0[2] - q0[1]) + 50, false) AND NOT coalesce(r1 > q1[2] + 3 * (q1[2] - q1[1]) + 300, false)
-                   AND NOT coalesce(r2 > q2[2] + 3 * (q2[2] - q2[1]) + 100, false) AND NOT coalesce(r3 > q3[2] + 3 * (q3[2] - q3[1]) + 20 OR r3 < q3[1] - 3 * (q3[2] - q3[1]) - 20, false) AS kept
+                   NOT base_failed AND NOT coalesce(r0 > q0[2] + 3 * (q0[2] - q0[1]) + 50, false) AND NOT coalesce(r1 > q1[2] + 3 * (q1[2] - q1[1]) + 500, false)
+                   AND NOT coalesce(r2 > q2[2] + 3 * (q2[2] - q2[1]) + 190, false) AND NOT coalesce(r3 > q3[2] + 3 * (q3[2] - q3[1]) + 20 OR r3 < q3[1] - 3 * (q3[2] - q3[1]) - 20, false) AS kept
             FROM b JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source""",
         "op5_url_trie": r"""
             WITH parts AS (
