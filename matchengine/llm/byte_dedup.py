@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.llm import textvec as tv
-from matchengine.llm.durable import keep, release
+from matchengine.durable import keep, release
 from matchengine.llm.jaccard import _runs as whole_groups
 
 SEED = 32
