@@ -159,6 +159,7 @@ def rajeval(x: np.ndarray, dx: np.ndarray, critical: float = 2.58) -> tuple[floa
             w = 1 / dx[other] ** 2
             mean = (w * x[other]).sum() / w.sum()
             keep[k] = abs(x[k] - mean) <= 3 * critical * np.sqrt(dx[k] ** 2 + 1 / w.sum())
+    keep = keep if keep.any() else np.ones(len(x), bool)
     x, s = x[keep], dx[keep].copy()
     for _ in range(1000):
         w = 1 / s**2
