@@ -125,8 +125,8 @@ def _matched(documents: DataFrame, benchmark: DataFrame, text: str, item_id: str
     """The ``carry`` columns as __c0, __c1, ... with what matches."""
     spark = documents.sparkSession
     blocks = _blocks(benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")))
-    source = documents.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(carry)])
-    names = [f"__c{k}" for k in range(len(carry))]
+    source = documents.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(carry)], F.xxhash64(f"`{text}`").alias("__body"))
+    names = [*[f"__c{k}" for k in range(len(carry))], "__body"]
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + f", n_words long, n_hit long, matches {MATCHES}"
 
     def one(block: list) -> DataFrame:

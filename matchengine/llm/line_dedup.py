@@ -88,14 +88,15 @@ def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     of which every line was a later copy.
     """
     gone = repeated_lines(documents, doc_id=doc_id, text=text, min_lines=min_lines, long_line=long_line).withColumnsRenamed({"__id": "__gid", "__h": "__gh"})
-    body = F.col(f"`{text}`")
-    joined = documents.withColumn("__h", F.xxhash64(body)).join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gid")) & (F.col("__h") == F.col("__gh")) & body.isNotNull(), "left")
+    column = lambda c: F.col(f"`{c}`")
+    marked = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("row"), column(doc_id).alias("__id"), column(text).alias("__text"), F.xxhash64(column(text)).alias("__h"))
+    body = F.col("__text")
+    joined = marked.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__h") == F.col("__gh")) & body.isNotNull(), "left")
     lines = F.split(body, "\n")
-    # A look-up per line would be quadratic; a map keyed by line number isn't.
     kept = F.array_join(F.filter(F.transform(F.arrays_zip(lines.alias("x"), F.col("__keep").alias("k")), lambda z: F.when(z["k"], z["x"])), lambda x: x.isNotNull()), "\n")
     joined = joined.withColumn("__keep", F.when(F.col("__gone").isNotNull(), _flags(F.size(lines))))
     new_text = F.when(F.col("__gone").isNull(), body).otherwise(kept)
-    columns = [new_text.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns]
+    columns = [new_text.alias(c) if c == text else F.col(f"row.`{c}`") for c in documents.columns]
     if drop_empty:
         joined = joined.where(F.col("__gone").isNull() | (F.size("__gone") < F.size(lines)))
     if report:

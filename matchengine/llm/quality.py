@@ -139,10 +139,10 @@ def keep_good(documents: DataFrame, *, text: str = "text", lang: str = "lang", s
     A verdict depends on the text, language and source alone, so it is joined
     by these (the text by two hashes) and by doc_id.
     """
-    key = {"__id": F.col(f"`{doc_id}`"), "__h1": F.xxhash64(F.col(f"`{text}`")), "__h2": F.xxhash64(F.lit(1), F.col(f"`{text}`"))}
-    marked = documents.select(*[F.col(f"`{c}`") for c in documents.columns], *[v.alias(n) for n, v in key.items()])
-    judged = _judged(marked, text, {"__k0": "__id", "__k1": "__h1", "__k2": "__h2", "__lang": lang, "__source": source}, fence)
-    bad = judged.where("NOT kept").select("__k0", "__k1", "__k2", "__lang", "__source").distinct()
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("__id", "__k0"), ("__h1", "__k1"), ("__h2", "__k2"))]
-    same += [F.col(f"`{lang}`").eqNullSafe(F.col("__lang")), F.col(f"`{source}`").eqNullSafe(F.col("__source"))]
-    return marked.join(bad, reduce(lambda a, b: a & b, same), "left_anti").drop(*key)
+    column = lambda c: F.col(f"`{c}`")
+    row = F.struct(*[column(c) for c in documents.columns])
+    marked = documents.select(row.alias("row"), column(text).alias("text"), column(doc_id).alias("k0"), F.xxhash64(column(text)).alias("k1"), F.xxhash64(F.lit(1), column(text)).alias("k2"), column(lang).alias("k3"), column(source).alias("k4"))
+    judged = _judged(marked, "text", {"b0": "k0", "b1": "k1", "b2": "k2", "__lang": "k3", "__source": "k4"}, fence)
+    bad = judged.where("NOT kept").select("b0", "b1", "b2", F.col("__lang").alias("b3"), F.col("__source").alias("b4")).distinct()
+    same = [F.col(f"k{n}").eqNullSafe(F.col(f"b{n}")) for n in range(5)]
+    return marked.join(bad, reduce(lambda a, b: a & b, same), "left_anti").select("row.*")
