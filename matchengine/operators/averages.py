@@ -151,16 +151,18 @@ def mandel_paule(x: np.ndarray, dx: np.ndarray, tolerance: float = 0.01) -> tupl
 
 
 def rajeval(x: np.ndarray, dx: np.ndarray, critical: float = 2.58) -> tuple[float, float]:
-    """Outliers go first; then inconsistent uncertainties are raised."""
-    keep = np.ones(len(x), bool)
-    if len(x) > 2:
-        for k in range(len(x)):
-            other = np.arange(len(x)) != k
-            w = 1 / dx[other] ** 2
-            mean = (w * x[other]).sum() / w.sum()
-            keep[k] = abs(x[k] - mean) <= 3 * critical * np.sqrt(dx[k] ** 2 + 1 / w.sum())
-    keep = keep if keep.any() else np.ones(len(x), bool)
-    x, s = x[keep], dx[keep].copy()
+    """Outliers go first, the worst in turn; then inconsistent uncertainties are
+    raised."""
+    s = dx.copy()
+    while len(x) > 2:
+        w = 1 / s**2
+        rest = w.sum() - w
+        others = ((w * x).sum() - w * x) / rest
+        far = np.abs(x - others) / np.sqrt(s**2 + 1 / rest)
+        k = int(far.argmax())
+        if far[k] <= 3 * critical:
+            break
+        x, s = np.delete(x, k), np.delete(s, k)
     for _ in range(1000):
         w = 1 / s**2
         mean = (w * x).sum() / w.sum()
