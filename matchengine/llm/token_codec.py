@@ -6,13 +6,13 @@ can be read, checked or lost without the others.  The blocks of a stripe are
 the lanes of numpy vectors: each step codes one id of every block.
 
 Three models predict the next id.  Order 2 and order 1 hold, for a hash of the
-last two ids and for the last id, the id that followed last and a confidence;
-order 0 holds the block's majority id.  A prediction's probability comes from
-its confidence and an adaptive weight of its order in the block.  The
-predictions are mixed: equal ones pool their probabilities, different ones
-share what is left in order, and the rest is an escape, coded by an adaptive
-order-0 distribution over the ids' bit lengths and the bits below the leading
-one.  All arithmetic is on integers, so any machine decodes what another coded.
+last two ids and for the last id, the id that followed last and a confidence
+that grows with every hit and halves with every miss.  Order 0 is an adaptive
+distribution over the bit lengths of the block's ids.  The confidences set how
+the predictions are mixed: equal predictions pool their probabilities, different
+ones share what is left in order, and the rest is an escape, coded by order 0
+and the bits below the leading one.  All arithmetic is on integers, so any
+machine decodes what another has coded.
 """
 
 from __future__ import annotations
@@ -26,13 +26,33 @@ BLOCK_TOKENS = 2048
 STRIPE_BLOCKS = 4096
 MAGIC = b"MTK1"
 MAX_BITS = 24
-_ONE, _MOST = 1 << 12, 7 << 9
+_ONE = 1 << 12
 _SLOTS = 512
-_STEP, _LENGTH_LIMIT = 24, 1 << 11
-#: Probability (of 4096) of a prediction by its confidence, before the weight.
-_TRUSTED = np.array([0, 700, 1700, 2400, 2800, 3100, 3300, 3500], np.int32)
+#: Steps between two updates of order 0, and what an id adds to its count.
+_PERIOD, _STEP, _LENGTH_LIMIT = 16, 24, 1 << 11
+#: Probability (of 4096) of a prediction by its confidence.
+_TRUSTED = (0, 500, 1300, 2000, 2500, 2900, 3200, 3500)
+#: Confidence after a miss (first eight) and after a hit.
+_NEXT = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0, 2, 3, 4, 5, 6, 7, 7], np.int32)
 _U = np.uint64
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 44)
+_FULL = _U(1 << 48)
+
+
+def _mixed() -> tuple[np.ndarray, np.ndarray]:
+    """Upper ends of the order-2 and the order-1 interval, by both confidences
+    and whether the predictions agree."""
+    first, second = np.zeros(128, np.int32), np.zeros(128, np.int32)
+    for two, p2 in enumerate(_TRUSTED):
+        for one, p1 in enumerate(_TRUSTED):
+            rest = (_ONE - p2) * p1 // _ONE
+            at = two * 16 + one * 2
+            first[at], second[at] = p2, p2 + rest
+            # Agreement means something only if both have a prediction.
+            first[at + 1], second[at + 1] = (p2 + rest, p2 + rest) if p1 and p2 else (p2, p2 + rest)
+    return first, second
+
+
+_FIRST, _SECOND = _mixed()
 
 
 class _Order:
@@ -41,21 +61,15 @@ class _Order:
     def __init__(self, lanes: int):
         self.slots = np.zeros(lanes * _SLOTS, np.int32)
         self.base = np.arange(lanes) * _SLOTS
-        self.weight = np.full(lanes, 200, np.int32)
 
     def predict(self, slot: np.ndarray) -> None:
         self.slot = slot + self.base
-        found = self.slots.take(self.slot)
-        self.id, self.trust = found >> 3, found & 7
-        self.p = np.minimum((_TRUSTED.take(self.trust) * self.weight) >> 8, _MOST)
+        self.found = self.slots.take(self.slot)
+        self.id, self.trust = self.found >> 3, self.found & 7
 
-    def learn(self, x: np.ndarray) -> None:
-        known = self.trust > 0
-        hit = (self.id == x) & known
-        self.weight += np.where(hit, (288 - self.weight) >> 4, known * -((self.weight - 16) >> 4))
-        trust = np.where(hit, np.minimum(self.trust + 1, 7), self.trust >> 1)
-        stays = trust > 0
-        self.slots[self.slot] = np.where(stays, (self.id << 3) | trust, (x << 3) | 1)
+    def learn(self, x: np.ndarray, fresh: np.ndarray) -> None:
+        trust = _NEXT.take(self.trust + ((self.id == x) << 3))
+        self.slots[self.slot] = np.where(trust > 0, (self.found & ~7) | trust, fresh)
 
 
 class _Mixer:
@@ -63,112 +77,114 @@ class _Mixer:
 
     def __init__(self, lanes: int, bits: int):
         self.two, self.one = _Order(lanes), _Order(lanes)
-        self.major, self.lead = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.p0 = np.full(lanes, 256, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.classes = np.arange(bits + 1, dtype=np.int16)
-        #: Counts of the bit lengths, summed up to and with each.
-        self.upto = np.tile(self.classes + np.int16(1), (lanes, 1))
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.lanes, self.kinds, self.count = np.arange(lanes), bits + 1, lanes
+        self.counts = np.ones((bits + 1, lanes), np.int32)
+        self.waiting: list[np.ndarray] = []
+        self._sum()
+
+    def _sum(self) -> None:
+        #: For each bit length (row) and lane, the counts before it; the last row is the total.
+        self.below = np.zeros((self.kinds + 1, self.count), np.int16)
+        np.cumsum(self.counts, axis=0, out=self.below[1:])
+        self.flat, self.total = self.below.ravel(), self.below[-1].astype(_U)
 
     def predict(self) -> None:
         two, one = self.two, self.one
-        two.predict(((self.last * 40503 + self.before * 30011 + 77) >> 4) & (_SLOTS - 1))
+        two.predict(((self.last * np.int32(40503) + self.before * np.int32(30011)) >> 4) & (_SLOTS - 1))
         one.predict((self.last ^ (self.last >> 9)) & (_SLOTS - 1))
-        agree = (two.id == one.id) & (two.p > 0) & (one.p > 0)
-        self.f2 = two.p + agree * (((_ONE - two.p) * one.p) >> 12)
-        rest = _ONE - self.f2
-        self.c1 = self.f2 + ~agree * ((rest * one.p) >> 12)
-        known = ((two.id == self.major) & (two.p > 0)) | ((one.id == self.major) & (one.p > 0))
-        self.c0 = self.c1 + ~known * (((_ONE - self.c1) * self.p0) >> 12)
-
-    def learn(self, x: np.ndarray) -> None:
-        self.two.learn(x)
-        self.one.learn(x)
-        hit = self.major == x
-        self.p0 += np.where(hit, (_MOST - self.p0) >> 5, -((self.p0 - 64) >> 5))
-        fresh = self.lead == 0
-        self.major = np.where(fresh, x, self.major)
-        self.lead += 2 * (hit | fresh) - 1
-        self.before, self.last = self.last, x.astype(np.int64)
-
-    def learn_length(self, kind: np.ndarray, escaped: np.ndarray) -> None:
-        self.upto += np.int16(_STEP) * ((self.classes >= kind[:, None]) & escaped[:, None])
-        large = np.flatnonzero(self.upto[:, -1] >= _LENGTH_LIMIT)
-        if len(large):
-            counts = np.diff(self.upto[large], axis=1, prepend=np.int16(0))
-            self.upto[large] = np.cumsum((counts >> 1) | 1, axis=1, dtype=np.int16)
-
-
-class _Coder:
-    """Interval of every lane, and what is common to coding and decoding."""
+        state = (two.trust << 4) + (one.trust << 1) + (two.id == one.id)
+        self.first, self.second = _FIRST.take(state), _SECOND.take(state)
+
+    def length_interval(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = kind * self.count + self.lanes
+        start = self.flat.take(at)
+        return start, self.flat.take(at + self.count) - start
+
+    def learn(self, x: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
+        fresh = (x << 3) | 1
+        self.two.learn(x, fresh)
+        self.one.learn(x, fresh)
+        self.before, self.last = self.last, x
+        self.waiting.append(np.where(escaped, kind, self.kinds) * self.count + self.lanes)
+        if len(self.waiting) == _PERIOD:
+            seen = np.bincount(np.concatenate(self.waiting), minlength=(self.kinds + 1) * self.count)
+            self.counts += _STEP * seen[: self.kinds * self.count].reshape(self.kinds, self.count).astype(np.int32)
+            self.waiting = []
+            large = np.flatnonzero(self.counts.sum(axis=0) >= _LENGTH_LIMIT - _STEP * _PERIOD)
+            if len(large):
+                self.counts[:, large] = (self.counts[:, large] >> 1) | 1
+            self._sum()
+
+
+class _Encoder:
+    """Lower end and width of every lane's interval, and its words.
+
+    A sum that overflows carries into words that are out already.
+    """
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-        self.at, self.row = np.zeros(lanes, np.int64), np.arange(lanes)
-
-    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low += start.astype(_U) * unit
-        self.range = size.astype(_U) * unit
+        self.at, self.lanes = np.zeros(lanes, np.int64), np.arange(lanes)
+        #: Lanes advance at nearly the same pace, so words of one place are kept
+        #: together, not those of one lane.
+        self.out = np.zeros((3 * steps + 8) * lanes, np.uint16)
 
-    def narrow_escaped(self, escaped: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low += (start * escaped).astype(_U) * unit
-        self.range = np.where(escaped, size.astype(_U) * unit, self.range)
+    def add(self, amount: np.ndarray) -> None:
+        low = self.low + amount
+        carry = np.flatnonzero(low < amount)
+        place = (self.at[carry] - 1) * len(self.lanes) + carry
+        while len(place):
+            self.out[place] += np.uint16(1)
+            place = place[self.out[place] == 0] - len(self.lanes)
+        self.low = low
 
     def shift(self) -> None:
-        """Move out the leading 16 bits that are settled, or have to be."""
         while True:
-            same = (self.low ^ (self.low + self.range)) < _TOP
-            small = self.range < _BOTTOM
-            due = same | small
+            due = self.range < _FULL
             lanes = np.flatnonzero(due)
             if not len(lanes):
                 return
-            forced = np.flatnonzero(small & ~same)
-            if len(forced):
-                self.range[forced] = (-self.low[forced]) & (_BOTTOM - _U(1))
-            self.move(lanes)
+            self.out[self.at[lanes] * len(self.lanes) + lanes] = self.low[lanes] >> _U(48)
             by = due.astype(_U) << _U(4)
             self.low <<= by
             self.range <<= by
             self.at += due
 
-
-class _Encoder(_Coder):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        #: Lanes advance at nearly the same pace, so words of one place are kept
-        #: together, not those of one lane.
-        self.out = np.zeros((3 * steps + 8) * lanes, np.uint16)
-
-    def move(self, lanes: np.ndarray) -> None:
-        self.out[self.at[lanes] * len(self.row) + lanes] = self.low[lanes] >> _U(48)
-
     def finish(self) -> list[bytes]:
         for _ in range(4):
-            self.move(self.row)
+            self.out[self.at * len(self.lanes) + self.lanes] = self.low >> _U(48)
             self.at += 1
             self.low <<= _U(16)
-        by_lane = np.ascontiguousarray(self.out.reshape(-1, len(self.row))[: int(self.at.max())].T).astype("<u2")
+        by_lane = np.ascontiguousarray(self.out.reshape(-1, len(self.lanes))[: int(self.at.max())].T).astype("<u2")
         return [by_lane[k, :n].tobytes() for k, n in enumerate(self.at.tolist())]
 
 
-class _Decoder(_Coder):
+class _Decoder:
+    """Place of every lane's code inside its interval, and its words."""
+
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
         words = np.zeros((len(payloads), max(len(p) for p in payloads) // 2 + 8), np.uint16)
         for k, p in enumerate(payloads):
             words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = np.zeros(len(payloads), _U)
+        self.code, self.range = np.zeros(len(payloads), _U), np.full(len(payloads), 2**64 - 1, _U)
         for k in range(4):
             self.code = (self.code << _U(16)) | words[:, k]
+        self.at, self.lanes = np.full(len(payloads), 4, np.int64), np.arange(len(payloads))
         self.words = np.ascontiguousarray(words.T).ravel()
-        self.at += 4
 
-    def move(self, lanes: np.ndarray) -> None:
-        self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[self.at[lanes] * len(self.row) + lanes]
-
-    def value(self, unit: np.ndarray, most: np.ndarray | int) -> np.ndarray:
-        return np.minimum(((self.code - self.low) // unit).astype(np.int64), most)
+    def shift(self) -> None:
+        while True:
+            due = self.range < _FULL
+            lanes = np.flatnonzero(due)
+            if not len(lanes):
+                return
+            by = due.astype(_U) << _U(4)
+            self.code <<= by
+            self.range <<= by
+            # A damaged block may ask for more words than there are.
+            self.code[lanes] |= self.words.take(self.at[lanes] * len(self.lanes) + lanes, mode="clip")
+            self.at += due
 
 
 def encode_stripe(ids: np.ndarray) -> bytes:
@@ -190,27 +206,30 @@ def _encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     for k, b in enumerate(blocks):
         grid[k, : len(b)] = b
     grid = np.ascontiguousarray(grid.T)
-    powers = 1 << np.arange(bits + 1)
-    kinds = np.repeat(np.arange(bits + 1), np.maximum(powers >> 1, 1))
+    leading = np.append(0, 1 << np.arange(bits)).astype(np.int32)
+    lengths = np.repeat(np.arange(bits + 1), np.maximum(leading, 1))
+    spare = np.maximum(np.arange(bits + 1) - 1, 0).astype(_U)
     model, coder = _Mixer(lanes, bits), _Encoder(lanes, steps)
     for x in grid:
         model.predict()
-        hit2 = (model.two.id == x) & (model.two.p > 0)
-        hit1 = (model.one.id == x) & (model.c1 > model.f2) & ~hit2
-        escaped = ~(hit2 | hit1 | ((model.major == x) & (model.c0 > model.c1)))
-        start = np.where(hit2, 0, np.where(hit1, model.f2, np.where(escaped, model.c0, model.c1)))
-        stop = np.where(hit2, model.f2, np.where(hit1, model.c1, np.where(escaped, _ONE, model.c0)))
-        coder.narrow(start, stop - start, coder.range >> _U(12))
-        kind = kinds.take(x)
-        stop = model.upto[coder.row, kind]
-        start = np.where(kind > 0, model.upto[coder.row, kind - 1], 0)
-        coder.narrow_escaped(escaped, start, stop - start, coder.range // model.upto[:, -1].astype(_U))
-        low_bits = np.maximum(kind - 1, 0) * escaped
-        unit = coder.range >> low_bits.astype(_U)
-        coder.narrow((x - powers[low_bits] * (kind > 0)) * escaped, np.ones(lanes, np.int64), unit)
-        model.learn_length(kind, escaped)
+        hit2 = (model.two.id == x) & (model.first > 0)
+        hit1 = (model.one.id == x) & (model.second > model.first) & ~hit2
+        escaped = ~(hit2 | hit1)
+        start = np.where(hit2, 0, np.where(hit1, model.first, model.second))
+        size = np.where(hit2, model.first, np.where(hit1, model.second, _ONE)) - start
+        unit = coder.range >> _U(12)
+        width = size.astype(_U) * unit
+        amount = start.astype(_U) * unit
+        kind = lengths.take(x)
+        start, size = model.length_interval(kind)
+        unit = width // model.total
+        inner = size.astype(_U) * unit
+        tail = inner >> spare.take(kind)
+        amount += np.where(escaped, start.astype(_U) * unit + (x - leading.take(kind)).astype(_U) * tail, _U(0))
+        coder.add(amount)
+        coder.range = np.where(escaped, tail, width)
         coder.shift()
-        model.learn(x)
+        model.learn(x, kind, escaped)
     return coder.finish()
 
 
@@ -239,30 +258,29 @@ def decode_stripe(data: bytes) -> np.ndarray:
 def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
     lanes = len(payloads)
     grid = np.zeros((steps, lanes), "<u4")
-    powers = 1 << np.arange(bits + 1)
+    leading = np.append(0, 1 << np.arange(bits)).astype(np.int32)
+    spare = np.maximum(np.arange(bits + 1) - 1, 0).astype(_U)
     model, coder = _Mixer(lanes, bits), _Decoder(payloads)
     for t in range(steps):
         model.predict()
         unit = coder.range >> _U(12)
-        v = coder.value(unit, _ONE - 1)
-        hit2, hit1, escaped = v < model.f2, v < model.c1, v >= model.c0
-        start = np.where(hit2, 0, np.where(hit1, model.f2, np.where(escaped, model.c0, model.c1)))
-        stop = np.where(hit2, model.f2, np.where(hit1, model.c1, np.where(escaped, _ONE, model.c0)))
-        coder.narrow(start, stop - start, unit)
-        total = model.upto[:, -1]
-        unit = coder.range // total.astype(_U)
-        v = coder.value(unit, total - 1)
-        kind = (model.upto <= v.astype(np.int16)[:, None]).sum(axis=1)
-        stop = model.upto[coder.row, kind]
-        start = np.where(kind > 0, model.upto[coder.row, kind - 1], 0)
-        coder.narrow_escaped(escaped, start, stop - start, unit)
-        low_bits = np.maximum(kind - 1, 0) * escaped
-        unit = coder.range >> low_bits.astype(_U)
-        v = coder.value(unit, powers[low_bits] - 1) * escaped
-        coder.narrow(v, np.ones(lanes, np.int64), unit)
-        x = np.where(hit2, model.two.id, np.where(hit1, model.one.id, np.where(escaped, v + powers[low_bits] * (kind > 0), model.major))).astype(np.int32)
-        model.learn_length(kind, escaped)
+        v = (coder.code // unit).astype(np.int32)
+        hit2, escaped = v < model.first, v >= model.second
+        start = np.where(hit2, 0, np.where(escaped, model.second, model.first))
+        size = np.where(hit2, model.first, np.where(escaped, _ONE, model.second)) - start
+        code, width = coder.code - start.astype(_U) * unit, size.astype(_U) * unit
+        unit = width // model.total
+        v = np.minimum(code // unit, model.total - _U(1)).astype(np.int16)
+        kind = np.add.reduce((model.below[1:-1] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        start, size = model.length_interval(kind)
+        inner = size.astype(_U) * unit
+        tail = inner >> spare.take(kind)
+        rest = code - start.astype(_U) * unit
+        v = rest // tail
+        coder.code = np.where(escaped, rest - v * tail, code)
+        coder.range = np.where(escaped, tail, width)
+        x = np.where(hit2, model.two.id, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.one.id))
         coder.shift()
-        model.learn(x)
+        model.learn(x, kind, escaped)
         grid[t] = x
     return np.ascontiguousarray(grid.T)
