@@ -53,3 +53,40 @@ def log_ft_conflict(log_ft: Column, dj: Column, parity_change: Column) -> Column
 
 def hindrance_conflict(hf: Column, odd_mass: Column, same_jpi: Column, natural_parity: Column) -> Column:
     return F.when(odd_mass & (hf < 4) & ~same_jpi, "hindrance factor below 4 needs equal spin and parity").when(~odd_mass & ~natural_parity, "alpha decay of an even nucleus goes to natural parity only")
+
+
+# Coefficients (of Z^4, Z^3, Z^2, Z, 1) of the gamma energy above
+# which conversion is negligible, by multipolarity and conversion coefficient.
+ICC_LIMITS = {
+    ("E1", 0.005): (6.0e-6, -0.0004, 0.0157, 6.2482, 33.83),
+    ("M1", 0.005): (0.0001, -0.0199, 1.4884, -33.671, 371.11),
+    ("E2", 0.005): (6e-05, -0.0087, 0.533, -4.934, 227.78),
+    ("M2", 0.005): (2.0e-04, -0.0365, 2.6047, -59.947, 700.11),
+    ("E1", 0.01): (0.00001, -0.0017, 0.1078, 2.0458, 57.72),
+    ("M1", 0.01): (0.0001, -0.0199, 1.4884, -33.671, 371.11),
+    ("E2", 0.01): (4e-05, -0.0073, 0.441, -4.2227, 196.33),
+    ("M2", 0.01): (6e-05, -0.0098, 0.719, -9.2396, 186.78),
+}
+
+
+def icc_energy(z: Column, multipolarity: str, coefficient: float) -> Column:
+    """Energy above which internal conversion need not be given."""
+    total = F.lit(0.0)
+    for c in ICC_LIMITS[multipolarity, coefficient]:
+        total = total * z + F.lit(c)
+    return total
+
+
+# Match probability at a z-score where nothing is vetoed.
+Z_TABLE = (
+    (0.0, 1.00), (0.5, 0.99), (1.0, 0.98), (1.5, 0.95), (1.8, 0.90), (2.0, 0.80), (2.2, 0.70), (2.5, 0.60), (2.8, 0.55),
+    (3.0, 0.50), (3.2, 0.40), (3.5, 0.20), (4.0, 0.10), (5.0, 0.01), (10.0, 0.00), (20.0, 0.00), (100.0, 0.00),
+)
+
+
+def table_probability(z: Column, veto: Column) -> Column:
+    """Probability by linear interpolation of the table; 0 under a veto."""
+    chain = F.lit(0.0)
+    for (z0, p0), (z1, p1) in reversed(list(zip(Z_TABLE, Z_TABLE[1:], strict=False))):
+        chain = F.when(z < z1, F.lit(p0) + (z - z0) * F.lit((p1 - p0) / (z1 - z0))).otherwise(chain)
+    return F.when(veto, F.lit(0.0)).otherwise(chain)

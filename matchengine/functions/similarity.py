@@ -148,3 +148,17 @@ def snapped(gamma: Column, c: MatchConfig = CONFIG) -> Column:
 def legacy_veto(spin1: Column, spin2: Column, parity1: Column, parity2: Column) -> Column:
     differ = lambda x, y: F.coalesce(x != y, F.lit(False))
     return differ(spin1, spin2) | differ(parity1, parity2)
+
+
+def is_tentative(options: Column) -> Column:
+    return F.exists(options, lambda o: o["isTentativeSpin"])
+
+
+def options_overlap(a: Column, b: Column) -> Column:
+    """Whether some option of both lists has the same spin and parity."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: (x["twoTimesSpin"] == y["twoTimesSpin"]) & (x["parity"] == y["parity"])))
+
+
+def options_close(a: Column, b: Column, most: int) -> Column:
+    """Whether some options differ by at most ``most`` in spin."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x["twoTimesSpin"] - y["twoTimesSpin"]) <= 2 * most))

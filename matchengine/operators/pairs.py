@@ -7,6 +7,8 @@ formed beyond twice the reach, and a crowded block splits over its buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,27 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: Column, by: list[
 
 def valid_both_ways(edges: DataFrame, a: str = "level_1_id", b: str = "level_2_id") -> DataFrame:
     return edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct()
+
+
+def feeding(gammas: DataFrame) -> DataFrame:
+    """Distinct (level group, gamma group) of gammas that come from a higher
+    group: columns initial_group, final_group, gamma_group."""
+    return gammas.where(F.col("initial_group") > F.col("final_group")).select(F.col("final_group").alias("level_group"), "gamma_group").distinct()
+
+
+def first_match(left: DataFrame, right: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Left rows with the first right row of their key; none is null."""
+    first = right.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+    return left.join(first, key, "left")
+
+
+def exact_then_fuzzy(tags: DataFrame, datasets: DataFrame, exact: str, near: str, by: list[str], ratio: float) -> DataFrame:
+    """Tags to datasets: by ``exact`` first; what is left by a ``near`` value
+    within ``ratio``, if there is only one.  Columns: tag, dataset, how."""
+    firm = tags.join(datasets, [*by, exact]).groupBy("tag").agg(F.min("dataset").alias("dataset"))
+    rest = tags.join(firm, "tag", "left_anti").where(F.col(near) > 0)
+    one = rest.select("tag", *by, F.ln(near).alias("__a"))
+    two = datasets.where(F.col(near) > 0).select("dataset", *by, F.ln(near).alias("__b"))
+    found = range_join(one, two, F.col("__a"), F.col("__b"), float(math.log(ratio)), by)
+    loose = found.groupBy("tag").agg(F.count("*").alias("n"), F.min("dataset").alias("dataset")).where("n = 1")
+    return firm.select("tag", "dataset", F.lit("exact").alias("how")).unionByName(loose.select("tag", "dataset", F.lit("fuzzy").alias("how")))

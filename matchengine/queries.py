@@ -571,3 +571,197 @@ def width_to_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 2").select(F.col("l_suppkey").alias("dsid")).distinct()
     return rules.cross_reference_rule(tags, table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("dsid")))
+
+
+# --- further joins, aggregations and reports ----------------------------------------
+
+
+@query("""SELECT DISTINCT l_suppkey % 97 AS level_group, l_orderkey % 1000 AS gamma_group FROM lineitem WHERE l_partkey % 97 > l_suppkey % 97""")
+def feeding_gammas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 97).alias("initial_group"), (F.col("l_suppkey") % 97).alias("final_group"), (F.col("l_orderkey") % 1000).alias("gamma_group"))
+    return pairs.feeding(rows)
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
+    SELECT c_custkey, f.o_orderkey AS parent FROM customer LEFT JOIN f ON f.o_custkey = c_custkey AND f.n = 1""")
+def parent_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    return pairs.first_match(c, o, ["c_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("c_custkey", F.col("o_orderkey").alias("parent"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS tag, c_nationkey AS nation, CAST(round(abs(c_acctbal)) AS BIGINT) AS whole, abs(c_acctbal) AS v FROM customer), d AS (SELECT s_suppkey AS dataset, s_nationkey AS nation, CAST(round(abs(s_acctbal)) AS BIGINT) AS whole, abs(s_acctbal) AS v FROM supplier),
+    firm AS (SELECT tag, min(dataset) AS dataset FROM t JOIN d USING (nation, whole) GROUP BY tag),
+    loose AS (SELECT t.tag, count(*) AS n, min(d.dataset) AS dataset FROM t JOIN d ON t.nation = d.nation AND t.v > 0 AND d.v > 0 AND abs(ln(t.v) - ln(d.v)) <= ln(1.02::DOUBLE) WHERE t.tag NOT IN (SELECT tag FROM firm) GROUP BY t.tag)
+    SELECT tag, dataset, 'exact' AS how FROM firm UNION ALL SELECT tag, dataset, 'fuzzy' FROM loose WHERE n = 1""")
+def fuzzy_dataset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda p, key, name: table(spark, sf_dir, p).select(F.col(key).alias(name), F.col(f"{p[0]}_nationkey").alias("nation"), F.round(F.abs(f"{p[0]}_acctbal")).cast("long").alias("whole"), F.abs(f"{p[0]}_acctbal").alias("v"))
+    return pairs.exact_then_fuzzy(side("customer", "c_custkey", "tag"), side("supplier", "s_suppkey", "dataset"), "whole", "v", ["nation"], 1.02)
+
+
+@query("""SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)""")
+def band_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(lines, "p_partkey", "left_semi").select("p_partkey", "p_brand")
+
+
+@query("""SELECT l_orderkey AS record, round(sum(abs(l_quantity - 25) / (s * s)) / sum(1 / (s * s)), 6) AS distance FROM (SELECT *, coalesce(nullif(l_tax * 10, 0), 0.2::DOUBLE * l_quantity) AS s FROM lineitem) GROUP BY 1""")
+def group_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_quantity").alias("x"), (F.col("l_tax") * 10).alias("dx"), F.lit(25.0).alias("e"))
+    return averages.distance_to_group(rows, ["record"]).select("record", r6(F.col("distance")).alias("distance"))
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT o_custkey, arg_min(o_orderkey, struct_pack(a := n, b := o_orderkey)) AS fewest, arg_max(o_orderkey, struct_pack(a := n, b := o_orderkey)) AS most, max(n) AS n_most FROM n GROUP BY 1""")
+def gamma_count_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    rank = F.struct("n", "o_orderkey")
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey").groupBy("o_custkey").agg(F.min_by("o_orderkey", rank).alias("fewest"), F.max_by("o_orderkey", rank).alias("most"), F.max("n").alias("n_most"))
+
+
+@query("""WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, arg_max(l_returnflag, struct_pack(a := n, b := l_returnflag)) AS tag, max(n) AS uses FROM n GROUP BY 1""")
+def most_common_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    return n.groupBy("l_suppkey").agg(F.max_by("l_returnflag", F.struct("n", "l_returnflag")).alias("tag"), F.max("n").alias("uses"))
+
+
+@query("""SELECT s_nationkey AS z, count(*) AS n_datasets, arg_max(s_suppkey, struct_pack(a := s_acctbal, b := s_suppkey)) AS adopted, s_nationkey % 2 = 0 AND (2 * s_nationkey + 1) % 2 = 0 AS even_even FROM supplier GROUP BY 1""")
+def nuclide_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("s_nationkey")
+    rows = table(spark, sf_dir, "supplier").groupBy(z.alias("z")).agg(F.count("*").alias("n_datasets"), F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("adopted"))
+    return rows.withColumn("even_even", (F.col("z") % 2 == 0) & ((2 * F.col("z") + 1) % 2 == 0))
+
+
+@query("""SELECT s_suppkey, CASE WHEN lead(s_acctbal) OVER w - s_acctbal < 150 THEN -30 ELSE 0 END + CASE WHEN s_acctbal - lag(s_acctbal) OVER w < 150 THEN 30 ELSE 0 END AS bar_offset FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)""")
+def bar_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
+    return groups.bar_offsets(rows, ["s_nationkey"]).select(F.col("id").alias("s_suppkey"), F.col("offset").alias("bar_offset"))
+
+
+@query()
+def label_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").cast("string").alias("label_id"), F.col("s_acctbal").alias("y"))
+    return groups.spread_labels(rows, "s_nationkey", 250.0).select("s_nationkey", "label_id", F.round("label_y", 3).alias("label_y"))
+
+
+_Z = "[" + ", ".join(f"{z!r}::DOUBLE" for z, _ in nuclear.Z_TABLE) + "]"
+_P = "[" + ", ".join(f"{p!r}::DOUBLE" for _, p in nuclear.Z_TABLE) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS z, p_partkey % 5 = 0 AND p_size % 2 = 0 AS veto FROM part), i AS (SELECT *, len(list_filter({_Z}, lambda v: v <= z)) AS k FROM t)
+    SELECT p_partkey, veto, round(CASE WHEN veto THEN 0 ELSE {_P}[k] + (z - {_Z}[k]) * ({_P}[k + 1] - {_P}[k]) / ({_Z}[k + 1] - {_Z}[k]) END, 6) AS probability FROM i""")
+def legacy_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z-score table with vetoes by spin (size parity) and parity (key)."""
+    veto = sim.legacy_veto(F.col("p_size") % 2, F.when(F.col("p_partkey") % 5 == 0, 1), F.lit(None).cast("string"), F.lit("+"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", veto.alias("veto"), (F.col("p_size") / 10.0).alias("z"))
+    return rows.select("p_partkey", "veto", r6(nuclear.table_probability(F.col("z"), F.col("veto"))).alias("probability"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_returnflag = 'R' AS left_side, CAST(l_quantity % 5 * 2 AS INT) AS j, l_linenumber % 2 = 0 AS tj, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS p FROM lineitem),
+    s AS (SELECT a.l_orderkey, bool_or(a.j = b.j AND a.p = b.p) AS overlap, bool_or(abs(a.j - b.j) <= 2) AS close FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.left_side AND NOT b.left_side GROUP BY 1),
+    t AS (SELECT l_orderkey, coalesce(bool_or(tj) FILTER (left_side), false) AS tentative, count(*) FILTER (left_side) = 1 AS is_unique FROM l GROUP BY 1)
+    SELECT t.l_orderkey, t.tentative, t.is_unique, coalesce(s.overlap, false) AS overlap, coalesce(s.close, false) AS close FROM t LEFT JOIN s USING (l_orderkey)""")
+def jpi_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return order_options(spark, sf_dir).select("l_orderkey", sim.is_tentative(a).alias("tentative"), (F.size(a) == 1).alias("is_unique"), sim.options_overlap(a, b).alias("overlap"), sim.options_close(a, b, 1).alias("close"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN chr(CAST(65 + s_suppkey % 26 AS INT)) ELSE CAST(s_suppkey % 10 AS VARCHAR) END AS tag FROM supplier)
+    SELECT s_suppkey, tag, row_number() OVER (ORDER BY CASE WHEN regexp_matches(tag, '^[0-9]') THEN '0' ELSE '1' END || tag, s_suppkey) AS place FROM t""")
+def tag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    tags = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 2 == 0, F.char((65 + k % 26).cast("int"))).otherwise((k % 10).cast("string")).alias("tag"))
+    # There are few distinct tags: their places are summed counts, not a sort of all rows.
+    counts = tags.groupBy("tag").agg(F.count("*").alias("n")).withColumn("key", text.tag_order(F.col("tag")))
+    before = counts.select("tag", F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("tag").orderBy("s_suppkey"))
+    return tags.withColumn("k", inside).join(before, "tag").select("s_suppkey", "tag", (F.col("before") + F.col("k")).cast("long").alias("place"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, max(l_extendedprice) FILTER (l_linenumber = 2) AS four, max(l_extendedprice) FILTER (l_linenumber = 1) AS two FROM lineitem GROUP BY 1) SELECT l_orderkey, round(four / two, 6) AS ratio FROM a WHERE four IS NOT NULL AND two > 0""")
+def be2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.max(F.when(F.col("l_linenumber") == n, F.col("l_extendedprice")))
+    both = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(at(2).alias("four"), at(1).alias("two"))
+    return both.where("four IS NOT NULL AND two > 0").select("l_orderkey", r6(F.col("four") / F.col("two")).alias("ratio"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_discount >= 0.09) SELECT a, b FROM e UNION SELECT b, a FROM e""")
+def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").where("l_discount >= 0.09").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return pairs.valid_both_ways(edges, "a", "b")
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS x, list_distinct(list(l_partkey % 100)) AS y FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(len(list_intersect(x, y)) AS BIGINT) AS shared, len(list_intersect(x, y)) = 0 AS disjoint FROM s""")
+def dataset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("x"), F.collect_set(F.col("l_partkey") % 100).alias("y"))
+    return sets.select("l_orderkey", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (~F.arrays_overlap("x", "y")).alias("disjoint"))
+
+
+@query(r"""WITH a AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g')) AS k FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g')) NOT IN (SELECT k FROM a)""")
+def comment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n]+", " "))
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.xxhash64(norm)).withColumn("k2", F.xxhash64(F.lit(1), norm))
+    known = rows.where("role = 'user'").select("k", "k2").distinct()
+    return rows.where("role = 'assistant'").join(known, ["k", "k2"], "left_anti").select("conv_id", "turn")
+
+
+@query("""WITH t AS (SELECT p_partkey, 2 * (p_partkey % 4) AS a, p_size % 6 AS b, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS p, p_size % 5 AS l FROM part)
+    SELECT p_partkey, (SELECT string_agg(CAST(x AS VARCHAR), ' ' ORDER BY x) FROM unnest(generate_series(CAST(abs(a - b) AS BIGINT), CAST(a + b AS BIGINT), 2)) u(x)) AS spins, CASE WHEN l % 2 = 1 THEN CASE WHEN p = '+' THEN '-' ELSE '+' END ELSE p END AS parity FROM t""")
+def l_transfer_spins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    spins = nuclear.coupled_spins((2 * (k % 4)).cast("int"), (s % 6).cast("int"))
+    parity = nuclear.transferred_parity(F.when(k % 2 == 0, "+").otherwise("-"), s % 5)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(spins.cast("array<string>"), " ").alias("spins"), parity.alias("parity"))
+
+
+@query("""SELECT p_partkey, round(0.0001::DOUBLE * pow(p_size, 4) - 0.0199::DOUBLE * pow(p_size, 3) + 1.4884::DOUBLE * p_size * p_size - 33.671::DOUBLE * p_size + 371.11::DOUBLE, 5) AS m1,
+    round(4e-05::DOUBLE * pow(p_size, 4) - 0.0073::DOUBLE * pow(p_size, 3) + 0.441::DOUBLE * p_size * p_size - 4.2227::DOUBLE * p_size + 196.33::DOUBLE, 5) AS e2 FROM part""")
+def conversion_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(nuclear.icc_energy(F.col("p_size"), "M1", 0.005), 5).alias("m1"), F.round(nuclear.icc_energy(F.col("p_size"), "E2", 0.01), 5).alias("e2"))
+
+
+@query("""WITH b AS (SELECT l_suppkey AS band, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS dj FROM lineitem WHERE l_quantity > 45)
+    SELECT band, count(DISTINCT dj) AS n_steps FROM b WHERE dj IS NOT NULL GROUP BY 1 HAVING count(DISTINCT dj) > 1""")
+def band_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("band"), F.col("l_extendedprice").alias("energy"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("level_id"), F.col("l_linenumber").alias("two_j"))
+    return rules.band_rule(rows)
+
+
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag = 'R' AS q, l_quantity AS v, CASE WHEN l_tax > 0.02 THEN l_quantity + 1 END AS a FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q AND a IS NOT NULL THEN a ELSE v END AS v FROM q""")
+def patch_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "R").alias("is_quoted"), F.col("l_quantity").alias("v"), F.when(F.col("l_tax") > 0.02, F.col("l_quantity") + 1).alias("adopted_v"))
+    return rules.patch_with_adopted(rows, ["v"]).select("l_orderkey", "l_linenumber", "l_partkey", "v")
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1 THEN '2012WA38' ELSE 'CA' END AS q, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid, p_size / 5.0::DOUBLE AS lft, p_partkey % 4 AS dj, p_size % 2 = 0 AS pc FROM part)
+    SELECT p_partkey, 'R3' AS rule, 'stale Q-value reference ' || q AS message FROM t WHERE q NOT IN ('2021WA16', 'CA') UNION ALL SELECT p_partkey, 'R10', 'B+ DECAY should be EC DECAY or EC+B+ DECAY' FROM t WHERE contains(dsid, ' B+ DECAY')
+    UNION ALL SELECT p_partkey, 'R22', CASE WHEN dj > 2 THEN 'transition with a spin change above 2 is unlikely' WHEN lft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR pc) THEN 'allowed transition needs a spin change of 0 or 1 without parity change' ELSE 'first-forbidden unique transition needs a parity change' END
+      FROM t WHERE dj > 2 OR (lft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR pc)) OR (lft >= 8.5 AND dj = 2 AND NOT pc)""")
+def level_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(k % 3 == 0, "2021WA16").when(k % 3 == 1, "2012WA38").otherwise("CA").alias("q_reference"), F.when(k % 7 == 0, "34P B+ DECAY").otherwise("34P B- DECAY").alias("dsid"),
+        (s / 5.0).alias("log_ft"), (k % 4).alias("dj"), (s % 2 == 0).alias("parity_change"),
+    )
+    return rules.check(rows, rules.level_rules(), ["p_partkey"])
+
+
+@query("""SELECT count(*) FILTER (length(p_name) >= 8 AND trim(p_type) <> '') AS n_records, count(*) FILTER (NOT contains(p_type, 'BRASS')) AS n_no_theory, count(*) FILTER (p_size > 25 AND p_retailprice >= 1000) AS n_strong FROM part""")
+def record_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_if
+    return table(spark, sf_dir, "part").agg(n((F.length("p_name") >= 8) & (F.trim("p_type") != "")).alias("n_records"), n(~F.col("p_type").contains("BRASS")).alias("n_no_theory"), n((F.col("p_size") > 25) & (F.col("p_retailprice") >= 1000)).alias("n_strong"))
+
+
+@query("""WITH m AS (SELECT n_name AS c, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY abs(s_acctbal), s_suppkey) = 1 AS anchor FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT c AS cluster, string_agg('  ' || s_suppkey || CASE WHEN anchor THEN ' (anchor)' ELSE '' END, chr(10) ORDER BY s_suppkey) AS report FROM m GROUP BY 1""")
+def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    first = F.row_number().over(Window.partitionBy("n_name").orderBy(F.abs("s_acctbal"), "s_suppkey")) == 1
+    line = F.struct("s_suppkey", F.concat(F.lit("  "), F.col("s_suppkey").cast("string"), F.when(first, " (anchor)").otherwise("")).alias("t"))
+    return s.select(F.col("n_name").alias("cluster"), line.alias("l")).groupBy("cluster").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"])).alias("report"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_tax = 0 THEN round(l_quantity * 1.37::DOUBLE) ELSE l_quantity END AS BIGINT) AS shown, round(l_quantity * 1.37::DOUBLE) = l_quantity AS same FROM lineitem""")
+def printed_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact, shown = F.round(F.col("l_quantity") * 1.37), F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_tax") == 0, exact).otherwise(shown).cast("long").alias("shown"), (text.rounded_like(shown * 1.37, shown.cast("long").cast("string")) == shown.cast("long").cast("string")).alias("same"))
