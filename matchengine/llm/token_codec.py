@@ -23,11 +23,11 @@ import zlib
 import numpy as np
 
 BLOCK_TOKENS = 2048
-STRIPE_BLOCKS = 4096
+STRIPE_BLOCKS = 2048
 MAGIC = b"MTK1"
 MAX_BITS = 24
 _ONE = 1 << 12
-_SLOTS = 512
+_SLOTS = 256
 #: Steps between two updates of order 0, and what an id adds to its count.
 _PERIOD, _STEP, _LENGTH_LIMIT = 16, 24, 1 << 11
 #: Probability (of 4096) of a prediction by its confidence.
@@ -68,7 +68,7 @@ class _Order:
         self.id, self.trust = self.found >> 3, self.found & 7
 
     def learn(self, x: np.ndarray, fresh: np.ndarray) -> None:
-        trust = _NEXT.take(self.trust + ((self.id == x) << 3))
+        trust = _NEXT.take(self.trust + ((self.id == x).view(np.int8) << 3))
         self.slots[self.slot] = np.where(trust > 0, (self.found & ~7) | trust, fresh)
 
 
@@ -92,8 +92,8 @@ class _Mixer:
     def predict(self) -> None:
         two, one = self.two, self.one
         two.predict(((self.last * np.int32(40503) + self.before * np.int32(30011)) >> 4) & (_SLOTS - 1))
-        one.predict((self.last ^ (self.last >> 9)) & (_SLOTS - 1))
-        state = (two.trust << 4) + (one.trust << 1) + (two.id == one.id)
+        one.predict((self.last ^ (self.last >> 8)) & (_SLOTS - 1))
+        state = (two.trust << 4) + (one.trust << 1) + (two.id == one.id).view(np.int8)
         self.first, self.second = _FIRST.take(state), _SECOND.take(state)
 
     def length_interval(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

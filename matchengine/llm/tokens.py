@@ -17,10 +17,11 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 
 from matchengine.llm import textvec as tv
 
-MAX_SEGMENTS = 1_500_000
+MAX_SEGMENTS = 3_000_000
 _LETTER = tv.byte_class((0x41, 0x5A), (0x61, 0x7A))
 _PUNCTUATION = tv.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: A character of its own piece that parts segments where blanks are dropped.
@@ -64,8 +65,8 @@ class EncoderCache:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        #: For each key, in order: where its ids begin in the pool, how many.
+        self.begin, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,18 +101,26 @@ class EncoderCache:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         data = data if self.keeps_space else tv.LOWER[data]
         starts, ends, first = self._segments(data, offsets)
-        keys, example, inverse = np.unique(tv.span_hashes(tv.prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        codes, keys = pd.factorize(tv.span_hashes(tv.prefix_sums(data), starts, ends))
         if len(self.keys) + len(keys) > MAX_SEGMENTS:
             self._clear()
-        near = np.searchsorted(self.keys, keys)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        near = np.searchsorted(self.keys, ranked)
         known = np.zeros(len(keys), bool)
         inner = near < len(self.keys)
-        known[inner] = self.keys[near[inner]] == keys[inner]
+        known[inner] = self.keys[near[inner]] == ranked[inner]
         if not known.all():
-            self._learn(data, keys[~known], starts[example[~known]], ends[example[~known]])
-        slot = self.slot[np.searchsorted(self.keys, keys)][inverse]
+            example = np.empty(len(keys), np.int64)
+            example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            fresh = example[order[~known]]
+            self._learn(data, ranked[~known], starts[fresh], ends[fresh])
+            near = np.searchsorted(self.keys, ranked)
+        slot = np.empty(len(keys), np.int64)
+        slot[order] = near
+        slot = slot[codes]
         size = self.size[slot]
-        upto = np.append(0, np.cumsum(size))
+        upto = np.append(0, np.cumsum(size, dtype=np.int64))
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto[:-1], size)]
         return ids, upto[first]
 
@@ -125,9 +134,8 @@ class EncoderCache:
         self.pool[self.used : self.used + total] = new
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.slot = np.insert(self.slot, at, np.arange(len(self.begin), len(self.begin) + len(keys)))
-        self.begin = np.append(self.begin, self.used + np.append(0, np.cumsum(size))[:-1])
-        self.size = np.append(self.size, size)
+        self.begin = np.insert(self.begin, at, (self.used + np.append(0, np.cumsum(size))[:-1]).astype(np.int32))
+        self.size = np.insert(self.size, at, size.astype(np.int32))
         self.used += total
 
     def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
