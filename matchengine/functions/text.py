@@ -156,3 +156,14 @@ def quoted_from_adopted(body: Column) -> Column:
     for k, pattern in reversed(list(enumerate(_QUOTED, 1))):
         chain = F.when(body.rlike(pattern), F.lit(k)).otherwise(chain)
     return F.coalesce(chain, F.lit(0))
+
+
+def value_text(x: Column, dx: Column, limit: int = 35, most: int = 6) -> Column:
+    """Value with its uncertainty in units of the last digit, as many digits as
+    keep the uncertainty at most ``limit``: 12.34(5)."""
+    decimals = F.greatest(F.lit(0), F.least(F.lit(most), F.floor(F.log10(F.lit(float(limit)) / dx)))).cast("int")
+    scaled = F.round(x * F.pow(F.lit(10.0), decimals)).cast("long")
+    unit = F.pow(F.lit(10.0), decimals).cast("long")
+    whole, part = F.abs(scaled) % unit, (F.abs(scaled) - F.abs(scaled) % unit) / unit
+    shown = F.concat(F.when(scaled < 0, "-").otherwise(""), part.cast("long").cast("string"), F.when(decimals > 0, F.concat(F.lit("."), F.lpad(whole.cast("string"), decimals, "0"))).otherwise(""))
+    return F.concat(shown, F.lit("("), F.round(dx * F.pow(F.lit(10.0), decimals)).cast("long").cast("string"), F.lit(")"))

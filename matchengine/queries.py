@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import nuclear, text
 from matchengine.functions import similarity as sim
-from matchengine.operators import averages, cluster, groups, learning, pairs, rules
+from matchengine.operators import adopted, averages, cluster, groups, learning, pairs, rules
 from matchengine.operators.components import components
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
-from matchengine.sources import logs
+from matchengine.sources import logs, reports
 
 REACH = 25.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,11 +346,11 @@ def anchor_min_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations)
-    SELECT conv_id, turn, asked FROM t WHERE role = 'assistant'""")
+    SELECT conv_id, turn, coalesce(asked, -1) AS asked FROM t WHERE role = 'assistant'""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order).alias("asked"))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", "asked")
+    return rows.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("asked", F.lit(-1)).cast("long").alias("asked"))
 
 
 @query("""WITH m AS (SELECT event_id, user_id, ts, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 AS INT), 0) AS fresh FROM events)
@@ -583,11 +583,11 @@ def feeding_gammas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
-    SELECT c_custkey, f.o_orderkey AS parent FROM customer LEFT JOIN f ON f.o_custkey = c_custkey AND f.n = 1""")
+    SELECT c_custkey, coalesce(f.o_orderkey, -1) AS parent FROM customer LEFT JOIN f ON f.o_custkey = c_custkey AND f.n = 1""")
 def parent_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
-    return pairs.first_match(c, o, ["c_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("c_custkey", F.col("o_orderkey").alias("parent"))
+    return pairs.first_match(c, o, ["c_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("c_custkey", F.coalesce("o_orderkey", F.lit(-1)).cast("long").alias("parent"))
 
 
 @query("""WITH t AS (SELECT c_custkey AS tag, c_nationkey AS nation, CAST(round(abs(c_acctbal)) AS BIGINT) AS whole, abs(c_acctbal) AS v FROM customer), d AS (SELECT s_suppkey AS dataset, s_nationkey AS nation, CAST(round(abs(s_acctbal)) AS BIGINT) AS whole, abs(s_acctbal) AS v FROM supplier),
@@ -765,3 +765,88 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def printed_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact, shown = F.round(F.col("l_quantity") * 1.37), F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_tax") == 0, exact).otherwise(shown).cast("long").alias("shown"), (text.rounded_like(shown * 1.37, shown.cast("long").cast("string")) == shown.cast("long").cast("string")).alias("same"))
+
+
+# --- against adopted records -----------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT c_custkey AS level, c_nationkey AS nation, c_custkey % 3 AS dsid, c_acctbal AS x FROM customer), a AS (SELECT s_suppkey AS adopted, s_nationkey AS nation, s_acctbal AS y, s_suppkey % 3 AS listed_ds FROM supplier),
+    n AS (SELECT level, adopted, listed_ds = dsid AS listed, abs(x - y) AS d, row_number() OVER (PARTITION BY level ORDER BY listed_ds = dsid DESC, abs(x - y), adopted) AS place, count(*) OVER (PARTITION BY level) AS n FROM l JOIN a USING (nation) WHERE abs(x - y) <= 200)
+    SELECT l.level, coalesce(n.adopted, -1) AS adopted, round(n.d, 6) AS distance, CASE WHEN n.adopted IS NULL THEN 'none' WHEN n.d > 100 THEN 'discrepant' WHEN n.n = 1 THEN 'single' ELSE 'chosen' END AS status FROM l LEFT JOIN n ON n.level = l.level AND n.place = 1""")
+def adopted_level_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("level"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 3).alias("dsid"), F.col("c_acctbal").alias("x"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("adopted"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("y"), F.array(F.col("s_suppkey") % 3).alias("xref"))
+    return adopted.match_adopted(levels, known, ["nation"], 200.0, 100.0).select("level", F.coalesce("adopted", F.lit(-1)).cast("long").alias("adopted"), r6(F.col("distance")).alias("distance"), "status")
+
+
+@query("""WITH t AS (SELECT p_partkey, 2 * (p_partkey % 4) AS jt, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS pt, p_size % 6 AS j, p_size % 5 AS l, p_partkey % 9 AS ja, CASE WHEN p_size % 3 = 0 THEN '+' ELSE '-' END AS pa FROM part),
+    c AS (SELECT p_partkey, CASE WHEN NOT (ja BETWEEN abs(jt - j) AND jt + j AND (ja - abs(jt - j)) % 2 = 0) THEN 'adopted spin is outside the range of the transfer' WHEN (CASE WHEN l % 2 = 1 THEN CASE WHEN pt = '+' THEN '-' ELSE '+' END ELSE pt END) <> pa THEN 'adopted parity does not fit the transfer' END AS message FROM t)
+    SELECT * FROM c WHERE message IS NOT NULL""")
+def l_transfer_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    told = adopted.l_transfer_conflict((2 * (k % 4)).cast("int"), F.when(k % 2 == 0, "+").otherwise("-"), (s % 6).cast("int"), s % 5, (k % 9).cast("int"), F.when(s % 3 == 0, "+").otherwise("-"))
+    return table(spark, sf_dir, "part").select("p_partkey", told.alias("message")).where("message IS NOT NULL")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS dataset, o_totalprice % 100 AS e, c_acctbal % 100 AS a, o_orderstatus AS j, c_custkey % 3 AS m, o_orderkey % 50 + 1 AS t, c_custkey % 50 + 1 AS ta FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT dataset, 'parent energy differs' AS message FROM p WHERE abs(e - a) > 50 UNION ALL SELECT dataset, 'parent spin-parity differs' FROM p WHERE j <> CASE m WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END UNION ALL SELECT dataset, 'parent half-life differs' FROM p WHERE abs(t - ta) > 0.5 * ta""")
+def parent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("c_custkey") % 3
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = joined.select(F.col("o_orderkey").alias("dataset"), (F.col("o_totalprice") % 100).alias("energy"), (F.col("c_acctbal") % 100).alias("adopted_energy"), F.col("o_orderstatus").alias("jpi"), F.when(m == 0, "O").when(m == 1, "F").otherwise("P").alias("adopted_jpi"), (F.col("o_orderkey") % 50 + 1).alias("t12"), (F.col("c_custkey") % 50 + 1).alias("adopted_t12"))
+    return adopted.parent_conflict(rows, 50.0)
+
+
+@query("""WITH c AS (SELECT l_suppkey AS record, l_partkey AS candidate, max(l_tax) < 0.05 AS e, max(l_discount) < 0.05 AS j, count(*) AS m, min(l_returnflag) = 'A' AS f, min(l_quantity) AS d FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY e DESC, j DESC, m DESC, f DESC, d, candidate) AS n, count(*) OVER (PARTITION BY record) AS total FROM c) SELECT record, candidate AS best, total AS n FROM r WHERE r.n = 1""")
+def better_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("record"), F.col("l_partkey").alias("candidate")).agg((F.max("l_tax") < 0.05).alias("energy_ok"), (F.max("l_discount") < 0.05).alias("jpi_ok"), F.count("*").alias("n_matched"), (F.min("l_returnflag") == "A").alias("firm"), F.min("l_quantity").alias("distance"))
+    return adopted.better_match(c, ["record"])
+
+
+@query("""WITH m AS (SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 3 THEN [] WHEN l_quantity > 25 THEN ['1+', '2+'] ELSE ['2+', '3-'] END AS o FROM lineitem), s AS (SELECT * FROM m WHERE len(o) > 0),
+    t AS (SELECT l_orderkey, count(*) AS members FROM s GROUP BY 1), e AS (SELECT l_orderkey, x, count(*) AS n FROM (SELECT l_orderkey, unnest(o) AS x FROM s) GROUP BY 1, 2)
+    SELECT t.l_orderkey, t.members, (SELECT string_agg(x, ' ' ORDER BY x) FROM e WHERE e.l_orderkey = t.l_orderkey AND e.n = t.members) AS common FROM t""")
+def jpi_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    options = F.when(F.col("l_linenumber") % 4 == 3, none).when(F.col("l_quantity") > 25, F.array(F.lit("1+"), F.lit("2+"))).otherwise(F.array(F.lit("2+"), F.lit("3-")))
+    return adopted.common_options(table(spark, sf_dir, "lineitem").select("l_orderkey", options.alias("options")), ["l_orderkey"])
+
+
+@query()
+def fine_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("dsid"), F.col("c_custkey").alias("record"), F.col("c_acctbal").alias("x"))
+    islands = groups.gap_islands(rows, ["nation"], F.col("x"), 20.0, tie=["record"])
+    return adopted.fine_groups(islands, ["nation", "island"], 20.0)
+
+
+@query("""SELECT s_suppkey AS block, s_name AS body FROM supplier WHERE s_suppkey % 4 <> 1 UNION ALL SELECT s_suppkey, 'new ' || s_name FROM supplier WHERE s_suppkey % 4 = 1""")
+def replaced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("block"), F.col("s_name").alias("body"))
+    return reports.replace_blocks(old, old.where("block % 4 = 1").withColumn("body", F.concat(F.lit("new "), "body")), "block")
+
+
+@query("""WITH v AS (SELECT p_partkey, p_retailprice AS x, p_size / 7.0::DOUBLE AS dx, CAST(greatest(0, least(6, floor(log10(35.0::DOUBLE / (p_size / 7.0::DOUBLE))))) AS INT) AS d FROM part),
+    s AS (SELECT *, CAST(round(x * pow(10.0::DOUBLE, d)) AS BIGINT) AS n, CAST(pow(10, d) AS BIGINT) AS u FROM v)
+    SELECT p_partkey, CAST(n // u AS VARCHAR) || CASE WHEN d > 0 THEN '.' || lpad(CAST(n % u AS VARCHAR), d, '0') ELSE '' END || '(' || CAST(CAST(round(dx * pow(10.0::DOUBLE, d)) AS BIGINT) AS VARCHAR) || ')' AS shown FROM s""")
+def value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.value_text(F.col("p_retailprice"), F.col("p_size") / 7.0).alias("shown"))
+
+
+@query("""SELECT s_suppkey, rtrim(rpad(CAST(CAST(abs(round(s_acctbal)) AS BIGINT) AS VARCHAR), 10, ' ') || rpad(CAST(s_suppkey % 9 + 1 AS VARCHAR), 2, ' ') || ' ' || rpad(CASE WHEN s_suppkey % 2 = 0 THEN '(1,2)+' ELSE '' END, 18, ' ')) AS line FROM supplier""")
+def level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.abs(F.round("s_acctbal")).cast("long").cast("string").alias("energy_text"), (k % 9 + 1).cast("string").alias("uncertainty_text"), F.when(k % 2 == 0, "(1,2)+").otherwise("").alias("spin_parity_text"))
+    return reports.level_lines(rows).select("s_suppkey", "line")
+
+
+@query("""WITH v AS (SELECT p_partkey, p_size + 0.5::DOUBLE AS a, (p_partkey % 9 + 1) / 10.0::DOUBLE AS da, p_size * 2::DOUBLE AS b, p_partkey % 4 + 1::DOUBLE AS db FROM part)
+    SELECT p_partkey, CAST(2 AS BIGINT) AS n, round((a / (da * da) + b / (db * db)) / (1 / (da * da) + 1 / (db * db)), 5) AS average FROM v""")
+def comment_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values listed in a comment, averaged in place (no shuffle)."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    body = F.concat(F.lit("T="), size, F.lit(".5("), (k % 9 + 1).cast("string"), F.lit(") (1973Pa02), "), (F.col("p_size") * 2).cast("string"), F.lit(" ("), (k % 4 + 1).cast("string"), F.lit("); see text."))
+    some = F.filter(text.comment_values(body, "T"), lambda v: v["dx"] > 0)
+    total = lambda f: F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + f(x))
+    mean = total(lambda x: x["x"] / (x["dx"] * x["dx"])) / total(lambda x: 1 / (x["dx"] * x["dx"]))
+    return table(spark, sf_dir, "part").select("p_partkey", some.alias("v")).select("p_partkey", F.size("v").cast("long").alias("n"), F.round(mean, 5).alias("average"))

@@ -27,3 +27,14 @@ def parse_cluster_report(lines: DataFrame) -> DataFrame:
     read = lines.withColumn("cluster_no", number).where(~header & F.col("line").rlike(r"^\s+\S"))
     percent: Column = F.regexp_extract("line", r"probability ([0-9.]+)%", 1).try_cast("double")
     return read.select("cluster_no", F.regexp_extract("line", r"^\s+(\S+)", 1).alias("level_id"), F.col("line").contains("(anchor)").alias("is_anchor"), (percent / 100).alias("match_probability"))
+
+
+def replace_blocks(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """A report with the blocks of ``new`` in place of those of equal key."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def level_lines(levels: DataFrame) -> DataFrame:
+    """Fixed columns of a level table: energy, uncertainty, spin-parity."""
+    line = F.concat(F.rpad("energy_text", 10, " "), F.rpad("uncertainty_text", 2, " "), F.lit(" "), F.rpad("spin_parity_text", 18, " "))
+    return levels.select("*", F.rtrim(line).alias("line"))

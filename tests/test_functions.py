@@ -176,3 +176,36 @@ def test_learning(spark):
     scored = learning.BoostedScorer(trees=10, depth=5).fit(train).score(check)
     assert averages.regression_metrics(scored, "label", "probability").first().rmse < 0.1
     assert set(r.probability for r in learning.ClusterScorer().fit(train).score(check).select("probability").distinct().collect()) == {0.0, 1.0}
+
+
+def test_kept_tables_are_swept(spark):
+    from matchengine import durable
+
+    kept = durable.keep(spark.range(5), "numbers")
+    assert kept.count() == 5
+    folder = durable.own_folder(spark).removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    durable.sweep(spark)
+    assert not os.path.isdir(folder)
+
+
+def test_fine_groups(spark):
+    from matchengine.operators import adopted
+
+    rows = [("n", "A", 1, 100.0), ("n", "A", 2, 110.0), ("n", "A", 3, 120.0), ("n", "B", 4, 102.0), ("n", "B", 5, 119.0), ("n", "C", 6, 111.0), ("n", "C", 7, 140.0)]
+    found = adopted.fine_groups(spark.createDataFrame(rows, "nuclide string, dsid string, record long, x double"), ["nuclide"], 5.0).collect()
+    groups_: dict[int, set[int]] = {}
+    for r in found:
+        groups_.setdefault(r.grp, set()).add(r.record)
+    assert [groups_[k] for k in sorted(groups_)] == [{1, 4}, {2, 6}, {3, 5}, {7}]
+
+
+def test_matching_adopted_levels(spark):
+    from matchengine.operators import adopted
+
+    levels = spark.createDataFrame([("n", 1, "B", 100.0), ("n", 2, "B", 200.0), ("n", 3, "B", 300.0), ("n", 4, "B", 900.0)], "nuclide string, level long, dsid string, x double")
+    known = spark.createDataFrame([("n", 10, 100.5, ["A"]), ("n", 11, 102.0, ["B"]), ("n", 12, 207.0, []), ("n", 13, 300.0, ["B"])], "nuclide string, adopted long, y double, xref array<string>")
+    got = {r.level: (r.adopted, r.status) for r in adopted.match_adopted(levels, known, ["nuclide"], 10.0, 5.0).collect()}
+    assert got == {1: (11, "chosen"), 2: (12, "discrepant"), 3: (13, "single"), 4: (None, "none")}
