@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
 from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, quotations, token_files
-from matchengine.durable import shared_folder
+from matchengine.durable import own_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
 
@@ -33,7 +33,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+    linked = quotations.link_quotations(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)).cast("long"))
 
 
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, path)
 
@@ -105,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
             parent AS (
               SELECT q.conv_id, q.turn, arg_min(o.turn, struct_pack(a := q.level, b := -o.turn)) AS up
               FROM q JOIN own o ON o.conv_id = q.conv_id AND o.key = q.key AND o.turn < q.turn WHERE q.key <> '' GROUP BY ALL)
-            SELECT m.conv_id, m.turn, m.role, p.up AS parent_turn, coalesce(p.up, m.turn) AS thread_turn, CAST(CASE WHEN p.up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth,
+            SELECT m.conv_id, m.turn, m.role, coalesce(p.up, -1) AS parent_turn, coalesce(p.up, m.turn) AS thread_turn, CAST(CASE WHEN p.up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth,
                    CAST(len(list_filter(m.lines, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) AS BIGINT) AS n_quoted,
                    array_to_string(list_filter(m.lines, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS text
             FROM m LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn""",

@@ -127,6 +127,13 @@ def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str
     )
 
 
+def format_chat(linked: DataFrame) -> DataFrame:
+    """Linked messages in reply order, thread after thread, each with its turn as
+    chat text; messages left without text are kept as empty turns."""
+    chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return linked.select("*", chat.alias("chat")).orderBy("conv_id", "thread_turn", "turn")
+
+
 def _threads(links: DataFrame) -> DataFrame:
     """(conv_id, turn, up) to each answer's first message and its depth."""
     state = keep(links.select("conv_id", "turn", "up", F.lit(1).cast("long").alias("depth")), "threads")

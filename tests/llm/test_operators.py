@@ -384,6 +384,8 @@ def test_quotations(spark):
     assert got[1, 6] == (None, 6, 0, None)
     assert got[1, 7] == (4, 2, 3, "Thanks")
     assert got[2, 1] == (None, 1, 0, "other conversation")
+    chat = quotations.format_chat(found.where("conv_id = 1 AND turn IN (1, 2, 3, 4, 5)")).collect()
+    assert [r.turn for r in chat] == [1, 2, 3, 4, 5] and chat[2].chat == "<|user|>\nReally?\n"
     kept = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), keep_unlinked=True)
     assert kept.where("conv_id = 1 AND turn = 5").first().text == rows[4][3]
     assert quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("false")).count() == 0
