@@ -72,11 +72,12 @@ def prefilter_candidates(rows: DataFrame, record: list[str]) -> DataFrame:
     return ranked.where(kept).drop("__g", "__d", "__best")
 
 
-def assign_in_order(rows: DataFrame, by: str) -> DataFrame:
+def assign_in_order(rows: DataFrame, by: list[str]) -> DataFrame:
     """Records to groups, both ascending in energy, without crossing: of all such
     assignments the one with most records placed and the least total distance.
-    ``rows``: by, record (rank), grp (rank), cost."""
-    kind = rows.schema[by].dataType.simpleString()
+    ``rows``: by, record (rank), grp (rank), cost; ``by`` should name an island
+    of energies, beyond which no pair reaches."""
+    key = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         records, groups = sorted(part.record.unique()), sorted(part.grp.unique())
@@ -98,15 +99,15 @@ def assign_in_order(rows: DataFrame, by: str) -> DataFrame:
             n, d = rows_[i - 1][j - 1]
             pair = (records[i - 1], groups[j - 1])
             if pair in cost and rows_[i][j] == (n + 1, d - cost[pair]):
-                out.append((part[by].iloc[0], *pair))
+                out.append((*part[by].iloc[0], *pair))
                 i, j = i - 1, j - 1
             elif rows_[i][j] == rows_[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        return pd.DataFrame(out, columns=[by, "record", "grp"])
+        return pd.DataFrame(out, columns=[*by, "record", "grp"])
 
-    return rows.groupBy(by).applyInPandas(solve, f"`{by}` {kind}, record int, grp int")
+    return rows.groupBy(*by).applyInPandas(solve, f"{key}, record int, grp int")
 
 
 def drop_marked_groups(members: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def test_groups(spark):
     got = sorted((r.x, r.island, r.part) for r in groups.coarse_groups(rows, "by", 6.0).collect())
     assert [g[1:] for g in got] == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (1, 0)]
     cost = spark.createDataFrame([("n", 1, 1, 5.0), ("n", 1, 2, 1.0), ("n", 2, 1, 1.0), ("n", 2, 2, 4.0)], "by string, record int, grp int, cost double")
-    assert sorted((r.record, r.grp) for r in groups.assign_in_order(cost, "by").collect()) == [(1, 1), (2, 2)]
+    assert sorted((r.record, r.grp) for r in groups.assign_in_order(cost, ["by"]).collect()) == [(1, 1), (2, 2)]
     labels = spark.createDataFrame([("f", str(k), float(k)) for k in range(5)], "fig string, label_id string, y double")
     moved = sorted(r.label_y for r in groups.spread_labels(labels, "fig", 3.0).collect())
     assert min(b - a for a, b in zip(moved, moved[1:], strict=False)) > 2.9
