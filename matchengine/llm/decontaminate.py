@@ -23,12 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchengine.durable import keep
 from matchengine.llm import textvec as tv
 
 BLOCK_BYTES = 32 << 20
@@ -129,12 +131,18 @@ def _matched(documents: DataFrame, benchmark: DataFrame, text: str, item_id: str
     names = [*[f"__c{k}" for k in range(len(carry))], "__body"]
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + f", n_words long, n_hit long, matches {MATCHES}"
 
-    def one(block: list) -> DataFrame:
-        tests = spark.sparkContext.broadcast(test_suffixes(block, window))
+    def search_in(tests) -> DataFrame:
         return source.mapInArrow(lambda batches: _shards(batches, tests.value, names), schema)
 
     first, second = next(blocks, []), next(blocks, None)
-    return one(first) if second is None else _united([one(b) for b in [first, second, *blocks]], names)
+    if second is None:
+        return search_in(spark.sparkContext.broadcast(test_suffixes(first, window)))
+    parts = []
+    for block in chain([first, second], blocks):
+        tests = spark.sparkContext.broadcast(test_suffixes(block, window))
+        parts.append(keep(search_in(tests), "benchmark-matches"))
+        tests.destroy()
+    return _united(parts, names)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
