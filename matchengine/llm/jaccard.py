@@ -29,7 +29,8 @@ filter of documents to check (1 MB) are of fixed size.
 
 Defined results: null or empty text and text without words is an empty set,
 linked with nothing; with fewer words than the n-gram has, the words are one
-shingle.  Repeated rows are one class; a null id is not linked.
+shingle.  Repeated rows are one class; a null id is not linked.  Different texts
+under one id are checked by the set that is smaller as bytes.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchengine.durable import keep
 from matchengine.llm import textvec as tv
 from matchengine.operators.components import components
-from matchengine.durable import keep
 
 #: Bitmap widths; a set has the least that is as large as itself, or the last.
 WIDTHS = np.array([1 << 10, 1 << 12, 1 << 14, 1 << 16])
@@ -194,6 +195,25 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, size)[chosen].view(np.int64)), pa.array(name[chosen])], names=["tile", "f1"])
 
 
+def _narrow(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of a tile with a partner of another component and near size.
+
+    Sorted by size, the nearest such partners of a member are the neighbours of
+    the run of its component.
+    """
+    for rows in _runs(batches):
+        tile, size, comp = (rows.column(k).to_numpy() for k in (0, 2, 3))
+        begin = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (comp[1:] != comp[:-1])))
+        run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(tile))))
+        before, after = begin[run] - 1, np.append(begin[1:], len(tile))[run]
+        near = np.zeros(len(tile), bool)
+        k = np.flatnonzero(before >= 0)
+        near[k] = (tile[before[k]] == tile[k]) & (100 * size[before[k]] >= percent * size[k])
+        k = np.flatnonzero(after < len(tile))
+        near[k] |= (tile[after[k]] == tile[k]) & (100 * size[k] >= percent * size[after[k]])
+        yield from rows.filter(pa.array(near)).to_batches()
+
+
 def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     """Bitmaps of one width or wider ones, as rows of 64-bit words."""
     own = 8 * len(bitmaps[0])
@@ -323,8 +343,9 @@ def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     tiles = keep(tiles.join(classes.select("f1", "rep", "n_shingles"), "f1").select("tile", "rep", "n_shingles"), "tile-members")
     for closest in (True, False):
         named = tiles.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").select("tile", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-        mixed = keep(named.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tile"), "mixed-tiles")
-        open_tiles = named.join(mixed, "tile").join(classes.select("rep", "bitmap"), "rep").select("tile", "rep", "n_shingles", "comp", "bitmap")
+        ordered = named.repartition("tile").sortWithinPartitions("tile", "n_shingles", "rep")
+        narrow = keep(ordered.mapInArrow(lambda b: _narrow(b, percent), "tile long, rep long, n_shingles long, comp long"), "open-tiles")
+        open_tiles = narrow.join(classes.select("rep", "bitmap"), "rep").select("tile", "rep", "n_shingles", "comp", "bitmap")
         dealt = open_tiles.repartition("tile").sortWithinPartitions("tile", "n_shingles", "rep")
         pairs = dealt.mapInArrow(lambda b, closest=closest: _compare(b, percent, closest), "a long, b long").distinct()
         pairs = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
