@@ -29,7 +29,7 @@ MAX_BITS = 24
 _ONE = 1 << 12
 _SLOTS = 256
 #: Steps between two updates of order 0, and what an id adds to its count.
-_PERIOD, _STEP, _LENGTH_LIMIT = 16, 24, 1 << 11
+_PERIOD, _STEP, _COUNT_LIMIT, _SHARES = 128, 24, 1 << 12, 11
 #: Probability (of 4096) of a prediction by its confidence.
 _TRUSTED = (0, 500, 1300, 2000, 2500, 2900, 3200, 3500)
 #: Confidence after a miss (first eight) and after a hit.
@@ -55,66 +55,61 @@ def _mixed() -> tuple[np.ndarray, np.ndarray]:
 _FIRST, _SECOND = _mixed()
 
 
-class _Order:
-    """Predictions of one context order: id and confidence in hashed slots."""
-
-    def __init__(self, lanes: int):
-        self.slots = np.zeros(lanes * _SLOTS, np.int32)
-        self.base = np.arange(lanes) * _SLOTS
-
-    def predict(self, slot: np.ndarray) -> None:
-        self.slot = slot + self.base
-        self.found = self.slots.take(self.slot)
-        self.id, self.trust = self.found >> 3, self.found & 7
-
-    def learn(self, x: np.ndarray, fresh: np.ndarray) -> None:
-        trust = _NEXT.take(self.trust + ((self.id == x).view(np.int8) << 3))
-        self.slots[self.slot] = np.where(trust > 0, (self.found & ~7) | trust, fresh)
-
-
 class _Mixer:
-    """The mixed prediction of the next id in every lane."""
+    """The mixed prediction of the next id in every lane.
+
+    Orders 2 and 1 are the two halves of one vector: id and confidence in
+    hashed slots of each lane.
+    """
 
     def __init__(self, lanes: int, bits: int):
-        self.two, self.one = _Order(lanes), _Order(lanes)
+        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32)
+        self.base, self.hashed = np.arange(2 * lanes) * _SLOTS, np.zeros(2 * lanes, np.int32)
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.lanes, self.kinds, self.count = np.arange(lanes), bits + 1, lanes
         self.counts = np.ones((bits + 1, lanes), np.int32)
+        self.below = np.zeros((bits + 2, lanes), np.int16)
         self.waiting: list[np.ndarray] = []
-        self._sum()
+        self.nowhere = self.kinds * lanes + self.lanes
+        self._share()
 
-    def _sum(self) -> None:
-        #: For each bit length (row) and lane, the counts before it; the last row is the total.
-        self.below = np.zeros((self.kinds + 1, self.count), np.int16)
-        np.cumsum(self.counts, axis=0, out=self.below[1:])
-        self.flat, self.total = self.below.ravel(), self.below[-1].astype(_U)
+    def _share(self) -> None:
+        """Shares of the bit lengths, of 2^_SHARES in all, and the sum before each."""
+        shares = self.counts * ((1 << _SHARES) - self.kinds) // self.counts.sum(axis=0) + 1
+        shares[0] += (1 << _SHARES) - shares.sum(axis=0)
+        np.cumsum(shares, axis=0, out=self.below[1:])
+        self.flat = self.below.ravel()
 
     def predict(self) -> None:
-        two, one = self.two, self.one
-        two.predict(((self.last * np.int32(40503) + self.before * np.int32(30011)) >> 4) & (_SLOTS - 1))
-        one.predict((self.last ^ (self.last >> 8)) & (_SLOTS - 1))
-        state = (two.trust << 4) + (one.trust << 1) + (two.id == one.id).view(np.int8)
+        n = self.count
+        self.hashed[:n] = (self.last ^ (self.last >> 7) ^ (self.before << 1) ^ (self.before >> 6)) & (_SLOTS - 1)
+        self.hashed[n:] = (self.last ^ (self.last >> 8)) & (_SLOTS - 1)
+        self.slot = self.hashed + self.base
+        self.found = self.slots.take(self.slot)
+        self.id, self.trust = self.found >> 3, self.found & 7
+        self.two, self.one = self.id[:n], self.id[n:]
+        state = (self.trust[:n] << 4) + (self.trust[n:] << 1) + (self.two == self.one).view(np.int8)
         self.first, self.second = _FIRST.take(state), _SECOND.take(state)
 
     def length_interval(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = kind * self.count + self.lanes
-        start = self.flat.take(at)
-        return start, self.flat.take(at + self.count) - start
-
-    def learn(self, x: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
-        fresh = (x << 3) | 1
-        self.two.learn(x, fresh)
-        self.one.learn(x, fresh)
+        self.cell = kind * self.count + self.lanes
+        start = self.flat.take(self.cell)
+        return start, self.flat.take(self.cell + self.count) - start
+
+    def learn(self, x: np.ndarray, escaped: np.ndarray) -> None:
+        both = np.concatenate((x, x))
+        trust = _NEXT.take(self.trust + ((self.id == both).view(np.int8) << 3))
+        self.slots[self.slot] = np.where(trust > 0, (self.found & ~7) | trust, (both << 3) | 1)
         self.before, self.last = self.last, x
-        self.waiting.append(np.where(escaped, kind, self.kinds) * self.count + self.lanes)
+        self.waiting.append(np.where(escaped, self.cell, self.nowhere))
         if len(self.waiting) == _PERIOD:
             seen = np.bincount(np.concatenate(self.waiting), minlength=(self.kinds + 1) * self.count)
             self.counts += _STEP * seen[: self.kinds * self.count].reshape(self.kinds, self.count).astype(np.int32)
             self.waiting = []
-            large = np.flatnonzero(self.counts.sum(axis=0) >= _LENGTH_LIMIT - _STEP * _PERIOD)
+            large = np.flatnonzero(self.counts.sum(axis=0) >= _COUNT_LIMIT)
             if len(large):
                 self.counts[:, large] = (self.counts[:, large] >> 1) | 1
-            self._sum()
+            self._share()
 
 
 class _Encoder:
@@ -182,8 +177,7 @@ class _Decoder:
             by = due.astype(_U) << _U(4)
             self.code <<= by
             self.range <<= by
-            # A damaged block may ask for more words than there are.
-            self.code[lanes] |= self.words.take(self.at[lanes] * len(self.lanes) + lanes, mode="clip")
+            self.code[lanes] |= self.words.take(self.at[lanes] * len(self.lanes) + lanes)
             self.at += due
 
 
@@ -196,7 +190,7 @@ def encode_stripe(ids: np.ndarray) -> bytes:
     payloads: list[bytes] = []
     for k in range(0, len(blocks), STRIPE_BLOCKS):
         payloads += _encode_blocks(blocks[k : k + STRIPE_BLOCKS], bits)
-    table = b"".join(struct.pack("<III", len(b), len(p), zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(blocks, payloads, strict=True))
+    table = b"".join(struct.pack("<III", len(b), len(p), zlib.crc32(p)) for b, p in zip(blocks, payloads, strict=True))
     return MAGIC + struct.pack("<II", len(blocks), bits) + table + b"".join(payloads)
 
 
@@ -212,8 +206,8 @@ def _encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     model, coder = _Mixer(lanes, bits), _Encoder(lanes, steps)
     for x in grid:
         model.predict()
-        hit2 = (model.two.id == x) & (model.first > 0)
-        hit1 = (model.one.id == x) & (model.second > model.first) & ~hit2
+        hit2 = (model.two == x) & (model.first > 0)
+        hit1 = (model.one == x) & (model.second > model.first) & ~hit2
         escaped = ~(hit2 | hit1)
         start = np.where(hit2, 0, np.where(hit1, model.first, model.second))
         size = np.where(hit2, model.first, np.where(hit1, model.second, _ONE)) - start
@@ -222,14 +216,14 @@ def _encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         amount = start.astype(_U) * unit
         kind = lengths.take(x)
         start, size = model.length_interval(kind)
-        unit = width // model.total
+        unit = width >> _U(_SHARES)
         inner = size.astype(_U) * unit
         tail = inner >> spare.take(kind)
         amount += np.where(escaped, start.astype(_U) * unit + (x - leading.take(kind)).astype(_U) * tail, _U(0))
         coder.add(amount)
         coder.range = np.where(escaped, tail, width)
         coder.shift()
-        model.learn(x, kind, escaped)
+        model.learn(x, escaped)
     return coder.finish()
 
 
@@ -240,19 +234,22 @@ def decode_stripe(data: bytes) -> np.ndarray:
     count, bits = struct.unpack_from("<II", data, 4)
     at, payloads = 12 + 12 * count, []
     table = list(struct.iter_unpack("<III", data[12:at]))
-    for _, size, _ in table:
+    for k, (_, size, crc) in enumerate(table):
         payloads.append(data[at : at + size])
         at += size
-    out = []
+        if zlib.crc32(payloads[-1]) != crc:
+            raise ValueError(f"block {k} is damaged")
+    out = np.zeros(sum(n for n, _, _ in table), "<u4")
+    filled = 0
     for k in range(0, count, STRIPE_BLOCKS):
-        part = table[k : k + STRIPE_BLOCKS]
-        grid = _decode_blocks(payloads[k : k + STRIPE_BLOCKS], max(n for n, _, _ in part), bits)
-        for j, (n, _, crc) in enumerate(part):
-            ids = grid[j, :n]
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError(f"block {k + j} is damaged")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        sizes = [n for n, _, _ in table[k : k + STRIPE_BLOCKS]]
+        grid = _decode_blocks(payloads[k : k + STRIPE_BLOCKS], max(sizes), bits)
+        if min(sizes) == max(sizes):
+            out[filled : filled + grid.size] = grid.ravel()
+        else:
+            np.concatenate([row[:n] for row, n in zip(grid, sizes, strict=True)], out=out[filled : filled + sum(sizes)])
+        filled += sum(sizes)
+    return out
 
 
 def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
@@ -269,8 +266,8 @@ def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
         start = np.where(hit2, 0, np.where(escaped, model.second, model.first))
         size = np.where(hit2, model.first, np.where(escaped, _ONE, model.second)) - start
         code, width = coder.code - start.astype(_U) * unit, size.astype(_U) * unit
-        unit = width // model.total
-        v = np.minimum(code // unit, model.total - _U(1)).astype(np.int16)
+        unit = width >> _U(_SHARES)
+        v = np.minimum(code // unit, _U((1 << _SHARES) - 1)).astype(np.int16)
         kind = np.add.reduce((model.below[1:-1] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
         start, size = model.length_interval(kind)
         inner = size.astype(_U) * unit
@@ -279,8 +276,8 @@ def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
         v = rest // tail
         coder.code = np.where(escaped, rest - v * tail, code)
         coder.range = np.where(escaped, tail, width)
-        x = np.where(hit2, model.two.id, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.one.id))
+        x = np.where(hit2, model.two, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.one))
         coder.shift()
-        model.learn(x, kind, escaped)
+        model.learn(x, escaped)
         grid[t] = x
     return np.ascontiguousarray(grid.T)

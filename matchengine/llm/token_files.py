@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -30,18 +29,25 @@ from matchengine.llm import textvec as tv
 from matchengine.llm import token_codec as codec
 from matchengine.llm import tokens as tk
 
+#: More files than this gain nothing; their bounds are part of the plan.
+MAX_FILES = 5000
 STRIPE_TOKENS = codec.BLOCK_TOKENS * codec.STRIPE_BLOCKS
 STRIPE = "file int, stripe int, doc_ids array<long>, counts array<long>, data binary"
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
     """Tokenise every whole text and write the files to a new folder."""
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     source = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    dealt = source.repartitionByRange(*order).sortWithinPartitions(*order)
+    files = min(MAX_FILES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Bounds come from the ids alone; a range partitioning would read all texts
+    # once more to sample them.
+    bounds = source.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)] or [0.5], 20 * files)).first()[0] or []
+    numbers = F.split(F.lit(",".join(map(str, sorted(set(bounds))))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
+    part = F.size(F.filter(numbers, lambda x: x < F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))))
+    dealt = source.select(part.alias("file"), "doc_id", "text").repartitionById(files, "file").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, number = tk.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, file, number = tk.encoder(tokenizer), 0, 0
         ids, names, counts, size = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -51,13 +57,14 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, *, doc_id
                 names=["file", "stripe", "doc_ids", "counts", "data"],
             )
 
-        for part, data, offsets in tv.text_chunks(batches, 1, tv.CHUNK_BYTES // 2):
+        for part, data, offsets in tv.text_chunks(batches, 2, tv.CHUNK_BYTES // 2):
             found, begin = tk.with_end(*encoder.encode(data, offsets), end_id)
             if size and size + len(found) > STRIPE_TOKENS:
                 yield row()
                 ids, names, counts, size, number = [], [], [], 0, number + 1
+            file = part.column(0)[0].as_py()
             ids.append(found)
-            names += part.column(0).to_pylist()
+            names += part.column(1).to_pylist()
             counts += np.diff(begin).tolist()
             size += len(found)
         if names:
@@ -80,7 +87,7 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False)
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, stripe, names, counts, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                raw = memoryview(codec.decode_stripe(data).astype("<u4", copy=False).tobytes())
+                raw = memoryview(codec.decode_stripe(data)).cast("B")
                 begin = np.append(0, np.cumsum(counts)).tolist()
                 ids = [raw[4 * a : 4 * b] for a, b in zip(begin, begin[1:], strict=False)]
                 for low in range(0, len(names), 4096):

@@ -22,11 +22,15 @@ import pandas as pd
 from matchengine.llm import textvec as tv
 
 MAX_SEGMENTS = 3_000_000
-_LETTER = tv.byte_class((0x41, 0x5A), (0x61, 0x7A))
-_PUNCTUATION = tv.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: Bits of a byte: letter 1, punctuation 2, blank or line feed 4, white space 8.
+_KIND = np.array([sum(bit * bool(t) for bit, t in zip((1, 2, 4, 8), row, strict=True)) for row in zip(tv.byte_class((0x41, 0x5A), (0x61, 0x7A)), tv.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)), tv.byte_class((0x20, 0x20), (0x0A, 0x0A)), ~tv.NON_SPACE, strict=True)], np.uint8)
+#: Bytes that may lead a non-ASCII white space; bytes that surely end or open a
+#: character that is none (a multi-byte one ends surely by its lead).
+_LEADS = tv.byte_class((0xC2, 0xC2), (0xE1, 0xE3))
+_ENDS = tv.NON_SPACE & ~tv.byte_class((0x1C, 0x1F))
+_OPENS = _ENDS & ~_LEADS
 #: A character of its own piece that parts segments where blanks are dropped.
 _MARK = "\x01"
-_SPACE = ~tv.NON_SPACE
 _caches: dict[str, EncoderCache] = {}
 
 
@@ -72,22 +76,22 @@ class EncoderCache:
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         cut = np.zeros(n + 1, bool)
-        mark = np.flatnonzero(_LETTER[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
-        cut[mark] = True
+        kind = _KIND[data]
+        np.not_equal((kind[:-1] << 1) & kind[1:] & 2, 0, out=cut[1:n])
         cut[offsets] = True
         if self.keeps_space:
-            at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+            at = np.flatnonzero(kind & 4)
             at = at[(at >= 3) & (at < n - 1)]
-            before, after = data[at - 1], data[at + 1]
-            lead = lambda b: (b == 0xC2) | ((b >= 0xE1) & (b <= 0xE3))
-            plain = lambda b: ~_SPACE[b] & ((b < 0x1C) | (b > 0x1F))
-            sure = plain(before) & plain(after) & ~lead(after) & ((before < 0x80) | ~(lead(data[at - 2]) | lead(data[at - 3])))
+            before = data[at - 1]
+            sure = _ENDS[before] & _OPENS[data[at + 1]]
+            wide = np.flatnonzero(before >= 0x80)
+            sure[wide] &= ~(_LEADS[data[at[wide] - 2]] | _LEADS[data[at[wide] - 3]])
             at = at[sure]
             cut[at] = True
             cut[at[data[at] == 0x0A] + 1] = True
             starts = np.flatnonzero(cut[:n])
             return starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(starts, offsets)
-        space = _SPACE[data]
+        space = kind >= 8
         cut[1:n] |= space[1:] != space[:-1]
         starts = np.flatnonzero(cut[:n])
         ends = np.append(starts[1:], n)[: len(starts)]
@@ -127,7 +131,7 @@ class EncoderCache:
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new, size = self._encode_all(texts)
+        new, size = self._encode_all(texts, ends - starts)
         total = int(size.sum())
         while self.used + total > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
@@ -138,32 +142,29 @@ class EncoderCache:
         self.size = np.insert(self.size, at, size.astype(np.int32))
         self.used += total
 
-    def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the segments one after another, and how many each has.
+    def _encode_all(self, texts: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments (of ``length`` bytes) one after another, and how
+        many each has.
 
         Most segments go to the library as one text, parted so that none can
         join its neighbour; the rest are encoded one by one.
         """
-        joined, alone, parts = [], [], []
-        for k, t in enumerate(texts):
-            if not self.keeps_space:
-                (alone if _MARK in t else joined).append(k)
-                continue
-            blank = t[0] == " "
-            if len(t) > blank and not t[blank].isspace() and not t[-1].isspace():
-                parts.append(t if blank else "\n" + t)
-                joined.append(k)
-            else:
-                alone.append(k)
-        size, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
-        if joined:
-            text = "".join(["\nx", *parts]) if self.keeps_space else f" {_MARK} ".join(texts[k] for k in joined)
+        if self.keeps_space:
+            plain = np.array([not t[-1].isspace() and (not t[0].isspace() or (t[0] == " " and len(t) > 1 and not t[1].isspace())) for t in texts], bool)
+        else:
+            plain = np.array([_MARK not in t for t in texts], bool)
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        size = np.zeros(len(texts), np.int64)
+        flat = low = high = np.zeros(0, np.int64)
+        if len(joined):
+            some = texts if not len(alone) else [texts[k] for k in joined.tolist()]
+            text = "\nx" + "".join([t if t[0] == " " else "\n" + t for t in some]) if self.keeps_space else f" {_MARK} ".join(some)
             (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             flat = np.array(encoded.ids, np.uint32)
             if self.keeps_space:
-                length = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
-                stop = 2 + np.cumsum(length)
-                start = stop - length + np.fromiter((p[0] == "\n" for p in parts), np.int64, len(parts))
+                bare = np.fromiter((t[0] != " " for t in some), np.int64, len(some))
+                stop = 2 + np.cumsum(length[joined] + bare)
+                start = stop - length[joined]
                 at = np.append(0, np.cumsum(self.token_bytes[flat]))
                 low, high = np.searchsorted(at, start), np.searchsorted(at, stop)
                 assert (at[low] == start).all() and (at[high] == stop).all()
@@ -171,16 +172,24 @@ class EncoderCache:
                 marks = np.flatnonzero(flat == self.mark)
                 low, high = np.append(0, marks + 1), np.append(marks, len(flat))
                 assert len(low) == len(joined)
-            for k, a, b in zip(joined, low.tolist(), high.tolist(), strict=True):
-                ids[k] = flat[a:b]
             size[joined] = high - low
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
-            ids[k] = np.array(e.ids, np.uint32)
-            size[k] = len(e.ids)
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), size
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in alone.tolist()], add_special_tokens=False)]
+        size[alone] = [len(x) for x in single]
+        begin = np.append(0, np.cumsum(size))
+        ids = np.zeros(begin[-1], np.uint32)
+        count = size[joined]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        ids[step + np.repeat(begin[:-1][joined], count)] = flat[step + np.repeat(low, count)]
+        for k, x in zip(alone.tolist(), single, strict=True):
+            ids[begin[k] : begin[k + 1]] = x
+        return ids, size
 
 
 def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each text."""
     n = len(begin) - 1
-    return np.insert(ids, begin[1:], np.uint32(end_id)).astype(np.uint32), begin + np.arange(n + 1)
+    out = np.empty(len(ids) + n, np.uint32)
+    for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        out[a + k : b + k] = ids[a:b]
+        out[b + k] = end_id
+    return out, begin + np.arange(n + 1)
