@@ -239,9 +239,11 @@ def cosine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.user_id AS user_1, b.user_id AS user_2, round(2.0::DOUBLE * coalesce(s.shared, 0) / (a.total + b.total), 6) AS similarity FROM u a JOIN u b ON b.user_id = a.user_id + 1 LEFT JOIN s ON s.u1 = a.user_id AND s.u2 = b.user_id""")
 def bray_curtis(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    kinds = [r.event_type for r in counts.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
-    h = counts.groupBy("user_id").pivot("event_type", kinds).agg(F.sum("n")).select("user_id", F.array(*[F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("double") for k in kinds]).alias("h"))
-    pair = h.select(F.col("user_id").alias("user_1"), F.col("h").alias("a"), (F.col("user_id") + 1).alias("user_2")).join(h.select(F.col("user_id").alias("user_2"), F.col("h").alias("b")), "user_2")
+    h = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.col("n").cast("double")))).alias("h"))
+    pair = h.select(F.col("user_id").alias("user_1"), F.col("h").alias("x"), (F.col("user_id") + 1).alias("user_2")).join(h.select(F.col("user_id").alias("user_2"), F.col("h").alias("y")), "user_2")
+    keys = F.array_union(F.map_keys("x"), F.map_keys("y"))
+    amount = lambda m: F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0.0)))
+    pair = pair.select("user_1", "user_2", amount("x").alias("a"), amount("y").alias("b"))
     return pair.select("user_1", "user_2", r6(sim.bray_curtis(F.col("a"), F.col("b"))).alias("similarity"))
 
 
