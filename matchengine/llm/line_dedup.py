@@ -10,6 +10,11 @@ of at least that many lines; every member but the earliest is a later copy,
 and overlapping copies join into the maximal repeated run, which is deleted.
 A line of ``long_line`` characters or more is a run by itself.
 
+With ``run_chars`` or ``run_words`` a repeated run of fewer than ``min_lines``
+lines is deleted too where it has that many characters (line ends between its
+lines included) or words.  Every length below ``min_lines`` is named then, one
+line more a round.
+
 Only hashes of lines and positions are shuffled; texts meet the deletions in
 one join by document.  Names are aggregated before they are joined, so a line
 that a third of all documents share costs one row a task; the joins read
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from matchengine.durable import keep
+from matchengine.functions.similarity import once
 
 KEY = ["__id", "__h"]
 
@@ -41,38 +47,54 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose ``key`` occurs at two places or more, with its earliest."""
     names = rows.groupBy(*key).agg(F.min(_place()).alias("__name"), F.max(_place()).alias("__last")).where("__name < __last")
     names = keep(names.select(*key, F.xxhash64("__name").alias("__r1"), F.xxhash64(F.lit(1), "__name").alias("__r2"), "__name"), "line-names")
-    return rows.join(names, key).select(*KEY, "__p", *[c for c in rows.columns if c == "__long"], F.col("__r1").alias("__n1"), F.col("__r2").alias("__n2"), (_place() > F.col("__name")).alias("__later"))
+    return rows.join(names, key).select(*KEY, "__p", *[c for c in rows.columns if c in ("__long", "__least")], F.col("__r1").alias("__n1"), F.col("__r2").alias("__n2"), (_place() > F.col("__name")).alias("__later"))
 
 
 def _pairs(named: DataFrame, offset: int) -> DataFrame:
     """Each position with the names at itself and ``offset`` lines on."""
     order = Window.partitionBy(*KEY).orderBy("__p")
     ahead = lambda c: F.lead(c, offset).over(order)
-    found = named.select(*KEY, "__p", "__n1", "__n2", ahead("__p").alias("__q"), ahead("__n1").alias("__m1"), ahead("__n2").alias("__m2"))
+    found = named.select(*KEY, "__p", *[c for c in named.columns if c == "__least"], "__n1", "__n2", ahead("__p").alias("__q"), ahead("__n1").alias("__m1"), ahead("__n2").alias("__m2"))
     return found.where(F.col("__q") == F.col("__p") + offset).drop("__q")
 
 
-def repeated_lines(documents: DataFrame, *, doc_id: str, text: str, min_lines: int, long_line: int) -> DataFrame:
+def _least(lines: Column, at: Column, min_lines: int, run_chars: int | None, run_words: int | None) -> Column:
+    """Lines from ``at`` on that a run needs to pass a bound, at most ``min_lines``."""
+    passes = []
+    for size in range(1, min_lines):
+        run = F.array_join(F.slice(lines, at + 1, F.lit(size)), "\n")
+        chars = F.length(run) >= run_chars if run_chars is not None else F.lit(False)
+        words = F.regexp_count(run, F.lit(r"[^\x20\x09-\x0D]+")) >= run_words if run_words is not None else F.lit(False)
+        passes.append(F.when(chars | words, size))
+    return F.coalesce(*passes, F.lit(min_lines))
+
+
+def repeated_lines(documents: DataFrame, *, doc_id: str, text: str, min_lines: int, long_line: int, run_chars: int | None = None, run_words: int | None = None) -> DataFrame:
     """Lines to delete: __id, __h (hash of the text) and the sorted ``__gone``."""
+    bounded = min_lines > 1 and (run_chars is not None or run_words is not None)
+    more = lambda all_, k: [_least(all_, k, min_lines, run_chars, run_words).alias("least")] if bounded else []
+    parts = lambda all_: F.transform(all_, lambda x, k: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.length(x) >= long_line).alias("long"), *more(all_, k)))
     lines = documents.where(F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{doc_id}`").alias("__id"),
         F.xxhash64(f"`{text}`").alias("__h"),
-        F.posexplode(F.transform(F.split(f"`{text}`", "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.length(x) >= long_line).alias("long")))).alias("__p", "__x"),
+        F.posexplode(once(F.split(f"`{text}`", "\n"), parts) if bounded else parts(F.split(f"`{text}`", "\n"))).alias("__p", "__x"),
     )
-    rows = lines.select(*KEY, "__p", F.col("__x.a").alias("__n1"), F.col("__x.b").alias("__n2"), F.col("__x.long").alias("__long"))
+    rows = lines.select(*KEY, "__p", F.col("__x.a").alias("__n1"), F.col("__x.b").alias("__n2"), F.col("__x.long").alias("__long"), *([F.col("__x.least").alias("__least")] if bounded else []))
     named = _named(rows, ["__n1", "__n2"])
     if min_lines > 1:
         named = keep(named, "line-ranks")
-        gone = named.where("__long AND __later").select(*KEY, "__p", F.lit(1).alias("__size"))
+        gone = named.where("(__long OR __least <= 1) AND __later" if bounded else "__long AND __later").select(*KEY, "__p", F.lit(1).alias("__size"))
     else:
         return _collected(named.where("__later").select(*KEY, "__p", F.lit(1).alias("__size")))
     length = 1
     while length < min_lines:
-        offset = min(length, min_lines - length)
+        offset = 1 if bounded else min(length, min_lines - length)
         named = _named(keep(_pairs(named, offset), "line-pairs"), ["__n1", "__n2", "__m1", "__m2"])
         length += offset
         if length < min_lines:
             named = keep(named, "line-ranks")
+            if bounded:
+                gone = gone.unionByName(named.where(F.col("__later") & (F.col("__least") <= length)).select(*KEY, "__p", F.lit(length).alias("__size")))
     return _collected(gone.unionByName(named.where("__later").select(*KEY, "__p", F.lit(min_lines).alias("__size"))))
 
 
@@ -81,13 +103,13 @@ def _collected(runs: DataFrame) -> DataFrame:
     return lines.groupBy(*KEY).agg(F.sort_array(F.collect_set("__p")).alias("__gone"))
 
 
-def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = 3, long_line: int = 200, report: bool = False, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = 3, long_line: int = 200, run_chars: int | None = None, run_words: int | None = None, report: bool = False, drop_empty: bool = False) -> DataFrame:
     """``documents`` with later copies of repeated line runs deleted.
 
     ``report`` adds n_lines and n_removed; ``drop_empty`` leaves out documents
     of which every line was a later copy.
     """
-    gone = repeated_lines(documents, doc_id=doc_id, text=text, min_lines=min_lines, long_line=long_line).withColumnsRenamed({"__id": "__gid", "__h": "__gh"})
+    gone = repeated_lines(documents, doc_id=doc_id, text=text, min_lines=min_lines, long_line=long_line, run_chars=run_chars, run_words=run_words).withColumnsRenamed({"__id": "__gid", "__h": "__gh"})
     column = lambda c: F.col(f"`{c}`")
     marked = documents.select(F.struct(*[column(c) for c in documents.columns]).alias("row"), column(doc_id).alias("__id"), column(text).alias("__text"), F.xxhash64(column(text)).alias("__h"))
     body = F.col("__text")
