@@ -204,9 +204,9 @@ def specificity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's first five lines as gammas, with the customer's next order."""
+    """Each order's lines as gammas, with the customer's next order."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_quantity").alias("energy"), F.lit(1.0).alias("energy_uncertainty"), (F.col("l_extendedprice") / 1000).alias("intensity"), (F.col("l_discount") * 100).alias("intensity_uncertainty")).alias("g"))
-    spectra = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["g"]).cast(GAMMAS).alias("gammas"))
+    spectra = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["g"]).cast(GAMMAS).alias("gammas"))
     following = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lead("o_orderkey").over(following).alias("next_key")).where("next_key IS NOT NULL")
     one = spectra.select(F.col("l_orderkey").alias("o_orderkey"), F.col("gammas").alias("a"))
