@@ -51,6 +51,16 @@ def log_ft_conflict(log_ft: Column, dj: Column, parity_change: Column) -> Column
     )
 
 
+def unique_flag_missing(log_ft: Column, unc: Column, dj: Column, parity_change: Column, unique: Column) -> Column:
+    """Message where a first-forbidden unique transition lacks its flag."""
+    return F.when((log_ft - unc >= 8.5) & (dj == 2) & parity_change & (F.upper(F.coalesce(unique, F.lit(""))) != "1U"), "flag 1U is missing")
+
+
+def zero_to_zero_conflict(log_ft: Column, unc: Column, zero_to_zero: Column) -> Column:
+    """Message for 0+ to 0+ with a log ft inside the window, as the reference tells it."""
+    return F.when(zero_to_zero & (log_ft > 3.6) & (log_ft + unc < 6.4), "log ft between 3.6 and 6.4 for 0+ to 0+")
+
+
 def hindrance_conflict(hf: Column, odd_mass: Column, same_jpi: Column, natural_parity: Column) -> Column:
     return F.when(odd_mass & (hf < 4) & ~same_jpi, "hindrance factor below 4 needs equal spin and parity").when(~odd_mass & ~natural_parity, "alpha decay of an even nucleus goes to natural parity only")
 

@@ -35,6 +35,8 @@ def level_rules() -> list[Rule]:
         Rule("R15", ("t12_text", "adopted_t12", "energy", "is_isomer", "t12_seconds"), F.when((c("energy") == 0) & (c("t12_text") == ""), F.lit("ground state has no half-life")).when(c("t12_text") != c("adopted_t12"), F.lit("half-life differs from Adopted")).when((c("t12_seconds") >= 1e-7) & ~c("is_isomer"), F.lit("half-life of an isomer without its flag"))),
         Rule("R21", ("hf", "odd_mass", "same_jpi", "natural_parity"), nuclear.hindrance_conflict(c("hf"), c("odd_mass"), c("same_jpi"), c("natural_parity"))),
         Rule("R22", ("log_ft", "dj", "parity_change"), nuclear.log_ft_conflict(c("log_ft"), c("dj"), c("parity_change"))),
+        Rule("R22", ("log_ft", "log_ft_unc", "dj", "parity_change", "unique"), nuclear.unique_flag_missing(c("log_ft"), c("log_ft_unc"), c("dj"), c("parity_change"), c("unique"))),
+        Rule("R22", ("log_ft", "log_ft_unc", "zero_to_zero"), nuclear.zero_to_zero_conflict(c("log_ft"), c("log_ft_unc"), c("zero_to_zero"))),
     ]
 
 

@@ -7,6 +7,7 @@ adopted levels, line items are lines of an order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -751,6 +752,65 @@ def level_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.check(rows, rules.level_rules(), ["p_partkey"])
 
 
+def _expressions(columns: str) -> list[str]:
+    return re.split(r",\s+", columns)
+
+
+_LEVEL_COLUMNS = """p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1 THEN '2012WA38' ELSE 'CA' END AS q_reference, CASE p_partkey % 4 WHEN 0 THEN '2014StZZ' WHEN 1 THEN '2016StZV' WHEN 2 THEN '2019StZV' END AS moment_reference,
+    CASE WHEN p_partkey % 2 = 0 THEN 'B-' END AS decay_type, CASE WHEN p_partkey % 3 = 0 THEN 1.0D END AS nb, CASE WHEN p_partkey % 5 = 0 THEN 0.5D ELSE 1.0D END AS br, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid,
+    p_size - 1.0D AS energy, CAST(p_size - 1 AS STRING) AS energy_text, p_size - 1 + p_partkey % 5 * 0.3D AS adopted_energy, p_partkey % 3 = 1 AS is_quoted,
+    CASE WHEN p_partkey % 2 = 0 THEN '2+' ELSE '3-' END AS jpi_text, CASE WHEN p_size % 2 = 0 THEN '2+' ELSE '3-' END AS adopted_jpi,
+    CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END AS t12_text, CASE WHEN p_partkey % 4 = 0 THEN '5 NS' ELSE CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END END AS adopted_t12,
+    p_partkey % 9 = 0 AS is_isomer, CASE WHEN p_partkey % 8 = 2 THEN 1e-6D ELSE 1e-12D END AS t12_seconds, p_size / 5.0D AS hf, p_partkey % 2 = 1 AS odd_mass, p_partkey % 3 = 0 AS same_jpi, p_partkey % 5 <> 0 AS natural_parity,
+    p_size / 5.0D AS log_ft, 0.3D AS log_ft_unc, p_partkey % 4 AS dj, p_size % 2 = 0 AS parity_change, CASE WHEN p_partkey % 3 = 0 THEN '1U' END AS unique, p_partkey % 5 = 0 AS zero_to_zero"""
+_LEVEL_TOLD = {
+    "R3": [("q_reference NOT IN ('2021WA16', 'CA')", "'stale Q-value reference ' || q_reference")],
+    "R8": [("moment_reference IN ('2014StZZ', '2016StZV', '2011StZZ')", "'stale moment reference ' || moment_reference")],
+    "R9": [("decay_type IS NOT NULL AND nb IS NULL AND br < 1", "'NB is empty although BR is below 1'")],
+    "R10": [("contains(dsid, ' B+ DECAY')", "'B+ DECAY should be EC DECAY or EC+B+ DECAY'")],
+    "R13": [("is_quoted AND adopted_energy <> energy AND CAST(CAST(round(adopted_energy) AS BIGINT) AS VARCHAR) <> energy_text", "'energy quoted from Adopted differs'")],
+    "R14": [("is_quoted AND jpi_text <> adopted_jpi", "'spin-parity quoted from Adopted differs'")],
+    "R15": [("energy = 0 AND t12_text = ''", "'ground state has no half-life'"), ("t12_text <> adopted_t12", "'half-life differs from Adopted'"), ("t12_seconds >= 1e-7 AND NOT is_isomer", "'half-life of an isomer without its flag'")],
+    "R21": [("odd_mass AND hf < 4 AND NOT same_jpi", "'hindrance factor below 4 needs equal spin and parity'"), ("NOT odd_mass AND NOT natural_parity", "'alpha decay of an even nucleus goes to natural parity only'")],
+    "R22": [("dj > 2", "'transition with a spin change above 2 is unlikely'"), ("log_ft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR parity_change)", "'allowed transition needs a spin change of 0 or 1 without parity change'"), ("log_ft >= 8.5 AND dj = 2 AND NOT parity_change", "'first-forbidden unique transition needs a parity change'")],
+    "R22 flag": [("log_ft - log_ft_unc >= 8.5 AND dj = 2 AND parity_change AND coalesce(\"unique\", '') <> '1U'", "'flag 1U is missing'")],
+    "R22 window": [("zero_to_zero AND log_ft > 3.6 AND log_ft + log_ft_unc < 6.4", "'log ft between 3.6 and 6.4 for 0+ to 0+'")],
+}
+_GAMMA_COLUMNS = """l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber END AS final_level_index, l_quantity AS level_index, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'M1+E2' ELSE 'E3' END AS mult,
+    l_extendedprice AS strength, l_quantity * 1800 AS "limit", CAST(l_quantity AS DOUBLE) AS energy, CAST(l_quantity + l_linenumber AS DOUBLE) AS adopted_energy, CAST(l_linenumber % 3 AS DOUBLE) AS unc, 2.0D AS adopted_unc"""
+_GAMMA_TOLD = {
+    "R17": [("final_level_index IS NULL", "'gamma has no final level'"), ("final_level_index >= level_index", "'final level is not below the initial one'")],
+    "R18": [("mult = 'E3' OR mult = 'M1+E2' AND level_index % 2 <> 0", "'multipolarity does not fit the spins'")],
+    "R20": [("strength > \"limit\"", "'transition strength is above the recommended upper limit'")],
+    "R24": [("abs(energy - adopted_energy) >= greatest(2.0::DOUBLE, 1.5::DOUBLE * sqrt(unc * unc + adopted_unc * adopted_unc))", "'energy differs from the adopted gamma'")],
+}
+
+
+def _told_sql(columns: str, source: str, key: str, told: dict[str, list[tuple[str, str]]]) -> str:
+    """One SELECT a rule; the first case that holds gives the message."""
+    cases = lambda some: "CASE " + " ".join(f"WHEN {c} THEN {m}" for c, m in some) + " END"
+    parts = " UNION ALL ".join(f"SELECT {key}, '{rule.split()[0]}' AS rule, {cases(some)} AS message FROM t" for rule, some in told.items())
+    # Suffixed literals are Spark's; the alias is a reserved word in DuckDB.
+    plain = re.sub(r"(\d)D\b", r"\1::DOUBLE", columns).replace("AS unique", 'AS "unique"').replace("AS STRING", "AS VARCHAR")
+    return f"WITH t AS (SELECT {plain} FROM {source}) SELECT * FROM ({parts}) WHERE message IS NOT NULL"
+
+
+@query(_told_sql(_LEVEL_COLUMNS, "part", "p_partkey", _LEVEL_TOLD))
+def every_level_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels with the columns of all level rules."""
+    rows = table(spark, sf_dir, "part").selectExpr(*_expressions(_LEVEL_COLUMNS))
+    return rules.check(rows, rules.level_rules(), ["p_partkey"])
+
+
+@query(_told_sql(_GAMMA_COLUMNS, "lineitem", "l_orderkey, l_linenumber, l_partkey", _GAMMA_TOLD))
+def every_gamma_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gammas with the columns of all gamma rules."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_expressions(_GAMMA_COLUMNS.replace('"', "`")))
+    even, odd = F.array(F.lit("E2"), F.lit("E4")), F.array(F.lit("E1"), F.lit("M2"))
+    rows = rows.withColumn("expected_mult", F.when(F.col("level_index") % 2 == 0, even).otherwise(odd))
+    return rules.check(rows, rules.gamma_rules(), ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @query("""SELECT count(*) FILTER (length(p_name) >= 8 AND trim(p_type) <> '') AS n_records, count(*) FILTER (NOT contains(p_type, 'BRASS')) AS n_no_theory, count(*) FILTER (p_size > 25 AND p_retailprice >= 1000) AS n_strong FROM part""")
 def record_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count_if
