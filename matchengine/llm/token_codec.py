@@ -1,18 +1,19 @@
 """Adaptive range coder for token ids, many blocks at a time.
 
 A block is a run of at most ``BLOCK_TOKENS`` ids that is coded on its own: model
-and coder start afresh, and a checksum of its ids is kept with it, so a block
-can be read, checked or lost without the others.  The blocks of a stripe are
-the lanes of numpy vectors: each step codes one id of every block.
+and coder start afresh, and checksums of its ids and of its payload are kept
+with it, so a block can be read, checked or lost without the others.  The blocks
+of a stripe are the lanes of numpy vectors: each step codes one id of every
+block.
 
 Three models predict the next id.  Order 2 and order 1 hold, for a hash of the
-last two ids and for the last id, the id that followed last and a confidence
-that grows with every hit and halves with every miss.  Order 0 is an adaptive
-distribution over the bit lengths of the block's ids.  The confidences set how
-the predictions are mixed: equal predictions pool their probabilities, different
-ones share what is left in order, and the rest is an escape, coded by order 0
-and the bits below the leading one.  All arithmetic is on integers, so any
-machine decodes what another has coded.
+last two ids and for the last id, the id that followed last and a confidence;
+order 0 holds the block's majority id.  A prediction's probability comes from
+its confidence and an adaptive weight of its order in the block.  The
+predictions are mixed: equal ones pool their probabilities, different ones
+share what is left in order, and the rest is an escape, coded by an adaptive
+order-0 distribution over the ids' bit lengths and the bits below the leading
+one.  All arithmetic is on integers, so any machine decodes what another coded.
 """
 
 from __future__ import annotations
@@ -24,92 +25,84 @@ import numpy as np
 
 BLOCK_TOKENS = 2048
 STRIPE_BLOCKS = 2048
-MAGIC = b"MTK1"
+MAGIC = b"MTK2"
 MAX_BITS = 24
-_ONE = 1 << 12
-_SLOTS = 256
-#: Steps between two updates of order 0, and what an id adds to its count.
-_PERIOD, _STEP, _COUNT_LIMIT, _SHARES = 128, 24, 1 << 12, 11
-#: Probability (of 4096) of a prediction by its confidence.
-_TRUSTED = (0, 500, 1300, 2000, 2500, 2900, 3200, 3500)
-#: Confidence after a miss (first eight) and after a hit.
-_NEXT = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0, 2, 3, 4, 5, 6, 7, 7], np.int32)
+_ONE, _MOST = 1 << 12, 7 << 9
+_SLOTS = 512
+_STEP, _LENGTH_LIMIT = 24, 1 << 11
+#: Probability (of 4096) of a prediction by its confidence, before the weight.
+_TRUSTED = np.array([0, 700, 1700, 2400, 2800, 3100, 3300, 3500], np.int32)
 _U = np.uint64
 _FULL = _U(1 << 48)
 
 
-def _mixed() -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends of the order-2 and the order-1 interval, by both confidences
-    and whether the predictions agree."""
-    first, second = np.zeros(128, np.int32), np.zeros(128, np.int32)
-    for two, p2 in enumerate(_TRUSTED):
-        for one, p1 in enumerate(_TRUSTED):
-            rest = (_ONE - p2) * p1 // _ONE
-            at = two * 16 + one * 2
-            first[at], second[at] = p2, p2 + rest
-            # Agreement means something only if both have a prediction.
-            first[at + 1], second[at + 1] = (p2 + rest, p2 + rest) if p1 and p2 else (p2, p2 + rest)
-    return first, second
+class _Order:
+    """Predictions of one context order: id and confidence in hashed slots."""
 
+    def __init__(self, lanes: int):
+        self.slots = np.zeros(lanes * _SLOTS, np.int32)
+        self.base = np.arange(lanes) * _SLOTS
+        self.weight = np.full(lanes, 200, np.int32)
 
-_FIRST, _SECOND = _mixed()
+    def predict(self, slot: np.ndarray) -> None:
+        self.slot = slot + self.base
+        found = self.slots.take(self.slot)
+        self.id, self.trust = found >> 3, found & 7
+        self.p = np.minimum((_TRUSTED.take(self.trust) * self.weight) >> 8, _MOST)
 
+    def learn(self, x: np.ndarray) -> None:
+        known = self.trust > 0
+        hit = (self.id == x) & known
+        self.weight += np.where(hit, (288 - self.weight) >> 4, known * -((self.weight - 16) >> 4))
+        trust = np.where(hit, np.minimum(self.trust + 1, 7), self.trust >> 1)
+        self.slots[self.slot] = np.where(trust > 0, (self.id << 3) | trust, (x << 3) | 1)
 
-class _Mixer:
-    """The mixed prediction of the next id in every lane.
 
-    Orders 2 and 1 are the two halves of one vector: id and confidence in
-    hashed slots of each lane.
-    """
+class _Mixer:
+    """The mixed prediction of the next id in every lane."""
 
     def __init__(self, lanes: int, bits: int):
-        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32)
-        self.base, self.hashed = np.arange(2 * lanes) * _SLOTS, np.zeros(2 * lanes, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.lanes, self.kinds, self.count = np.arange(lanes), bits + 1, lanes
-        self.counts = np.ones((bits + 1, lanes), np.int32)
-        self.below = np.zeros((bits + 2, lanes), np.int16)
-        self.waiting: list[np.ndarray] = []
-        self.nowhere = self.kinds * lanes + self.lanes
-        self._share()
-
-    def _share(self) -> None:
-        """Shares of the bit lengths, of 2^_SHARES in all, and the sum before each."""
-        shares = self.counts * ((1 << _SHARES) - self.kinds) // self.counts.sum(axis=0) + 1
-        shares[0] += (1 << _SHARES) - shares.sum(axis=0)
-        np.cumsum(shares, axis=0, out=self.below[1:])
-        self.flat = self.below.ravel()
+        self.two, self.one = _Order(lanes), _Order(lanes)
+        self.major, self.lead = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.p0 = np.full(lanes, 256, np.int32)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.classes, self.lanes = np.arange(bits + 1, dtype=np.int16), np.arange(lanes)
+        #: Counts of the bit lengths, summed up to and with each.
+        self.upto = np.tile(self.classes + np.int16(1), (lanes, 1))
 
     def predict(self) -> None:
-        n = self.count
-        self.hashed[:n] = (self.last ^ (self.last >> 7) ^ (self.before << 1) ^ (self.before >> 6)) & (_SLOTS - 1)
-        self.hashed[n:] = (self.last ^ (self.last >> 8)) & (_SLOTS - 1)
-        self.slot = self.hashed + self.base
-        self.found = self.slots.take(self.slot)
-        self.id, self.trust = self.found >> 3, self.found & 7
-        self.two, self.one = self.id[:n], self.id[n:]
-        state = (self.trust[:n] << 4) + (self.trust[n:] << 1) + (self.two == self.one).view(np.int8)
-        self.first, self.second = _FIRST.take(state), _SECOND.take(state)
+        two, one = self.two, self.one
+        two.predict(((self.last * 40503 + self.before * 30011 + 77) >> 4) & (_SLOTS - 1))
+        one.predict((self.last ^ (self.last >> 9)) & (_SLOTS - 1))
+        agree = (two.id == one.id) & (two.p > 0) & (one.p > 0)
+        self.f2 = two.p + agree * (((_ONE - two.p) * one.p) >> 12)
+        self.c1 = self.f2 + ~agree * (((_ONE - self.f2) * one.p) >> 12)
+        known = ((two.id == self.major) & (two.p > 0)) | ((one.id == self.major) & (one.p > 0))
+        self.c0 = self.c1 + ~known * (((_ONE - self.c1) * self.p0) >> 12)
+
+    def interval(self, hit2: np.ndarray, hit1: np.ndarray, escaped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.where(hit2, 0, np.where(hit1, self.f2, np.where(escaped, self.c0, self.c1)))
+        stop = np.where(hit2, self.f2, np.where(hit1, self.c1, np.where(escaped, _ONE, self.c0)))
+        return start, stop - start
 
     def length_interval(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.cell = kind * self.count + self.lanes
-        start = self.flat.take(self.cell)
-        return start, self.flat.take(self.cell + self.count) - start
-
-    def learn(self, x: np.ndarray, escaped: np.ndarray) -> None:
-        both = np.concatenate((x, x))
-        trust = _NEXT.take(self.trust + ((self.id == both).view(np.int8) << 3))
-        self.slots[self.slot] = np.where(trust > 0, (self.found & ~7) | trust, (both << 3) | 1)
-        self.before, self.last = self.last, x
-        self.waiting.append(np.where(escaped, self.cell, self.nowhere))
-        if len(self.waiting) == _PERIOD:
-            seen = np.bincount(np.concatenate(self.waiting), minlength=(self.kinds + 1) * self.count)
-            self.counts += _STEP * seen[: self.kinds * self.count].reshape(self.kinds, self.count).astype(np.int32)
-            self.waiting = []
-            large = np.flatnonzero(self.counts.sum(axis=0) >= _COUNT_LIMIT)
-            if len(large):
-                self.counts[:, large] = (self.counts[:, large] >> 1) | 1
-            self._share()
+        start = np.where(kind > 0, self.upto[self.lanes, kind - 1], 0)
+        return start, self.upto[self.lanes, kind] - start
+
+    def learn(self, x: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
+        self.two.learn(x)
+        self.one.learn(x)
+        hit = self.major == x
+        self.p0 += np.where(hit, (_MOST - self.p0) >> 5, -((self.p0 - 64) >> 5))
+        fresh = self.lead == 0
+        self.major = np.where(fresh, x, self.major)
+        self.lead += 2 * (hit | fresh) - 1
+        self.before, self.last = self.last, x.astype(np.int64)
+        self.upto += np.int16(_STEP) * ((self.classes >= kind[:, None]) & escaped[:, None])
+        large = np.flatnonzero(self.upto[:, -1] >= _LENGTH_LIMIT)
+        if len(large):
+            counts = np.diff(self.upto[large], axis=1, prepend=np.int16(0))
+            self.upto[large] = np.cumsum((counts >> 1) | 1, axis=1, dtype=np.int16)
 
 
 class _Encoder:
@@ -190,7 +183,7 @@ def encode_stripe(ids: np.ndarray) -> bytes:
     payloads: list[bytes] = []
     for k in range(0, len(blocks), STRIPE_BLOCKS):
         payloads += _encode_blocks(blocks[k : k + STRIPE_BLOCKS], bits)
-    table = b"".join(struct.pack("<III", len(b), len(p), zlib.crc32(p)) for b, p in zip(blocks, payloads, strict=True))
+    table = b"".join(struct.pack("<IIII", len(b), len(p), zlib.crc32(p), zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(blocks, payloads, strict=True))
     return MAGIC + struct.pack("<II", len(blocks), bits) + table + b"".join(payloads)
 
 
@@ -206,24 +199,22 @@ def _encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     model, coder = _Mixer(lanes, bits), _Encoder(lanes, steps)
     for x in grid:
         model.predict()
-        hit2 = (model.two == x) & (model.first > 0)
-        hit1 = (model.one == x) & (model.second > model.first) & ~hit2
-        escaped = ~(hit2 | hit1)
-        start = np.where(hit2, 0, np.where(hit1, model.first, model.second))
-        size = np.where(hit2, model.first, np.where(hit1, model.second, _ONE)) - start
+        hit2 = (model.two.id == x) & (model.two.p > 0)
+        hit1 = (model.one.id == x) & (model.c1 > model.f2) & ~hit2
+        escaped = ~(hit2 | hit1 | ((model.major == x) & (model.c0 > model.c1)))
+        start, size = model.interval(hit2, hit1, escaped)
         unit = coder.range >> _U(12)
         width = size.astype(_U) * unit
         amount = start.astype(_U) * unit
         kind = lengths.take(x)
         start, size = model.length_interval(kind)
-        unit = width >> _U(_SHARES)
-        inner = size.astype(_U) * unit
-        tail = inner >> spare.take(kind)
+        unit = width // model.upto[:, -1].astype(_U)
+        tail = (size.astype(_U) * unit) >> spare.take(kind)
         amount += np.where(escaped, start.astype(_U) * unit + (x - leading.take(kind)).astype(_U) * tail, _U(0))
         coder.add(amount)
         coder.range = np.where(escaped, tail, width)
         coder.shift()
-        model.learn(x, escaped)
+        model.learn(x, kind, escaped)
     return coder.finish()
 
 
@@ -232,23 +223,28 @@ def decode_stripe(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC:
         raise ValueError("not a token stripe")
     count, bits = struct.unpack_from("<II", data, 4)
-    at, payloads = 12 + 12 * count, []
-    table = list(struct.iter_unpack("<III", data[12:at]))
-    for k, (_, size, crc) in enumerate(table):
+    at, payloads = 12 + 16 * count, []
+    table = list(struct.iter_unpack("<IIII", data[12:at]))
+    for k, (_, size, crc, _) in enumerate(table):
         payloads.append(data[at : at + size])
         at += size
         if zlib.crc32(payloads[-1]) != crc:
             raise ValueError(f"block {k} is damaged")
-    out = np.zeros(sum(n for n, _, _ in table), "<u4")
+    out = np.zeros(sum(n for n, *_ in table), "<u4")
     filled = 0
     for k in range(0, count, STRIPE_BLOCKS):
-        sizes = [n for n, _, _ in table[k : k + STRIPE_BLOCKS]]
+        sizes = [n for n, *_ in table[k : k + STRIPE_BLOCKS]]
         grid = _decode_blocks(payloads[k : k + STRIPE_BLOCKS], max(sizes), bits)
         if min(sizes) == max(sizes):
             out[filled : filled + grid.size] = grid.ravel()
         else:
             np.concatenate([row[:n] for row, n in zip(grid, sizes, strict=True)], out=out[filled : filled + sum(sizes)])
         filled += sum(sizes)
+    at = 0
+    for k, (n, _, _, crc) in enumerate(table):
+        if zlib.crc32(out[at : at + n].tobytes()) != crc:
+            raise ValueError(f"block {k} is decoded to other ids")
+        at += n
     return out
 
 
@@ -262,22 +258,21 @@ def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
         model.predict()
         unit = coder.range >> _U(12)
         v = (coder.code // unit).astype(np.int32)
-        hit2, escaped = v < model.first, v >= model.second
-        start = np.where(hit2, 0, np.where(escaped, model.second, model.first))
-        size = np.where(hit2, model.first, np.where(escaped, _ONE, model.second)) - start
+        hit2, hit1, escaped = v < model.f2, v < model.c1, v >= model.c0
+        start, size = model.interval(hit2, hit1, escaped)
         code, width = coder.code - start.astype(_U) * unit, size.astype(_U) * unit
-        unit = width >> _U(_SHARES)
-        v = np.minimum(code // unit, _U((1 << _SHARES) - 1)).astype(np.int16)
-        kind = np.add.reduce((model.below[1:-1] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        total = model.upto[:, -1]
+        unit = width // total.astype(_U)
+        v = np.minimum(code // unit, (total - 1).astype(_U)).astype(np.int16)
+        kind = (model.upto <= v[:, None]).sum(axis=1)
         start, size = model.length_interval(kind)
-        inner = size.astype(_U) * unit
-        tail = inner >> spare.take(kind)
+        tail = (size.astype(_U) * unit) >> spare.take(kind)
         rest = code - start.astype(_U) * unit
         v = rest // tail
         coder.code = np.where(escaped, rest - v * tail, code)
         coder.range = np.where(escaped, tail, width)
-        x = np.where(hit2, model.two, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.one))
+        x = np.where(hit2, model.two.id, np.where(hit1, model.one.id, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.major)))
         coder.shift()
-        model.learn(x, escaped)
+        model.learn(x, kind, escaped)
         grid[t] = x
     return np.ascontiguousarray(grid.T)
