@@ -279,7 +279,7 @@ def kmeans_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customer_pairs(spark, sf_dir).drop("probability").withColumn("gamma", F.lit(0.5))
-    scorer = learning.BoostedScorer(trees=10, depth=5).fit(learning.training_set(spark))
+    scorer = learning.BoostedScorer().fit(learning.training_set(spark))
     return scorer.score(rows).select("key_1", "key_2", r6(F.col("probability")).alias("probability"))
 
 
