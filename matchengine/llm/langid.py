@@ -13,8 +13,8 @@ language and ``SAMPLE`` in all, drawn by a hash of the id.  What is broadcast is
 ``LANDMARKS`` x ``BUCKETS`` numbers (4 MB) at most.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-without any labelled row every text is.  Languages beyond the
-``MAX_LANGUAGES`` most frequent are not learnt.  A null id is neither held out
+without any labelled row every text is.  All labels are learnt; more than
+``MAX_LANGUAGES`` of them are an error.  A null id is neither held out
 nor learnt from.  Repeated rows are judged alike.
 """
 
@@ -109,7 +109,9 @@ def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     """Fit on a bounded sample of the labelled documents not held out."""
     rows = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; a model of all would not fit its bound")
     if not counts:
         return None
     each = min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts))
