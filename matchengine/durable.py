@@ -2,13 +2,15 @@
 
 ``keep`` writes a DataFrame as Parquet under ``spark.checkpoint.dir`` and reads
 it again: lineage ends there, nothing is computed twice, and a lost executor
-takes nothing with it.  Only where the setting is absent, as in tests, a
-folder of this machine is used.
+takes nothing with it.  Only a local session, as in tests, may leave the setting
+out: all its tasks see the folder of this machine that is then made.  On a cluster
+a missing setting is an error.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="matchengine-"))
     return folder.rstrip("/")

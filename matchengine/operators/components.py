@@ -1,30 +1,62 @@
 """Connected components of an edge table, smallest member as the name.
 
-Labels start as the vertices themselves.  Each round takes the least label
-among a vertex and its neighbours and then the label of that label, so paths
-shorten by more than half; the loop ends when no label has changed.  Every
-round is written to the shared folder, so lineage stays short.  Only a count
-comes to the driver.
+Each task first replaces its share of the edges by a forest, so copies of one
+path or cycle go before any shuffle.  Labels start as the least neighbour.  Each
+round takes the least label among a vertex and its neighbours and then the label
+of that label, so paths shorten by more than half; the loop ends when no label
+has changed.  Every round is written to the shared folder, so lineage stays
+short.  Only a count comes to the driver, observed while a round is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matchengine.durable import keep
 
 
+def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of the edges (a, b), sorted, and each one's component."""
+    vertex, at = np.unique(np.append(a, b), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(vertex))
+    while True:
+        low, nearer = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(nearer, a, low)
+        np.minimum.at(nearer, b, low)
+        # A label is also given to the vertex that was the label before.
+        np.minimum.at(nearer, label[a], low)
+        np.minimum.at(nearer, label[b], low)
+        nearer = nearer[nearer]
+        if (nearer == label).all():
+            return vertex, vertex[label]
+        label = nearer
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vertex, root = least_members(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        some = vertex != root
+        yield pa.RecordBatch.from_arrays([pa.array(root[some], pa.int64()), pa.array(vertex[some], pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (vertex, component); vertices without edges are absent."""
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forests, "a long, b long")
+    both = keep(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     labels = keep(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("n")).select("vertex", F.least("vertex", "n").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("vertex").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("n"))
         hooked = labels.join(near.withColumnRenamed("a", "vertex"), "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "n").alias("component"))
         hooked = keep(hooked, "labels")
         of = hooked.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
-        jumped = keep(hooked.join(of, "component").select("vertex", "was", F.col("top").alias("component")), "labels")
-        labels = jumped.select("vertex", "component")
-        if jumped.where("was <> component").limit(1).count() == 0:
+        jumped = hooked.join(of, "component").select("vertex", "was", F.col("top").alias("component"))
+        seen = Observation()
+        labels = keep(jumped.observe(seen, F.count_if(F.col("was") != F.col("component")).alias("changed")).select("vertex", "component"), "labels")
+        if not seen.get["changed"]:
             return labels
