@@ -1,36 +1,43 @@
 """N-gram Jaccard join: documents whose shingle sets are similar enough.
 
 A document is the set of its distinct word n-grams.  Documents with one set
-are a class; everything below is between classes, named by their smallest
-document.  The join has three parts.
+are a class; everything below is between classes.  The join has four parts.
 
 1. Stars.  Pairs of min-hashes of a set are keys; members of a key are compared
-   with its smallest class.  True links gather copies of one text into few
-   components before anything quadratic could happen.
+   with its first and its last class.  True links gather copies of one text into
+   few components before anything quadratic could happen.
 2. Tiles.  Two sets of similarity t or more share a token among the first
    n - ceil(t n) + 1 of each, in any common order (prefix filter).  Tokens are
-   ordered by frequency level, from a fixed-size count sketch of all tokens,
-   then by hash, so what many documents share comes last.  Classes with a
-   common prefix token form a tile; tiles with equal members are one.  Inside a
-   tile, classes are sorted by size and compared band by band: sizes within
-   the threshold, different components, and a bound on the overlap
+   ordered by frequency level, from a count sketch of all tokens, then by hash,
+   so what many documents share comes last.  Classes with a common prefix token
+   form a tile; tiles with equal members are one.  A tile of over CELL members is
+   dealt out as cells.  First each member is in one block, chosen by hash; what
+   this links makes one component of most of the tile.  Then the largest
+   component and the rest are cut into blocks, and each block of the rest meets
+   every block.  The largest component does not meet itself, so its rows grow
+   with the number of blocks of the rest.
+3. Bitmaps.  Inside a cell, classes are sorted by size and compared band by band:
+   sizes within the threshold, different components, and a bound on the overlap
    (n_x + n_y - d) / 2 from the d bits in which hashed bitmaps differ.  Bitmaps
-   are as wide as a set is large; a wider one folds to a narrower.
-3. Exact check of the pairs that are left, by intersecting sorted arrays.
+   are as wide as a set is large; a wider one folds to a narrower.  What is left
+   is a graph of possible links; each of its components is a subcell, named by
+   its members, so equal subcells of many tokens are one.
+4. Exact check.  The sorted arrays of a subcell's members go to one task, which
+   intersects those of different components and gives the links that join two
+   of them: fewer than it has members.  No table of pairs is written.
 
-First each class is compared with its closest member of every other component
-of a tile; when those links have merged components, all pairs that are still
-between two components are checked, so no link that could join two components
-is left out, and copies of one text are not expanded into all their pairs.
+Every link between two components lies in some subcell, so none that could join
+two components is left out, and copies of one text are not expanded into pairs.
 
-Token rows are dealt out by token and sorted; runs are read from a stream, so
-no task holds more than one tile of bitmaps.  The count sketch (1 MB) and the
-filter of documents to check (1 MB) are of fixed size.
+The count sketch grows with the documents up to 4 million counts, the filter of
+documents whose sets are needed with their number up to 16 MB; both only save
+work and may be too small without changing a result.  A task holds one cell.
 
 Defined results: null or empty text and text without words is an empty set,
 linked with nothing; with fewer words than the n-gram has, the words are one
-shingle.  Repeated rows are one class; a null id is not linked.  Different texts
-under one id are checked by the set that is smaller as bytes.
+shingle.  Repeated rows are one class.  Different texts under one id are judged
+each by its own set.  A null id is not linked and has no component.  Ids of other
+than integer types are an error.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.durable import keep
@@ -49,8 +56,13 @@ from matchengine.operators.components import components
 #: Bitmap widths; a set has the least that is as large as itself, or the last.
 WIDTHS = np.array([1 << 10, 1 << 12, 1 << 14, 1 << 16])
 KEYS = 4
-SKETCH_SLICES, SKETCH_SLICE = 64, 4096
-FILTER_BITS = 1 << 23
+SKETCH_SLICE = 4096
+#: Counts in the sketch: one for 16 documents, between these bounds.
+SKETCH_SIZES = (1 << 18, 1 << 22)
+#: Bits of the filter of documents: eight for each, between these bounds.
+FILTER_SIZES = (1 << 20, 1 << 27)
+#: Members of a tile or of a block that one task compares.
+CELL = 256
 _HASHES = tv._GRAM[:8]
 _U = np.uint64
 _LEVEL_SHIFT = _U(59)
@@ -80,13 +92,13 @@ def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return upto[begin[1:]] - upto[begin[:-1]]
 
 
-def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], n: int, places: int) -> Iterator[pa.RecordBatch]:
     """Size, set fingerprint, bitmap and min-hash keys of each document; and,
     as rows without a document, slices of this task's token counts."""
-    sketch = np.zeros(SKETCH_SLICES * SKETCH_SLICE, np.int64)
-    names = ["doc_id", "n_shingles", "f1", "f2", "bitmap", "keys", "slice", "counts"]
+    sketch = np.zeros(places, np.int64)
+    names = ["doc_id", "text_hash", "n_shingles", "f1", "f2", "bitmap", "keys", "slice", "counts"]
     lists = pa.list_(pa.int64())
-    for part, data, offsets in tv.text_chunks(batches, 1, tv.CHUNK_BYTES // 2):
+    for part, data, offsets in tv.text_chunks(batches, 2, tv.CHUNK_BYTES // 2):
         sets, begin = shingles(data, offsets, n)
         sketch += np.bincount((tv.mix(sets) & _U(len(sketch) - 1)).astype(np.int64), minlength=len(sketch))
         size = np.diff(begin)
@@ -104,15 +116,15 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64))).cast(lists)
         m = part.num_rows
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(size, pa.int64()), pa.array(_sums(tv.mix(sets), begin).view(np.int64)), pa.array(_sums(tv.mix(sets * _HASHES[7]), begin).view(np.int64)), bitmap, keys, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+            [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(_sums(tv.mix(sets), begin).view(np.int64)), pa.array(_sums(tv.mix(sets * _HASHES[7]), begin).view(np.int64)), bitmap, keys, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
             names=names,
         )
     if sketch.any():
-        s = SKETCH_SLICES
-        yield pa.RecordBatch.from_arrays([pa.nulls(s, pa.int64()), *[pa.nulls(s, pa.int64())] * 3, pa.nulls(s, pa.binary()), pa.nulls(s, lists), pa.array(np.arange(s), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(s, -1)], pa.binary())], names=names)
+        s = places // SKETCH_SLICE
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(s, pa.int64())] * 5, pa.nulls(s, pa.binary()), pa.nulls(s, lists), pa.array(np.arange(s), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(s, -1)], pa.binary())], names=names)
 
 
-def _frequency_levels(slices: DataFrame) -> np.ndarray:
+def _frequency_levels(slices: DataFrame, places: int, mean: float) -> np.ndarray:
     """Frequency level of each place of the sketch: 0 up to twice the mean."""
 
     def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +132,14 @@ def _frequency_levels(slices: DataFrame) -> np.ndarray:
         for batch in rows:
             for x in batch.column(1):
                 total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+        level = np.clip(np.floor(np.log2(np.maximum(total / mean, 1e-9))), 0, 15).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
     # Tasks add up their own share first, so a slice meets few rows.
-    total = np.zeros((SKETCH_SLICES, SKETCH_SLICE), np.int64)
-    for row in slices.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"]] = np.frombuffer(bytes(row["counts"]), np.int64)
-    mean = max(total.mean(), 8.0)
-    return np.clip(np.floor(np.log2(np.maximum(total.ravel() / mean, 1e-9))), 0, 15).astype(np.uint8)
+    levels = np.zeros((places // SKETCH_SLICE, SKETCH_SLICE), np.uint8)
+    for row in slices.groupBy("slice").applyInArrow(add, "slice int, levels binary").collect():
+        levels[row["slice"]] = np.frombuffer(bytes(row["levels"]), np.uint8)
+    return levels.ravel()
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -227,23 +239,38 @@ def _may_link(n1: np.ndarray, n2: np.ndarray, different: np.ndarray, percent: in
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that may be links and join two components."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each one's component in the graph of pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        nearer = label.copy()
+        np.minimum.at(nearer, a, low)
+        np.minimum.at(nearer, b, low)
+        nearer = nearer[nearer]
+        if (nearer == label).all():
+            return label
+        label = nearer
+
+
+def _subcells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of a cell that bitmaps and sizes leave a possible link between
+    two components, by component of the graph of such links."""
     for rows in _runs(batches):
-        tile, rep, size, comp = (rows.column(k).to_numpy() for k in (0, 1, 2, 3))
+        cell, cid, size, comp = (rows.column(k).to_numpy() for k in (0, 1, 2, 3))
         bitmaps = rows.column(4).to_pylist()
-        # Bands: one tile, one width; sizes ascend inside a tile.
+        # Bands: one cell, one width; sizes ascend inside a cell.
         width = np.array([8 * len(x) for x in bitmaps])
-        edge = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (width[1:] != width[:-1])))
-        bands = list(zip(edge.tolist(), np.append(edge[1:], len(tile)).tolist(), strict=True))
-        left, right, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edge = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (width[1:] != width[:-1])))
+        bands = list(zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist(), strict=True))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (low, high) in enumerate(bands):
             step = max(1, min(256, (1 << 20) // int(width[low])))
             for block in range(low, high, step):
                 mine = slice(block, min(block + step, high))
                 bits, largest = _folded(bitmaps[mine], int(width[low])), size[mine][-1] * 100 // percent
                 for start, stop in bands[k:]:
-                    if tile[start] != tile[low] or size[start] > largest:
+                    if cell[start] != cell[low] or size[start] > largest:
                         break
                     reach = start + int(np.searchsorted(size[start:stop], largest, "right"))
                     for other in range(max(start, block), reach, 4 * step):
@@ -254,50 +281,112 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int, closest: bool) ->
                         a, b = np.nonzero(may)
                         left.append(a + mine.start)
                         right.append(b + theirs.start)
-                        far.append(different[a, b])
-        a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        a, b = np.concatenate(left), np.concatenate(right)
         if not len(a):
             continue
-        if closest:
-            for swapped in (False, True):
-                one, two = (b, comp[a]) if swapped else (a, comp[b])
-                order = np.lexsort((d, two, one))
-                one, two = one[order], two[order]
-                first = order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))]
-                a, b, d = a[first], b[first], d[first]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
-
-
-def _document_filter(ids: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS places that holds the hashes of all ``ids``."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    parts = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+        label = _labels(len(cell), a, b)
+        member = np.unique(np.append(a, b))
+        member = member[np.lexsort((cid[member], label[member]))]
+        begin = np.flatnonzero(np.append(True, label[member][1:] != label[member][:-1]))
+        count = np.diff(np.append(begin, len(member)))
+        name = tv.mix(np.add.reduceat(tv.mix(cid[member].view(_U) * _HASHES[4] + _HASHES[5]), begin) + count.astype(_U))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, count).view(np.int64)), pa.array(cid[member]), pa.array(comp[member])], names=["cell", "cid", "comp"])
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted arrays, all with all."""
+    merged, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(merged, kind="stable")
+    merged, owner = merged[order], owner[order]
+    new = np.append(True, merged[1:] != merged[:-1])
+    # What only one has is in no intersection.
+    count = np.diff(np.append(np.flatnonzero(new), len(merged)))
+    shared = np.repeat(count > 1, count)
+    column, owner = np.cumsum(new[shared]) - 1, owner[shared]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    step = 1 << 14
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        s = slice(*np.searchsorted(column, [low, low + step]))
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[s], column[s] - low] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of components, by exact intersection: a forest of each cell."""
+    for rows in _runs(batches):
+        cell, comp = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        raw, offsets = tv.buffers(rows.column(3))
+        edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        left, right = [], []
+        for low, high in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist(), strict=True):
+            at = offsets[low : high + 1].tolist()
+            sets = [np.frombuffer(raw[x:y].tobytes(), _U) for x, y in zip(at, at[1:], strict=False)]
+            size, mine = np.diff(offsets[low : high + 1]) // 8, comp[low:high]
+            both = _overlaps(sets)
+            link = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (mine[:, None] != mine[None, :])
+            a, b = np.nonzero(np.triu(link))
+            top: dict[int, int] = {}
+
+            def find(x: int, top: dict[int, int] = top) -> int:
+                while (up := top.get(x, x)) != x:
+                    top[x] = top.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(mine[a].tolist(), mine[b].tolist(), strict=True):
+                if (x := find(x)) != (y := find(y)):
+                    top[max(x, y)] = min(x, y)
+                    left.append(x)
+                    right.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _between(number: int, sizes: tuple[int, int]) -> int:
+    """The power of two from ``number`` on, between two sizes."""
+    return min(max(1 << max(number - 1, 0).bit_length(), sizes[0]), sizes[1])
+
+
+def _document_filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap with the hashes of all (doc_id, text_hash) of ``rows``."""
+    places = _between(8 * rows.count(), FILTER_SIZES)
     size = 4096
-    whole = np.zeros((FILTER_BITS // (8 * size) + 1, size), np.uint8)
+    whole = np.zeros((places // (8 * size), size), np.uint8)
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(places))
+    parts = rows.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / (8 * size)).alias("bucket")).agg(F.bitmap_construct_agg((F.col("slot") % (8 * size)).cast("long")).alias("bits"))
     for row in parts.collect():
-        whole[row["bucket"] % len(whole)] |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    return whole.tobytes()
+        whole[row["bucket"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return whole.ravel()
 
 
-def check_pairs(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, that are links by exact intersection."""
-    wanted = documents.sparkSession.sparkContext.broadcast(_document_filter(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    candidates = documents.select("doc_id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+def class_sets(documents: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """Sorted arrays (cid, tokens) of ``classes`` (cid, doc_id, text_hash,
+    n_shingles, f1, f2), from the text of the one row each of them names."""
+    spark = documents.sparkSession
+    bits = _document_filter(classes)
+    places, wanted = 8 * len(bits), spark.sparkContext.broadcast(bits.tobytes())
+    rows = documents.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(places)).alias("slot"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8).reshape(-1, 4096)
+        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            bucket, bit = batch.column(2).to_numpy() % len(bits), batch.column(3).to_numpy()
-            batch = batch.filter(pa.array((bits[bucket, bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)))
+            slot = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((bits[slot // 8] >> (slot % 8).astype(np.uint8) & 1).astype(bool)))
             for part, data, offsets in tv.text_chunks(iter([batch]), 1, tv.CHUNK_BYTES // 2):
                 found, begin = shingles(data, offsets, n)
-                raw, begin = found.tobytes(), (8 * begin).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[a:b] for a, b in zip(begin, begin[1:], strict=False)], pa.binary())], names=["doc_id", "tokens"])
+                name = [pa.array(_sums(tv.mix(found * f), begin).view(np.int64)) for f in (_U(1), _HASHES[7])]
+                tokens = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((8 * begin).astype(np.int32).tobytes()), pa.py_buffer(found.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(begin)), *name, tokens], names=["n_shingles", "f1", "f2", "tokens"])
+
+    found = rows.mapInArrow(sets, "n_shingles long, f1 long, f2 long, tokens binary").join(classes.select("cid", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"])
+    # A row may be given twice, and the filter lets other rows through.
+    return keep(found.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
+
 
-    # Rows that repeat an id are one class only if their sets are equal.
-    known = keep(candidates.mapInArrow(sets, "doc_id long, tokens binary").groupBy("doc_id").agg(F.min("tokens").alias("tokens")), "sets")
-    of = lambda c, t: known.select(F.col("doc_id").alias(c), F.col("tokens").alias(t))
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by exact intersection."""
+    of = lambda c, t: sets.select(F.col("cid").alias(c), F.col("tokens").alias(t))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,52 +401,6 @@ def check_pairs(documents: DataFrame, pairs: DataFrame, n: int, percent: int) ->
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(links, "a long, b long")
 
 
-def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    documents = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    profile = keep(documents.mapInArrow(lambda b: _profile(b, n), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary, keys array<long>, slice int, counts binary"), "profiles")
-    known = profile.where("slice IS NULL").drop("slice", "counts")
-    levels = documents.sparkSession.sparkContext.broadcast(_frequency_levels(profile.where("slice IS NOT NULL").select("slice", "counts")))
-
-    classes = known.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"))
-    classes = keep(classes, "classes")
-
-    def closer(pairs: DataFrame) -> DataFrame:
-        """Pairs whose bitmaps and sizes leave a link possible."""
-        of = lambda c, s: classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{s}"), F.col("bitmap").alias(f"m{s}"))
-        joined = pairs.join(of("a", 1), "a").join(of("b", 2), "b").select("a", "b", "n1", "n2", "m1", "m2")
-        return joined.mapInArrow(lambda batches: _bounded(batches, percent), "a long, b long")
-
-    # 1. stars
-    member = classes.select("rep", F.explode("keys").alias("key"))
-    hub = keep(member.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a"), "hubs")
-    stars = member.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    checked = keep(closer(stars), "pairs")
-    links = keep(check_pairs(documents, checked, n, percent), "links")
-    comps = components(links)
-
-    # 2. tiles
-    tokens = documents.select("text").mapInArrow(lambda b: _prefix_rows(b, n, percent, levels.value), "token long, f1 long")
-    tiles = tokens.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(_tiles, "tile long, f1 long")
-    tiles = keep(tiles, "tiles").distinct()
-    tiles = keep(tiles.join(classes.select("f1", "rep", "n_shingles"), "f1").select("tile", "rep", "n_shingles"), "tile-members")
-    for closest in (True, False):
-        named = tiles.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").select("tile", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-        ordered = named.repartition("tile").sortWithinPartitions("tile", "n_shingles", "rep")
-        narrow = keep(ordered.mapInArrow(lambda b: _narrow(b, percent), "tile long, rep long, n_shingles long, comp long"), "open-tiles")
-        open_tiles = narrow.join(classes.select("rep", "bitmap"), "rep").select("tile", "rep", "n_shingles", "comp", "bitmap")
-        dealt = open_tiles.repartition("tile").sortWithinPartitions("tile", "n_shingles", "rep")
-        pairs = dealt.mapInArrow(lambda b, closest=closest: _compare(b, percent, closest), "a long, b long").distinct()
-        pairs = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links = keep(links.unionByName(check_pairs(documents, pairs, n, percent)), "links")
-        checked = checked.unionByName(pairs)
-        comps = components(links)
-
-    named = classes.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left").select(F.col("n_shingles").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("component"))
-    same = (F.col("n_shingles") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
-    return known.join(keep(named, "class-components"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -368,11 +411,134 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(_may_link(n1, n2, different, percent)))
 
 
-def keep_one_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """``documents`` with the smallest document of each component only, columns
-    unchanged; repeated rows of that document stay one."""
-    found = link_components(documents, doc_id=doc_id, text=text, n=n, percent=percent)
-    gone = keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return documents.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
+def _stars(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class with the first and the last of each of its keys
+    whose bitmaps and sizes leave a link possible."""
+    member = classes.select("cid", F.explode("keys").alias("key"))
+    ends = member.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    hub = keep(ends.select("key", F.explode(F.array("low", "high")).alias("hub")), "hubs")
+    pairs = member.join(hub, "key").where("cid <> hub").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
+    of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{s}"), F.col("bitmap").alias(f"m{s}"))
+    joined = pairs.join(of("a", 1), "a").join(of("b", 2), "b").select("a", "b", "n1", "n2", "m1", "m2")
+    return keep(joined.mapInArrow(lambda batches: _bounded(batches, percent), "a long, b long"), "pairs")
+
+
+def _token_tiles(tokens: DataFrame, hot_level: int) -> DataFrame:
+    """Tiles (tile, f1) of tokens (token, f1).  A token that the sketch calls
+    frequent is summed up and joined, others are read as sorted runs."""
+    hot = F.shiftrightunsigned("token", int(_LEVEL_SHIFT)) >= hot_level
+    often = tokens.where(hot).distinct()
+    # The name of a tile is the same sum whichever way its token goes.
+    tile = often.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("f1")).alias("tile")).where("n > 1").select("token", "tile")
+    cold = tokens.where(~hot).repartition("token").sortWithinPartitions("token", "f1").mapInArrow(_tiles, "tile long, f1 long")
+    return cold.unionByName(often.join(tile, "token").select("tile", "f1"))
+
+
+def _large_tiles(members: DataFrame) -> DataFrame:
+    """Tiles of over CELL members: their number, largest component and its number."""
+    per = members.groupBy("tile", "comp").agg(F.count("*").alias("n"))
+    per = per.groupBy("tile").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("big"))
+    return keep(per.where(F.col("n") > CELL).select("tile", "n", F.col("big.n").alias("n_big"), F.col("big.comp").alias("big")), "large-tiles")
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / CELL).cast("int")
 
 
+def _block(blocks: Column) -> Column:
+    """The block of a member, of so many of its tile."""
+    return F.pmod(F.xxhash64("cid", "tile"), blocks).cast("int")
+
+
+def _own_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Members (cell, cid, n_shingles, comp) of large tiles, each in one block."""
+    dealt = members.join(large.where("n > n_big").select("tile", "n"), "tile")
+    return dealt.select(F.xxhash64("tile", F.lit("own"), _block(_blocks(F.col("n")))).alias("cell"), "cid", "n_shingles", "comp")
+
+
+def _cells(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Members (tile, cid, n_shingles, comp) dealt out as (cell, ...), so that any
+    two of one tile and different components meet in a cell."""
+    dealt = members.join(large, "tile", "left").withColumn("of_big", _blocks(F.col("n_big"))).withColumn("of_rest", _blocks(F.col("n") - F.col("n_big")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    name = lambda kind, i, j: F.xxhash64("tile", F.lit(kind), i, j)
+    big, rest = _block(F.col("of_big")), _block(F.col("of_rest"))
+    in_big = F.transform(upto("of_rest"), lambda j: name("big", big, j))
+    in_rest = F.concat(F.transform(upto("of_big"), lambda i: name("big", i, rest)), F.transform(upto("of_rest"), lambda j: name("rest", F.least(j, rest), F.greatest(j, rest))))
+    cells = F.when(F.col("big").isNull(), F.array("tile")).when(F.col("comp") == F.col("big"), in_big).otherwise(in_rest)
+    return dealt.select(F.explode(cells).alias("cell"), "cid", "n_shingles", "comp")
+
+
+def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text_hash, text)."""
+    spark = documents.sparkSession
+    places = _between(documents.count() // 16, SKETCH_SIZES)
+    sizes = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, bitmap binary, keys array<long>, slice int, counts binary"
+    profile = keep(documents.select("doc_id", "text_hash", "text").mapInArrow(lambda b: _profile(b, n, places), sizes), "profiles")
+    known = profile.where("slice IS NULL").drop("slice", "counts")
+    mean = max((known.agg(F.sum("n_shingles")).first()[0] or 0) / places, 8.0)
+    levels = spark.sparkContext.broadcast(_frequency_levels(profile.where("slice IS NOT NULL").select("slice", "counts"), places, mean))
+
+    named = known.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "f1", "f2")
+    classes = named.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"))
+    classes = keep(classes.select(F.monotonically_increasing_id().alias("cid"), "rep.*", "n_shingles", "f1", "f2", "bitmap", "keys"), "classes")
+    names = classes.select("cid", "doc_id", "text_hash", "n_shingles", "f1", "f2")
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels (cid, comp) after links (a, b) between components."""
+        tops = components(links).select(F.col("vertex").alias("comp"), F.col("component").alias("top"))
+        return keep(labels.join(tops, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")), "components")
+
+    def links_in(cells: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) of components inside cells, and all sets read so far."""
+        dealt = cells.repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
+        near = keep(dealt.mapInArrow(lambda b: _narrow(b, percent), "cell long, cid long, n_shingles long, comp long"), "open-cells")
+        near = near.join(classes.select("cid", "bitmap"), "cid").select("cell", "cid", "n_shingles", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
+        subcells = keep(near.mapInArrow(lambda b: _subcells(b, percent), "cell long, cid long, comp long").distinct(), "subcells")
+        more = subcells.select("cid").distinct().join(sets, "cid", "left_anti")
+        sets = sets.unionByName(class_sets(documents, names.join(more, "cid", "left_semi"), n))
+        full = subcells.join(sets, "cid").select("cell", "cid", "comp", "tokens").repartition("cell").sortWithinPartitions("cell", "cid")
+        return keep(full.mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct(), "links"), sets
+
+    pairs = _stars(classes, percent)
+    in_stars = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = class_sets(documents, names.join(in_stars, "cid", "left_semi"), n)
+    labels = merged(classes.select("cid", F.col("cid").alias("comp")), keep(_checked(pairs, sets, percent), "links"))
+
+    tokens = documents.select("text").mapInArrow(lambda b: _prefix_rows(b, n, percent, levels.value), "token long, f1 long")
+    hot_level = max(1, int(np.ceil(np.log2(16 * CELL / mean))))
+    tiles = keep(_token_tiles(tokens, hot_level), "tiles").distinct().join(classes.select("f1", "cid", "n_shingles"), "f1").select("tile", "cid", "n_shingles")
+    members = keep(tiles.join(labels, "cid"), "tile-members")
+    large = _large_tiles(members)
+    if large.where("n > n_big").take(1):
+        # What one block each shows makes one component of most of a large tile.
+        links, sets = links_in(_own_blocks(members, large), sets)
+        labels = merged(labels, links)
+        members = keep(members.drop("comp").join(labels, "cid"), "tile-members")
+        large = _large_tiles(members)
+    links, _ = links_in(_cells(members, large), sets)
+    labels = merged(labels, links).join(names, "cid")
+
+    least = labels.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    of = labels.join(least, "comp").select(F.col("n_shingles").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "least")
+    same = (F.col("n_shingles") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
+    return known.join(keep(of, "class-names"), same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def _named(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(tv.long_id(documents, doc_id).alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+
+
+def link_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _row_components(_named(documents, doc_id, text), n, percent).drop("text_hash")
+
+
+def keep_one_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """``documents`` with the smallest document of each component only, columns
+    unchanged.  Repeated rows of that document stay as they are given; of
+    different texts under one id, each goes or stays by its own component."""
+    found = _row_components(_named(documents, doc_id, text), n, percent)
+    gone = keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text")).distinct(), "near-copies")
+    same = (tv.long_id(documents, doc_id) == F.col("__gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__gone_text"))
+    return documents.join(gone, same, "left_anti")

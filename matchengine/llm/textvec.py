@@ -15,6 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
 _SEED = 0x5EED0FB17E5
@@ -31,6 +34,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def long_id(documents: DataFrame, name: str) -> Column:
+    """Column ``name`` as a long; ids of other than integer types are an error."""
+    if not isinstance(kind := documents.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"{name} must be of an integer type, is {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table of 256 entries, true inside the given closed ranges."""
     table = np.zeros(256, bool)

@@ -389,3 +389,35 @@ def test_quotations(spark):
     kept = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), keep_unlinked=True)
     assert kept.where("conv_id = 1 AND turn = 5").first().text == rows[4][3]
     assert quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("false")).count() == 0
+
+
+def test_jaccard_cells_of_large_tiles(spark, monkeypatch):
+    """Tiles of more members than a task takes, links across their blocks."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(300)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(base[:30] + [f"x{k}y{j}" for j in range(20)])) for k in range(40)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    found = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components(rows, 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert len({c for _, c in want.values()}) > 60
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(9, one), (9, two), (9, two), (3, two + " end"), (4, one + " end"), (None, one), (None, None), (5, ""), (6, "A1 a2"), (7, "a1 A2")]
+    frame = spark.createDataFrame([(*r, 1, "f") for r in rows], "doc_id long, text string, cid int, f1 string")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(frame).collect()), key=str)
+    assert found == sorted([(9, 37, 4), (9, 37, 3), (9, 37, 3), (3, 38, 3), (4, 38, 4), (None, 37, None), (None, 0, None), (5, 0, 5), (6, 1, 6), (7, 1, 6)], key=str)
+    kept = jaccard.keep_one_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 4), (False, 5), (False, 6), (True, 0), (True, 0)]
+    with pytest.raises(TypeError):
+        jaccard.link_components(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
