@@ -21,7 +21,8 @@ are a class; everything below is between classes.  The join has four parts.
    (n_x + n_y - d) / 2 from the d bits in which hashed bitmaps differ.  Bitmaps
    are as wide as a set is large; a wider one folds to a narrower.  What is left
    is a graph of possible links; each of its components is a subcell, named by
-   its members, so equal subcells of many tokens are one.
+   its members, so equal subcells of many tokens are one.  Subcells that overlap
+   are put together while they have few members.
 4. Exact check.  The sorted arrays of a subcell's members go to one task, which
    intersects those of different components and gives the links that join two
    of them: fewer than it has members.  No table of pairs is written.
@@ -62,7 +63,9 @@ SKETCH_SIZES = (1 << 18, 1 << 22)
 #: Bits of the filter of documents: eight for each, between these bounds.
 FILTER_SIZES = (1 << 20, 1 << 27)
 #: Members of a tile or of a block that one task compares.
-CELL = 256
+CELL = 128
+#: Occurrences of a token from which its rows are spread over tasks.
+HOT_TOKEN = 4096
 _HASHES = tv._GRAM[:8]
 _U = np.uint64
 _LEVEL_SHIFT = _U(59)
@@ -147,7 +150,9 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefix_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray, hot_level: int) -> Iterator[pa.RecordBatch]:
+    """Prefix tokens (deal, token, f1): dealt by token, but those of ``hot_level``
+    by token and set."""
     for _, data, offsets in tv.text_chunks(batches, 0, tv.CHUNK_BYTES // 2):
         sets, begin = shingles(data, offsets, n)
         size = np.diff(begin)
@@ -161,7 +166,9 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels
         order = np.lexsort((token, owner))
         place = np.arange(len(sets)) - begin[owner]
         chosen = (place < prefix_size(size, percent)[owner]) & copy[owner]
-        yield pa.RecordBatch.from_arrays([pa.array(token[order][chosen].view(np.int64)), pa.array(name[owner][chosen])], names=["token", "f1"])
+        token, name = token[order][chosen], name[owner][chosen]
+        deal = np.where(token >> _LEVEL_SHIFT >= _U(hot_level), tv.mix(token * _HASHES[6] + name.view(_U)), token)
+        yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(token.view(np.int64)), pa.array(name)], names=["deal", "token", "f1"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,24 +194,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield pa.Table.from_batches(left)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens with two classes or more; tiles of the same members once a task."""
+def _tiles(batches: Iterator[pa.RecordBatch], hot_level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, token, f1): tokens with two classes or more, tiles of the same
+    members once a task; a hot token's rows without a tile, each set once."""
     seen = np.zeros(0, _U)
     for rows in _runs(batches):
-        token, name = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        token, name = rows.column(1).to_numpy(), rows.column(2).to_numpy()
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
         token, name = token[new], name[new]
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(begin, len(token)))
+        hot = token[begin].view(_U) >> _LEVEL_SHIFT >= _U(hot_level)
         tile = np.add.reduceat(tv.mix(name.view(_U) * _HASHES[3]), begin) + size.astype(_U)
         _, once = np.unique(tile, return_index=True)
         good = np.zeros(len(begin), bool)
         good[once] = True
-        good &= (size > 1) & ~np.isin(tile, seen)
+        good &= (size > 1) & ~hot & ~np.isin(tile, seen)
         seen = np.append(seen, tile[good])[-4_000_000:]
+        good |= hot
         chosen = np.repeat(good, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, size)[chosen].view(np.int64)), pa.array(name[chosen])], names=["tile", "f1"])
+        cold = pa.array(np.repeat(hot, size)[chosen])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, size)[chosen].view(np.int64), mask=np.asarray(cold)), pa.array(token[chosen]), pa.array(name[chosen])], names=["tile", "token", "f1"])
 
 
 def _narrow(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -424,14 +435,15 @@ def _stars(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _token_tiles(tokens: DataFrame, hot_level: int) -> DataFrame:
-    """Tiles (tile, f1) of tokens (token, f1).  A token that the sketch calls
-    frequent is summed up and joined, others are read as sorted runs."""
-    hot = F.shiftrightunsigned("token", int(_LEVEL_SHIFT)) >= hot_level
-    often = tokens.where(hot).distinct()
-    # The name of a tile is the same sum whichever way its token goes.
-    tile = often.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("f1")).alias("tile")).where("n > 1").select("token", "tile")
-    cold = tokens.where(~hot).repartition("token").sortWithinPartitions("token", "f1").mapInArrow(_tiles, "tile long, f1 long")
-    return cold.unionByName(often.join(tile, "token").select("tile", "f1"))
+    """Tiles (tile, f1) of tokens (deal, token, f1).  Rows of tokens are read as
+    sorted runs; those of a token that the sketch calls frequent are dealt by
+    their sets too, so the token is summed up and joined instead."""
+    dealt = tokens.repartition("deal").sortWithinPartitions("deal", "token", "f1")
+    found = keep(dealt.mapInArrow(lambda b: _tiles(b, hot_level), "tile long, token long, f1 long"), "tiles")
+    often = found.where("tile IS NULL").select("token", "f1").distinct()
+    many = often.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("f1").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    hot = often.join(many.select("token", F.xxhash64("n", "sum").alias("tile")), "token").select("tile", "f1")
+    return found.where("tile IS NOT NULL").select("tile", "f1").unionByName(hot).distinct()
 
 
 def _large_tiles(members: DataFrame) -> DataFrame:
@@ -469,6 +481,20 @@ def _cells(members: DataFrame, large: DataFrame) -> DataFrame:
     return dealt.select(F.explode(cells).alias("cell"), "cid", "n_shingles", "comp")
 
 
+def _merged_subcells(subcells: DataFrame) -> DataFrame:
+    """Subcells (cell, cid, comp) that overlap, as one where they have few members.
+
+    Many tokens give a group of similar texts nearly equal subcells.  Where all
+    that hangs together has at most two cells' members, one cell holds them all.
+    """
+    first = subcells.groupBy("cell").agg(F.min("cid").alias("a"))
+    edges = subcells.join(first, "cell").select("a", F.col("cid").alias("b")).where("a <> b").distinct()
+    tops = components(edges).select(F.col("vertex").alias("cid"), F.col("component").alias("top"))
+    few = tops.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") <= 2 * CELL).select("top", F.lit(True).alias("few"))
+    named = subcells.join(tops.join(few, "top", "left"), "cid")
+    return keep(named.select(F.when(F.col("few"), F.col("top")).otherwise(F.col("cell")).alias("cell"), "cid", "comp").distinct(), "verified-cells")
+
+
 def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text_hash, text)."""
     spark = documents.sparkSession
@@ -495,6 +521,7 @@ def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
         near = keep(dealt.mapInArrow(lambda b: _narrow(b, percent), "cell long, cid long, n_shingles long, comp long"), "open-cells")
         near = near.join(classes.select("cid", "bitmap"), "cid").select("cell", "cid", "n_shingles", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
         subcells = keep(near.mapInArrow(lambda b: _subcells(b, percent), "cell long, cid long, comp long").distinct(), "subcells")
+        subcells = _merged_subcells(subcells)
         more = subcells.select("cid").distinct().join(sets, "cid", "left_anti")
         sets = sets.unionByName(class_sets(documents, names.join(more, "cid", "left_semi"), n))
         full = subcells.join(sets, "cid").select("cell", "cid", "comp", "tokens").repartition("cell").sortWithinPartitions("cell", "cid")
@@ -505,9 +532,9 @@ def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     sets = class_sets(documents, names.join(in_stars, "cid", "left_semi"), n)
     labels = merged(classes.select("cid", F.col("cid").alias("comp")), keep(_checked(pairs, sets, percent), "links"))
 
-    tokens = documents.select("text").mapInArrow(lambda b: _prefix_rows(b, n, percent, levels.value), "token long, f1 long")
-    hot_level = max(1, int(np.ceil(np.log2(16 * CELL / mean))))
-    tiles = keep(_token_tiles(tokens, hot_level), "tiles").distinct().join(classes.select("f1", "cid", "n_shingles"), "f1").select("tile", "cid", "n_shingles")
+    hot_level = max(1, int(np.ceil(np.log2(HOT_TOKEN / mean))))
+    tokens = documents.select("text").mapInArrow(lambda b: _prefix_rows(b, n, percent, levels.value, hot_level), "deal long, token long, f1 long")
+    tiles = _token_tiles(tokens, hot_level).join(classes.select("f1", "cid", "n_shingles"), "f1").select("tile", "cid", "n_shingles")
     members = keep(tiles.join(labels, "cid"), "tile-members")
     large = _large_tiles(members)
     if large.where("n > n_big").take(1):

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from matchengine.llm import byte_dedup, decontaminate, jaccard, langid, line_dedup, packing, quality, quotations, token_codec, token_files, tokens, urls
@@ -66,8 +67,7 @@ def test_codec_round_trip():
     data[3 * len(data) // 4] ^= 255
     with pytest.raises(ValueError):
         token_codec.decode_stripe(bytes(data))
-    with pytest.raises(ValueError):
-        token_codec.encode_stripe(np.array([1 << 24], np.uint32))
+    assert token_codec.decode_stripe(token_codec.encode_stripe(np.array([1 << 24, 2**32 - 1], np.uint32))).tolist() == [1 << 24, 2**32 - 1]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -170,22 +170,56 @@ def test_quality(docs, texts, empty):
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
-def test_quality_rejects_by_own_group(spark):
-    plain = " ".join(f"word{k}" for k in range(40))
-    rows = [(k, plain, "en", "a") for k in range(30)] + [(100, plain.replace(" ", " ### ") + " ###", "en", "a")]
-    rows += [(200 + k, plain.replace(" ", " ### ") + " ###", "en", "b") for k in range(30)]
-    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not got.pop(100) and all(got.values())
+def verdicts(spark, rows):
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    return {r.doc_id: r.kept for r in judged.collect()}
+
+
+def prose(k: int, n: int = 60) -> list[str]:
+    return [f"word{(7 * k + 13 * j) % 997:03d}" for j in range(n)]
+
+
+#: name: (usual text of a plain source, usual text of a source full of it, odd text that the one rejects and the other keeps)
+GROUPS = {
+    "symbols": (lambda k: " ".join(prose(k)), lambda k: " ".join(prose(k)) + " #" * (8 + k % 8), lambda k: " ".join(prose(k)) + " #" * 12),
+    "lines": (lambda k: "\n".join(prose(k, 40)), lambda k: "\n".join(prose(k, 40) + prose(k, 6 + k % 8)[::-1]), lambda k: "\n".join(prose(k, 40) + prose(k, 10)[::-1])),
+    "words": (lambda k: " ".join(prose(k, 200)), lambda k: " ".join(prose(k, 200) + prose(k, 9 + k % 6)), lambda k: " ".join(prose(k, 200) + prose(k, 12))),
+    "length": (lambda k: " ".join(prose(k) + ["ab"] * (k % 4)), lambda k: " ".join([w * 2 for w in prose(k)] + ["ab"] * (k % 4)), lambda k: " ".join(w * 2 for w in prose(k))),
+}
+
 
+@pytest.mark.parametrize("ratio", list(GROUPS))
+def test_quality_rejects_by_own_group(spark, ratio):
+    """One text is rejected in one source and kept in the other: no cutoff for
+    all could do that."""
+    plain, full, odd = GROUPS[ratio]
+    rows = [(k, plain(k), "a", "x") for k in range(300)] + [(1000 + k, full(k), "b", "y") for k in range(300)]
+    rows += [(5000, odd(1), "a", "x"), (5001, odd(1), "b", "y")]
+    got = verdicts(spark, rows)
+    assert not got.pop(5000) and got.pop(5001)
+    assert sum(got.values()) > 0.98 * len(got)
 
-def brute_lines(texts, m=3, long_line=200):
-    """Texts left after deleting later copies; documents in id order."""
+
+def test_quality_limits_of_small_groups_and_long_words(spark):
+    """A source of one document takes the limits of its language; a word length
+    beyond the exact steps is no clipped value."""
+    rows = [(k, " ".join(prose(k)), "a", "x") for k in range(200)] + [(900, " ".join(prose(3)) + " #" * 40, "alone", "x"), (901, " ".join(prose(5)), "other", "x")]
+    rows += [(2000 + k, " ".join("x" * (3000 + k % 40 + j) for j in range(12)), "long", None) for k in range(200)] + [(3000, " ".join("x" * 9000 for _ in range(12)), "long", None)]
+    got = verdicts(spark, rows)
+    assert not got[900] and got[901]
+    assert got[2000] and got[2100] and not got[3000]
+
+
+def brute_lines(texts, m=3, long_line=200, run_words=50):
+    """Texts left after deleting later copies of runs of m lines, of shorter ones
+    with so many words and of single long lines; documents in id order."""
     seen, out = set(), {}
     for i, t in texts:
         lines, gone = t.split("\n"), set()
         for k in range(len(lines)):
-            for size in {1, m}:
-                if (size == 1 and len(lines[k]) >= long_line) or (size == m and k + m <= len(lines)):
+            for size in range(1, m + 1):
+                long = (size == 1 and len(lines[k]) >= long_line) or len(SPACE.findall("\n".join(lines[k : k + size]))) >= run_words
+                if k + size <= len(lines) and (size == m or long):
                     key = (size, tuple(lines[k : k + size]))
                     if key in seen:
                         gone |= set(range(k, k + size))
@@ -302,14 +336,51 @@ def brute_bytes(texts, length=100):
     return out
 
 
+def text_hash(text: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def in_order(texts):
+    """Rows with a key (id, hash of the text); a row given twice once, ids that are missing first."""
+    keys = {((-(2**63) if i is None else i), text_hash(t or "")): t or "" for i, t in texts}
+    return sorted(keys.items())
+
+
+def byte_rows(frame):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in frame.collect()), key=str)
+
+
 def test_byte_dedup(spark, docs, texts, empty):
-    unique = [(i, t) for i, t in keyed(texts) if sum(i == j for j, _ in keyed(texts)) == 1]
-    found = byte_dedup.remove_repeats(spark.createDataFrame(unique, "doc_id long, text string").repartition(5)).collect()
-    want = brute_bytes(unique)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
+    found = byte_dedup.remove_repeats(docs.repartition(5))
+    want = brute_bytes(in_order(texts))
+    keyed_rows = [(i, *want[-(2**63) if i is None else i, text_hash(t or "")]) for i, t in texts]
+    assert byte_rows(found) == sorted(keyed_rows, key=str)
     assert sum(w[1] for w in want.values()) > 1000
-    assert byte_dedup.remove_repeats(docs).count() == docs.count()
     assert byte_dedup.remove_repeats(empty).count() == 0
+    with pytest.raises(TypeError):
+        byte_dedup.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_byte_dedup_repeated_ids(spark, batch):
+    """Different texts under one id or without any, rows given twice, long
+    texts that change in places: every length of a common string around 100."""
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, base), (1, base), (None, base[100:900]), (None, base[850:1400] + "x"), (None, None), (2, "tail " + base[2000:])]
+    for k in range(60):
+        size, at = rng.randint(96, 240), rng.randrange(2700)
+        rows.append((rng.choice([None, 3, 3, 4, 100 + k]), f"{k}#" + base[at : at + size] + f"#{k}" + base[at + 3 : at + 110]))
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = byte_rows(byte_dedup.remove_repeats(spark.createDataFrame([(*r, "d", 1) for r in rows], "doc_id long, text string, doc string, h int").repartition(5)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_bytes(in_order(rows))
+    assert found == sorted(((i, *want[-(2**63) if i is None else i, text_hash(t or "")]) for i, t in rows), key=str)
 
 
 def brute_sets(text, n):
@@ -391,8 +462,10 @@ def test_quotations(spark):
     assert quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("false")).count() == 0
 
 
-def test_jaccard_cells_of_large_tiles(spark, monkeypatch):
-    """Tiles of more members than a task takes, links across their blocks."""
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_jaccard_cells_of_large_tiles(spark, monkeypatch, hot):
+    """Tiles of more members than a task takes, links across their blocks; tokens
+    read as runs or, where frequent, summed up."""
     rng = random.Random(11)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -404,6 +477,7 @@ def test_jaccard_cells_of_large_tiles(spark, monkeypatch):
     rows += [(1000 + k, " ".join(base[:30] + [f"x{k}y{j}" for j in range(20)])) for k in range(40)]
     rng.shuffle(rows)
     monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "HOT_TOKEN", hot)
     found = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     want = brute_components(rows, 4, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
