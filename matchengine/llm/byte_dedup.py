@@ -1,29 +1,36 @@
-"""Removal of repeated byte strings by sparse distributed prefix doubling.
+"""Removal of repeated byte strings by distributed prefix doubling.
 
 Every ``LENGTH``-byte string that also starts earlier is removed.  Sorting all
 suffixes of a corpus would take many times its size on disk, so positions are
 sampled in a way that loses no match: a string's anchor is its ``SEED``-byte
 piece with the least hash, which equal strings choose alike.  Neighbouring
 strings share anchors, so a text falls into runs (about one in 35 bytes) of
-strings with one anchor, and only runs are sorted.
+strings with one anchor.  Ranks of positions then grow, and what is unique at
+one length drops out before the next.
 
-1. Rank at the seed's length.  Spark sorts the runs by (rank of the anchor,
-   rank of the run's whole bytes, position).  A run whose anchor is unique drops
-   out.  Of runs with equal bytes all but the first are repeats as a whole.
-2. Rank past the threshold.  Different runs that share an anchor are compared
-   string by string: the bytes around the anchor are fetched, ranks at half the
-   length are paired with the rank half a length on, and a string whose pair of
-   ranks occurred at an earlier position is a repeat.
-3. The repeats' bytes are united per document and cut out.
+1. Length 32.  Spark sorts the runs by (rank at the anchor, rank of the run's
+   whole bytes, position).  A run whose anchor is unique drops out.  Of runs with
+   equal bytes all but the first are repeats as a whole.
+2. Length 64.  Of the other runs, strings that start up to 36 bytes before the
+   anchor hold the 64 bytes from the anchor on, the others the 64 bytes from 32
+   bytes before it.  The ranks at these positions are pairs of ranks 32 bytes
+   apart; the half of a run whose pair is unique drops out.
+3. Length 100.  Each string that is left is a position with the pair of its rank
+   at length 64 and the one that ends with the string.  A position whose pair
+   stands at an earlier one is a repeat.
+4. The repeats' bytes are united per document and cut out.
 
 Ranks are 64-bit names of the bytes they stand for.  Equal runs in one chunk of
-a task are merged before the shuffle, so thousands of copies of a passage send
-one row a chunk.
+a task are merged before the first sort, so thousands of copies of a passage send
+one row a chunk, and runs are read from the sort as a stream.  Later rounds sum
+up a rank's positions before the shuffle and join them to written tables, whose
+hot ranks adaptive execution can split.
 
-Defined results: a null text is empty; texts shorter than ``LENGTH`` stay; rows
-that repeat an id and its text are one document and get one result; different
-texts under one id are ordered by their offsets alone; documents without an id
-come first.
+Defined results: a document is its id and its text; a null text is empty; texts
+shorter than ``LENGTH`` stay; rows that repeat an id and its text are one
+document and get one result; different texts under one id are documents ordered
+by a hash of the text; documents without an id come first.  Ids of other than
+integer types are an error.
 """
 
 from __future__ import annotations
@@ -33,12 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.llm import textvec as tv
 from matchengine.durable import keep, release
-from matchengine.llm.jaccard import _runs as whole_groups
 
 SEED = 32
 _U = np.uint64
@@ -86,121 +92,171 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _named_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, anchor, whole, doc, place): runs, dealt out by anchor; and
-    repeats found inside a chunk, with anchor null."""
-    names = ["deal", "anchor", "whole", "doc", "place"]
-    for part, data, offsets in tv.text_chunks(batches, 1, tv.CHUNK_BYTES // 2):
+    """Rows (deal, whole, doc, h, place): runs, dealt out by the rank of the
+    anchor; and repeats found inside a chunk, without ``whole``."""
+    names = ["deal", "whole", "doc", "h", "place"]
+    for part, data, offsets in tv.text_chunks(batches, 2, tv.CHUNK_BYTES // 2):
         doc, first, count, anchor, sums = runs(data, offsets, length)
         if not len(first):
             continue
-        ids = part.column(0).to_numpy()[doc]
+        ids, h = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
         start = first - offsets[doc]
         name = tv.span_hashes(sums, anchor, anchor + SEED)
         whole = tv.mix(tv.span_hashes(sums, first, first + count + length - 1) + (anchor - first).astype(_U))
-        order = np.lexsort((start, ids, whole, name))
-        name, whole, ids, start, count, shift = name[order], whole[order], ids[order], start[order], count[order], (anchor - first)[order]
+        order = np.lexsort((start, h, ids, whole, name))
+        name, whole, ids, h, start, count, shift = (x[order] for x in (name, whole, ids, h, start, count, anchor - first))
         new = np.append(True, (name[1:] != name[:-1]) | (whole[1:] != whole[:-1]))
         place = (start << 14) | (count << 7) | shift
         # The same place twice is one row given twice, not a repeat.
-        again = ~new & np.append(False, (ids[1:] != ids[:-1]) | (start[1:] != start[:-1]))
+        again = ~new & np.append(False, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]) | (start[1:] != start[:-1]))
         for chosen, is_run in ((new, True), (again, False)):
             k = int(chosen.sum())
             if k:
-                deal = name[chosen] if is_run else tv.mix(ids[chosen].astype(_U))
+                deal = name[chosen] if is_run else tv.mix(ids[chosen].astype(_U) + place[chosen].astype(_U))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(deal.view(np.int64)), pa.array(name[chosen].view(np.int64)) if is_run else pa.nulls(k, pa.int64()), pa.array(whole[chosen].view(np.int64)), pa.array(ids[chosen]), pa.array(place[chosen])],
+                    [pa.array(deal.view(np.int64)), pa.array(whole[chosen].view(np.int64)) if is_run else pa.nulls(k, pa.int64()), pa.array(ids[chosen]), pa.array(h[chosen]), pa.array(place[chosen])],
                     names=names,
                 )
 
 
 def _first_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated runs as spans (anchor null), and runs to compare further."""
-    for rows in whole_groups(batches):
-        name, whole, ids, place = (rows.column(k).to_numpy() for k in (1, 2, 3, 4))
-        found = ~np.asarray(rows.column(1).is_null())
-        deal = rows.column(0).to_numpy()
-        spans = [(ids[~found], place[~found])]
-        name, whole, ids, place = deal[found], whole[found], ids[found], place[found]
-        if len(name):
-            other = np.append(True, name[1:] != name[:-1])
-            new = other | np.append(True, whole[1:] != whole[:-1])
-            same_place = np.append(False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1]))
-            spans.append((ids[~new & ~same_place], place[~new & ~same_place]))
-            kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(other))
-            open_ = new & np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(other), len(other))))
-            name, ids, place = name[open_], ids[open_], place[open_]
-        gone = np.concatenate([s[0] for s in spans]), np.concatenate([s[1] for s in spans])
-        start, count = gone[1] >> 14, (gone[1] >> 7) & 127
-        k = len(start)
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(name, pa.int64())]), pa.array(np.append(gone[0], ids), pa.int64()), pa.array(np.append(start, place), pa.int64()), pa.array(np.append(start + count + length - 1, np.zeros(len(name), np.int64)), pa.int64())],
-            names=["anchor", "doc", "start", "stop"],
-        )
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each open run of a document, with its anchor's rank."""
+    """Sorted runs to repeats, as spans (doc, h, start, stop), and to the first of
+    each of the different runs of one anchor, with stop null.
+
+    Rows are a stream; of an anchor whose rows go on only the last row is kept,
+    and its first run until a second shows that both are open.
+    """
+    names = ["deal", "whole", "doc", "h", "place"]
+    before: list[int | None] | None = None
+    pending: list[int] | None = None
+
+    def found(gone: list[np.ndarray], open_: list[np.ndarray]) -> pa.RecordBatch:
+        start, count = gone[2] >> 14, (gone[2] >> 7) & 127
+        columns = [np.append(gone[0], open_[0]), np.append(gone[1], open_[1]), np.append(start, open_[2])]
+        stop = pa.concat_arrays([pa.array(start + count + length - 1, pa.int64()), pa.nulls(len(open_[0]), pa.int64())])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], stop], names=["doc", "h", "start", "stop"])
+
+    none = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        if not len(batch):
+            continue
+        inside = ~np.asarray(batch.column(1).is_null())
+        deal, doc, h, place = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
+        if not inside.all():
+            yield found([x[~inside] for x in (doc, h, place)], none)
+            batch = batch.filter(pa.array(inside))
+            if not len(batch):
+                continue
+        deal, whole, doc, h, place = (batch.column(k).to_numpy() for k in range(5))
+        if before is not None:
+            deal, whole, doc, h, place = (np.append(b, x) for b, x in zip(before, (deal, whole, doc, h, place), strict=True))
+        skip = int(before is not None)
+        other = np.append(True, deal[1:] != deal[:-1])
+        new = other | np.append(True, whole[1:] != whole[:-1])
+        same = np.append(False, (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (place[1:] == place[:-1]))
+        if skip:
+            new[0] = other[0] = False
+        gone = ~new & ~same
+        gone[:skip] = False
+        # A first run is open if another one of its anchor follows.
+        firsts = np.flatnonzero(new)
+        leads = other[firsts]
+        followed = np.append(~leads[1:], False)
+        open_ = firsts[~leads | followed]
+        extra = none
+        if pending is not None:
+            if len(firsts) and not leads[0]:
+                extra = [np.array([x], np.int64) for x in pending]
+            if len(firsts):
+                pending = None
+        if len(firsts) and leads[-1]:
+            k = int(firsts[-1])
+            pending = [int(doc[k]), int(h[k]), int(place[k])]
+        before = [x[-1:] for x in (deal, whole, doc, h, place)]
+        yield found([x[gone] for x in (doc, h, place)], [np.append(e, x[open_]) for e, x in zip(extra, (doc, h, place), strict=True)])
+
+
+#: Strings of a run's right half start this far before the anchor at most, so
+#: that they hold the twice SEED bytes from it on; the others hold SEED bytes before it.
+def _right_reach(length: int) -> int:
+    return length - 2 * SEED
+
+
+def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Halves of the open runs of a document: the pair of ranks at length 64,
+    the first string, the number of strings and the bytes of them all."""
+    names = ["r1", "r2", "doc", "h", "start", "strings", "bytes"]
+    reach = _right_reach(length)
     for batch in batches:
-        data, offsets = tv.buffers(batch.column(1))
-        lists = batch.column(2)
+        data, offsets = tv.buffers(batch.column(2))
+        lists = batch.column(3)
         begin = lists.offsets.to_numpy()
-        values = lists.values
-        name, place = values.field("anchor").to_numpy()[begin[0] : begin[-1]], values.field("start").to_numpy()[begin[0] : begin[-1]]
+        place = lists.values.to_numpy()[begin[0] : begin[-1]]
         owner = np.repeat(np.arange(len(batch)), np.diff(begin))
-        start, count = place >> 14, (place >> 7) & 127
-        size = count + length - 1
-        docs = batch.column(0).to_numpy()
-        for low in range(0, len(name), 20_000):
-            s = slice(low, min(low + 20_000, len(name)))
-            upto = np.append(0, np.cumsum(size[s]))
-            source = np.arange(upto[-1]) + np.repeat(offsets[owner[s]] + start[s] - upto[:-1], size[s])
-            text = pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[source].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(name[s]), pa.array(docs[owner[s]]), pa.array(place[s]), text], names=["anchor", "doc", "place", "bytes"])
-
-
-def _last_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Strings of open runs that occurred at an earlier position, as spans."""
-    half = length // 2
-    for rows in whole_groups(batches):
-        name, docs, place = (rows.column(k).to_numpy() for k in (0, 1, 2))
-        data, offsets = tv.buffers(rows.column(3))
-        start, count = place >> 14, (place >> 7) & 127
+        docs, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for low in range(0, len(place), 20_000):
+            own = owner[low : low + 20_000]
+            p = place[low : low + 20_000]
+            base, end = int(offsets[own[0]]), int(offsets[own[-1] + 1])
+            sums = tv.prefix_sums(data[base:end])
+            first, count, shift = p >> 14, (p >> 7) & 127, p & 127
+            right = np.minimum(shift, reach)
+            # d, the distance to the anchor, falls from shift to shift - count + 1.
+            n_right = right - (shift - count)
+            n_right = np.clip(n_right, 0, count)
+            n_left = count - n_right
+            at = offsets[own] - base + first
+            for n, s, piece, tag in ((n_left, at, at + shift - SEED, 5), (n_right, at + n_left, at + shift, 6)):
+                some = np.flatnonzero(n)
+                if not len(some):
+                    continue
+                begins, size = s[some], n[some] + length - 1
+                upto = np.append(0, np.cumsum(size))
+                source = np.arange(upto[-1]) + np.repeat(begins - upto[:-1], size)
+                text = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[base:end][source].tobytes())])
+                rank = [tv.mix(tv.span_hashes(sums, piece[some] + k, piece[some] + k + SEED) + tv._GRAM[tag]) for k in (0, SEED)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(r.view(np.int64)) for r in rank], pa.array(docs[own[some]]), pa.array(h[own[some]]), pa.array(begins - (offsets[own[some]] - base)), pa.array(n[some]), text], names=names
+                )
+
+
+def _positions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every string of the halves as a position with its pair of ranks."""
+    for batch in batches:
+        data, offsets = tv.buffers(batch.column(4))
         sums = tv.prefix_sums(data)
+        doc, h, start, count = (batch.column(k).to_numpy() for k in range(4))
         upto = np.append(0, np.cumsum(count))
         run = np.repeat(np.arange(len(count)), count)
-        at = np.arange(upto[-1]) - upto[:-1][run] + offsets[:-1][run]
-        rank = lambda p: tv.span_hashes(sums, p, p + half)
-        paired = tv.mix(rank(at) * tv._GRAM[1] + rank(at + length - half) * tv._GRAM[2] + name.view(_U)[run])
-        _, first, of = np.unique(paired, return_index=True, return_inverse=True)
-        where = start[run] + np.arange(upto[-1]) - upto[:-1][run]
-        # A row given twice meets itself at the same place: no repeat.
-        again = (docs[run] != docs[run][first][of]) | (where != where[first][of])
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            continue
-        joins = np.append(False, (run[hit][1:] == run[hit][:-1]) & (hit[1:] == hit[:-1] + 1))
-        begin = np.flatnonzero(~joins)
-        last = np.append(begin[1:], len(hit)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(docs[run[hit[begin]]]), pa.array(where[hit[begin]]), pa.array(where[hit[last]] + length)], names=["doc", "start", "stop"])
+        step = np.arange(upto[-1]) - upto[:-1][run]
+        at = offsets[:-1][run] + step
+        rank = lambda p: pa.array(tv.span_hashes(sums, p, p + 2 * SEED).view(np.int64))
+        yield pa.RecordBatch.from_arrays([rank(at), rank(at + length - 2 * SEED), pa.array(doc[run]), pa.array(h[run]), pa.array(start[run] + step)], names=["r1", "r2", "doc", "h", "start"])
+
+
+def _place() -> Column:
+    return F.struct("doc", "h", "start")
 
 
 def repeated_spans(documents: DataFrame, *, length: int = 100) -> DataFrame:
-    """Spans (doc, start, stop) of repeated strings, overlaps included.
-    ``documents`` has columns doc (long, not null) and text."""
-    if not SEED < length <= 120:
-        raise ValueError("strings of 33 to 120 bytes can be compared")
-    sizes = "deal long, anchor long, whole long, doc long, place long"
-    named = documents.select("doc", "text").mapInArrow(lambda b: _named_runs(b, length), sizes)
-    ordered = named.repartition("deal").sortWithinPartitions("deal", "whole", "doc", "place")
-    first = keep(ordered.mapInArrow(lambda b: _first_ranks(b, length), "anchor long, doc long, start long, stop long"), "run-ranks")
+    """Spans (doc, h, start, stop) of repeated strings, overlaps included.
+    ``documents`` has columns doc and h (longs, not null) and text."""
+    if not 2 * SEED <= length <= 120:
+        raise ValueError("strings of 64 to 120 bytes can be compared")
+    named = documents.select("doc", "h", "text").mapInArrow(lambda b: _named_runs(b, length), "deal long, whole long, doc long, h long, place long")
+    ordered = named.repartition("deal").sortWithinPartitions("deal", "whole", "doc", "h", "place")
+    first = keep(ordered.mapInArrow(lambda b: _first_ranks(b, length), "doc long, h long, start long, stop long"), "run-ranks")
     release(documents.sparkSession)
-    open_runs = first.where("anchor IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start")).alias("runs"))
-    texts = documents.select("doc", "text").join(open_runs, "doc").select("doc", "text", "runs")
-    contexts = texts.mapInArrow(lambda b: _contexts(b, length), "anchor long, doc long, place long, bytes binary")
-    ordered = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
-    last = keep(ordered.mapInArrow(lambda b: _last_ranks(b, length), "doc long, start long, stop long"), "string-ranks")
+    open_runs = first.where("stop IS NULL").groupBy("doc", "h").agg(F.collect_list("start").alias("runs"))
+    texts = documents.select("doc", "h", "text").join(open_runs, ["doc", "h"]).select("doc", "h", "text", "runs")
+    halves = keep(texts.mapInArrow(lambda b: _halves(b, length), "r1 long, r2 long, doc long, h long, start long, strings long, bytes binary"), "half-ranks")
     release(documents.sparkSession)
-    return first.where("anchor IS NULL").select("doc", "start", "stop").unionByName(last)
+    again = lambda rows: rows.groupBy("r1", "r2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
+    shared = halves.join(keep(again(halves).select("r1", "r2"), "pairs-64"), ["r1", "r2"]).select("doc", "h", "start", "strings", "bytes")
+    positions = keep(shared.mapInArrow(lambda b: _positions(b, length), "r1 long, r2 long, doc long, h long, start long"), "string-ranks")
+    earlier = keep(again(positions).select("r1", "r2", "first"), "pairs-100")
+    later = positions.join(earlier, ["r1", "r2"]).where(_place() > F.col("first"))
+    return first.where("stop IS NOT NULL").unionByName(later.select("doc", "h", "start", (F.col("start") + length).alias("stop")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -233,8 +289,10 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     and the remaining bytes as ``kept`` if asked for."""
-    named = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    number = tv.long_id(documents, doc_id)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    named = documents.select(number.alias("doc_id"), F.coalesce(number, F.lit(-(2**63)).cast("long")).alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
     spans = repeated_spans(named, length=length)
-    per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = named.join(per_doc, "doc", "left").select("doc_id", "text", "spans")
+    per_doc = spans.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    joined = named.join(per_doc, ["doc", "h"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda b: _cut(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
