@@ -6,14 +6,17 @@ with it, so a block can be read, checked or lost without the others.  The blocks
 of a stripe are the lanes of numpy vectors: each step codes one id of every
 block.
 
-Three models predict the next id.  Order 2 and order 1 hold, for a hash of the
-last two ids and for the last id, the id that followed last and a confidence;
-order 0 holds the block's majority id.  A prediction's probability comes from
-its confidence and an adaptive weight of its order in the block.  The
-predictions are mixed: equal ones pool their probabilities, different ones
-share what is left in order, and the rest is an escape, coded by an adaptive
-order-0 distribution over the ids' bit lengths and the bits below the leading
-one.  All arithmetic is on integers, so any machine decodes what another coded.
+Three models predict the next id.  Order 2 holds, for a hash of the last two
+ids, the id that followed last in the block and a confidence; order 1 the id
+that follows the last id most often in the stripe, with its share; order 0 the
+shares of all ids in the stripe.  The tables of orders 0 and 1 stand once in the
+stripe's header, so that a block starts with what the stripe knows; there are as
+many bytes of them as pay off.  The mix adapts inside a block: each of orders 1
+and 2 has a weight that moves with how far its probabilities hold there, equal
+predictions pool their probabilities, different ones share what is left in turn,
+and the rest is an escape to order 0.  All arithmetic is on integers, so any
+machine decodes what another coded.  Ids are coded by their rank among the ids
+of the stripe, so any 32-bit ids can be coded.
 """
 
 from __future__ import annotations
@@ -25,84 +28,136 @@ import numpy as np
 
 BLOCK_TOKENS = 2048
 STRIPE_BLOCKS = 2048
-MAGIC = b"MTK2"
-MAX_BITS = 24
+MAGIC = b"MTK3"
 _ONE, _MOST = 1 << 12, 7 << 9
 _SLOTS = 512
-_STEP, _LENGTH_LIMIT = 24, 1 << 11
-#: Probability (of 4096) of a prediction by its confidence, before the weight.
+#: Probability (of 4096) of a prediction of order 2 by its confidence.
 _TRUSTED = np.array([0, 700, 1700, 2400, 2800, 3100, 3300, 3500], np.int32)
+#: A follower is kept if it was seen that often and has that share (of 4096).
+_LEAST_SEEN, _LEAST_SHARE = 4, 200
 _U = np.uint64
 _FULL = _U(1 << 48)
 
 
-class _Order:
-    """Predictions of one context order: id and confidence in hashed slots."""
+class _Tables:
+    """What a stripe's header says of its ids: the sorted distinct ids, the place
+    of each one's share of order 0, and the follower of each with its share."""
+
+    def __init__(self, alphabet: np.ndarray, shares: np.ndarray, follower: np.ndarray, p1: np.ndarray):
+        self.alphabet, self.shares = alphabet, shares
+        self.follower, self.p1 = follower, p1
+        self.upto = np.append(0, np.cumsum(shares, dtype=np.int64))
+        self.total_bits = int(self.upto[-1]).bit_length() - 1
+        self.start = self.upto[:-1].astype(_U)
+        self.size = shares.astype(_U)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Tables, np.ndarray]:
+        """The tables of ``ids``, and the ids as ranks."""
+        top = int(ids.max()) if len(ids) else 0
+        if top < 1 << 22:
+            counts = np.bincount(ids, minlength=1)
+            alphabet = np.flatnonzero(counts)
+            rank = np.zeros(top + 1, np.int32)
+            rank[alphabet] = np.arange(len(alphabet))
+            ranks, counts = rank[ids], counts[alphabet]
+        else:
+            alphabet, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        ranks = ranks.astype(np.int32)
+        n = len(alphabet)
+        follower, p1 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        if len(ids) > 1:
+            key = ranks[:-1].astype(np.uint64) * _U(n) + ranks[1:].astype(np.uint64)
+            if n < 1 << 16:
+                key = key.astype(np.uint32)
+            key.sort()
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            seen, pair = np.diff(np.append(at, len(key))), key[at]
+            context = (pair // key.dtype.type(n)).astype(np.int64)
+            begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            order = np.lexsort((seen, context))
+            best = order[np.append(begin[1:], len(order)) - 1]
+            share = seen[best] * 4096 // (np.add.reduceat(seen, begin) + 2)
+            good = (seen[best] >= _LEAST_SEEN) & (share >= _LEAST_SHARE)
+            which = context[best][good]
+            follower[which] = pair[best][good] % key.dtype.type(n)
+            p1[which] = np.minimum(share[good], _MOST) >> 4 << 4
+        return _Tables(alphabet.astype(np.uint32), _scaled(counts), follower, p1), ranks
+
+    def pack(self) -> bytes:
+        some = np.flatnonzero(self.p1)
+        parts = [np.diff(self.alphabet, prepend=np.uint32(0)).astype("<u4"), self.shares.astype("<u4"), np.diff(some, prepend=0).astype("<u4"), self.follower[some].astype("<u4"), (self.p1[some] >> 4).astype("u1")]
+        # Bytes of one place stand together: the high ones are nearly all zero.
+        raw = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), p.itemsize).T).tobytes() for p in parts)
+        return struct.pack("<II", len(self.alphabet), len(some)) + zlib.compress(raw, 6)
+
+    @staticmethod
+    def unpack(data: bytes) -> _Tables:
+        n, k = struct.unpack_from("<II", data)
+        raw, at, parts = zlib.decompress(data[8:]), 0, []
+        for count, size in ((n, 4), (n, 4), (k, 4), (k, 4), (k, 1)):
+            rows = np.frombuffer(raw, np.uint8, count * size, at).reshape(size, count)
+            parts.append(np.ascontiguousarray(rows.T).view(f"<u{size}").ravel())
+            at += count * size
+        follower, p1 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        some = np.cumsum(parts[2], dtype=np.int64)
+        follower[some] = parts[3]
+        p1[some] = parts[4].astype(np.int32) << 4
+        return _Tables(np.cumsum(parts[0], dtype=np.uint32), parts[1].astype(np.int64), follower, p1)
+
+    def ranks_at(self) -> np.ndarray | None:
+        """Rank at each place of order 0, where that is a small table."""
+        return np.repeat(np.arange(len(self.shares), dtype=np.int32), self.shares) if self.total_bits <= 20 else None
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """Shares of a power of two, at least one each, in proportion to counts."""
+    n = len(counts)
+    total = 1 << max(16, (4 * n).bit_length())
+    if not n:
+        return np.zeros(0, np.int64)
+    shares = 1 + counts.astype(np.int64) * (total - n) // int(counts.sum())
+    shares[int(counts.argmax())] += total - int(shares.sum())
+    return shares
+
+
+class _Mixer:
+    """The mixed prediction of the next rank in every lane."""
 
-    def __init__(self, lanes: int):
-        self.slots = np.zeros(lanes * _SLOTS, np.int32)
+    def __init__(self, lanes: int, tables: _Tables):
+        self.follower, self.p1 = tables.follower, tables.p1
+        self.slots = np.zeros(lanes * _SLOTS, np.int64 if len(tables.alphabet) >= 1 << 28 else np.int32)
         self.base = np.arange(lanes) * _SLOTS
-        self.weight = np.full(lanes, 200, np.int32)
+        self.w1, self.w2 = np.full(lanes, 256, np.int32), np.full(lanes, 200, np.int32)
+        self.last, self.before, self.fresh = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), True
 
-    def predict(self, slot: np.ndarray) -> None:
+    def predict(self) -> None:
+        slot = self.last * np.int32(40503)
+        slot += self.before * np.int32(30011)
+        slot >>= 4
+        slot &= _SLOTS - 1
         self.slot = slot + self.base
         found = self.slots.take(self.slot)
-        self.id, self.trust = found >> 3, found & 7
-        self.p = np.minimum((_TRUSTED.take(self.trust) * self.weight) >> 8, _MOST)
+        self.id2, self.trust = found >> 3, found & 7
+        self.p2 = np.minimum((_TRUSTED.take(self.trust) * self.w2) >> 8, _MOST)
+        self.id1 = self.follower.take(self.last)
+        # The first id of a block has nothing before it.
+        self.p1_ = np.zeros_like(self.p2) if self.fresh else np.minimum((self.p1.take(self.last) * self.w1) >> 8, _MOST)
+        more = ((_ONE - self.p2) * self.p1_) >> 12
+        same = self.id1 == self.id2
+        self.f2 = self.p2 + same * more
+        self.c1 = self.p2 + more
 
     def learn(self, x: np.ndarray) -> None:
-        known = self.trust > 0
-        hit = (self.id == x) & known
-        self.weight += np.where(hit, (288 - self.weight) >> 4, known * -((self.weight - 16) >> 4))
-        trust = np.where(hit, np.minimum(self.trust + 1, 7), self.trust >> 1)
-        self.slots[self.slot] = np.where(trust > 0, (self.id << 3) | trust, (x << 3) | 1)
-
-
-class _Mixer:
-    """The mixed prediction of the next id in every lane."""
-
-    def __init__(self, lanes: int, bits: int):
-        self.two, self.one = _Order(lanes), _Order(lanes)
-        self.major, self.lead = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.p0 = np.full(lanes, 256, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.classes, self.lanes = np.arange(bits + 1, dtype=np.int16), np.arange(lanes)
-        #: Counts of the bit lengths, summed up to and with each.
-        self.upto = np.tile(self.classes + np.int16(1), (lanes, 1))
-
-    def predict(self) -> None:
-        two, one = self.two, self.one
-        two.predict(((self.last * 40503 + self.before * 30011 + 77) >> 4) & (_SLOTS - 1))
-        one.predict((self.last ^ (self.last >> 9)) & (_SLOTS - 1))
-        agree = (two.id == one.id) & (two.p > 0) & (one.p > 0)
-        self.f2 = two.p + agree * (((_ONE - two.p) * one.p) >> 12)
-        self.c1 = self.f2 + ~agree * (((_ONE - self.f2) * one.p) >> 12)
-        known = ((two.id == self.major) & (two.p > 0)) | ((one.id == self.major) & (one.p > 0))
-        self.c0 = self.c1 + ~known * (((_ONE - self.c1) * self.p0) >> 12)
-
-    def interval(self, hit2: np.ndarray, hit1: np.ndarray, escaped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.where(hit2, 0, np.where(hit1, self.f2, np.where(escaped, self.c0, self.c1)))
-        stop = np.where(hit2, self.f2, np.where(hit1, self.c1, np.where(escaped, _ONE, self.c0)))
-        return start, stop - start
-
-    def length_interval(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.where(kind > 0, self.upto[self.lanes, kind - 1], 0)
-        return start, self.upto[self.lanes, kind] - start
-
-    def learn(self, x: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
-        self.two.learn(x)
-        self.one.learn(x)
-        hit = self.major == x
-        self.p0 += np.where(hit, (_MOST - self.p0) >> 5, -((self.p0 - 64) >> 5))
-        fresh = self.lead == 0
-        self.major = np.where(fresh, x, self.major)
-        self.lead += 2 * (hit | fresh) - 1
-        self.before, self.last = self.last, x.astype(np.int64)
-        self.upto += np.int16(_STEP) * ((self.classes >= kind[:, None]) & escaped[:, None])
-        large = np.flatnonzero(self.upto[:, -1] >= _LENGTH_LIMIT)
-        if len(large):
-            counts = np.diff(self.upto[large], axis=1, prepend=np.int16(0))
-            self.upto[large] = np.cumsum((counts >> 1) | 1, axis=1, dtype=np.int16)
+        hit2, hit1 = self.id2 == x, self.id1 == x
+        # A weight moves towards where its probabilities hold.
+        self.w2 += ((hit2 * np.int32(_ONE)) - self.p2) * (self.p2 > 0) >> 9
+        self.w1 += ((hit1 * np.int32(_ONE)) - self.p1_) * (self.p1_ > 0) >> 9
+        np.clip(self.w2, 16, 330, out=self.w2)
+        np.clip(self.w1, 16, 330, out=self.w1)
+        trust = np.where(hit2 & (self.trust > 0), np.minimum(self.trust + 1, 7), self.trust >> 1)
+        self.slots[self.slot] = np.where(trust > 0, (self.id2 << 3) | trust, (x << 3) | 1)
+        self.before, self.last, self.fresh = self.last, x, False
 
 
 class _Encoder:
@@ -116,7 +171,7 @@ class _Encoder:
         self.at, self.lanes = np.zeros(lanes, np.int64), np.arange(lanes)
         #: Lanes advance at nearly the same pace, so words of one place are kept
         #: together, not those of one lane.
-        self.out = np.zeros((3 * steps + 8) * lanes, np.uint16)
+        self.out = np.zeros((4 * steps + 8) * lanes, np.uint16)
 
     def add(self, amount: np.ndarray) -> None:
         low = self.low + amount
@@ -170,61 +225,63 @@ class _Decoder:
             by = due.astype(_U) << _U(4)
             self.code <<= by
             self.range <<= by
-            self.code[lanes] |= self.words.take(self.at[lanes] * len(self.lanes) + lanes)
+            # Behind its end a short block meets words that no id needs.
+            place = np.minimum(self.at[lanes] * len(self.lanes) + lanes, len(self.words) - 1)
+            self.code[lanes] |= self.words.take(place)
             self.at += due
 
 
 def encode_stripe(ids: np.ndarray) -> bytes:
-    """The ids as a stripe of blocks: header, block table, payloads."""
-    bits = max(int(ids.max()).bit_length() if len(ids) else 0, 1)
-    if bits > MAX_BITS:
-        raise ValueError(f"ids of up to {MAX_BITS} bits can be coded")
-    blocks = [ids[k : k + BLOCK_TOKENS] for k in range(0, len(ids), BLOCK_TOKENS)]
+    """The ids as a stripe of blocks: header, tables, block table, payloads."""
+    tables, ranks = _Tables.of(ids)
+    head = tables.pack()
+    blocks = [ranks[k : k + BLOCK_TOKENS] for k in range(0, len(ids), BLOCK_TOKENS)]
     payloads: list[bytes] = []
     for k in range(0, len(blocks), STRIPE_BLOCKS):
-        payloads += _encode_blocks(blocks[k : k + STRIPE_BLOCKS], bits)
-    table = b"".join(struct.pack("<IIII", len(b), len(p), zlib.crc32(p), zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(blocks, payloads, strict=True))
-    return MAGIC + struct.pack("<II", len(blocks), bits) + table + b"".join(payloads)
+        payloads += _encode_blocks(blocks[k : k + STRIPE_BLOCKS], tables)
+    wide = ids.astype("<u4")
+    table = b"".join(struct.pack("<IIII", len(b), len(p), zlib.crc32(p), zlib.crc32(wide[k * BLOCK_TOKENS : k * BLOCK_TOKENS + len(b)])) for k, (b, p) in enumerate(zip(blocks, payloads, strict=True)))
+    return MAGIC + struct.pack("<III", len(blocks), len(head), zlib.crc32(head)) + head + table + b"".join(payloads)
 
 
-def _encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+def _encode_blocks(blocks: list[np.ndarray], tables: _Tables) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks))
     grid = np.zeros((lanes, steps), np.int32)
     for k, b in enumerate(blocks):
         grid[k, : len(b)] = b
     grid = np.ascontiguousarray(grid.T)
-    leading = np.append(0, 1 << np.arange(bits)).astype(np.int32)
-    lengths = np.repeat(np.arange(bits + 1), np.maximum(leading, 1))
-    spare = np.maximum(np.arange(bits + 1) - 1, 0).astype(_U)
-    model, coder = _Mixer(lanes, bits), _Encoder(lanes, steps)
+    bits = _U(tables.total_bits)
+    model, coder = _Mixer(lanes, tables), _Encoder(lanes, steps)
     for x in grid:
         model.predict()
-        hit2 = (model.two.id == x) & (model.two.p > 0)
-        hit1 = (model.one.id == x) & (model.c1 > model.f2) & ~hit2
-        escaped = ~(hit2 | hit1 | ((model.major == x) & (model.c0 > model.c1)))
-        start, size = model.interval(hit2, hit1, escaped)
+        hit2 = (model.id2 == x) & (model.f2 > 0)
+        hit1 = (model.id1 == x) & (model.c1 > model.f2) & ~hit2
+        escaped = ~(hit2 | hit1)
         unit = coder.range >> _U(12)
-        width = size.astype(_U) * unit
-        amount = start.astype(_U) * unit
-        kind = lengths.take(x)
-        start, size = model.length_interval(kind)
-        unit = width // model.upto[:, -1].astype(_U)
-        tail = (size.astype(_U) * unit) >> spare.take(kind)
-        amount += np.where(escaped, start.astype(_U) * unit + (x - leading.take(kind)).astype(_U) * tail, _U(0))
+        begin = np.where(hit2, 0, np.where(hit1, model.f2, model.c1))
+        end = np.where(hit2, model.f2, np.where(hit1, model.c1, _ONE))
+        width = (end - begin).astype(_U) * unit
+        amount = begin.astype(_U) * unit
+        small = width >> bits
+        amount += escaped * (tables.start.take(x) * small)
         coder.add(amount)
-        coder.range = np.where(escaped, tail, width)
+        coder.range = np.where(escaped, tables.size.take(x) * small, width)
         coder.shift()
-        model.learn(x, kind, escaped)
+        model.learn(x)
     return coder.finish()
 
 
 def decode_stripe(data: bytes) -> np.ndarray:
-    """The ids of a stripe; raises if a block's checksum does not hold."""
+    """The ids of a stripe; raises if a checksum does not hold."""
     if data[:4] != MAGIC:
         raise ValueError("not a token stripe")
-    count, bits = struct.unpack_from("<II", data, 4)
-    at, payloads = 12 + 16 * count, []
-    table = list(struct.iter_unpack("<IIII", data[12:at]))
+    count, size, crc = struct.unpack_from("<III", data, 4)
+    head = data[16 : 16 + size]
+    if zlib.crc32(head) != crc:
+        raise ValueError("the stripe's tables are damaged")
+    tables = _Tables.unpack(head)
+    table = list(struct.iter_unpack("<IIII", data[16 + size : 16 + size + 16 * count]))
+    at, payloads = 16 + size + 16 * count, []
     for k, (_, size, crc, _) in enumerate(table):
         payloads.append(data[at : at + size])
         at += size
@@ -234,7 +291,7 @@ def decode_stripe(data: bytes) -> np.ndarray:
     filled = 0
     for k in range(0, count, STRIPE_BLOCKS):
         sizes = [n for n, *_ in table[k : k + STRIPE_BLOCKS]]
-        grid = _decode_blocks(payloads[k : k + STRIPE_BLOCKS], max(sizes), bits)
+        grid = tables.alphabet.take(_decode_blocks(payloads[k : k + STRIPE_BLOCKS], max(sizes), tables))
         if min(sizes) == max(sizes):
             out[filled : filled + grid.size] = grid.ravel()
         else:
@@ -242,37 +299,36 @@ def decode_stripe(data: bytes) -> np.ndarray:
         filled += sum(sizes)
     at = 0
     for k, (n, _, _, crc) in enumerate(table):
-        if zlib.crc32(out[at : at + n].tobytes()) != crc:
+        if zlib.crc32(out[at : at + n]) != crc:
             raise ValueError(f"block {k} is decoded to other ids")
         at += n
     return out
 
 
-def _decode_blocks(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
+def _decode_blocks(payloads: list[bytes], steps: int, tables: _Tables) -> np.ndarray:
     lanes = len(payloads)
-    grid = np.zeros((steps, lanes), "<u4")
-    leading = np.append(0, 1 << np.arange(bits)).astype(np.int32)
-    spare = np.maximum(np.arange(bits + 1) - 1, 0).astype(_U)
-    model, coder = _Mixer(lanes, bits), _Decoder(payloads)
+    grid = np.zeros((steps, lanes), np.int32)
+    bits, last_place = _U(tables.total_bits), _U((1 << tables.total_bits) - 1)
+    ranks_at = tables.ranks_at()
+    model, coder = _Mixer(lanes, tables), _Decoder(payloads)
     for t in range(steps):
         model.predict()
         unit = coder.range >> _U(12)
-        v = (coder.code // unit).astype(np.int32)
-        hit2, hit1, escaped = v < model.f2, v < model.c1, v >= model.c0
-        start, size = model.interval(hit2, hit1, escaped)
-        code, width = coder.code - start.astype(_U) * unit, size.astype(_U) * unit
-        total = model.upto[:, -1]
-        unit = width // total.astype(_U)
-        v = np.minimum(code // unit, (total - 1).astype(_U)).astype(np.int16)
-        kind = (model.upto <= v[:, None]).sum(axis=1)
-        start, size = model.length_interval(kind)
-        tail = (size.astype(_U) * unit) >> spare.take(kind)
-        rest = code - start.astype(_U) * unit
-        v = rest // tail
-        coder.code = np.where(escaped, rest - v * tail, code)
-        coder.range = np.where(escaped, tail, width)
-        x = np.where(hit2, model.two.id, np.where(hit1, model.one.id, np.where(escaped, v.astype(np.int32) + leading.take(kind), model.major)))
+        v = np.minimum(coder.code // unit, _U(_ONE - 1)).astype(np.int32)
+        hit2 = v < model.f2
+        inside = v < model.c1
+        begin = np.where(hit2, 0, np.where(inside, model.f2, model.c1))
+        end = np.where(hit2, model.f2, np.where(inside, model.c1, _ONE))
+        code, width = coder.code - begin.astype(_U) * unit, (end - begin).astype(_U) * unit
+        small = width >> bits
+        # Where a prediction was right the quotient says nothing.
+        place = np.minimum(code // small, last_place)
+        found = ranks_at.take(place.astype(np.int64)) if ranks_at is not None else (np.searchsorted(tables.upto, place.astype(np.int64), "right") - 1).astype(np.int32)
+        x = np.where(hit2, model.id2, np.where(inside, model.id1, found))
+        escaped = ~inside
+        coder.code = code - escaped * (tables.start.take(found) * small)
+        coder.range = np.where(escaped, tables.size.take(found) * small, width)
         coder.shift()
-        model.learn(x, kind, escaped)
+        model.learn(x)
         grid[t] = x
     return np.ascontiguousarray(grid.T)

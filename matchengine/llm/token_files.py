@@ -16,12 +16,13 @@ by a hash of their text; an empty table gives an empty set of files.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -29,21 +30,32 @@ from matchengine.llm import textvec as tv
 from matchengine.llm import token_codec as codec
 from matchengine.llm import tokens as tk
 
-#: More files than this gain nothing; their bounds are part of the plan.
-MAX_FILES = 5000
+#: Text of one file, as long as there are at most MAX_FILES (their bounds are
+#: part of the plan); beyond, files grow.
+FILE_BYTES, MAX_FILES = 256 << 20, 100_000
 STRIPE_TOKENS = codec.BLOCK_TOKENS * codec.STRIPE_BLOCKS
 STRIPE = "file int, stripe int, doc_ids array<long>, counts array<long>, data binary"
 
 
+def _file_of(number: Column, bounds: list[int]) -> Column:
+    """How many bounds are below ``number``: first by every k-th, then among k."""
+    if not bounds:
+        return F.lit(0)
+    listed = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<long>")
+    step = max(1, math.isqrt(len(bounds)))
+    coarse = F.size(F.filter(listed(bounds[step - 1 :: step]), lambda x: x < number)) * step
+    return coarse + F.size(F.filter(F.slice(listed(bounds), coarse + 1, F.lit(step)), lambda x: x < number))
+
+
 def write_token_files(documents: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
     """Tokenise every whole text and write the files to a new folder."""
-    source = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    files = min(MAX_FILES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    source = documents.select(tv.long_id(documents, doc_id).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = min(MAX_FILES, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES)))
     # Bounds come from the ids alone; a range partitioning would read all texts
     # once more to sample them.
     bounds = source.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)] or [0.5], 20 * files)).first()[0] or []
-    numbers = F.split(F.lit(",".join(map(str, sorted(set(bounds))))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
-    part = F.size(F.filter(numbers, lambda x: x < F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))))
+    part = _file_of(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), sorted(set(bounds)))
     dealt = source.select(part.alias("file"), "doc_id", "text").repartitionById(files, "file").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
