@@ -10,12 +10,13 @@ landmarks and with the dual weights.
 
 The model is fitted on a bounded sample, ``SAMPLE_PER_LANGUAGE`` labelled rows a
 language and ``SAMPLE`` in all, drawn by a hash of the id.  What is broadcast is
-``LANDMARKS`` x ``BUCKETS`` numbers (4 MB) at most.
+``LANDMARKS`` x ``BUCKETS`` numbers (4 MB) and ``LANDMARKS`` weights a language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-without any labelled row every text is.  All labels are learnt; more than
-``MAX_LANGUAGES`` of them are an error.  A null id is neither held out
-nor learnt from.  Repeated rows are judged alike.
+without any labelled row every text is.  All labels are learnt, with fewer rows
+each the more there are; more than ``MAX_LANGUAGES`` of them are an error.  Of
+equal scores the first label in order wins.  A null id is neither held out nor
+learnt from.  Repeated rows are judged alike.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchengine.llm import textvec as tv
@@ -33,7 +34,9 @@ from matchengine.llm import textvec as tv
 NGRAMS = (1, 2, 3)
 BUCKETS = 8192
 LANDMARKS = 128
-SAMPLE_PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 400, 8000, 200
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 8000
+#: A label needs a row of the sample; there are fewer languages than that.
+MAX_LANGUAGES = SAMPLE
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -81,8 +84,10 @@ class KernelModel:
     def fit(rows: np.ndarray, labels: list[str]) -> KernelModel:
         languages = sorted(set(labels))
         of = {c: [k for k, x in enumerate(labels) if x == c] for c in languages}
-        share = max(1, LANDMARKS // max(1, len(languages)))
-        chosen = sorted(k for c in languages for k in of[c][:share])
+        # One of each language in turn; beyond LANDMARKS languages, of the first in
+        # the rows' random order.
+        turns = sorted((turn, k) for c in languages for turn, k in enumerate(of[c]))
+        chosen = sorted(k for _, k in turns[:LANDMARKS])
         unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
         marks = unit[chosen]
         k_nm, k_mm = (unit @ marks.T).astype(float), (marks @ marks.T).astype(float)
@@ -114,11 +119,12 @@ def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
         raise ValueError(f"more than {MAX_LANGUAGES} languages; a model of all would not fit its bound")
     if not counts:
         return None
-    each = min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts))
+    each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(counts)))
     scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(scale, each * scale // r["count"]))])
+    # At most MAX_LANGUAGES rows: of a rare label every row may be drawn.
+    share = documents.sparkSession.createDataFrame([(r["lang"], min(scale, 2 * each * scale // r["count"])) for r in counts], "__lang string, share long")
     drawn = F.xxhash64(F.lit("langid"), F.col("id").cast("string"))
-    sample = rows.where(F.pmod(drawn, F.lit(scale)) < F.coalesce(F.get(F.array(F.try_element_at(share, F.col("lang"))), F.lit(0)), F.lit(0))).select("lang", "text", drawn.alias("drawn"))
+    sample = rows.join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(F.pmod(drawn, F.lit(scale)) < F.col("share")).select("lang", "text", drawn.alias("drawn"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tv.text_chunks(batches, 1, tv.CHUNK_BYTES // 2):
@@ -126,7 +132,10 @@ def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
             some = pa.array(has_letter(data, offsets))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "drawn", "bits"]).filter(some)
 
-    found = sample.mapInArrow(bits, "lang string, drawn long, bits binary").orderBy("drawn", "lang").limit(2 * SAMPLE).collect()
+    # About twice as many as wanted are drawn; of each label the first stay.
+    first = Window.partitionBy("lang").orderBy("drawn", "bits")
+    drawn_rows = sample.mapInArrow(bits, "lang string, drawn long, bits binary")
+    found = drawn_rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).orderBy("drawn", "lang", "bits").limit(SAMPLE + len(counts)).collect()
     if not found:
         return None
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1)
