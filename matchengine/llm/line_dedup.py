@@ -10,10 +10,9 @@ of at least that many lines; every member but the earliest is a later copy,
 and overlapping copies join into the maximal repeated run, which is deleted.
 A line of ``long_line`` characters or more is a run by itself.
 
-With ``run_chars`` or ``run_words`` a repeated run of fewer than ``min_lines``
-lines is deleted too where it has that many characters (line ends between its
-lines included) or words.  Every length below ``min_lines`` is named then, one
-line more a round.
+A repeated run of fewer than ``min_lines`` lines is deleted too where it has
+``run_words`` words or ``run_chars`` characters (line ends between its lines
+included).  Every length below ``min_lines`` is named then, one line more a round.
 
 Only hashes of lines and positions are shuffled; texts meet the deletions in
 one join by document.  Names are aggregated before they are joined, so a line
@@ -58,27 +57,30 @@ def _pairs(named: DataFrame, offset: int) -> DataFrame:
     return found.where(F.col("__q") == F.col("__p") + offset).drop("__q")
 
 
-def _least(lines: Column, at: Column, min_lines: int, run_chars: int | None, run_words: int | None) -> Column:
-    """Lines from ``at`` on that a run needs to pass a bound, at most ``min_lines``."""
-    passes = []
+def _least(sizes: Column, at: Column, min_lines: int, run_chars: int | None, run_words: int | None) -> Column:
+    """Lines from ``at`` on that a run needs to pass a bound, at most ``min_lines``;
+    ``sizes`` holds the characters and words of each line."""
+    passes, chars, words = [], F.lit(-1), F.lit(0)
     for size in range(1, min_lines):
-        run = F.array_join(F.slice(lines, at + 1, F.lit(size)), "\n")
-        chars = F.length(run) >= run_chars if run_chars is not None else F.lit(False)
-        words = F.regexp_count(run, F.lit(r"[^\x20\x09-\x0D]+")) >= run_words if run_words is not None else F.lit(False)
-        passes.append(F.when(chars | words, size))
+        line = F.get(sizes, at + (size - 1))
+        chars, words = chars + F.coalesce(line["chars"] + 1, F.lit(0)), words + F.coalesce(line["words"], F.lit(0))
+        long = (chars >= run_chars if run_chars is not None else F.lit(False)) | (words >= run_words if run_words is not None else F.lit(False))
+        passes.append(F.when(long, size))
     return F.coalesce(*passes, F.lit(min_lines))
 
 
 def repeated_lines(documents: DataFrame, *, doc_id: str, text: str, min_lines: int, long_line: int, run_chars: int | None = None, run_words: int | None = None) -> DataFrame:
     """Lines to delete: __id, __h (hash of the text) and the sorted ``__gone``."""
     bounded = min_lines > 1 and (run_chars is not None or run_words is not None)
-    more = lambda all_, k: [_least(all_, k, min_lines, run_chars, run_words).alias("least")] if bounded else []
-    parts = lambda all_: F.transform(all_, lambda x, k: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.length(x) >= long_line).alias("long"), *more(all_, k)))
-    lines = documents.where(F.col(f"`{text}`").isNotNull()).select(
-        F.col(f"`{doc_id}`").alias("__id"),
-        F.xxhash64(f"`{text}`").alias("__h"),
-        F.posexplode(once(F.split(f"`{text}`", "\n"), parts) if bounded else parts(F.split(f"`{text}`", "\n"))).alias("__p", "__x"),
-    )
+    split = F.split(f"`{text}`", "\n")
+    plain = lambda x: [F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.length(x) >= long_line).alias("long")]
+    if bounded:
+        count = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) if run_words is not None else F.lit(0)
+        sized = F.transform(split, lambda x: F.struct(*plain(x), F.length(x).alias("chars"), count(x).alias("words")))
+        parts = once(sized, lambda all_: F.transform(all_, lambda x, k: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["long"].alias("long"), _least(all_, k, min_lines, run_chars, run_words).alias("least"))))
+    else:
+        parts = F.transform(split, lambda x: F.struct(*plain(x)))
+    lines = documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__h"), F.posexplode(parts).alias("__p", "__x"))
     rows = lines.select(*KEY, "__p", F.col("__x.a").alias("__n1"), F.col("__x.b").alias("__n2"), F.col("__x.long").alias("__long"), *([F.col("__x.least").alias("__least")] if bounded else []))
     named = _named(rows, ["__n1", "__n2"])
     if min_lines > 1:
@@ -103,7 +105,7 @@ def _collected(runs: DataFrame) -> DataFrame:
     return lines.groupBy(*KEY).agg(F.sort_array(F.collect_set("__p")).alias("__gone"))
 
 
-def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = 3, long_line: int = 200, run_chars: int | None = None, run_words: int | None = None, report: bool = False, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = 3, long_line: int = 200, run_chars: int | None = None, run_words: int | None = 50, report: bool = False, drop_empty: bool = False) -> DataFrame:
     """``documents`` with later copies of repeated line runs deleted.
 
     ``report`` adds n_lines and n_removed; ``drop_empty`` leaves out documents

@@ -85,10 +85,12 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": r"""
-            WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text IS NOT NULL),
+            WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text IS NOT NULL),
+            l AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM s),
             w AS (
               SELECT doc_id, p, 3 AS size, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS key FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)
-              UNION ALL SELECT doc_id, p, 1, line FROM l WHERE length(line) >= 200),
+              UNION ALL SELECT doc_id, p, 1, line FROM l WHERE length(line) >= 200 OR n >= 50
+              UNION ALL SELECT doc_id, p, 2, CASE WHEN n + lead(n) OVER o >= 50 THEN line || chr(10) || lead(line) OVER o END FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
             again AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, key ORDER BY doc_id, p) AS place FROM w WHERE key IS NOT NULL),
             gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS p FROM again WHERE place > 1),
             kept AS (
@@ -127,16 +129,25 @@ def oracle_sql() -> dict[str, str]:
               FROM d LEFT JOIN repeated r USING (doc_id)),
             b AS (
               SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-                     least(1000 * n_symbols // nullif(word_chars, 0), 1000) AS r0, least(1000 * n_dup_lines // nullif(n_lines, 0), 1000) AS r1,
-                     least(1000 * n_repeat_words // nullif(n_words, 0), 1000) AS r2, least(10 * word_chars // nullif(n_words, 0), 1000) AS r3
+                     1000 * n_symbols // nullif(word_chars, 0) AS r0, 1000 * n_dup_lines // nullif(n_lines, 0) AS r1, 1000 * n_repeat_words // nullif(n_words, 0) AS r2, 10 * word_chars // nullif(n_words, 0) AS r3
               FROM c),
+            v AS (SELECT lang, source, unnest([0, 1, 2, 3]) AS ratio, unnest([r0, r1, r2, r3]) AS x FROM b WHERE NOT base_failed),
+            t AS (SELECT lang, source, ratio, CASE WHEN x < 1024 THEN x ELSE (x >> (length(bin(x)) - 11)) << (length(bin(x)) - 11) END AS x FROM v WHERE x IS NOT NULL),
+            g AS (SELECT *, row_number() OVER (PARTITION BY lang, source, ratio ORDER BY x) AS k, count(*) OVER (PARTITION BY lang, source, ratio) AS n FROM t),
+            h AS (SELECT *, row_number() OVER (PARTITION BY lang, ratio ORDER BY x) AS k, count(*) OVER (PARTITION BY lang, ratio) AS n FROM t),
+            gq AS (SELECT lang, source, ratio, max(n) AS n, min(x) FILTER (1000 * k >= 250 * n) AS a, min(x) FILTER (1000 * k >= 500 * n) AS m, min(x) FILTER (1000 * k >= 750 * n) AS u, min(x) FILTER (1000 * k >= 800 * n) AS e, min(x) FILTER (1000 * k >= 980 * n) AS z FROM g GROUP BY ALL),
+            hq AS (SELECT lang, ratio, min(x) FILTER (1000 * k >= 250 * n) AS a, min(x) FILTER (1000 * k >= 500 * n) AS m, min(x) FILTER (1000 * k >= 750 * n) AS u, min(x) FILTER (1000 * k >= 800 * n) AS e, min(x) FILTER (1000 * k >= 980 * n) AS z FROM h GROUP BY ALL),
             q AS (
-              SELECT lang, source, quantile_disc(r0, [0.25, 0.75]) AS q0, quantile_disc(r1, [0.25, 0.75]) AS q1, quantile_disc(r2, [0.25, 0.75]) AS q2, quantile_disc(r3, [0.25, 0.75]) AS q3
-              FROM b GROUP BY ALL)
+              SELECT gq.lang, gq.source, gq.ratio, (n * gq.a + 100 * hq.a) // (n + 100) AS a, (n * gq.m + 100 * hq.m) // (n + 100) AS m, (n * gq.u + 100 * hq.u) // (n + 100) AS u,
+                     (n * gq.e + 100 * hq.e) // (n + 100) AS e, (n * gq.z + 100 * hq.z) // (n + 100) AS z
+              FROM gq JOIN hq ON gq.lang IS NOT DISTINCT FROM hq.lang AND gq.ratio = hq.ratio),
+            lim AS (
+              SELECT lang, source, max(e + 8 * greatest(e - m, 1)) FILTER (ratio = 0) AS h0, max(z + 2 * greatest(z - m, 1)) FILTER (ratio = 1) AS h1, max(z + 2 * greatest(z - m, 1)) FILTER (ratio = 2) AS h2,
+                     max(u + 8 * greatest(u - a, 1)) FILTER (ratio = 3) AS h3, max(a - 8 * greatest(u - a, 1)) FILTER (ratio = 3) AS l3
+              FROM q GROUP BY ALL)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-                   NOT base_failed AND NOT coalesce(r0 > q0[2] + 3 * (q0[2] - q0[1]) + 50, false) AND NOT coalesce(r1 > q1[2] + 3 * (q1[2] - q1[1]) + 500, false)
-                   AND NOT coalesce(r2 > q2[2] + 3 * (q2[2] - q2[1]) + 190, false) AND NOT coalesce(r3 > q3[2] + 3 * (q3[2] - q3[1]) + 20 OR r3 < q3[1] - 3 * (q3[2] - q3[1]) - 20, false) AS kept
-            FROM b JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source""",
+                   NOT base_failed AND NOT coalesce(r0 > h0, false) AND NOT coalesce(r1 > h1, false) AND NOT coalesce(r2 > h2, false) AND NOT coalesce(r3 > h3 OR r3 < l3, false) AS kept
+            FROM b LEFT JOIN lim ON b.lang IS NOT DISTINCT FROM lim.lang AND b.source IS NOT DISTINCT FROM lim.source""",
         "op5_url_trie": r"""
             WITH parts AS (
               SELECT page_id,
