@@ -38,7 +38,17 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    kept = spark.read.schema(frame.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``keep`` returned; nothing may read them
+    any more.  Other frames are left alone."""
+    for frame in frames:
+        if path := getattr(frame, "kept_at", None):
+            _delete(frame.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -54,6 +64,9 @@ def release(spark: SparkSession) -> None:
 def sweep(spark: SparkSession) -> None:
     """Delete all tables this application has kept; results that still read
     them must have been written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -42,23 +42,38 @@ def ti_to_branching(ti: Column, cc: Column) -> Column:
     return ti / (1 + cc)
 
 
-def log_ft_conflict(log_ft: Column, dj: Column, parity_change: Column) -> Column:
+def _log_ft_width(log_ft: Column, unc: Column) -> Column:
+    """Uncertainty of a log ft value; a fifth of it where none is given."""
+    return F.coalesce(unc, 0.2 * log_ft)
+
+
+def _forbidden_log_ft(log_ft: Column, unc: Column, limit: Column) -> Column:
+    """Whether a log ft is high enough for a first-forbidden unique transition;
+    ``limit`` is the text of a limit, such as GT."""
+    return (log_ft - _log_ft_width(log_ft, unc) >= 8.5) | ((log_ft >= 8.5) & F.coalesce(limit, F.lit("")).startswith("G"))
+
+
+def log_ft_unlikely(dj: Column, parity_change: Column) -> Column:
+    return F.when((dj > 2) | ((dj == 2) & ~parity_change), "decay branch is less likely")
+
+
+def log_ft_conflict(log_ft: Column, unc: Column, limit: Column, dj: Column, parity_change: Column, unique: Column) -> Column:
     """Message where a log ft value does not fit the spins; null if it does."""
-    return (
-        F.when(dj > 2, "transition with a spin change above 2 is unlikely")
-        .when((log_ft >= 3.6) & (log_ft <= 5.9) & ((dj > 1) | parity_change), "allowed transition needs a spin change of 0 or 1 without parity change")
-        .when((log_ft >= 8.5) & (dj == 2) & ~parity_change, "first-forbidden unique transition needs a parity change")
-    )
+    allowed = ((log_ft > 3.6) & (log_ft + _log_ft_width(log_ft, unc) < 5.9)) | ((log_ft < 5.9) & F.coalesce(limit, F.lit("")).startswith("L"))
+    forbidden = (F.upper(F.coalesce(unique, F.lit(""))) == "1U") & _forbidden_log_ft(log_ft, unc, limit)
+    parity = F.when(allowed, parity_change).when(forbidden, ~parity_change)
+    spin = F.when(allowed, dj > 1).when(forbidden, dj > 2)
+    return F.when(parity & spin, "log ft does not fit the parity and spin change").when(parity, "log ft does not fit the parity change").when(spin, "log ft does not fit the spin change")
 
 
-def unique_flag_missing(log_ft: Column, unc: Column, dj: Column, parity_change: Column, unique: Column) -> Column:
+def unique_flag_missing(log_ft: Column, unc: Column, limit: Column, dj: Column, parity_change: Column, unique: Column) -> Column:
     """Message where a first-forbidden unique transition lacks its flag."""
-    return F.when((log_ft - unc >= 8.5) & (dj == 2) & parity_change & (F.upper(F.coalesce(unique, F.lit(""))) != "1U"), "flag 1U is missing")
+    return F.when(_forbidden_log_ft(log_ft, unc, limit) & (dj == 2) & parity_change & (F.upper(F.coalesce(unique, F.lit(""))) != "1U"), "flag 1U is missing")
 
 
 def zero_to_zero_conflict(log_ft: Column, unc: Column, zero_to_zero: Column) -> Column:
     """Message for 0+ to 0+ with a log ft inside the window, as the reference tells it."""
-    return F.when(zero_to_zero & (log_ft > 3.6) & (log_ft + unc < 6.4), "log ft between 3.6 and 6.4 for 0+ to 0+")
+    return F.when(zero_to_zero & (log_ft > 3.6) & (log_ft + _log_ft_width(log_ft, unc) < 6.4), "log ft between 3.6 and 6.4 for 0+ to 0+")
 
 
 def hindrance_conflict(hf: Column, odd_mass: Column, same_jpi: Column, natural_parity: Column) -> Column:

@@ -98,6 +98,12 @@ def _matched(a: Column, b: Column, cut: float, gain, by_z: bool) -> Column:
     return F.aggregate(a, start, take, lambda acc: acc["total"])
 
 
+def greedy_matches(a: Column, b: Column, cut: float) -> Column:
+    """Lines of ``a`` that take a free line of ``b`` within ``cut`` sigmas, each
+    the nearest, in turn."""
+    return _matched(a, b, cut, lambda x, y: F.lit(1.0), True)
+
+
 def gamma_similarity(g1: Column, g2: Column, c: MatchConfig = CONFIG) -> Column:
     """Overlap of two line patterns that a subset of lines cannot lower."""
     a, b = positive_gammas(g1), positive_gammas(g2)
@@ -145,6 +151,10 @@ def snapped(gamma: Column, c: MatchConfig = CONFIG) -> Column:
     return chain
 
 
+def filled_uncertainty(dx: Column, default: float = 10.0) -> Column:
+    return F.coalesce(dx, F.lit(default))
+
+
 def legacy_veto(spin1: Column, spin2: Column, parity1: Column, parity2: Column) -> Column:
     differ = lambda x, y: F.coalesce(x != y, F.lit(False))
     return differ(spin1, spin2) | differ(parity1, parity2)

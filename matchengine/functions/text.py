@@ -118,9 +118,17 @@ def nuclide(folder: Column) -> Column:
 
 
 def rounded_like(value: Column, printed: Column) -> Column:
-    """``value`` as text with as many decimals as ``printed`` shows."""
+    """``value`` as text with as many decimals as ``printed`` shows, without
+    separators; halves go away from zero."""
     decimals = _digits_after_point(printed)
-    return F.format_string("%s", F.when(decimals == 0, F.round(value, 0).cast("long").cast("string")).otherwise(F.element_at(F.array(*[F.format_number(value, d) for d in range(1, 7)]), F.least(decimals, F.lit(6))))).alias("rounded")
+    # Text rather than a double is shifted: 1.005 has no exact double.
+    exact = value.cast("string").try_cast("decimal(38,18)")
+    unit = F.concat(F.lit("1E"), decimals.cast("string")).cast("decimal(38,0)")
+    scaled = F.round(exact * unit, 0).cast("decimal(38,0)").cast("string")
+    digits = F.lpad(F.regexp_replace(scaled, "^-", ""), F.greatest(F.length(F.regexp_replace(scaled, "^-", "")), decimals + 1), "0")
+    whole = F.substring(digits, F.lit(1), F.length(digits) - decimals)
+    shown = F.when(decimals > 0, F.concat(whole, F.lit("."), F.right(digits, decimals))).otherwise(digits)
+    return F.concat(F.when(scaled.startswith("-"), "-").otherwise(""), shown).alias("rounded")
 
 
 def message_line(column: Column, text: Column, kind: Column) -> Column:

@@ -98,6 +98,8 @@ def distance_to_group(rows: DataFrame, by: list[str]) -> DataFrame:
 # quantity, collected with a bound that is checked ---------------------------
 
 MAX_POINTS = 100_000
+#: Numbers that one step of an iteration holds (32 MB an array).
+BLOCK = 4_000_000
 
 
 def limited_weights(x: np.ndarray, dx: np.ndarray, most: float = 0.5) -> tuple[float, float]:
@@ -129,8 +131,10 @@ def normalised_residuals(x: np.ndarray, dx: np.ndarray, critical: float = 2.58)
 
 def expected_value(x: np.ndarray, dx: np.ndarray) -> tuple[float, float]:
     """Mean of the values' summed normal densities."""
-    density = np.exp(-0.5 * ((x[:, None] - x[None, :]) / dx[None, :]) ** 2) / dx[None, :]
-    w = density.sum(axis=1)
+    # In blocks of rows, so that a large group needs no square of its size at once.
+    step = max(1, BLOCK // len(x))
+    density = lambda part: np.exp(-0.5 * ((part[:, None] - x[None, :]) / dx[None, :]) ** 2) / dx[None, :]
+    w = np.concatenate([density(x[k : k + step]).sum(axis=1) for k in range(0, len(x), step)])
     w /= w.sum()
     mean = float((w * x).sum())
     return mean, float(max(np.sqrt((w**2 * dx**2).sum()), np.sqrt((w * (x - mean) ** 2).sum() / len(x))))
@@ -178,8 +182,11 @@ def rajeval(x: np.ndarray, dx: np.ndarray, critical: float = 2.58) -> tuple[floa
 def bootstrap(x: np.ndarray, dx: np.ndarray, draws: int = 20_000, seed: int = 42) -> tuple[float, float]:
     """Median of resampled, perturbed values, and its spread."""
     rng = np.random.default_rng(seed)
-    picked = rng.integers(0, len(x), (draws, len(x)))
-    medians = np.median(rng.normal(x[picked], dx[picked]), axis=1)
+    medians, step = [], max(1, BLOCK // len(x))
+    for k in range(0, draws, step):
+        picked = rng.integers(0, len(x), (min(step, draws - k), len(x)))
+        medians.append(np.median(rng.normal(x[picked], dx[picked]), axis=1))
+    medians = np.concatenate(medians)
     return float(medians.mean()), float(medians.std())
 
 
@@ -222,3 +229,11 @@ def probability_bands(rows: DataFrame, p: str) -> DataFrame:
         F.count_if(high).alias("n_high"), F.count_if((v >= 0.3) & (v < 0.7)).alias("n_medium"), F.count_if(low).alias("n_low"), F.stddev_pop(v).alias("spread"),
         F.coalesce(F.avg(F.when(high, v)) - F.avg(F.when(low, v)), F.lit(0.0)).alias("separation"),
     )
+
+
+def overfit(rows: DataFrame, held_out: str, y: str, p: str) -> DataFrame:
+    """Error on held-out rows less that on the others, and what it says."""
+    square = (F.col(y) - F.col(p)) * (F.col(y) - F.col(p))
+    found = rows.agg(F.sqrt(F.avg(F.when(F.col(held_out), square))).alias("held"), F.sqrt(F.avg(F.when(~F.col(held_out), square))).alias("own"))
+    gap = F.col("held") - F.col("own")
+    return found.select(gap.alias("gap"), F.when(gap > 0.05, "over-fitted").when(gap > 0.01, "slightly over-fitted").otherwise("good").alias("verdict"))

@@ -1,7 +1,7 @@
 """Connected components of an edge table, smallest member as the name.
 
-Each task first replaces its share of the edges by a forest, so copies of one
-path or cycle go before any shuffle.  Labels start as the least neighbour.  Each
+Each task first replaces its share of the edges between integers by a forest, so
+copies of one path or cycle go before any shuffle.  Labels start as the least neighbour.  Each
 round takes the least label among a vertex and its neighbours and then the label
 of that label, so paths shorten by more than half; the loop ends when no label
 has changed.  Every round is written to the shared folder, so lineage stays
@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from matchengine.durable import keep
+from matchengine.durable import discard, keep
 
 
 def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +48,21 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (vertex, component); vertices without edges are absent."""
-    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forests, "a long, b long")
+    edges = edges.select("a", "b").where("a <> b")
+    if isinstance(edges.schema["a"].dataType, IntegralType):
+        edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forests, "a long, b long")
     both = keep(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     labels = keep(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("n")).select("vertex", F.least("vertex", "n").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("vertex").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("n"))
         hooked = labels.join(near.withColumnRenamed("a", "vertex"), "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "n").alias("component"))
-        hooked = keep(hooked, "labels")
+        before, hooked = labels, keep(hooked, "labels")
         of = hooked.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
         jumped = hooked.join(of, "component").select("vertex", "was", F.col("top").alias("component"))
         seen = Observation()
         labels = keep(jumped.observe(seen, F.count_if(F.col("was") != F.col("component")).alias("changed")).select("vertex", "component"), "labels")
-        if not seen.get["changed"]:
+        changed = seen.get["changed"]
+        discard(before, hooked)
+        if not changed:
+            discard(both)
             return labels

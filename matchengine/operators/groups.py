@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.durable import keep
+
 
 def gap_islands(rows: DataFrame, by: list[str], x: Column, gap: float, name: str = "island", tie: list[str] | None = None) -> DataFrame:
     """Number of the island of each row: a new one after a gap above ``gap``."""
@@ -15,25 +20,56 @@ def gap_islands(rows: DataFrame, by: list[str], x: Column, gap: float, name: str
     return marked.withColumn(name, F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__x", "__new")
 
 
+def by_island(rows: DataFrame, key: list[str], columns: list[str], solve: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """``solve(*columns)`` of each island (rows of one key, as lists) in Python.
+
+    Many small islands share a call, whose number follows that of the partitions;
+    ``solve`` gives tuples, the result is the key and ``schema``.
+    """
+    calls = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [x.split(" ")[0].strip("`") for x in schema.split(", ")]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        number = part.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+        part = part.iloc[np.argsort(number, kind="stable")]
+        edges = np.flatnonzero(np.append(True, np.diff(np.sort(number)) > 0)).tolist() + [len(part)]
+        lists, keys = [part[c].tolist() for c in columns], [part[c].tolist() for c in key]
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            head = tuple(k[a] for k in keys)
+            out += [(*head, *row) for row in solve(*[x[a:b] for x in lists])]
+        return pd.DataFrame(out, columns=[*key, *names])
+
+    dealt = rows.select(*key, *columns, F.pmod(F.xxhash64(*key), F.lit(calls)).alias("__call"))
+    return dealt.groupBy("__call").applyInPandas(lambda part: run(part), f"{kinds}, {schema}")
+
+
 def coarse_groups(rows: DataFrame, by: str, delta: float) -> DataFrame:
     """Groups along the energies of one nuclide: cut at a gap above delta, or
-    above delta / 2 in a group wider than delta.  ``rows``: by, x; the width
-    of a group depends on its first member, so islands are cut one by one."""
-    islands = gap_islands(rows, [by], F.col("x"), delta)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in islands.schema) + ", part int"
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("x", kind="stable")
+    above delta / 2 in a group wider than delta.  ``rows``: by, x and, if given, dx:
+    neighbours whose energies agree within their uncertainties are not parted.  The
+    width of a group depends on its first member, so islands are cut one by one."""
+    given = "dx" in rows.columns
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    order = Window.partitionBy(by).orderBy("x", "__row")
+    ahead = F.col("x") - F.lag("x").over(order)
+    agree = ahead <= F.sqrt(F.col("dx") * F.col("dx") + F.lag("dx").over(order) * F.lag("dx").over(order)) if given else F.lit(False)
+    marked = numbered.withColumn("__agree", F.coalesce(agree, F.lit(False))).withColumn("__new", F.coalesce(((ahead > delta) & ~F.col("__agree")).cast("int"), F.lit(0)))
+    islands = keep(marked.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new"), "islands")
+
+    def cut(x: list[float], row: list[int], agrees: list[bool]) -> list[tuple]:
         number, first, last, out = 0, None, None, []
-        for value in part.x:
-            if last is not None and value - last > delta / 2 and last - first > delta:
+        for value, name, same in sorted(zip(x, row, agrees, strict=True)):
+            if last is not None and not same and value - last > delta / 2 and last - first > delta:
                 number, first = number + 1, value
             first = value if first is None else first
             last = value
-            out.append(number)
-        return part.assign(part=out)
+            out.append((name, number))
+        return out
 
-    return islands.groupBy(by, "island").applyInPandas(cut, schema)
+    parts = by_island(islands, [by, "island"], ["x", "__row", "__agree"], cut, "__row bigint, part int")
+    return islands.drop("__agree").join(parts.select("__row", "part"), "__row").drop("__row")
 
 
 def fixed_bins(x: Column, low: Column, width: float) -> Column:
@@ -77,37 +113,35 @@ def assign_in_order(rows: DataFrame, by: list[str]) -> DataFrame:
     assignments the one with most records placed and the least total distance.
     ``rows``: by, record (rank), grp (rank), cost; ``by`` should name an island
     of energies, beyond which no pair reaches."""
-    key = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        records, groups = sorted(part.record.unique()), sorted(part.grp.unique())
-        cost = {(r, g): c for r, g, c in zip(part.record, part.grp, part.cost, strict=True)}
-        width = len(groups) + 1
+    def solve(record: list[int], grp: list[int], costs: list[float]) -> list[tuple]:
+        records, sides = sorted(set(record)), sorted(set(grp))
+        cost = dict(zip(zip(record, grp, strict=True), costs, strict=True))
+        width = len(sides) + 1
         # best[j]: (records placed, -distance) with groups up to j in use.
-        rows_ = [[(0, 0.0)] * width]
+        best = [[(0, 0.0)] * width]
         for r in records:
-            before, now = rows_[-1], [(0, 0.0)]
-            for j, g in enumerate(groups, 1):
+            before, now = best[-1], [(0, 0.0)]
+            for j, g in enumerate(sides, 1):
                 choice = max(before[j], now[j - 1])
                 if (r, g) in cost:
                     n, d = before[j - 1]
                     choice = max(choice, (n + 1, d - cost[r, g]))
                 now.append(choice)
-            rows_.append(now)
+            best.append(now)
         out, i, j = [], len(records), width - 1
         while i and j:
-            n, d = rows_[i - 1][j - 1]
-            pair = (records[i - 1], groups[j - 1])
-            if pair in cost and rows_[i][j] == (n + 1, d - cost[pair]):
-                out.append((*part[by].iloc[0], *pair))
+            n, d = best[i - 1][j - 1]
+            pair = (records[i - 1], sides[j - 1])
+            if pair in cost and best[i][j] == (n + 1, d - cost[pair]):
+                out.append(pair)
                 i, j = i - 1, j - 1
-            elif rows_[i][j] == rows_[i - 1][j]:
+            elif best[i][j] == best[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        return pd.DataFrame(out, columns=[*by, "record", "grp"])
+        return out
 
-    return rows.groupBy(*by).applyInPandas(solve, f"{key}, record int, grp int")
+    return by_island(rows, by, ["record", "grp", "cost"], solve, "record int, grp int")
 
 
 def drop_marked_groups(members: DataFrame) -> DataFrame:
@@ -159,3 +193,29 @@ def bar_offsets(rows: DataFrame, by: list[str], near: float = 150.0, step: int =
     return rows.withColumn("offset", F.when(up < near, -step).otherwise(0) + F.when(down < near, step).otherwise(0))
 
 
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their place in an order, inside each ``by`` if there is any.
+
+    A place in the whole table is a place in a range of the order plus the rows of
+    the ranges before; only the ranges' counts meet in one task.
+    """
+    if by:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ordered-rows")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__before")
+
+
+def dataset_rank(dataset: Column, order: list[str]) -> Column:
+    """Place of a dataset in a given order; others come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), dataset), F.lit(0)) - 1, F.lit(len(order)))
+
+
+def datasets_of(members: DataFrame, key: str, dataset: str) -> DataFrame:
+    """The distinct datasets of each cluster, sorted."""
+    return members.groupBy(key).agg(F.sort_array(F.collect_set(dataset)).alias("datasets"))

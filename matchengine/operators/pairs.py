@@ -25,15 +25,19 @@ def range_join(left: DataFrame, right: DataFrame, a: Column, b: Column, reach: f
     return near.join(spread, [*by, "__bucket"]).where(F.abs(a - F.col("__x")) <= reach).drop("__bucket", "__x")
 
 
-def cross_dataset_pairs(levels: DataFrame, block: list[str] | None = None, order: dict[str, int] | None = None) -> DataFrame:
-    """Every pair of levels of different datasets inside a block, the dataset
-    first in ``order`` (or in code) on the left, with its enumeration rank."""
+def cross_dataset_pairs(levels: DataFrame, block: list[str] | None = None, order: dict[str, int] | None = None, reach: float | None = None) -> DataFrame:
+    """Every pair of levels of different datasets inside a block (with ``reach``,
+    no farther apart in energy), the dataset first in ``order`` (or in code) on
+    the left, with its enumeration rank."""
     rank = F.col("dataset_code")
     if order:
         rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("dataset_code"))
     ranked = levels.withColumn("ds_rank", rank)
     one, two = (ranked.select(*(block or []), *[F.col(c).alias(f"{c}_{k}") for c in ranked.columns if c not in (block or [])]) for k in (1, 2))
-    pairs = one.join(two, block) if block else one.join(two, F.col("ds_rank_1") < F.col("ds_rank_2"))
+    if reach is not None:
+        pairs = range_join(one, two, F.col("energy_value_1"), F.col("energy_value_2"), reach, block)
+    else:
+        pairs = one.join(two, block) if block else one.join(two, F.col("ds_rank_1") < F.col("ds_rank_2"))
     return pairs.where("ds_rank_1 < ds_rank_2")
 
 
@@ -63,8 +67,8 @@ def nearest(left: DataFrame, right: DataFrame, a: Column, b: Column, key: list[s
     """For each left row the nearest right row within ``reach`` as a struct
     (distance, tie), null if there is none."""
     found = range_join(left.select(*key, *(by or []), a.alias("__a")), right.select(*(by or []), b.alias("__b"), tie.alias("__tie")), F.col("__a"), F.col("__b"), reach, by)
-    best = found.groupBy(*key).agg(F.min(F.struct(F.abs(F.col("__a") - F.col("__b")).alias("distance"), F.col("__tie").alias("tie"))).alias("nearest"))
-    return left.join(best, key, "left")
+    best = found.groupBy(*(by or []), *key).agg(F.min(F.struct(F.abs(F.col("__a") - F.col("__b")).alias("distance"), F.col("__tie").alias("tie"))).alias("nearest"))
+    return left.join(best, [*(by or []), *key], "left")
 
 
 def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: Column, by: list[str] | None = None) -> DataFrame:

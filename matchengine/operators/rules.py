@@ -21,21 +21,44 @@ class Rule:
     message: Column
 
 
+# Keys of current references.
+Q_REFERENCES = ("2021WA16",)
+MOMENT_REFERENCES = {"M1": ("2019STZV", "2020STZV"), "E2": ("2021STZZ",)}
+
+
+def _holds(value: Column, keys: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for key in keys:
+        found = found | F.upper(F.coalesce(value, F.lit(""))).contains(key)
+    return found
+
+
+def _stale_moment(moment: Column, reference: Column) -> Column:
+    """Message for a moment (M1 or E2) whose references and comments hold no
+    current key."""
+    chain = F.lit(None).cast("string")
+    for kind, keys in MOMENT_REFERENCES.items():
+        chain = F.when((moment == kind) & ~_holds(reference, keys), F.lit(f"reference of the {kind} moment is not current")).otherwise(chain)
+    return chain
+
+
 def level_rules() -> list[Rule]:
     c = F.col
     differs = F.abs(c("energy") - c("adopted_energy")) > 0
     rounded = text.rounded_like(c("adopted_energy"), c("energy_text")) == c("energy_text")
+    log_ft = ("log_ft", "log_ft_unc", "log_ft_limit", "dj", "parity_change", "unique")
     return [
-        Rule("R3", ("q_reference",), F.when(~c("q_reference").isin("2021WA16", "CA"), F.concat(F.lit("stale Q-value reference "), c("q_reference")))),
-        Rule("R8", ("moment_reference",), F.when(c("moment_reference").isin("2014StZZ", "2016StZV", "2011StZZ"), F.concat(F.lit("stale moment reference "), c("moment_reference")))),
+        Rule("R3", ("q_reference", "q_uncertainties"), F.when((F.trim("q_reference") != "") & ~_holds(c("q_reference"), Q_REFERENCES) & ~_holds(c("q_uncertainties"), ("CA",)), F.concat(F.lit("stale Q-value reference "), c("q_reference")))),
+        Rule("R8", ("moment", "moment_reference", "moment_comment"), _stale_moment(c("moment"), F.concat_ws(" ", "moment_reference", "moment_comment"))),
         Rule("R9", ("decay_type", "nb", "br"), F.when(c("decay_type").isNotNull() & c("nb").isNull() & (c("br") < 1), F.lit("NB is empty although BR is below 1"))),
         Rule("R10", ("dsid",), F.when(c("dsid").rlike(r"\bB\+ DECAY"), F.lit("B+ DECAY should be EC DECAY or EC+B+ DECAY"))),
         Rule("R13", ("energy", "energy_text", "adopted_energy", "is_quoted"), F.when(c("is_quoted") & differs & ~rounded, F.lit("energy quoted from Adopted differs"))),
         Rule("R14", ("jpi_text", "adopted_jpi", "is_quoted"), F.when(c("is_quoted") & (c("jpi_text") != c("adopted_jpi")), F.lit("spin-parity quoted from Adopted differs"))),
         Rule("R15", ("t12_text", "adopted_t12", "energy", "is_isomer", "t12_seconds"), F.when((c("energy") == 0) & (c("t12_text") == ""), F.lit("ground state has no half-life")).when(c("t12_text") != c("adopted_t12"), F.lit("half-life differs from Adopted")).when((c("t12_seconds") >= 1e-7) & ~c("is_isomer"), F.lit("half-life of an isomer without its flag"))),
         Rule("R21", ("hf", "odd_mass", "same_jpi", "natural_parity"), nuclear.hindrance_conflict(c("hf"), c("odd_mass"), c("same_jpi"), c("natural_parity"))),
-        Rule("R22", ("log_ft", "dj", "parity_change"), nuclear.log_ft_conflict(c("log_ft"), c("dj"), c("parity_change"))),
-        Rule("R22", ("log_ft", "log_ft_unc", "dj", "parity_change", "unique"), nuclear.unique_flag_missing(c("log_ft"), c("log_ft_unc"), c("dj"), c("parity_change"), c("unique"))),
+        Rule("R22", ("dj", "parity_change"), nuclear.log_ft_unlikely(c("dj"), c("parity_change"))),
+        Rule("R22", log_ft, nuclear.log_ft_conflict(*map(c, log_ft))),
+        Rule("R22", log_ft, nuclear.unique_flag_missing(*map(c, log_ft))),
         Rule("R22", ("log_ft", "log_ft_unc", "zero_to_zero"), nuclear.zero_to_zero_conflict(c("log_ft"), c("log_ft_unc"), c("zero_to_zero"))),
     ]
 
@@ -89,3 +112,79 @@ def cross_reference_rule(tags: DataFrame, datasets: DataFrame) -> DataFrame:
 def patch_with_adopted(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Values of quoted columns replaced by the adopted ones."""
     return rows.withColumns({c: F.when(F.col("is_quoted") & F.col(f"adopted_{c}").isNotNull(), F.col(f"adopted_{c}")).otherwise(F.col(c)) for c in columns})
+
+
+def status_rule(matches: DataFrame, key: str) -> DataFrame:
+    """Messages on records by how they were matched to adopted ones.
+    ``matches``: key, status (none, single, chosen, discrepant), listed."""
+    message = (
+        F.when(F.col("status") == "none", "no adopted record")
+        .when(F.col("status") == "discrepant", "energy is discrepant from the adopted record")
+        .when(~F.coalesce("listed", F.lit(False)), "tag of the dataset is missing in the cross-reference")
+    )
+    return matches.select(key, F.when(F.col("status") == "discrepant", "R24").otherwise("R23").alias("rule"), message.alias("message")).where("message IS NOT NULL")
+
+
+def extra_adopted(adopted: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """Adopted records that no record of any dataset was matched to."""
+    used = matches.where(F.col(key).isNotNull()).select(key).distinct()
+    return adopted.join(used, key, "left_anti").select(key, F.lit("R23").alias("rule"), F.lit("adopted record has no record of a dataset").alias("message"))
+
+
+def level_xref_rule(tags: DataFrame, datasets: DataFrame, matches: DataFrame, tolerance: float) -> DataFrame:
+    """Cross-references of adopted levels against what the datasets hold.
+
+    ``tags``: level, tag, marker (text in parentheses, empty if none); ``datasets``:
+    tag, is_theory; ``matches``: level, tag, distance (of the nearest level of that
+    dataset), energy_text.  Marks: ``*`` and ``?`` for several or doubtful levels,
+    ``S`` for a pseudo level; else the note is the level's energy in the dataset.
+    """
+    known = datasets.select("tag", F.lit(True).alias("known"), "is_theory")
+    rows = tags.join(known, "tag", "left").join(matches, ["level", "tag"], "left")
+    mark = F.coalesce("marker", F.lit(""))
+    note = (mark != "") & ~mark.isin("*", "?", "S", "*?", "?*")
+    # try_cast: a note that is no number is a bad one whatever it says.
+    told = F.array(
+        F.when(F.col("known").isNull(), F.lit("tag names no dataset")),
+        F.when(F.col("known") & F.col("distance").isNull() & (mark != "S"), F.lit("dataset has no such level")),
+        F.when((F.col("distance") > tolerance) & (mark == ""), F.lit("level is discrepant and has no note")),
+        F.when(note & F.col("known") & (F.coalesce(F.abs(mark.try_cast("double") - F.col("energy_text").try_cast("double")), F.lit(1e9)) > 0), F.lit("note does not give the level's energy")),
+    )
+    found = rows.select("level", "tag", F.explode(F.filter(told, lambda m: m.isNotNull())).alias("message"))
+    missing = matches.where(F.col("distance") <= tolerance).join(datasets.where("NOT is_theory").select("tag"), "tag", "left_semi").join(tags, ["level", "tag"], "left_anti").select("level", "tag", F.lit("dataset is missing in the cross-reference").alias("message"))
+    return found.unionByName(missing).withColumn("rule", F.lit("R7"))
+
+
+def unplaced_rule(gammas: DataFrame, key: list[str]) -> DataFrame:
+    """Unplaced gammas that a level scheme could place, or that feed one.
+    ``gammas``: key, initial_level, final_level, is_unplaced."""
+    message = F.when(F.col("is_unplaced") & F.col("initial_level").isNotNull(), "unplaced gamma has an initial level").when(~F.col("is_unplaced") & F.col("initial_level").isNull(), "gamma stands before the first level")
+    return gammas.select(*key, F.lit("R25").alias("rule"), message.alias("message")).where("message IS NOT NULL")
+
+
+def band_head_rule(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Bands whose lowest member is not the head that the comment names, or whose
+    members' spins do not rise with energy (R19).  ``members``: band, energy,
+    two_j, jpi; ``heads``: band, head_jpi."""
+    order = Window.partitionBy("band").orderBy("energy", "two_j")
+    placed = members.withColumn("place", F.row_number().over(order)).withColumn("falls", F.coalesce(F.col("two_j") < F.lag("two_j").over(order), F.lit(False)))
+    falling = placed.groupBy("band").agg(F.bool_or("falls").alias("falls"), F.max(F.when(F.col("place") == 1, F.col("jpi"))).alias("lowest"))
+    joined = falling.join(heads, "band", "left")
+    told = F.array(F.when(F.col("head_jpi").isNotNull() & (F.col("head_jpi") != F.col("lowest")), F.lit("head of the band is not its lowest member")), F.when(F.col("falls"), F.lit("spins do not rise along the band")))
+    return joined.select("band", F.lit("R19").alias("rule"), F.explode(F.filter(told, lambda m: m.isNotNull())).alias("message"))
+
+
+def in_band_rule(gammas: DataFrame, members: DataFrame) -> DataFrame:
+    """Gammas flagged as in-band whose final level is in another band.
+    ``gammas``: gamma, initial, final, in_band; ``members``: level, band."""
+    band = lambda c, n: members.select(F.col("level").alias(c), F.col("band").alias(n))
+    joined = gammas.where("in_band").join(band("initial", "b1"), "initial", "left").join(band("final", "b2"), "final", "left")
+    return joined.where("b1 IS NULL OR b2 IS NULL OR b1 <> b2").select("gamma", F.lit("R19").alias("rule"), F.lit("transition leaves the band").alias("message"))
+
+
+def check_datasets(levels: DataFrame, gammas: DataFrame, level_key: str, gamma_key: str) -> DataFrame:
+    """All level and gamma rules over all records of all datasets: kind, key, rule
+    and message (R1, R2, R4, R12 are this for single, adopted and level records)."""
+    one = check(levels, level_rules(), [level_key]).select(F.lit("level").alias("kind"), F.col(level_key).cast("string").alias("key"), "rule", "message")
+    two = check(gammas, gamma_rules(), [gamma_key]).select(F.lit("gamma").alias("kind"), F.col(gamma_key).cast("string").alias("key"), "rule", "message")
+    return one.unionByName(two)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchengine.operators import cluster, pairs
+from matchengine.operators import cluster, groups, pairs
 from matchengine.schema import CONFIG, MatchConfig
 
 
@@ -17,13 +17,16 @@ class Match:
     clusters: DataFrame
 
 
-def match(levels: DataFrame, config: MatchConfig = CONFIG, scorer=None, order: dict[str, int] | None = None) -> Match:
+def match(levels: DataFrame, config: MatchConfig = CONFIG, scorer=None, order: dict[str, int] | None = None, block: list[str] | None = None, reach: float | None = None) -> Match:
     """Match standard levels of different datasets.
 
     ``scorer`` adds ``probability`` to feature rows; without one the rule-based
-    score does.  Pairs not above the pair threshold are left out.
+    score does.  Pairs not above the pair threshold are left out.  Levels are
+    paired inside a ``block`` (columns such as the nuclide) and, with ``reach``,
+    only up to that distance of energies; without either, all pairs of different
+    datasets are formed, which is meant for one nuclide.
     """
-    found = pairs.features(pairs.cross_dataset_pairs(levels, order=order), config)
+    found = pairs.features(pairs.cross_dataset_pairs(levels, block, order=order, reach=reach), config)
     scored = scorer(found) if scorer else pairs.score(found, config=config)
     edges = scored.where(F.col("probability") > config.pair_threshold).select(
         "level_id_1", "level_id_2", "dataset_code_1", "dataset_code_2", "ds_rank_1", "level_index_1", "ds_rank_2", "level_index_2", "energy", "spin", "parity", "specificity", "gamma", "probability"
@@ -42,8 +45,8 @@ def report_members(found: Match) -> DataFrame:
     """Cluster members with anchor and probability against it."""
     key = ["component", "n"]
     numbered = found.clusters.join(cluster.anchors(found.clusters, key), key)
-    order = Window.orderBy("mean_energy", "first_seq", "component", "n")
-    numbers = numbered.select(*key, "mean_energy", "first_seq").distinct().withColumn("cluster_no", F.row_number().over(order))
+    numbers = groups.numbered(numbered.select(*key, "mean_energy", "first_seq").distinct(), [], ["mean_energy", "first_seq", "component", "n"], "cluster_no")
+    numbers = numbers.withColumn("cluster_no", F.col("cluster_no").cast("int"))
     edge = found.pairs.select(F.col("level_1_id").alias("a"), F.col("level_2_id").alias("b"), "probability")
     both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "probability"))
     joined = numbered.join(numbers.select(*key, "cluster_no"), key)
@@ -62,3 +65,13 @@ def consensus(members: DataFrame, levels: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_anchor"), F.col("spin_parity_string"))).alias("adopted_spin_parity"),
         F.concat_ws(" + ", F.transform(F.sort_array(F.collect_list(source)), lambda x: x["text"])).alias("sources"),
     )
+
+
+def rescored(members: DataFrame, levels: DataFrame, config: MatchConfig = CONFIG, scorer=None) -> DataFrame:
+    """Each member against its cluster's anchor, features in (member, anchor)
+    order, with the probability; the anchor itself is left out.  ``members``:
+    level_id, anchor; ``levels``: standard levels."""
+    side = lambda k, name: levels.select(*[F.col(c).alias(name if c == "level_id" else f"{c}_{k}") for c in levels.columns])
+    both = members.where("level_id <> anchor").select("level_id", "anchor").join(side(1, "level_id"), "level_id").join(side(2, "anchor"), "anchor")
+    found = pairs.features(both, config)
+    return scorer(found) if scorer else pairs.score(found, config=config)

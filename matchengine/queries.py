@@ -739,15 +739,14 @@ def patch_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.patch_with_adopted(rows, ["v"]).select("l_orderkey", "l_linenumber", "l_partkey", "v")
 
 
-@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1 THEN '2012WA38' ELSE 'CA' END AS q, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid, p_size / 5.0::DOUBLE AS lft, p_partkey % 4 AS dj, p_size % 2 = 0 AS pc FROM part)
-    SELECT p_partkey, 'R3' AS rule, 'stale Q-value reference ' || q AS message FROM t WHERE q NOT IN ('2021WA16', 'CA') UNION ALL SELECT p_partkey, 'R10', 'B+ DECAY should be EC DECAY or EC+B+ DECAY' FROM t WHERE contains(dsid, ' B+ DECAY')
-    UNION ALL SELECT p_partkey, 'R22', CASE WHEN dj > 2 THEN 'transition with a spin change above 2 is unlikely' WHEN lft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR pc) THEN 'allowed transition needs a spin change of 0 or 1 without parity change' ELSE 'first-forbidden unique transition needs a parity change' END
-      FROM t WHERE dj > 2 OR (lft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR pc)) OR (lft >= 8.5 AND dj = 2 AND NOT pc)""")
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021Wa16,2020XY01' WHEN 1 THEN '2012WA38' ELSE '' END AS q, CASE WHEN p_partkey % 2 = 0 THEN 'CA' ELSE '12' END AS dq, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid, p_partkey % 4 AS dj, p_size % 2 = 0 AS pc FROM part)
+    SELECT p_partkey, 'R3' AS rule, 'stale Q-value reference ' || q AS message FROM t WHERE q = '2012WA38' AND dq <> 'CA' UNION ALL SELECT p_partkey, 'R10', 'B+ DECAY should be EC DECAY or EC+B+ DECAY' FROM t WHERE contains(dsid, ' B+ DECAY')
+    UNION ALL SELECT p_partkey, 'R22', 'decay branch is less likely' FROM t WHERE dj > 2 OR dj = 2 AND NOT pc""")
 def level_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     rows = table(spark, sf_dir, "part").select(
-        "p_partkey", F.when(k % 3 == 0, "2021WA16").when(k % 3 == 1, "2012WA38").otherwise("CA").alias("q_reference"), F.when(k % 7 == 0, "34P B+ DECAY").otherwise("34P B- DECAY").alias("dsid"),
-        (s / 5.0).alias("log_ft"), (k % 4).alias("dj"), (s % 2 == 0).alias("parity_change"),
+        "p_partkey", F.when(k % 3 == 0, "2021Wa16,2020XY01").when(k % 3 == 1, "2012WA38").otherwise("").alias("q_reference"), F.when(k % 2 == 0, "CA").otherwise("12").alias("q_uncertainties"),
+        F.when(k % 7 == 0, "34P B+ DECAY").otherwise("34P B- DECAY").alias("dsid"), (k % 4).alias("dj"), (s % 2 == 0).alias("parity_change"),
     )
     return rules.check(rows, rules.level_rules(), ["p_partkey"])
 
@@ -756,25 +755,35 @@ def _expressions(columns: str) -> list[str]:
     return re.split(r",\s+", columns)
 
 
-_LEVEL_COLUMNS = """p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1 THEN '2012WA38' ELSE 'CA' END AS q_reference, CASE p_partkey % 4 WHEN 0 THEN '2014StZZ' WHEN 1 THEN '2016StZV' WHEN 2 THEN '2019StZV' END AS moment_reference,
+_LEVEL_COLUMNS = """p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1 THEN '2012WA38' ELSE 'CA' END AS q_reference, CASE WHEN p_size % 2 = 0 THEN 'CA' ELSE '12' END AS q_uncertainties,
+    CASE p_partkey % 3 WHEN 0 THEN 'M1' WHEN 1 THEN 'E2' END AS moment, CASE p_partkey % 4 WHEN 0 THEN '2014StZZ' WHEN 1 THEN '2016StZV' WHEN 2 THEN '2019StZV,2021StZZ' END AS moment_reference, CASE WHEN p_size % 4 = 0 THEN 'see 2020StZV' END AS moment_comment,
     CASE WHEN p_partkey % 2 = 0 THEN 'B-' END AS decay_type, CASE WHEN p_partkey % 3 = 0 THEN 1.0D END AS nb, CASE WHEN p_partkey % 5 = 0 THEN 0.5D ELSE 1.0D END AS br, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid,
     p_size - 1.0D AS energy, CAST(p_size - 1 AS STRING) AS energy_text, p_size - 1 + p_partkey % 5 * 0.3D AS adopted_energy, p_partkey % 3 = 1 AS is_quoted,
     CASE WHEN p_partkey % 2 = 0 THEN '2+' ELSE '3-' END AS jpi_text, CASE WHEN p_size % 2 = 0 THEN '2+' ELSE '3-' END AS adopted_jpi,
     CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END AS t12_text, CASE WHEN p_partkey % 4 = 0 THEN '5 NS' ELSE CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END END AS adopted_t12,
     p_partkey % 9 = 0 AS is_isomer, CASE WHEN p_partkey % 8 = 2 THEN 1e-6D ELSE 1e-12D END AS t12_seconds, p_size / 5.0D AS hf, p_partkey % 2 = 1 AS odd_mass, p_partkey % 3 = 0 AS same_jpi, p_partkey % 5 <> 0 AS natural_parity,
-    p_size / 5.0D AS log_ft, 0.3D AS log_ft_unc, p_partkey % 4 AS dj, p_size % 2 = 0 AS parity_change, CASE WHEN p_partkey % 3 = 0 THEN '1U' END AS unique, p_partkey % 5 = 0 AS zero_to_zero"""
+    p_size / 5.0D AS log_ft, CASE WHEN p_partkey % 4 <> 1 THEN 0.3D END AS log_ft_unc, CASE p_size % 5 WHEN 0 THEN 'GT' WHEN 1 THEN 'LT' ELSE '' END AS log_ft_limit, p_partkey % 4 AS dj, p_size % 2 = 0 AS parity_change, CASE WHEN p_partkey % 3 = 0 THEN '1U' END AS unique, p_partkey % 5 = 0 AS zero_to_zero"""
+_WIDTH = "coalesce(log_ft_unc, 0.2::DOUBLE * log_ft)"
+_ALLOWED = f"((log_ft > 3.6 AND log_ft + {_WIDTH} < 5.9) OR (log_ft < 5.9 AND log_ft_limit = 'LT'))"
+_HIGH = f"(log_ft - {_WIDTH} >= 8.5 OR (log_ft >= 8.5 AND log_ft_limit = 'GT'))"
+_UNIQUE = "(coalesce(\"unique\", '') = '1U')"
 _LEVEL_TOLD = {
-    "R3": [("q_reference NOT IN ('2021WA16', 'CA')", "'stale Q-value reference ' || q_reference")],
-    "R8": [("moment_reference IN ('2014StZZ', '2016StZV', '2011StZZ')", "'stale moment reference ' || moment_reference")],
+    "R3": [("q_reference <> '2021WA16' AND q_uncertainties <> 'CA'", "'stale Q-value reference ' || q_reference")],
+    "R8": [("moment = 'M1' AND coalesce(moment_reference, '') <> '2019StZV,2021StZZ' AND moment_comment IS NULL", "'reference of the M1 moment is not current'"), ("moment = 'E2' AND coalesce(moment_reference, '') <> '2019StZV,2021StZZ'", "'reference of the E2 moment is not current'")],
     "R9": [("decay_type IS NOT NULL AND nb IS NULL AND br < 1", "'NB is empty although BR is below 1'")],
     "R10": [("contains(dsid, ' B+ DECAY')", "'B+ DECAY should be EC DECAY or EC+B+ DECAY'")],
     "R13": [("is_quoted AND adopted_energy <> energy AND CAST(CAST(round(adopted_energy) AS BIGINT) AS VARCHAR) <> energy_text", "'energy quoted from Adopted differs'")],
     "R14": [("is_quoted AND jpi_text <> adopted_jpi", "'spin-parity quoted from Adopted differs'")],
     "R15": [("energy = 0 AND t12_text = ''", "'ground state has no half-life'"), ("t12_text <> adopted_t12", "'half-life differs from Adopted'"), ("t12_seconds >= 1e-7 AND NOT is_isomer", "'half-life of an isomer without its flag'")],
     "R21": [("odd_mass AND hf < 4 AND NOT same_jpi", "'hindrance factor below 4 needs equal spin and parity'"), ("NOT odd_mass AND NOT natural_parity", "'alpha decay of an even nucleus goes to natural parity only'")],
-    "R22": [("dj > 2", "'transition with a spin change above 2 is unlikely'"), ("log_ft BETWEEN 3.6 AND 5.9 AND (dj > 1 OR parity_change)", "'allowed transition needs a spin change of 0 or 1 without parity change'"), ("log_ft >= 8.5 AND dj = 2 AND NOT parity_change", "'first-forbidden unique transition needs a parity change'")],
-    "R22 flag": [("log_ft - log_ft_unc >= 8.5 AND dj = 2 AND parity_change AND coalesce(\"unique\", '') <> '1U'", "'flag 1U is missing'")],
-    "R22 window": [("zero_to_zero AND log_ft > 3.6 AND log_ft + log_ft_unc < 6.4", "'log ft between 3.6 and 6.4 for 0+ to 0+'")],
+    "R22": [("dj > 2 OR dj = 2 AND NOT parity_change", "'decay branch is less likely'")],
+    "R22 fit": [
+        (f"({_ALLOWED} AND parity_change AND dj > 1) OR (NOT {_ALLOWED} AND {_UNIQUE} AND {_HIGH} AND NOT parity_change AND dj > 2)", "'log ft does not fit the parity and spin change'"),
+        (f"({_ALLOWED} AND parity_change) OR (NOT {_ALLOWED} AND {_UNIQUE} AND {_HIGH} AND NOT parity_change)", "'log ft does not fit the parity change'"),
+        (f"({_ALLOWED} AND dj > 1) OR (NOT {_ALLOWED} AND {_UNIQUE} AND {_HIGH} AND dj > 2)", "'log ft does not fit the spin change'"),
+    ],
+    "R22 flag": [(f"{_HIGH} AND dj = 2 AND parity_change AND NOT {_UNIQUE}", "'flag 1U is missing'")],
+    "R22 window": [(f"zero_to_zero AND log_ft > 3.6 AND log_ft + {_WIDTH} < 6.4", "'log ft between 3.6 and 6.4 for 0+ to 0+'")],
 }
 _GAMMA_COLUMNS = """l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber END AS final_level_index, l_quantity AS level_index, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'M1+E2' ELSE 'E3' END AS mult,
     l_extendedprice AS strength, l_quantity * 1800 AS "limit", CAST(l_quantity AS DOUBLE) AS energy, CAST(l_quantity + l_linenumber AS DOUBLE) AS adopted_energy, CAST(l_linenumber % 3 AS DOUBLE) AS unc, 2.0D AS adopted_unc"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 SPIN_OPTIONS = "array<struct<twoTimesSpin:int,isTentativeSpin:boolean,parity:string,isTentativeParity:boolean>>"
 GAMMAS = "array<struct<energy:double,energy_uncertainty:double,intensity:double,intensity_uncertainty:double>>"
@@ -45,5 +46,17 @@ class MatchConfig:
     merge_threshold: float = 0.15
     gamma_grid: tuple[float, ...] = field(default=(0.0, 0.3, 0.5, 0.7, 0.85, 0.9, 1.0))
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> MatchConfig:
+        """Settings as ``to_json`` wrote them; absent ones keep their default,
+        unknown ones are an error."""
+        read = json.loads(text)
+        if "gamma_grid" in read:
+            read["gamma_grid"] = tuple(read["gamma_grid"])
+        return cls(**read)
+
 
 CONFIG = MatchConfig()

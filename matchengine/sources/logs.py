@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchengine.functions import text as tx
+from matchengine.operators.pairs import nearest
 
 HEADER = r"^#\s*Dataset\s+([^:]+):"
 
@@ -77,9 +78,8 @@ def gammas(numbered: DataFrame, reach: float = 50.0) -> DataFrame:
     )
     known = numbered.where("record = 'L'").select("dataset_code", F.col("level_index").alias("li"), F.col("energy").alias("le"))
     initial = lines.join(known, (lines.dataset_code == known.dataset_code) & (F.col("initial_level") == F.col("li"))).select(lines["*"], (F.col("le") - F.col("energy_value")).alias("left"))
-    near = initial.select("dataset_code", "gamma_index", "left").join(known, "dataset_code").where(F.abs(F.col("le") - F.col("left")) <= reach)
-    final = near.groupBy("dataset_code", "gamma_index").agg(F.min_by("li", F.struct(F.abs(F.col("le") - F.col("left")), F.col("li"))).alias("final_level"))
-    return initial.join(final, ["dataset_code", "gamma_index"], "left").withColumn("final_level", F.coalesce("final_level", F.lit(0))).drop("left")
+    found = nearest(initial, known, F.col("left"), F.col("le"), ["gamma_index"], F.col("li"), reach, by=["dataset_code"])
+    return found.withColumn("final_level", F.coalesce("nearest.tie", F.lit(0))).drop("left", "nearest")
 
 
 def blocks(lines: DataFrame) -> DataFrame:

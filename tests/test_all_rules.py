@@ -23,5 +23,22 @@ def test_no_rule_is_skipped(spark, sf_dir, monkeypatch, name, implemented):
 def test_log_ft_flag_and_window(spark):
     rows = spark.createDataFrame([(9.0, 0.2, 2, True, None, False), (9.0, 0.2, 2, True, "1u", False), (8.6, 0.2, 2, True, "", False), (5.0, 0.1, 0, False, "", True), (6.4, 0.1, 0, False, "", True), (5.0, 0.1, 0, False, "", False)], "f double, u double, dj int, pc boolean, q string, z boolean")
     c = F.col
-    got = [(r[0] is not None, r[1] is not None) for r in rows.select(nuclear.unique_flag_missing(c("f"), c("u"), c("dj"), c("pc"), c("q")), nuclear.zero_to_zero_conflict(c("f"), c("u"), c("z"))).collect()]
+    got = [(r[0] is not None, r[1] is not None) for r in rows.select(nuclear.unique_flag_missing(c("f"), c("u"), F.lit(""), c("dj"), c("pc"), c("q")), nuclear.zero_to_zero_conflict(c("f"), c("u"), c("z"))).collect()]
     assert got == [(True, False), (False, False), (False, False), (False, True), (False, False), (False, False)]
+
+
+def test_log_ft_against_spins(spark):
+    rows = [(5.0, 0.1, "", 2, True, ""), (5.0, 0.1, "", 1, True, ""), (5.0, 0.1, "", 2, False, ""), (5.0, 0.1, "", 1, False, ""), (5.0, None, "", 2, True, ""), (5.5, 5.0, "LT", 2, False, ""), (9.0, 0.2, "", 2, False, "1U"), (9.0, 0.2, "", 2, False, ""), (8.6, 0.2, "GT", 3, True, "1u"), (9.0, 0.2, "", 2, True, "1U")]
+    c = F.col
+    frame = spark.createDataFrame(rows, "f double, u double, l string, dj int, pc boolean, q string").coalesce(1)
+    got = [r[0] for r in frame.select(nuclear.log_ft_conflict(c("f"), c("u"), c("l"), c("dj"), c("pc"), c("q"))).collect()]
+    told = lambda what: f"log ft does not fit the {what} change"
+    assert got == [told("parity and spin"), told("parity"), told("spin"), None, None, told("spin"), told("parity"), None, told("spin"), None]
+
+
+def test_moment_and_q_references(spark):
+    rows = [("M1", "2014StZZ", None), ("M1", "1990Ra01,2019StZV", None), ("E2", "2019StZV", None), ("E2", "2021StZZ", None), ("M1", None, "from 2020StZV"), ("M1", None, None), (None, "2011StZZ", None)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, moment string, moment_reference string, moment_comment string")
+    assert sorted(r.k for r in rules.check(frame, rules.level_rules(), ["k"]).collect()) == [0, 2, 5]
+    frame = spark.createDataFrame([(0, "2012Wa38", "12"), (1, "2021Wa16,1999XX01", "12"), (2, "2012Wa38", "CA"), (3, "", "12")], "k int, q_reference string, q_uncertainties string")
+    assert [r.k for r in rules.check(frame, rules.level_rules(), ["k"]).collect()] == [0]
