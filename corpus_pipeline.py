@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of ``documents``.
 
 1. quality: documents that the adaptive quality rules reject go;
-2. lines: later copies of repeated line runs are deleted from the texts, and
-   documents of which nothing is left go;
+2. lines: later copies of repeated line runs (three lines, or 50 words) are deleted
+   from the texts, and documents of which nothing is left go;
 3. near_copies: of documents linked by five-word shingles at a similarity of
    0.8 or more, the one with the smallest id of each group stays;
 4. decontaminate: documents with benchmark passages by the contract's rule go;
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
 from matchengine.llm import jaccard, line_dedup, packing, quality
-from matchengine.durable import keep
+from matchengine.durable import discard, keep
 from matchengine.llm.tokens import tokenizer_path
 
 
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of what the stages keep of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,10 @@ that continue on the same diagonal are joined to the longest one.  Documents
 whose matched words reach the contamination share are removed.
 
 The benchmark side is read by the driver in blocks of ``BLOCK_BYTES`` of text,
-so what is broadcast never exceeds that bound; a larger benchmark is searched
-block by block and the matches of a document are then united by its row.
+so what is broadcast never exceeds that bound.  For a larger benchmark the corpus
+is read once, with a bitmap of the first words of all windows (``OPENING_BITS``);
+only documents that have some of these are written and searched block by block,
+and the matches of a document are then united by its row.
 
 Defined results: null and empty texts have no words and no matches; an item
 without words matches nothing; an item shorter than the window is one window
@@ -27,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ from matchengine.durable import keep
 from matchengine.llm import textvec as tv
 
 BLOCK_BYTES = 32 << 20
+OPENING_BITS = 1 << 27
 MATCHES = "array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
 
 
@@ -126,7 +130,8 @@ def match_benchmark(documents: DataFrame, benchmark: DataFrame, *, doc_id: str =
 def _matched(documents: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, carry: list[str]) -> DataFrame:
     """The ``carry`` columns as __c0, __c1, ... with what matches."""
     spark = documents.sparkSession
-    blocks = _blocks(benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")))
+    tests_of = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    blocks = _blocks(tests_of)
     source = documents.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(carry)], F.xxhash64(f"`{text}`").alias("__body"))
     names = [*[f"__c{k}" for k in range(len(carry))], "__body"]
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names) + f", n_words long, n_hit long, matches {MATCHES}"
@@ -137,12 +142,42 @@ def _matched(documents: DataFrame, benchmark: DataFrame, text: str, item_id: str
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         return search_in(spark.sparkContext.broadcast(test_suffixes(first, window)))
-    parts = []
+    # Once over the benchmark for the openings, once over the corpus, then block by
+    # block over the documents with an opening.
+    bits, heads = np.zeros(OPENING_BITS // 8, np.uint8), set()
     for block in chain([first, second], blocks):
+        for length, openings in test_suffixes(block, window).openings.items():
+            at = (tv.mix(openings) & np.uint64(OPENING_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(bits, at // 8, (1 << (at % 8)).astype(np.uint8))
+            heads.add(min(3, length))
+    shared = spark.sparkContext.broadcast(bits.tobytes())
+    kinds = schema.rsplit(", n_words long", 1)[0]
+    marked = keep(source.mapInArrow(lambda batches: _with_openings(batches, shared.value, heads, names), f"__text string, {kinds}, n_words long"), "benchmark-candidates")
+    source = marked.where("__text IS NOT NULL").drop("n_words")
+    none = marked.where("__text IS NULL").select(*names, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast(MATCHES).alias("matches"))
+    parts = []
+    for block in _blocks(tests_of):
         tests = spark.sparkContext.broadcast(test_suffixes(block, window))
         parts.append(keep(search_in(tests), "benchmark-matches"))
         tests.destroy()
-    return _united(parts, names)
+    return none.unionByName(_united(parts, names))
+
+
+def _with_openings(batches: Iterator[pa.RecordBatch], bits: bytes, heads: set[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with their number of words; the text only where some run of words may
+    open a window."""
+    table = np.frombuffer(bits, np.uint8)
+    for part, data, offsets in tv.text_chunks(batches, 0):
+        hashes, first = tv.words(data, offsets, tv.ALNUM)
+        hashes = hashes | np.uint64(1)
+        may = np.zeros(part.num_rows, bool)
+        for head in heads:
+            found, at = tv.grams(hashes, first, head)
+            slot = (tv.mix(found) & np.uint64(OPENING_BITS - 1)).astype(np.int64)
+            hit = (table[slot // 8] >> (slot % 8).astype(np.uint8) & 1).astype(bool)
+            may[np.searchsorted(first, at[hit], "right") - 1] = True
+        text = pc.if_else(pa.array(may), part.column(0), pa.scalar(None, part.column(0).type))
+        yield pa.RecordBatch.from_arrays([text, *part.columns[1:], pa.array(np.diff(first), pa.int64())], names=["__text", *names, "n_words"])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:

@@ -44,13 +44,14 @@ than integer types are an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchengine.durable import keep
+from matchengine.durable import discard, keep
 from matchengine.llm import textvec as tv
 from matchengine.operators.components import components
 
@@ -328,13 +329,13 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Links (a, b) of components, by exact intersection: a forest of each cell."""
     for rows in _runs(batches):
         cell, comp = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-        raw, offsets = tv.buffers(rows.column(3))
         edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         left, right = [], []
         for low, high in zip(edge.tolist(), np.append(edge[1:], len(cell)).tolist(), strict=True):
-            at = offsets[low : high + 1].tolist()
+            raw, offsets = tv.buffers(rows.column(3).slice(low, high - low))
+            at = offsets.tolist()
             sets = [np.frombuffer(raw[x:y].tobytes(), _U) for x, y in zip(at, at[1:], strict=False)]
-            size, mine = np.diff(offsets[low : high + 1]) // 8, comp[low:high]
+            size, mine = np.diff(offsets) // 8, comp[low:high]
             both = _overlaps(sets)
             link = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (mine[:, None] != mine[None, :])
             a, b = np.nonzero(np.triu(link))
@@ -431,11 +432,13 @@ def _stars(classes: DataFrame, percent: int) -> DataFrame:
     pairs = member.join(hub, "key").where("cid <> hub").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{s}"), F.col("bitmap").alias(f"m{s}"))
     joined = pairs.join(of("a", 1), "a").join(of("b", 2), "b").select("a", "b", "n1", "n2", "m1", "m2")
-    return keep(joined.mapInArrow(lambda batches: _bounded(batches, percent), "a long, b long"), "pairs")
+    found = keep(joined.mapInArrow(lambda batches: _bounded(batches, percent), "a long, b long"), "pairs")
+    discard(hub)
+    return found
 
 
-def _token_tiles(tokens: DataFrame, hot_level: int) -> DataFrame:
-    """Tiles (tile, f1) of tokens (deal, token, f1).  Rows of tokens are read as
+def _token_tiles(tokens: DataFrame, hot_level: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles (tile, f1) of tokens (deal, token, f1), and the table they read.  Rows of tokens are read as
     sorted runs; those of a token that the sketch calls frequent are dealt by
     their sets too, so the token is summed up and joined instead."""
     dealt = tokens.repartition("deal").sortWithinPartitions("deal", "token", "f1")
@@ -443,7 +446,7 @@ def _token_tiles(tokens: DataFrame, hot_level: int) -> DataFrame:
     often = found.where("tile IS NULL").select("token", "f1").distinct()
     many = often.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("f1").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     hot = often.join(many.select("token", F.xxhash64("n", "sum").alias("tile")), "token").select("tile", "f1")
-    return found.where("tile IS NOT NULL").select("tile", "f1").unionByName(hot).distinct()
+    return found.where("tile IS NOT NULL").select("tile", "f1").unionByName(hot).distinct(), found
 
 
 def _large_tiles(members: DataFrame) -> DataFrame:
@@ -489,10 +492,13 @@ def _merged_subcells(subcells: DataFrame) -> DataFrame:
     """
     first = subcells.groupBy("cell").agg(F.min("cid").alias("a"))
     edges = subcells.join(first, "cell").select("a", F.col("cid").alias("b")).where("a <> b").distinct()
-    tops = components(edges).select(F.col("vertex").alias("cid"), F.col("component").alias("top"))
+    found = components(edges)
+    tops = found.select(F.col("vertex").alias("cid"), F.col("component").alias("top"))
     few = tops.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") <= 2 * CELL).select("top", F.lit(True).alias("few"))
     named = subcells.join(tops.join(few, "top", "left"), "cid")
-    return keep(named.select(F.when(F.col("few"), F.col("top")).otherwise(F.col("cell")).alias("cell"), "cid", "comp").distinct(), "verified-cells")
+    cells = keep(named.select(F.when(F.col("few"), F.col("top")).otherwise(F.col("cell")).alias("cell"), "cid", "comp").distinct(), "verified-cells")
+    discard(found)
+    return cells
 
 
 def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -512,44 +518,55 @@ def _row_components(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels (cid, comp) after links (a, b) between components."""
-        tops = components(links).select(F.col("vertex").alias("comp"), F.col("component").alias("top"))
-        return keep(labels.join(tops, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")), "components")
-
-    def links_in(cells: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) of components inside cells, and all sets read so far."""
+        found = components(links)
+        tops = found.select(F.col("vertex").alias("comp"), F.col("component").alias("top"))
+        after = keep(labels.join(tops, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")), "components")
+        discard(links, found, labels)
+        return after
+
+    def links_in(cells: DataFrame) -> DataFrame:
+        """Links (a, b) of components inside cells; ``sets`` grows by what they need."""
         dealt = cells.repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
-        near = keep(dealt.mapInArrow(lambda b: _narrow(b, percent), "cell long, cid long, n_shingles long, comp long"), "open-cells")
-        near = near.join(classes.select("cid", "bitmap"), "cid").select("cell", "cid", "n_shingles", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
-        subcells = keep(near.mapInArrow(lambda b: _subcells(b, percent), "cell long, cid long, comp long").distinct(), "subcells")
-        subcells = _merged_subcells(subcells)
-        more = subcells.select("cid").distinct().join(sets, "cid", "left_anti")
-        sets = sets.unionByName(class_sets(documents, names.join(more, "cid", "left_semi"), n))
-        full = subcells.join(sets, "cid").select("cell", "cid", "comp", "tokens").repartition("cell").sortWithinPartitions("cell", "cid")
-        return keep(full.mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct(), "links"), sets
+        open_cells = keep(dealt.mapInArrow(lambda b: _narrow(b, percent), "cell long, cid long, n_shingles long, comp long"), "open-cells")
+        near = open_cells.join(classes.select("cid", "bitmap"), "cid").select("cell", "cid", "n_shingles", "comp", "bitmap").repartition("cell").sortWithinPartitions("cell", "n_shingles", "cid")
+        each = keep(near.mapInArrow(lambda b: _subcells(b, percent), "cell long, cid long, comp long").distinct(), "subcells")
+        subcells = _merged_subcells(each)
+        discard(open_cells, each)
+        known_sets = reduce(DataFrame.unionByName, sets)
+        more = subcells.select("cid").distinct().join(known_sets, "cid", "left_anti")
+        sets.append(class_sets(documents, names.join(more, "cid", "left_semi"), n))
+        full = subcells.join(reduce(DataFrame.unionByName, sets), "cid").select("cell", "cid", "comp", "tokens").repartition("cell").sortWithinPartitions("cell", "cid")
+        links = keep(full.mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct(), "links")
+        discard(subcells)
+        return links
 
     pairs = _stars(classes, percent)
     in_stars = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = class_sets(documents, names.join(in_stars, "cid", "left_semi"), n)
-    labels = merged(classes.select("cid", F.col("cid").alias("comp")), keep(_checked(pairs, sets, percent), "links"))
+    sets = [class_sets(documents, names.join(in_stars, "cid", "left_semi"), n)]
+    labels = merged(classes.select("cid", F.col("cid").alias("comp")), keep(_checked(pairs, sets[0], percent), "links"))
+    discard(pairs)
 
     hot_level = max(1, int(np.ceil(np.log2(HOT_TOKEN / mean))))
     tokens = documents.select("text").mapInArrow(lambda b: _prefix_rows(b, n, percent, levels.value, hot_level), "deal long, token long, f1 long")
-    tiles = _token_tiles(tokens, hot_level).join(classes.select("f1", "cid", "n_shingles"), "f1").select("tile", "cid", "n_shingles")
-    members = keep(tiles.join(labels, "cid"), "tile-members")
+    tiles, source = _token_tiles(tokens, hot_level)
+    members = keep(tiles.join(classes.select("f1", "cid", "n_shingles"), "f1").select("tile", "cid", "n_shingles").join(labels, "cid"), "tile-members")
+    discard(source)
     large = _large_tiles(members)
     if large.where("n > n_big").take(1):
         # What one block each shows makes one component of most of a large tile.
-        links, sets = links_in(_own_blocks(members, large), sets)
-        labels = merged(labels, links)
-        members = keep(members.drop("comp").join(labels, "cid"), "tile-members")
+        labels = merged(labels, links_in(_own_blocks(members, large)))
+        before, members = members, keep(members.drop("comp").join(labels, "cid"), "tile-members")
+        discard(before, large)
         large = _large_tiles(members)
-    links, _ = links_in(_cells(members, large), sets)
-    labels = merged(labels, links).join(names, "cid")
+    last = merged(labels, links_in(_cells(members, large)))
+    labels = last.join(names, "cid")
 
     least = labels.groupBy("comp").agg(F.min("doc_id").alias("least"))
     of = labels.join(least, "comp").select(F.col("n_shingles").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "least")
     same = (F.col("n_shingles") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
-    return known.join(keep(of, "class-names"), same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    of = keep(of, "class-names")
+    discard(members, large, last, classes, *sets)
+    return known.join(of, same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def _named(documents: DataFrame, doc_id: str, text: str) -> DataFrame:

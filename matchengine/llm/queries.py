@@ -34,7 +34,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotations.link_quotations(table(spark, sf_dir, "conversations"))
-    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)).cast("long"))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)).cast("long")).withColumn("reply_path", F.array_join(F.col("reply_path").cast("array<string>"), "/"))
 
 
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
             parent AS (
               SELECT q.conv_id, q.turn, arg_min(o.turn, struct_pack(a := q.level, b := -o.turn)) AS up
               FROM q JOIN own o ON o.conv_id = q.conv_id AND o.key = q.key AND o.turn < q.turn WHERE q.key <> '' GROUP BY ALL)
-            SELECT m.conv_id, m.turn, m.role, coalesce(p.up, -1) AS parent_turn, coalesce(p.up, m.turn) AS thread_turn, CAST(CASE WHEN p.up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth,
+            SELECT m.conv_id, m.turn, m.role, coalesce(p.up, -1) AS parent_turn, coalesce(p.up, m.turn) AS thread_turn, CAST(CASE WHEN p.up IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth, CASE WHEN p.up IS NULL THEN '' ELSE p.up || '/' END || m.turn AS reply_path,
                    CAST(len(list_filter(m.lines, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) AS BIGINT) AS n_quoted,
                    array_to_string(list_filter(m.lines, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS text
             FROM m LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn""",

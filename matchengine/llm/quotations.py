@@ -7,8 +7,9 @@ every message's own text: whole, by paragraph and by line.  A quote is linked
 to the latest earlier message of the conversation that offers its hash.  The
 outermost level, and a whole passage before single lines, decides the message
 that is answered.  Links are followed by pointer jumping to the first message
-of a thread; sorting by (conversation, thread_turn, turn) then gives every
-answer after what it answers, one thread after the other.
+of a thread, which also gives the path of turns from there to each message;
+sorting by (conversation, reply_path) then gives every answer after what it
+answers, one branch of a thread after the other.
 
 Only hashes and turn numbers are shuffled to be linked, and offers only where
 some message quotes them.  The as-of step is a window by (conversation, hash)
@@ -94,7 +95,7 @@ def _parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", keep_unlinked: bool = False) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, thread_turn,
-    depth, n_quoted (lines removed) and text without quotes."""
+    depth, reply_path, n_quoted (lines removed) and text without quotes."""
     source = messages.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("raw"))
     parsed = keep(source.select("*", F.pandas_udf(_parse, PARSED)("raw").alias("p")).select("conv_id", "turn", "role", "raw", F.xxhash64("raw").alias("body"), "p.*"), "messages")
 
@@ -122,6 +123,7 @@ def link_quotations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str
         "parent_turn",
         F.coalesce("up", "parent_turn", "turn").alias("thread_turn"),
         F.when(F.col("parent_turn").isNull(), 0).otherwise(1 + F.coalesce("depth", F.lit(0))).cast("long").alias("depth"),
+        F.when(F.col("parent_turn").isNull(), F.array("turn")).otherwise(F.concat(F.coalesce(F.concat(F.array("up"), F.col("path")), F.array("parent_turn")), F.array("turn"))).alias("reply_path"),
         "n_quoted",
         bare.alias("text"),
     )
@@ -131,16 +133,17 @@ def format_chat(linked: DataFrame) -> DataFrame:
     """Linked messages in reply order, thread after thread, each with its turn as
     chat text; messages left without text are kept as empty turns."""
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    return linked.select("*", chat.alias("chat")).orderBy("conv_id", "thread_turn", "turn")
+    return linked.select("*", chat.alias("chat")).orderBy("conv_id", "reply_path")
 
 
 def _threads(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, up) to each answer's first message and its depth."""
-    state = keep(links.select("conv_id", "turn", "up", F.lit(1).cast("long").alias("depth")), "threads")
+    """(conv_id, turn, up) to each answer's first message, its depth and the path of
+    turns below that message."""
+    state = keep(links.select("conv_id", "turn", "up", F.lit(1).cast("long").alias("depth"), F.array("turn").alias("path")), "threads")
     while True:
-        above = state.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        above = state.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
         jumped = state.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("t")), "left")
-        moved = keep(jumped.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNotNull().alias("moved")), "threads")
+        moved = keep(jumped.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"), F.col("up2").isNotNull().alias("moved")), "threads")
         state = moved.drop("moved")
         if moved.where("moved").limit(1).count() == 0:
             return state

@@ -1,10 +1,11 @@
 """URL filter: a trie over reversed host labels and path segments.
 
-Rules are a small, configured list (``MAX_RULES`` at most, checked before the
-trie is broadcast; longer lists belong in several filters).  Every URL walks
-down the trie once: first over its host labels from the right, then over its
-path segments, remembering the last rule that fitted, so the most specific of
-the allow and block entries wins.  The plan is map-only.
+Every URL walks down the trie once: first over its host labels from the right,
+then over its path segments, remembering the last rule that fitted, so the most
+specific of the allow and block entries wins.  The plan is map-only.  A trie of at
+most ``MAX_RULES`` rules is broadcast; the levels of a larger one are joined
+instead: the suffixes of each distinct host to the rules' hosts, then the path's
+beginnings of the lengths that such a host has to its rules.  The result is equal.
 
 Defined results: a null URL, or one without ``://``, has the empty host and
 path, fits no rule and gets the default verdict.  Of two rules that fit, the
@@ -50,12 +51,8 @@ class _Node:
 
 class UrlTrie:
     def __init__(self, rules: list[UrlRule]):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} URL rules; {MAX_RULES} at most can be broadcast")
         self.root = _Node()
         for rule in rules:
-            if rule.verdict not in ("allow", "block"):
-                raise ValueError(f"verdict {rule.verdict!r} is neither allow nor block")
             node = self.root
             for label in reversed(rule.host.split(".")):
                 node = node.down.setdefault(label, _Node())
@@ -94,8 +91,31 @@ class UrlTrie:
         return host, path, best
 
 
+def _joined(pages: DataFrame, rules: list[UrlRule], url: str, carry: list[str], default: str) -> DataFrame:
+    """The verdicts by joins over the levels of the trie."""
+    spark = pages.sparkSession
+    known = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rhost string, rpath string, verdict string")
+    known = known.groupBy("rhost", "rpath").agg(F.max("verdict").alias("verdict"))
+    lengths = known.groupBy("rhost").agg(F.collect_set(F.length("rpath")).alias("sizes"))
+    part = lambda k: F.coalesce(F.regexp_extract(F.col(f"`{url}`"), r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    named = pages.select(*[F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(carry)], F.translate(part(1), "".join(map(chr, FOLD)), "".join(map(chr, FOLD.values()))).alias("host"), part(2).alias("path"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(k.alias("from"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("rhost")))
+    walked = named.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("s")).select("host", "path", "s.*")
+    begun = walked.join(lengths, "rhost").select("host", "path", "from", "rhost", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("path"))
+    fits = begun.withColumn("rpath", F.substring("path", F.lit(1), F.col("size"))).join(known, ["rhost", "rpath"])
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct(F.concat("rhost", "rpath").alias("rule"), "verdict"), F.struct("from", (-F.col("size")).alias("size"))).alias("best"))
+    judged = named.join(best, ["host", "path"], "left")
+    return judged.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 def filter_urls(pages: DataFrame, rules: list[UrlRule], *, url: str = "url", keep: list[str] | None = None, default: str = "allow") -> DataFrame:
     """``keep`` columns of ``pages`` with host, path, rule and verdict."""
+    for rule in rules:
+        if rule.verdict not in ("allow", "block"):
+            raise ValueError(f"verdict {rule.verdict!r} is neither allow nor block")
+    if len(rules) > MAX_RULES:
+        return _joined(pages, rules, url, keep or [], default)
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf(RESULT)

@@ -265,7 +265,31 @@ def test_url_trie(spark):
     assert got == dict(enumerate(cases.values()))
     assert urls.filter_urls(pages.where("false"), rules, keep=["page_id"]).count() == 0
     with pytest.raises(ValueError):
-        urls.UrlTrie([urls.UrlRule("maybe", "org")])
+        urls.filter_urls(pages, [urls.UrlRule("maybe", "org")])
+
+
+def brute_urls(url, rules, default="allow"):
+    found = urls.URL.search(url or "")
+    host, path = (fold(found[1]), found[2]) if found else ("", "")
+    fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fit, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+    return host, path, best.text if best else None, best.verdict if best else default
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_url_rules_of_any_number(spark, monkeypatch, most):
+    """The trie, and the joins beyond its bound, against trying every rule."""
+    rng = random.Random(6)
+    monkeypatch.setattr(urls, "MAX_RULES", most)
+    host = lambda: ".".join(rng.choice(["a", "b", "co", "org"]) for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice(["", "x", "xy", "en", "é"]) for _ in range(rng.randint(0, 3)))
+    rules = [urls.UrlRule(rng.choice(["allow", "block"]), host(), rng.choice([path(), "", "/"])) for _ in range(60)]
+    rules = [r for r in rules if r.path]
+    cases = [f"http://{host()}{path()}" for _ in range(150)] + ["http://A.B" + "/x" * 40_000, "http://" + "a." * 300 + "org/x", None, "", "http://", "b.org/x", "x://ORG/x#/en", "http://org?/x"]
+    cases += cases[:5]
+    pages = spark.createDataFrame([(k, u, "r", 1) for k, u in enumerate(cases)], "page_id long, url string, rule string, size int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, rules, keep=["page_id"]).collect()}
+    assert got == {k: brute_urls(u, rules) for k, u in enumerate(cases)}
 
 
 def brute_contamination(text, items, window=13):

@@ -61,3 +61,32 @@ def test_pack_stage(spark, sf_dir, stages):
     lengths = {i: len(library_ids("word_bpe_49k.json", t, 1)) for i, t in rows(stages["decontaminate"])}
     assert stages["pack"].groupby("doc_id").length.sum().to_dict() == lengths
     assert sorted(map(tuple, cp.run(spark, sf_dir).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(stages["pack"][["doc_id", "start", "length", "ids_crc32"]].itertuples(index=False, name=None))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cid int, matches string, n_words int, __id int, row string"
+
+
+def odd_documents(spark):
+    plain = " ".join(f"word{k} of a text" for k in range(40))
+    texts = [(None, plain), (None, None), (1, None), (2, ""), (3, plain + " end"), (3, plain + " end"), (4, "\n\n\n"), (5, "lone"), (5, plain.replace("word3 ", "x ")), (6, " ".join(f"z{k}" for k in range(30_000)))]
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 else "s", None, k, "m", 7, 1, "r") for k, (i, t) in enumerate(texts)], SCHEMA)
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stage_on_odd_and_empty_tables(spark, sf_dir, number):
+    """Nulls in every column, repeated rows, ids with two texts, long texts, clashing
+    names; what is kept is whole rows of the input."""
+    name, stage = cp.STAGES[number]
+    docs = odd_documents(spark)
+    assert stage(spark, docs.where("false"), sf_dir).count() == 0
+    out = stage(spark, docs, sf_dir)
+    if name == "pack":
+        assert sorted({(r.doc_id is None, r.doc_id or 0) for r in out.select("doc_id").collect()}) == [(False, k) for k in range(1, 7)] + [(True, 0)]
+        return
+    assert out.columns == docs.columns
+    left = [tuple(r) for r in out.drop("n_chars").collect()]
+    given = [tuple(r) for r in docs.drop("n_chars").collect()]
+    if name != "lines":
+        assert all(left.count(r) <= given.count(r) for r in left)
+    # Neither a text without an id nor one that is given twice is lost.
+    assert any(r[0] == 3 for r in left) and any(r[0] is None and r[1] for r in left)
