@@ -10,21 +10,23 @@ one length drops out before the next.
 
 1. Length 32.  Spark sorts the runs by (rank at the anchor, rank of the run's
    whole bytes, position).  A run whose anchor is unique drops out.  Of runs with
-   equal bytes all but the first are repeats as a whole.
-2. Length 64.  Of the other runs, strings that start up to 36 bytes before the
-   anchor hold the 64 bytes from the anchor on, the others the 64 bytes from 32
-   bytes before it.  The ranks at these positions are pairs of ranks 32 bytes
-   apart; the half of a run whose pair is unique drops out.
-3. Length 100.  Each string that is left is a position with the pair of its rank
-   at length 64 and the one that ends with the string.  A position whose pair
-   stands at an earlier one is a repeat.
+   equal bytes all but the first are repeats as a whole; runs that differ stay
+   open.
+2. Length 91.  An open run falls into groups of strings by their distance to the
+   anchor, ten distances each, which have 91 bytes in common.  The rank of these is
+   the pair of ranks of their first and last 64 bytes, each a pair of ranks at
+   length 32.  Spark sorts the groups likewise: unique ones drop out, equal ones are
+   repeats, and those that differ stay open.
+3. Length 100.  Each string of an open group is a position with the pair of ranks
+   of its first and last 64 bytes.  One whose pair stands at an earlier position
+   is a repeat.
 4. The repeats' bytes are united per document and cut out.
 
 Ranks are 64-bit names of the bytes they stand for.  Equal runs in one chunk of
 a task are merged before the first sort, so thousands of copies of a passage send
-one row a chunk, and runs are read from the sort as a stream.  Later rounds sum
-up a rank's positions before the shuffle and join them to written tables, whose
-hot ranks adaptive execution can split.
+one row a chunk, and sorted rows are read as a stream.  The last round sums up a
+rank's positions before the shuffle and joins them to a written table, whose hot
+ranks adaptive execution can split.
 
 Defined results: a document is its id and its text; a null text is empty; texts
 shorter than ``LENGTH`` stay; rows that repeat an id and its text are one
@@ -44,9 +46,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.llm import textvec as tv
-from matchengine.durable import keep, release
+from matchengine.durable import discard, keep, release
 
 SEED = 32
+#: Distances to the anchor that one group of strings has.
+GROUP = 10
 _U = np.uint64
 #: A sampled value holds 40 bits of hash and 24 of position.
 _PLACE_BITS = 24
@@ -176,17 +180,8 @@ def _first_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield found([x[gone] for x in (doc, h, place)], [np.append(e, x[open_]) for e, x in zip(extra, (doc, h, place), strict=True)])
 
 
-#: Strings of a run's right half start this far before the anchor at most, so
-#: that they hold the twice SEED bytes from it on; the others hold SEED bytes before it.
-def _right_reach(length: int) -> int:
-    return length - 2 * SEED
-
-
-def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Halves of the open runs of a document: the pair of ranks at length 64,
-    the first string, the number of strings and the bytes of them all."""
-    names = ["r1", "r2", "doc", "h", "start", "strings", "bytes"]
-    reach = _right_reach(length)
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Open runs of a document with their bytes."""
     for batch in batches:
         data, offsets = tv.buffers(batch.column(2))
         lists = batch.column(3)
@@ -195,43 +190,61 @@ def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         owner = np.repeat(np.arange(len(batch)), np.diff(begin))
         docs, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for low in range(0, len(place), 20_000):
-            own = owner[low : low + 20_000]
-            p = place[low : low + 20_000]
-            base, end = int(offsets[own[0]]), int(offsets[own[-1] + 1])
-            sums = tv.prefix_sums(data[base:end])
-            first, count, shift = p >> 14, (p >> 7) & 127, p & 127
-            right = np.minimum(shift, reach)
-            # d, the distance to the anchor, falls from shift to shift - count + 1.
-            n_right = right - (shift - count)
-            n_right = np.clip(n_right, 0, count)
-            n_left = count - n_right
-            at = offsets[own] - base + first
-            for n, s, piece, tag in ((n_left, at, at + shift - SEED, 5), (n_right, at + n_left, at + shift, 6)):
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                begins, size = s[some], n[some] + length - 1
-                upto = np.append(0, np.cumsum(size))
-                source = np.arange(upto[-1]) + np.repeat(begins - upto[:-1], size)
-                text = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[base:end][source].tobytes())])
-                rank = [tv.mix(tv.span_hashes(sums, piece[some] + k, piece[some] + k + SEED) + tv._GRAM[tag]) for k in (0, SEED)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(r.view(np.int64)) for r in rank], pa.array(docs[own[some]]), pa.array(h[own[some]]), pa.array(begins - (offsets[own[some]] - base)), pa.array(n[some]), text], names=names
-                )
+            own, p = owner[low : low + 20_000], place[low : low + 20_000]
+            first, count = p >> 14, (p >> 7) & 127
+            size = count + length - 1
+            upto = np.append(0, np.cumsum(size))
+            source = np.arange(upto[-1]) + np.repeat(offsets[own] + first - upto[:-1], size)
+            text = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data[source].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(h[own]), pa.array(first), pa.array(count), pa.array(p & 127), text], names=["doc", "h", "run", "strings", "shift", "bytes"])
+
+
+def _rank64(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks at length 64, from pairs of ranks at length 32."""
+    rank = lambda p: tv.span_hashes(sums, p, p + SEED)
+    return tv.mix(rank(at) * tv._GRAM[5] + rank(at + SEED) * tv._GRAM[6])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, whole, doc, h, place): groups of strings of the open runs.
+
+    Strings whose distance to the anchor falls into one class of GROUP distances
+    have all but GROUP - 1 of their bytes in common; these are ranked by the pair of
+    their first and last 64.
+    """
+    core = length - GROUP + 1
+    for batch in batches:
+        doc, h, run, strings, shift = (batch.column(k).to_numpy() for k in range(5))
+        data, offsets = tv.buffers(batch.column(5))
+        sums = tv.prefix_sums(data)
+        lowest = shift - strings + 1
+        count = shift // GROUP - lowest // GROUP + 1
+        of = np.repeat(np.arange(len(run)), count)
+        kind = shift[of] // GROUP - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+        high, low = np.minimum(shift[of], kind * GROUP + GROUP - 1), np.maximum(lowest[of], kind * GROUP)
+        n, skip = high - low + 1, shift[of] - high
+        base = offsets[:-1][of]
+        at = base + shift[of] - kind * GROUP
+        name = tv.mix(_rank64(sums, at) * tv._GRAM[1] + _rank64(sums, at + core - 2 * SEED) * tv._GRAM[2] + kind.astype(_U))
+        whole = tv.mix(tv.span_hashes(sums, base + skip, base + skip + n + length - 1) + high.astype(_U))
+        place = ((run[of] + skip) << 14) | (n << 7) | skip
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[of]), pa.array(h[of]), pa.array(place)], names=["deal", "whole", "doc", "h", "place"])
 
 
 def _positions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every string of the halves as a position with its pair of ranks."""
+    """Every string of the open groups (doc, h, place, bytes of the run) as a
+    position with its pair of ranks."""
     for batch in batches:
-        data, offsets = tv.buffers(batch.column(4))
+        doc, h, place = (batch.column(k).to_numpy() for k in range(3))
+        data, offsets = tv.buffers(batch.column(3))
         sums = tv.prefix_sums(data)
-        doc, h, start, count = (batch.column(k).to_numpy() for k in range(4))
+        count, skip = (place >> 7) & 127, place & 127
         upto = np.append(0, np.cumsum(count))
-        run = np.repeat(np.arange(len(count)), count)
-        step = np.arange(upto[-1]) - upto[:-1][run]
-        at = offsets[:-1][run] + step
-        rank = lambda p: pa.array(tv.span_hashes(sums, p, p + 2 * SEED).view(np.int64))
-        yield pa.RecordBatch.from_arrays([rank(at), rank(at + length - 2 * SEED), pa.array(doc[run]), pa.array(h[run]), pa.array(start[run] + step)], names=["r1", "r2", "doc", "h", "start"])
+        of = np.repeat(np.arange(len(count)), count)
+        step = np.arange(upto[-1]) - upto[:-1][of]
+        at = offsets[:-1][of] + skip[of] + step
+        rank = lambda p: pa.array(_rank64(sums, p).view(np.int64))
+        yield pa.RecordBatch.from_arrays([rank(at), rank(at + length - 2 * SEED), pa.array(doc[of]), pa.array(h[of]), pa.array((place[of] >> 14) + step)], names=["r1", "r2", "doc", "h", "start"])
 
 
 def _place() -> Column:
@@ -241,22 +254,30 @@ def _place() -> Column:
 def repeated_spans(documents: DataFrame, *, length: int = 100) -> DataFrame:
     """Spans (doc, h, start, stop) of repeated strings, overlaps included.
     ``documents`` has columns doc and h (longs, not null) and text."""
-    if not 2 * SEED <= length <= 120:
-        raise ValueError("strings of 64 to 120 bytes can be compared")
+    if not 2 * SEED + GROUP <= length <= 120:
+        raise ValueError("strings of 74 to 120 bytes can be compared")
     named = documents.select("doc", "h", "text").mapInArrow(lambda b: _named_runs(b, length), "deal long, whole long, doc long, h long, place long")
     ordered = named.repartition("deal").sortWithinPartitions("deal", "whole", "doc", "h", "place")
     first = keep(ordered.mapInArrow(lambda b: _first_ranks(b, length), "doc long, h long, start long, stop long"), "run-ranks")
     release(documents.sparkSession)
+    spans = "doc long, h long, start long, stop long"
     open_runs = first.where("stop IS NULL").groupBy("doc", "h").agg(F.collect_list("start").alias("runs"))
     texts = documents.select("doc", "h", "text").join(open_runs, ["doc", "h"]).select("doc", "h", "text", "runs")
-    halves = keep(texts.mapInArrow(lambda b: _halves(b, length), "r1 long, r2 long, doc long, h long, start long, strings long, bytes binary"), "half-ranks")
+    contexts = keep(texts.mapInArrow(lambda b: _contexts(b, length), "doc long, h long, run long, strings long, shift long, bytes binary"), "run-bytes")
+    release(documents.sparkSession)
+    grouped = contexts.mapInArrow(lambda b: _groups(b, length), "deal long, whole long, doc long, h long, place long")
+    ordered = grouped.repartition("deal").sortWithinPartitions("deal", "whole", "doc", "h", "place")
+    second = keep(ordered.mapInArrow(lambda b: _first_ranks(b, length), spans), "group-ranks")
     release(documents.sparkSession)
-    again = lambda rows: rows.groupBy("r1", "r2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
-    shared = halves.join(keep(again(halves).select("r1", "r2"), "pairs-64"), ["r1", "r2"]).select("doc", "h", "start", "strings", "bytes")
+    open_groups = second.where("stop IS NULL").select("doc", "h", F.col("start").alias("place"), (F.shiftright("start", 14) - F.col("start").bitwiseAND(F.lit(127))).alias("run"))
+    shared = open_groups.join(contexts.select("doc", "h", "run", "bytes"), ["doc", "h", "run"]).select("doc", "h", "place", "bytes")
     positions = keep(shared.mapInArrow(lambda b: _positions(b, length), "r1 long, r2 long, doc long, h long, start long"), "string-ranks")
-    earlier = keep(again(positions).select("r1", "r2", "first"), "pairs-100")
+    discard(contexts)
+    names = positions.groupBy("r1", "r2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first < last")
+    earlier = keep(names.select("r1", "r2", "first"), "first-strings")
     later = positions.join(earlier, ["r1", "r2"]).where(_place() > F.col("first"))
-    return first.where("stop IS NOT NULL").unionByName(later.select("doc", "h", "start", (F.col("start") + length).alias("stop")))
+    found = [rows.where("stop IS NOT NULL") for rows in (first, second)]
+    return found[0].unionByName(found[1]).unionByName(later.select("doc", "h", "start", (F.col("start") + length).alias("stop")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
