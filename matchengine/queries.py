@@ -17,6 +17,7 @@ from matchengine.functions import nuclear, text
 from matchengine.functions import similarity as sim
 from matchengine.operators import adopted, averages, cluster, groups, learning, pairs, rules
 from matchengine.operators.components import components
+from matchengine.plans import matching
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
 from matchengine.sources import logs, reports
 
@@ -226,13 +227,14 @@ def gamma_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_spectra(spark, sf_dir).select("o_orderkey", "next_key", r6(sim.gamma_similarity(bare(F.col("a")), bare(F.col("b")))).alias("similarity"))
 
 
-@query("""SELECT a.vec_id AS id_1, b.vec_id AS id_2, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 50""")
+@query("""WITH v AS (SELECT vec_id AS id_1, CAST(embedding AS DOUBLE[]) AS a, lead(vec_id) OVER w AS id_2, lead(CAST(embedding AS DOUBLE[])) OVER w AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+    SELECT id_1, id_2, round(list_cosine_similarity(a, b), 5) AS cosine FROM v WHERE id_2 IS NOT NULL""")
 def cosine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the next one of its label."""
+    following = Window.partitionBy("label").orderBy("vec_id")
     v = table(spark, sf_dir, "embeddings")
-    one, two = v.select(F.col("vec_id").alias("id_1"), "label", F.col("embedding").alias("a")), v.select(F.col("vec_id").alias("id_2"), "label", F.col("embedding").alias("b"))
-    near = pairs.range_join(one, two, F.col("id_1"), F.col("id_2"), 50, ["label"]).where("id_2 > id_1")
-    return near.select("id_1", "id_2", F.round(sim.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
+    pair = v.select(F.col("vec_id").alias("id_1"), F.col("embedding").alias("a"), F.lead("vec_id").over(following).alias("id_2"), F.lead("embedding").over(following).alias("b"))
+    return pair.where("id_2 IS NOT NULL").select("id_1", "id_2", F.round(sim.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
 
 
 @query("""WITH h AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT user_id, sum(n) AS total FROM h GROUP BY user_id),
@@ -446,12 +448,10 @@ def greedy_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
     b AS (SELECT *, sum(CAST(trim(line) = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM l)
-    SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines, count(*) FILTER (length(line) > 80) AS n_long FROM b WHERE trim(line) <> '' GROUP BY doc_id, block""")
+    SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n_lines, count(*) FILTER (substr(line, 8, 1) = 'L') AS n_levels, count(*) FILTER (substr(line, 8, 1) = 'G') AS n_gammas FROM b WHERE trim(line) <> '' GROUP BY doc_id, block""")
 def wholetext_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("block", F.sum((F.trim("line") == "").cast("int")).over(order)).where("trim(line) <> ''")
-    return marked.groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.count_if(F.length("line") > 80).alias("n_long"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return logs.blocks(lines).withColumnRenamed("file", "doc_id")
 
 
 @query("""SELECT p_partkey, CAST(2 AS BIGINT) AS n_values, round(p_size + 0.5, 6)::DOUBLE AS first_value, round((p_partkey % 9 + 1) / 10.0, 6)::DOUBLE AS first_error, round(p_size * 2, 6)::DOUBLE AS second_value, -1.0::DOUBLE AS second_error FROM part""")
@@ -484,12 +484,18 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dataset_code", "level_index", F.col("energy_value").alias("energy"), F.col("uncertainty.value").alias("uncertainty"))
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_quantity AS e, 1 + l_linenumber::DOUBLE AS u, l_linenumber, l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-    SELECT l_suppkey AS cluster_no, round(sum(e / (u * u)) / sum(1 / (u * u)), 1) AS adopted_energy, count(*) AS members, arg_min(l_orderkey, struct_pack(a := u, b := l_orderkey, c := l_linenumber)) AS anchor FROM s GROUP BY 1""")
+@query("""WITH m AS (SELECT l_suppkey AS cluster_no, max(l_returnflag) AS ds, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, max(l_quantity) AS e, 1 + l_linenumber::DOUBLE AS u, max(l_linestatus) AS sp, max(l_discount) AS p
+      FROM lineitem GROUP BY l_suppkey, l_orderkey, l_linenumber, l_partkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cluster_no ORDER BY u, id) = 1 AS anchor FROM m)
+    SELECT cluster_no, round(sum(e / (u * u)) / sum(1 / (u * u)), 1) AS adopted_energy, max(sp) FILTER (anchor) AS adopted_spin_parity,
+           string_agg(id || '(' || CASE WHEN anchor THEN '100' ELSE CAST(CAST(round(p * 100) AS INT) AS VARCHAR) END || '%)', ' + ' ORDER BY NOT anchor, ds, id || '(' || CAST(CAST(round(p * 100) AS INT) AS VARCHAR) || '%)') AS sources FROM r GROUP BY 1""")
 def consensus_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("cluster_no"), F.col("l_quantity").alias("e"), (1 + F.col("l_linenumber").cast("double")).alias("u"), "l_linenumber", "l_orderkey")
-    w = 1 / (F.col("u") * F.col("u"))
-    return rows.groupBy("cluster_no").agg(F.round(F.sum(F.col("e") * w) / F.sum(w), 1).alias("adopted_energy"), F.count("*").alias("members"), F.min_by("l_orderkey", F.struct("u", "l_orderkey", "l_linenumber")).alias("anchor"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max("l_returnflag").alias("dataset_code"), F.max("l_quantity").alias("energy_value"), F.max("l_linestatus").alias("spin_parity_string"), F.max("l_discount").alias("match_probability"))
+    lines = lines.select("*", F.col("l_suppkey").alias("cluster_no"), F.concat_ws("-", *keys).alias("level_id"), (1 + F.col("l_linenumber").cast("double")).alias("energy_uncertainty"))
+    first = cluster.anchors(lines.withColumn("seq", F.col("level_id")), ["cluster_no"])
+    members = lines.join(first, "cluster_no").select("cluster_no", "dataset_code", "level_id", (F.col("level_id") == F.col("anchor")).alias("is_anchor"), "match_probability")
+    return matching.consensus(members, lines.select("level_id", "energy_value", "energy_uncertainty", "spin_parity_string"))
 
 
 # --- rules and strengths --------------------------------------------------------
@@ -572,11 +578,11 @@ def width_to_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", r6(life * 1e12).alias("half_life_ps"), r6(nuclear.spin_factor(2 * (F.col("p_size") % 4), 2 * (F.col("p_partkey") % 3))).alias("factor"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS dsid FROM supplier WHERE s_suppkey % 10 <> 3), t AS (SELECT DISTINCT l_suppkey AS dsid FROM lineitem WHERE l_suppkey % 7 <> 2)
+@query("""WITH s AS (SELECT s_suppkey AS dsid FROM supplier), t AS (SELECT DISTINCT l_suppkey + 3 AS dsid FROM lineitem)
     SELECT dsid, 'cross-reference names no dataset' AS message FROM t WHERE dsid NOT IN (SELECT dsid FROM s) UNION ALL SELECT dsid, 'dataset has no cross-reference tag' FROM s WHERE dsid NOT IN (SELECT dsid FROM t)""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 2").select(F.col("l_suppkey").alias("dsid")).distinct()
-    return rules.cross_reference_rule(tags, table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("dsid")))
+    tags = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 3).alias("dsid")).distinct()
+    return rules.cross_reference_rule(tags, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("dsid")))
 
 
 # --- further joins, aggregations and reports ----------------------------------------
@@ -691,9 +697,9 @@ def be2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("four IS NOT NULL AND two > 0").select("l_orderkey", r6(F.col("four") / F.col("two")).alias("ratio"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_discount >= 0.09) SELECT a, b FROM e UNION SELECT b, a FROM e""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b FROM e UNION SELECT b, a FROM e""")
 def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_discount >= 0.09").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
     return pairs.valid_both_ways(edges, "a", "b")
 
 
@@ -726,10 +732,10 @@ def conversion_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(nuclear.icc_energy(F.col("p_size"), "M1", 0.005), 5).alias("m1"), F.round(nuclear.icc_energy(F.col("p_size"), "E2", 0.01), 5).alias("e2"))
 
 
-@query("""WITH b AS (SELECT l_suppkey AS band, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS dj FROM lineitem WHERE l_quantity > 45)
+@query("""WITH b AS (SELECT l_suppkey AS band, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS dj FROM lineitem)
     SELECT band, count(DISTINCT dj) AS n_steps FROM b WHERE dj IS NOT NULL GROUP BY 1 HAVING count(DISTINCT dj) > 1""")
 def band_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("band"), F.col("l_extendedprice").alias("energy"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("level_id"), F.col("l_linenumber").alias("two_j"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("band"), F.col("l_extendedprice").alias("energy"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("level_id"), F.col("l_linenumber").alias("two_j"))
     return rules.band_rule(rows)
 
 
@@ -826,13 +832,14 @@ def record_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").agg(n((F.length("p_name") >= 8) & (F.trim("p_type") != "")).alias("n_records"), n(~F.col("p_type").contains("BRASS")).alias("n_no_theory"), n((F.col("p_size") > 25) & (F.col("p_retailprice") >= 1000)).alias("n_strong"))
 
 
-@query("""WITH m AS (SELECT n_name AS c, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY abs(s_acctbal), s_suppkey) = 1 AS anchor FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-    SELECT c AS cluster, string_agg('  ' || s_suppkey || CASE WHEN anchor THEN ' (anchor)' ELSE '' END, chr(10) ORDER BY s_suppkey) AS report FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT CAST(s_nationkey AS INT) AS cluster_no, CAST(s_suppkey % 3 AS VARCHAR) AS ds, CAST(s_suppkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY abs(s_acctbal), s_suppkey) = 1 AS anchor, s_suppkey % 8 / 8.0::DOUBLE AS p FROM supplier),
+    e AS (SELECT cluster_no, ds, CASE WHEN anchor THEN '  ' || id || ' (anchor)' ELSE printf('  %s probability %.1f%%', id, p * 100) END AS t FROM m)
+    SELECT cluster_no, printf('Cluster %d:', cluster_no) || chr(10) || string_agg(t, chr(10) ORDER BY ds, t) AS text FROM e GROUP BY 1""")
 def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    first = F.row_number().over(Window.partitionBy("n_name").orderBy(F.abs("s_acctbal"), "s_suppkey")) == 1
-    line = F.struct("s_suppkey", F.concat(F.lit("  "), F.col("s_suppkey").cast("string"), F.when(first, " (anchor)").otherwise("")).alias("t"))
-    return s.select(F.col("n_name").alias("cluster"), line.alias("l")).groupBy("cluster").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"])).alias("report"))
+    k = F.col("s_suppkey")
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.abs("s_acctbal"), "s_suppkey")) == 1
+    members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("cluster_no"), (k % 3).cast("string").alias("dataset_code"), k.cast("string").alias("level_id"), first.alias("is_anchor"), (k % 8 / 8.0).alias("match_probability"))
+    return reports.cluster_report(members)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_tax = 0 THEN round(l_quantity * 1.37::DOUBLE) ELSE l_quantity END AS BIGINT) AS shown, round(l_quantity * 1.37::DOUBLE) = l_quantity AS same FROM lineitem""")
