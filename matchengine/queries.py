@@ -329,6 +329,15 @@ def average_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("part", "method", F.round("value", 4).alias("value"), F.round("uncertainty", 4).alias("uncertainty"))
 
 
+@query("""WITH l AS (SELECT l_partkey AS part, l_extendedprice / l_quantity AS x, 1 + 100 * l_discount AS dx, row_number() OVER () AS i FROM lineitem),
+    d AS (SELECT a.part, a.i, a.x, a.dx, sum(exp(-0.5::DOUBLE * pow((a.x - b.x) / b.dx, 2)) / b.dx) AS w FROM l a JOIN l b USING (part) GROUP BY ALL),
+    n AS (SELECT *, w / sum(w) OVER (PARTITION BY part) AS p, count(*) OVER (PARTITION BY part) AS n FROM d), m AS (SELECT *, sum(p * x) OVER (PARTITION BY part) AS mean FROM n)
+    SELECT part, round(max(mean), 4) AS value, round(greatest(sqrt(sum(p * p * dx * dx)), sqrt(sum(p * (x - mean) * (x - mean)) / max(n))), 4) AS uncertainty FROM m GROUP BY part""")
+def expected_value_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = averages.other_averages(priced_lines(spark, sf_dir), "part", "x", "dx", ["EVM"])
+    return found.select("part", F.round("value", 4).alias("value"), F.round("uncertainty", 4).alias("uncertainty"))
+
+
 @query("""WITH m AS (SELECT l_orderkey AS g, l_quantity AS x, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 1 + l_tax * 10 END AS dx, CASE WHEN l_returnflag = 'A' THEN '*' WHEN l_returnflag = 'R' THEN '?' END AS marker FROM lineitem),
     s AS (SELECT *, CASE WHEN marker IS NOT NULL THEN greatest(5 * coalesce(nullif(dx, 0), 5.0), 5.0) ELSE coalesce(nullif(dx, 0), 5.0) END AS sg, coalesce(marker = '?', false) AS doubt FROM m),
     c AS (SELECT s.* FROM s JOIN (SELECT g, bool_or(NOT doubt) AS firm FROM s GROUP BY g) f USING (g) WHERE NOT doubt OR NOT firm),
@@ -365,7 +374,12 @@ def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.gap_islands(rows, ["user_id"], F.col("us"), 3_600_000_000, "session", ["event_id"]).select("event_id", "user_id", "session")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT c_nationkey AS nation, c_custkey, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS n FROM customer),
+    s(nation, c_custkey, x, n, island, part, first_x) AS (
+      SELECT nation, c_custkey, x, n, CAST(0 AS BIGINT), CAST(0 AS INT), x FROM o WHERE n = 1
+      UNION ALL SELECT o.nation, o.c_custkey, o.x, o.n, CASE WHEN o.x - s.x > 20 THEN s.island + 1 ELSE s.island END, CAST(CASE WHEN o.x - s.x > 20 THEN 0 WHEN o.x - s.x > 10 AND s.x - s.first_x > 20 THEN s.part + 1 ELSE s.part END AS INT),
+        CASE WHEN o.x - s.x > 20 OR (o.x - s.x > 10 AND s.x - s.first_x > 20) THEN o.x ELSE s.first_x END FROM s JOIN o ON o.nation = s.nation AND o.n = s.n + 1)
+    SELECT nation, c_custkey, island, part FROM s""")
 def coarse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("x"))
     return groups.coarse_groups(rows, "nation", 20.0).select("nation", "c_custkey", "island", "part")

@@ -119,3 +119,32 @@ def test_blocks_do_not_change_an_average(monkeypatch):
     assert averages.expected_value(x, dx) == pytest.approx(whole, rel=1e-12)
     mean, spread = averages.bootstrap(x, dx, draws=2000)
     assert abs(mean - 10) < 1 and 0 < spread < 1
+
+
+def best_assignment(records, sides, cost):
+    """Most records placed, then least cost, over all assignments without crossing."""
+    if not records or not sides:
+        return 0, 0.0
+    r, g = records[0], sides[0]
+    options = [best_assignment(records[1:], sides, cost), best_assignment(records, sides[1:], cost)]
+    if (r, g) in cost:
+        n, c = best_assignment(records[1:], sides[1:], cost)
+        options.append((n + 1, c + cost[r, g]))
+    return max(options, key=lambda o: (o[0], -o[1]))
+
+
+def test_ordered_assignment_is_the_best(spark):
+    rng = random.Random(3)
+    rows, costs = [], {}
+    for island in range(40):
+        cost = {(r, g): round(rng.random() * 10, 3) for r in range(1, 6) for g in range(1, 6) if rng.random() < 0.5}
+        costs[island] = cost
+        rows += [(island, r, g, c) for (r, g), c in cost.items()]
+    found: dict = {}
+    for x in groups.assign_in_order(spark.createDataFrame(rows, "isl int, record int, grp int, cost double"), ["isl"]).collect():
+        found.setdefault(x.isl, []).append((x.record, x.grp))
+    for island, cost in costs.items():
+        mine = sorted(found.get(island, []))
+        assert [g for _, g in mine] == sorted({g for _, g in mine}) and len({r for r, _ in mine}) == len(mine)
+        n, total = best_assignment([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], cost)
+        assert len(mine) == n and sum(cost[p] for p in mine) == pytest.approx(total)
