@@ -22,11 +22,14 @@ one length drops out before the next.
    is a repeat.
 4. The repeats' bytes are united per document and cut out.
 
-Ranks are 64-bit names of the bytes they stand for.  Equal runs in one chunk of
-a task are merged before the first sort, so thousands of copies of a passage send
-one row a chunk, and sorted rows are read as a stream.  The last round sums up a
-rank's positions before the shuffle and joins them to a written table, whose hot
-ranks adaptive execution can split.
+Ranks are 64-bit names of the bytes they stand for (63 bits where they deal rows
+out).  Before the first and the second sort, equal runs or groups of one chunk of
+a task are merged, so thousands of copies of a passage send one row a chunk; and
+of different ones with one rank only two a chunk are dealt out by that rank, the
+others by their own bytes, so no rank gathers a large group of near copies in one
+task.  Sorted rows are read as a stream.  The last round sums up a rank's positions
+before the shuffle and joins them to a written table, whose hot ranks adaptive
+execution can split.
 
 Defined results: a document is its id and its text; a null text is empty; texts
 shorter than ``LENGTH`` stay; rows that repeat an id and its text are one
@@ -95,10 +98,35 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return np.searchsorted(offsets, first, "right") - 1, first, last - first + 1, anchor[first], sums
 
 
+def _dealt(name: np.ndarray, whole: np.ndarray, doc: np.ndarray, h: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, whole, doc, h, place) of runs with the rank ``name`` in common.
+
+    Of equal ones (``whole``) only the first goes on; the others are repeats, sent
+    without ``whole``.  The first two different ones of a rank are dealt out by the
+    rank; that there are two shows all others of the rank to be open, wherever they
+    come from.  So more than two are dealt by their own bytes, with an odd number
+    that says they are open: no rank brings more than two rows of a chunk to a task.
+    """
+    order = np.lexsort((place, h, doc, whole, name))
+    name, whole, doc, h, place = (x[order] for x in (name, whole, doc, h, place))
+    other = np.append(True, name[1:] != name[:-1])[: len(name)]
+    new = other | np.append(True, whole[1:] != whole[:-1])[: len(name)]
+    # The same place twice is one row given twice, not a repeat.
+    again = ~new & np.append(False, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (place[1:] != place[:-1]))[: len(name)]
+    number = np.cumsum(new)
+    many = number - number[other][np.cumsum(other) - 1] > 1
+    deal = np.where(many, whole | _U(1), name & ~_U(1))
+    for chosen, is_run in ((new, True), (again, False)):
+        if k := int(chosen.sum()):
+            to = deal[chosen] if is_run else tv.mix(doc[chosen].astype(_U) + place[chosen].astype(_U))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to.view(np.int64)), pa.array(whole[chosen].view(np.int64)) if is_run else pa.nulls(k, pa.int64()), pa.array(doc[chosen]), pa.array(h[chosen]), pa.array(place[chosen])],
+                names=["deal", "whole", "doc", "h", "place"],
+            )
+
+
 def _named_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, whole, doc, h, place): runs, dealt out by the rank of the
-    anchor; and repeats found inside a chunk, without ``whole``."""
-    names = ["deal", "whole", "doc", "h", "place"]
+    """Rows (deal, whole, doc, h, place) of the runs of a chunk, see ``_dealt``."""
     for part, data, offsets in tv.text_chunks(batches, 2, tv.CHUNK_BYTES // 2):
         doc, first, count, anchor, sums = runs(data, offsets, length)
         if not len(first):
@@ -107,20 +135,7 @@ def _named_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         start = first - offsets[doc]
         name = tv.span_hashes(sums, anchor, anchor + SEED)
         whole = tv.mix(tv.span_hashes(sums, first, first + count + length - 1) + (anchor - first).astype(_U))
-        order = np.lexsort((start, h, ids, whole, name))
-        name, whole, ids, h, start, count, shift = (x[order] for x in (name, whole, ids, h, start, count, anchor - first))
-        new = np.append(True, (name[1:] != name[:-1]) | (whole[1:] != whole[:-1]))
-        place = (start << 14) | (count << 7) | shift
-        # The same place twice is one row given twice, not a repeat.
-        again = ~new & np.append(False, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]) | (start[1:] != start[:-1]))
-        for chosen, is_run in ((new, True), (again, False)):
-            k = int(chosen.sum())
-            if k:
-                deal = name[chosen] if is_run else tv.mix(ids[chosen].astype(_U) + place[chosen].astype(_U))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(deal.view(np.int64)), pa.array(whole[chosen].view(np.int64)) if is_run else pa.nulls(k, pa.int64()), pa.array(ids[chosen]), pa.array(h[chosen]), pa.array(place[chosen])],
-                    names=names,
-                )
+        yield from _dealt(name, whole, ids, h, (start << 14) | (count << 7) | (anchor - first))
 
 
 def _first_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -128,7 +143,8 @@ def _first_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     each of the different runs of one anchor, with stop null.
 
     Rows are a stream; of an anchor whose rows go on only the last row is kept,
-    and its first run until a second shows that both are open.
+    and its first run until a second shows that both are open.  Runs dealt by their
+    own bytes are open in any case.
     """
     names = ["deal", "whole", "doc", "h", "place"]
     before: list[int | None] | None = None
@@ -164,16 +180,16 @@ def _first_ranks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         gone[:skip] = False
         # A first run is open if another one of its anchor follows.
         firsts = np.flatnonzero(new)
-        leads = other[firsts]
+        leads, known = other[firsts], (deal[firsts] & 1).astype(bool)
         followed = np.append(~leads[1:], False)
-        open_ = firsts[~leads | followed]
+        open_ = firsts[~leads | followed | known]
         extra = none
         if pending is not None:
             if len(firsts) and not leads[0]:
                 extra = [np.array([x], np.int64) for x in pending]
             if len(firsts):
                 pending = None
-        if len(firsts) and leads[-1]:
+        if len(firsts) and leads[-1] and not known[-1]:
             k = int(firsts[-1])
             pending = [int(doc[k]), int(h[k]), int(place[k])]
         before = [x[-1:] for x in (deal, whole, doc, h, place)]
@@ -206,7 +222,8 @@ def _rank64(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, whole, doc, h, place): groups of strings of the open runs.
+    """Rows (deal, whole, doc, h, place) of groups of strings of the open runs, see
+    ``_dealt``.
 
     Strings whose distance to the anchor falls into one class of GROUP distances
     have all but GROUP - 1 of their bytes in common; these are ranked by the pair of
@@ -227,8 +244,7 @@ def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         at = base + shift[of] - kind * GROUP
         name = tv.mix(_rank64(sums, at) * tv._GRAM[1] + _rank64(sums, at + core - 2 * SEED) * tv._GRAM[2] + kind.astype(_U))
         whole = tv.mix(tv.span_hashes(sums, base + skip, base + skip + n + length - 1) + high.astype(_U))
-        place = ((run[of] + skip) << 14) | (n << 7) | skip
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[of]), pa.array(h[of]), pa.array(place)], names=["deal", "whole", "doc", "h", "place"])
+        yield from _dealt(name, whole, doc[of], h[of], ((run[of] + skip) << 14) | (n << 7) | skip)
 
 
 def _positions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

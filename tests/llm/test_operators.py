@@ -407,6 +407,34 @@ def test_byte_dedup_repeated_ids(spark, batch):
     assert found == sorted(((i, *want[-(2**63) if i is None else i, text_hash(t or "")]) for i, t in rows), key=str)
 
 
+def test_byte_dedup_of_a_large_group_of_near_copies(spark):
+    """One text with a change in another place in each copy, exact copies among
+    them: most ranks have many different runs in every chunk, some in one only."""
+    rng = random.Random(29)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1200))
+    rows = []
+    for k in range(150):
+        at = rng.randrange(1200)
+        rows.append((k, base if k % 10 == 3 else base[:at] + f"<{k}>" + base[at + rng.randint(0, 3) :]))
+    rows += [(1000 + k, f"{k}" + base[50 * k : 50 * k + 130]) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_bytes(in_order(rows))
+    assert byte_rows(byte_dedup.remove_repeats(frame)) == sorted(((i, *want[i, text_hash(t)]) for i, t in rows), key=str)
+
+
+def test_byte_runs_of_one_rank_are_dealt_out():
+    """Of 500 different runs of one rank two go by the rank; equal ones are merged."""
+    n = 500
+    name = np.append(np.full(2 * n, 77, np.uint64), [np.uint64(91)])
+    whole = np.append(np.repeat(np.arange(10, 10 + n, dtype=np.uint64) << np.uint64(8), 2), [np.uint64(5)])
+    doc, place = np.arange(2 * n + 1), np.full(2 * n + 1, 1 << 14)
+    runs, again = [b.to_pandas() for b in byte_dedup._dealt(name, whole, doc, doc, place)]
+    assert len(runs) == n + 1 and len(again) == n and again.whole.isna().all()
+    by_rank = runs[runs.deal % 2 == 0]
+    assert sorted(by_rank.deal) == [76, 76, 90] and runs[runs.deal % 2 == 1].deal.is_unique
+    assert sorted([*runs.doc, *again.doc]) == list(range(2 * n + 1)) and set(again.doc) == set(range(1, 2 * n, 2))
+
+
 def brute_sets(text, n):
     words = SPACE.findall(fold(text or ""))
     if not words:
