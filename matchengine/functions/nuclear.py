@@ -76,8 +76,32 @@ def zero_to_zero_conflict(log_ft: Column, unc: Column, zero_to_zero: Column) ->
     return F.when(zero_to_zero & (log_ft > 3.6) & (log_ft + _log_ft_width(log_ft, unc) < 6.4), "log ft between 3.6 and 6.4 for 0+ to 0+")
 
 
-def hindrance_conflict(hf: Column, odd_mass: Column, same_jpi: Column, natural_parity: Column) -> Column:
-    return F.when(odd_mass & (hf < 4) & ~same_jpi, "hindrance factor below 4 needs equal spin and parity").when(~odd_mass & ~natural_parity, "alpha decay of an even nucleus goes to natural parity only")
+def hindrance_conflict(hf: Column, unc: Column, limit: Column, odd_mass: Column, same_jpi: Column, natural_parity: Column) -> Column:
+    """Message where a hindrance factor does not fit the spins; a fifth of it is
+    its uncertainty where none is given, ``limit`` the text of a limit."""
+    low = (hf + F.coalesce(unc, 0.2 * hf) < 4) | ((hf < 4) & F.coalesce(limit, F.lit("")).startswith("L"))
+    return F.when(odd_mass & low & ~same_jpi, "hindrance factor below 4 needs equal spin and parity").when(~odd_mass & ~natural_parity, "alpha decay of an even nucleus goes to natural parity only")
+
+
+def hindrance_spread(hf: Column, unc: Column, alpha: Column, alpha_unc: Column) -> Column:
+    """Message where the relative uncertainties of a hindrance factor and of the
+    branch that it comes from differ; none where one of them is zero."""
+    share = F.try_divide(unc, hf)
+    off = F.abs(F.try_divide(share, F.try_divide(alpha_unc, alpha)) - 1)
+    return F.when((alpha_unc > 0) & ((off > 0.2) | ((off > 0.1) & (share > 0.1))), "relative uncertainties of hindrance factor and branching differ")
+
+
+def zero_to_zero_gamma(two_ji: Column, two_jf: Column, parity_change: Column) -> Column:
+    """Message for a gamma between spins 0; null where the parities are unknown."""
+    return F.when((two_ji == 0) & (two_jf == 0), F.when(parity_change, "0 to 0 with a change of parity is not allowed").when(~parity_change, "0 to 0 is an E0 transition"))
+
+
+def mult_differs(mult: Column, adopted: Column) -> Column:
+    """Whether two multipolarities differ; the order of a mixed one does not
+    count, and assumed ones, in brackets, are not compared."""
+    parts = lambda m: F.array_sort(F.split(F.trim(m), "[+,]"))
+    told = ~mult.contains("[") & ~adopted.contains("[")
+    return told & ((parts(mult) != parts(adopted)) | (mult.contains(",") != adopted.contains(",")))
 
 
 # Coefficients (of Z^4, Z^3, Z^2, Z, 1) of the gamma energy above
@@ -102,6 +126,14 @@ def icc_energy(z: Column, multipolarity: str, coefficient: float) -> Column:
     return total
 
 
+def icc_missing(energy: Column, z: Column, dj: Column, parity_change: Column, questionable: Column) -> Column:
+    """Message for a gamma of so low an energy that its conversion counts (by the
+    lowest multipolarity; half the limit for a questionable gamma)."""
+    limit = lambda high, low: F.when(dj >= 2, icc_energy(z, high, 0.01)).otherwise(icc_energy(z, low, 0.01))
+    upto = F.when(parity_change, limit("M2", "E1")).when(~parity_change, limit("E2", "M1"))
+    return F.when((energy > 0) & (energy < F.when(questionable, upto / 2).otherwise(upto)), "conversion may not be negligible")
+
+
 # Match probability at a z-score where nothing is vetoed.
 Z_TABLE = (
     (0.0, 1.00), (0.5, 0.99), (1.0, 0.98), (1.5, 0.95), (1.8, 0.90), (2.0, 0.80), (2.2, 0.70), (2.5, 0.60), (2.8, 0.55),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchengine.functions import nuclear, text
+from matchengine.operators import pairs
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,7 @@ def level_rules() -> list[Rule]:
     c = F.col
     differs = F.abs(c("energy") - c("adopted_energy")) > 0
     rounded = text.rounded_like(c("adopted_energy"), c("energy_text")) == c("energy_text")
+    hindrance = ("hf", "hf_unc", "hf_limit", "odd_mass", "same_jpi", "natural_parity")
     log_ft = ("log_ft", "log_ft_unc", "log_ft_limit", "dj", "parity_change", "unique")
     return [
         Rule("R3", ("q_reference", "q_uncertainties"), F.when((F.trim("q_reference") != "") & ~_holds(c("q_reference"), Q_REFERENCES) & ~_holds(c("q_uncertainties"), ("CA",)), F.concat(F.lit("stale Q-value reference "), c("q_reference")))),
@@ -55,7 +57,8 @@ def level_rules() -> list[Rule]:
         Rule("R13", ("energy", "energy_text", "adopted_energy", "is_quoted"), F.when(c("is_quoted") & differs & ~rounded, F.lit("energy quoted from Adopted differs"))),
         Rule("R14", ("jpi_text", "adopted_jpi", "is_quoted"), F.when(c("is_quoted") & (c("jpi_text") != c("adopted_jpi")), F.lit("spin-parity quoted from Adopted differs"))),
         Rule("R15", ("t12_text", "adopted_t12", "energy", "is_isomer", "t12_seconds"), F.when((c("energy") == 0) & (c("t12_text") == ""), F.lit("ground state has no half-life")).when(c("t12_text") != c("adopted_t12"), F.lit("half-life differs from Adopted")).when((c("t12_seconds") >= 1e-7) & ~c("is_isomer"), F.lit("half-life of an isomer without its flag"))),
-        Rule("R21", ("hf", "odd_mass", "same_jpi", "natural_parity"), nuclear.hindrance_conflict(c("hf"), c("odd_mass"), c("same_jpi"), c("natural_parity"))),
+        Rule("R21", hindrance, nuclear.hindrance_conflict(*map(c, hindrance))),
+        Rule("R21", ("hf", "hf_unc", "alpha", "alpha_unc", "to_ground"), F.when(c("to_ground"), nuclear.hindrance_spread(c("hf"), c("hf_unc"), c("alpha"), c("alpha_unc")))),
         Rule("R22", ("dj", "parity_change"), nuclear.log_ft_unlikely(c("dj"), c("parity_change"))),
         Rule("R22", log_ft, nuclear.log_ft_conflict(*map(c, log_ft))),
         Rule("R22", log_ft, nuclear.unique_flag_missing(*map(c, log_ft))),
@@ -65,9 +68,16 @@ def level_rules() -> list[Rule]:
 
 def gamma_rules() -> list[Rule]:
     c = F.col
+    zero = ("two_ji", "two_jf", "parity_change")
+    icc = ("energy", "z", "dj", "parity_change", "questionable")
     return [
         Rule("R17", ("final_level_index", "level_index"), F.when(c("final_level_index").isNull(), F.lit("gamma has no final level")).when(c("final_level_index") >= c("level_index"), F.lit("final level is not below the initial one"))),
         Rule("R18", ("mult", "expected_mult"), F.when((c("mult") != "") & ~F.arrays_overlap(F.split(c("mult"), r"\+"), c("expected_mult")), F.lit("multipolarity does not fit the spins"))),
+        Rule("R18", ("mult", "adopted_mult", "mult_quoted"), F.when(c("mult_quoted") & nuclear.mult_differs(c("mult"), c("adopted_mult")), F.when(c("mult") == "", "multipolarity quoted from Adopted is not given").otherwise("multipolarity quoted from Adopted differs"))),
+        Rule("R18", ("mixing", "adopted_mixing", "mixing_quoted"), F.when(c("mixing_quoted") & (F.trim("mixing") != F.trim("adopted_mixing")), F.lit("mixing ratio quoted from Adopted differs"))),
+        Rule("R18", ("mult", "computed_text"), F.when(c("mult").contains("E0") & c("computed_text").contains("BE0"), F.lit("B(E0) should be from experiment"))),
+        Rule("R18", zero, nuclear.zero_to_zero_gamma(*map(c, zero))),
+        Rule("R18", ("icc", "is_absolute", *icc), F.when(c("is_absolute") & c("icc").isNull(), nuclear.icc_missing(*map(c, icc)))),
         Rule("R20", ("strength", "limit"), F.when(c("strength") > c("limit"), F.lit("transition strength is above the recommended upper limit"))),
         Rule("R24", ("energy", "adopted_energy", "unc", "adopted_unc"), F.when(F.abs(c("energy") - c("adopted_energy")) >= F.greatest(F.lit(2.0), 1.5 * F.sqrt(c("unc") * c("unc") + c("adopted_unc") * c("adopted_unc"))), F.lit("energy differs from the adopted gamma"))),
     ]
@@ -95,6 +105,19 @@ def order_rule(rows: DataFrame, by: list[str], order: list[str], value: str) ->
     return rows.withColumn("previous", F.lag(value).over(w)).where(F.col(value) < F.col("previous"))
 
 
+def placement_rule(gammas: DataFrame, adopted: DataFrame, by: list[str], key: str, reach: float = 5.0) -> DataFrame:
+    """Gammas that Adopted does not have at their level (R17): it has similar ones
+    at other levels, or none within ``reach``.  ``gammas``: key, by, energy,
+    adopted_gamma (null if none), questionable; ``adopted``: by, energy.  A
+    questionable gamma may be missing.  A null energy is like no gamma's."""
+    lost = gammas.where("adopted_gamma IS NULL").select(key, *by, "energy", "questionable")
+    near = pairs.range_join(lost.drop("questionable"), adopted.select(*by, F.col("energy").alias("adopted_energy")), F.col("energy"), F.col("adopted_energy"), reach, by)
+    similar = near.groupBy(key).agg(F.count("*").alias("n_similar"))
+    message = F.when(F.col("n_similar") > 0, "similar gammas are placed elsewhere in Adopted").when(~F.coalesce("questionable", F.lit(False)), "no such gamma in Adopted")
+    told = lost.join(similar, key, "left").withColumn("n_similar", F.coalesce("n_similar", F.lit(0)))
+    return told.select(key, F.lit("R17").alias("rule"), message.alias("message"), "n_similar").where("message IS NOT NULL")
+
+
 def band_rule(members: DataFrame) -> DataFrame:
     """Bands whose steps in spin are not constant."""
     w = Window.partitionBy("band").orderBy("energy", "level_id")

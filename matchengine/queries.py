@@ -781,7 +781,7 @@ _LEVEL_COLUMNS = """p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1
     p_size - 1.0D AS energy, CAST(p_size - 1 AS STRING) AS energy_text, p_size - 1 + p_partkey % 5 * 0.3D AS adopted_energy, p_partkey % 3 = 1 AS is_quoted,
     CASE WHEN p_partkey % 2 = 0 THEN '2+' ELSE '3-' END AS jpi_text, CASE WHEN p_size % 2 = 0 THEN '2+' ELSE '3-' END AS adopted_jpi,
     CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END AS t12_text, CASE WHEN p_partkey % 4 = 0 THEN '5 NS' ELSE CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END END AS adopted_t12,
-    p_partkey % 9 = 0 AS is_isomer, CASE WHEN p_partkey % 8 = 2 THEN 1e-6D ELSE 1e-12D END AS t12_seconds, p_size / 5.0D AS hf, p_partkey % 2 = 1 AS odd_mass, p_partkey % 3 = 0 AS same_jpi, p_partkey % 5 <> 0 AS natural_parity,
+    p_partkey % 9 = 0 AS is_isomer, CASE WHEN p_partkey % 8 = 2 THEN 1e-6D ELSE 1e-12D END AS t12_seconds, p_size / 5.0D AS hf, CASE WHEN p_partkey % 4 <> 1 THEN 0.3D END AS hf_unc, CASE WHEN p_size % 5 = 1 THEN 'LT' END AS hf_limit, p_partkey % 7 + 17.0D AS alpha, 1.1D AS alpha_unc, p_partkey % 5 = 1 AS to_ground, p_partkey % 2 = 1 AS odd_mass, p_partkey % 3 = 0 AS same_jpi, p_partkey % 5 <> 0 AS natural_parity,
     p_size / 5.0D AS log_ft, CASE WHEN p_partkey % 4 <> 1 THEN 0.3D END AS log_ft_unc, CASE p_size % 5 WHEN 0 THEN 'GT' WHEN 1 THEN 'LT' ELSE '' END AS log_ft_limit, p_partkey % 4 AS dj, p_size % 2 = 0 AS parity_change, CASE WHEN p_partkey % 3 = 0 THEN '1U' END AS unique, p_partkey % 5 = 0 AS zero_to_zero"""
 _WIDTH = "coalesce(log_ft_unc, 0.2::DOUBLE * log_ft)"
 _ALLOWED = f"((log_ft > 3.6 AND log_ft + {_WIDTH} < 5.9) OR (log_ft < 5.9 AND log_ft_limit = 'LT'))"
@@ -795,7 +795,8 @@ _LEVEL_TOLD = {
     "R13": [("is_quoted AND adopted_energy <> energy AND CAST(CAST(round(adopted_energy) AS BIGINT) AS VARCHAR) <> energy_text", "'energy quoted from Adopted differs'")],
     "R14": [("is_quoted AND jpi_text <> adopted_jpi", "'spin-parity quoted from Adopted differs'")],
     "R15": [("energy = 0 AND t12_text = ''", "'ground state has no half-life'"), ("t12_text <> adopted_t12", "'half-life differs from Adopted'"), ("t12_seconds >= 1e-7 AND NOT is_isomer", "'half-life of an isomer without its flag'")],
-    "R21": [("odd_mass AND hf < 4 AND NOT same_jpi", "'hindrance factor below 4 needs equal spin and parity'"), ("NOT odd_mass AND NOT natural_parity", "'alpha decay of an even nucleus goes to natural parity only'")],
+    "R21": [("odd_mass AND (hf + coalesce(hf_unc, 0.2::DOUBLE * hf) < 4 OR hf < 4 AND hf_limit = 'LT') AND NOT same_jpi", "'hindrance factor below 4 needs equal spin and parity'"), ("NOT odd_mass AND NOT natural_parity", "'alpha decay of an even nucleus goes to natural parity only'")],
+    "R21 spread": [("to_ground AND (abs(hf_unc / hf / (alpha_unc / alpha) - 1) > 0.2 OR abs(hf_unc / hf / (alpha_unc / alpha) - 1) > 0.1 AND hf_unc / hf > 0.1)", "'relative uncertainties of hindrance factor and branching differ'")],
     "R22": [("dj > 2 OR dj = 2 AND NOT parity_change", "'decay branch is less likely'")],
     "R22 fit": [
         (f"({_ALLOWED} AND parity_change AND dj > 1) OR (NOT {_ALLOWED} AND {_UNIQUE} AND {_HIGH} AND NOT parity_change AND dj > 2)", "'log ft does not fit the parity and spin change'"),
@@ -805,11 +806,21 @@ _LEVEL_TOLD = {
     "R22 flag": [(f"{_HIGH} AND dj = 2 AND parity_change AND NOT {_UNIQUE}", "'flag 1U is missing'")],
     "R22 window": [(f"zero_to_zero AND log_ft > 3.6 AND log_ft + {_WIDTH} < 6.4", "'log ft between 3.6 and 6.4 for 0+ to 0+'")],
 }
-_GAMMA_COLUMNS = """l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber END AS final_level_index, l_quantity AS level_index, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'M1+E2' ELSE 'E3' END AS mult,
+_GAMMA_COLUMNS = """l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber END AS final_level_index, l_quantity AS level_index, CASE WHEN l_partkey % 11 = 0 THEN 'E0' WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN 'M1+E2' ELSE 'E3' END AS mult,
+    CASE l_partkey % 4 WHEN 0 THEN 'E2+M1' WHEN 1 THEN 'E3' WHEN 2 THEN '[E2]' ELSE 'M1,E2' END AS adopted_mult, l_partkey % 3 = 0 AS mult_quoted, CASE WHEN l_partkey % 2 = 0 THEN '0.5 2' ELSE '' END AS mixing, CASE WHEN l_linenumber % 2 = 0 THEN '0.5 2' ELSE '-0.3 1' END AS adopted_mixing, l_partkey % 5 = 0 AS mixing_quoted,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'BE0=3' ELSE '' END AS computed_text, l_linenumber % 4 AS two_ji, l_partkey % 2 AS two_jf, CASE WHEN l_partkey % 7 <> 0 THEN l_suppkey % 2 = 0 END AS parity_change,
+    CASE WHEN l_linenumber % 2 = 0 THEN 0.1D END AS icc, l_partkey % 3 = 1 AS is_absolute, 10 * l_linenumber AS z, l_partkey % 4 AS dj, l_suppkey % 3 = 0 AS questionable,
     l_extendedprice AS strength, l_quantity * 1800 AS "limit", CAST(l_quantity AS DOUBLE) AS energy, CAST(l_quantity + l_linenumber AS DOUBLE) AS adopted_energy, CAST(l_linenumber % 3 AS DOUBLE) AS unc, 2.0D AS adopted_unc"""
+_polynomial = lambda k: " + ".join(f"{x!r}::DOUBLE * pow(z, {4 - i})" for i, x in enumerate(nuclear.ICC_LIMITS[k, 0.01]))
+_ICC_SQL = "CASE " + " ".join(f"WHEN {when} THEN {_polynomial(k)}" for when, k in (("parity_change AND dj >= 2", "M2"), ("parity_change", "E1"), ("NOT parity_change AND dj >= 2", "E2"), ("NOT parity_change", "M1"))) + " END"
 _GAMMA_TOLD = {
     "R17": [("final_level_index IS NULL", "'gamma has no final level'"), ("final_level_index >= level_index", "'final level is not below the initial one'")],
-    "R18": [("mult = 'E3' OR mult = 'M1+E2' AND level_index % 2 <> 0", "'multipolarity does not fit the spins'")],
+    "R18": [("mult = 'E3' OR mult = 'E0' OR mult = 'M1+E2' AND level_index % 2 <> 0", "'multipolarity does not fit the spins'")],
+    "R18 adopted": [("mult_quoted AND mult = '' AND adopted_mult <> '[E2]'", "'multipolarity quoted from Adopted is not given'"), ("mult_quoted AND adopted_mult <> '[E2]' AND mult <> adopted_mult AND NOT (mult = 'M1+E2' AND adopted_mult = 'E2+M1')", "'multipolarity quoted from Adopted differs'")],
+    "R18 mixing": [("mixing_quoted AND mixing <> adopted_mixing", "'mixing ratio quoted from Adopted differs'")],
+    "R18 E0": [("mult = 'E0' AND computed_text = 'BE0=3'", "'B(E0) should be from experiment'")],
+    "R18 zero": [("two_ji = 0 AND two_jf = 0 AND parity_change", "'0 to 0 with a change of parity is not allowed'"), ("two_ji = 0 AND two_jf = 0 AND NOT parity_change", "'0 to 0 is an E0 transition'")],
+    "R18 icc": [(f"is_absolute AND icc IS NULL AND energy < ({_ICC_SQL}) / CASE WHEN questionable THEN 2 ELSE 1 END", "'conversion may not be negligible'")],
     "R20": [("strength > \"limit\"", "'transition strength is above the recommended upper limit'")],
     "R24": [("abs(energy - adopted_energy) >= greatest(2.0::DOUBLE, 1.5::DOUBLE * sqrt(unc * unc + adopted_unc * adopted_unc))", "'energy differs from the adopted gamma'")],
 }
@@ -840,6 +851,16 @@ def every_gamma_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.check(rows, rules.gamma_rules(), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query("""WITH g AS (SELECT c_custkey, c_nationkey, c_acctbal AS x, c_custkey % 4 = 1 AS q FROM customer WHERE c_custkey % 3 <> 0),
+    n AS (SELECT c_custkey, count(s_suppkey) AS n_similar, any_value(q) AS q FROM g LEFT JOIN supplier ON s_nationkey = c_nationkey AND abs(x - s_acctbal) <= 5 GROUP BY 1)
+    SELECT c_custkey, 'R17' AS rule, CASE WHEN n_similar > 0 THEN 'similar gammas are placed elsewhere in Adopted' ELSE 'no such gamma in Adopted' END AS message, n_similar FROM n WHERE n_similar > 0 OR NOT q""")
+def gamma_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    gammas = table(spark, sf_dir, "customer").select(k, F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("energy"), F.when(k % 3 == 0, k).alias("adopted_gamma"), (k % 4 == 1).alias("questionable"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("energy"))
+    return rules.placement_rule(gammas, known, ["nation"], "c_custkey")
+
+
 @query("""SELECT count(*) FILTER (length(p_name) >= 8 AND trim(p_type) <> '') AS n_records, count(*) FILTER (NOT contains(p_type, 'BRASS')) AS n_no_theory, count(*) FILTER (p_size > 25 AND p_retailprice >= 1000) AS n_strong FROM part""")
 def record_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count_if

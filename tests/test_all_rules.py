@@ -42,3 +42,40 @@ def test_moment_and_q_references(spark):
     assert sorted(r.k for r in rules.check(frame, rules.level_rules(), ["k"]).collect()) == [0, 2, 5]
     frame = spark.createDataFrame([(0, "2012Wa38", "12"), (1, "2021Wa16,1999XX01", "12"), (2, "2012Wa38", "CA"), (3, "", "12")], "k int, q_reference string, q_uncertainties string")
     assert [r.k for r in rules.check(frame, rules.level_rules(), ["k"]).collect()] == [0]
+
+
+def test_hindrance_factors(spark):
+    rows = [(3.0, 0.5, "", True, False, True), (3.6, 0.5, "", True, False, True), (3.0, 0.5, "", True, True, True), (3.6, None, "", True, False, True), (3.9, None, "LT", True, False, True), (9.0, 1.0, "", False, False, False), (None, None, "", True, False, True)]
+    c = F.col
+    frame = spark.createDataFrame(rows, "hf double, u double, l string, odd boolean, same boolean, natural boolean").coalesce(1)
+    assert [r[0] is not None for r in frame.select(nuclear.hindrance_conflict(c("hf"), c("u"), c("l"), c("odd"), c("same"), c("natural"))).collect()] == [True, False, False, False, True, True, False]
+    # Relative uncertainties 10 and 10 %, 10 and 13, 20 and 17.5, 5 and 5.8 (off by 0.14, but small), none.
+    frame = spark.createDataFrame([(2.0, 0.2, 50.0, 5.0), (2.0, 0.2, 50.0, 6.5), (2.0, 0.4, 40.0, 7.0), (2.0, 0.1, 50.0, 2.9), (2.0, None, 50.0, 5.0), (2.0, 0.2, 50.0, 0.0)], "hf double, u double, a double, ua double").coalesce(1)
+    assert [r[0] is not None for r in frame.select(nuclear.hindrance_spread(c("hf"), c("u"), c("a"), c("ua"))).collect()] == [False, True, True, False, False, False]
+
+
+def test_multipolarities_and_spins_zero(spark):
+    c = F.col
+    rows = [("M1+E2", "E2+M1"), ("M1,E2", "E2+M1"), ("E2", "M1"), ("[E2]", "M1"), ("E2", "[M1]"), ("", "E1"), ("E1", "E1")]
+    frame = spark.createDataFrame(rows, "m string, a string").coalesce(1)
+    assert [r[0] for r in frame.select(nuclear.mult_differs(c("m"), c("a"))).collect()] == [False, True, True, False, False, True, False]
+    frame = spark.createDataFrame([(0, 0, True), (0, 0, False), (0, 0, None), (0, 2, True), (None, 0, True)], "i int, f int, p boolean").coalesce(1)
+    assert [r[0] for r in frame.select(nuclear.zero_to_zero_gamma(c("i"), c("f"), c("p"))).collect()] == ["0 to 0 with a change of parity is not allowed", "0 to 0 is an E0 transition", None, None, None]
+
+
+def test_negligible_conversion(spark):
+    # Limits at Z = 50 for 0.01: E1 62.5 - 212.5 + 269.5 + 102.29 + 57.72 = 279.51,
+    # M1 625 - 2487.5 + 3721 - 1683.55 + 371.11 = 546.06; half where questionable.
+    c = F.col
+    rows = [(279.0, 50, 1, True, False), (280.0, 50, 1, True, False), (139.0, 50, 0, True, True), (140.0, 50, 0, True, True), (546.0, 50, 1, False, False), (547.0, 50, 1, False, False), (1.0, 50, 0, None, False), (0.0, 50, 0, True, False)]
+    frame = spark.createDataFrame(rows, "e double, z int, dj int, p boolean, q boolean").coalesce(1)
+    got = [r[0] is not None for r in frame.select(nuclear.icc_missing(c("e"), c("z"), c("dj"), c("p"), c("q"))).collect()]
+    assert got == [True, False, True, False, True, False, False, False]
+
+
+def test_placement(spark):
+    gammas = spark.createDataFrame([(1, "A", 100.0, None, False), (2, "A", 100.0, 7, False), (3, "A", 200.0, None, False), (4, "A", 200.0, None, True), (5, "B", 100.0, None, None), (6, "A", None, None, False), (7, "A", -3.0, None, True)], "g int, nuclide string, energy double, adopted_gamma int, questionable boolean")
+    adopted = spark.createDataFrame([("A", 105.0), ("A", 95.0), ("A", 105.1), ("A", 1.9), ("B", 300.0), ("A", None)], "nuclide string, energy double")
+    got = {r.g: (r.message[:7], r.n_similar) for r in rules.placement_rule(gammas, adopted, ["nuclide"], "g").collect()}
+    assert got == {1: ("similar", 2), 3: ("no such", 0), 5: ("no such", 0), 6: ("no such", 0), 7: ("similar", 1)}
+    assert rules.placement_rule(gammas.limit(0), adopted, ["nuclide"], "g").count() == 0
