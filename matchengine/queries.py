@@ -779,7 +779,7 @@ _LEVEL_COLUMNS = """p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2021WA16' WHEN 1
     CASE p_partkey % 3 WHEN 0 THEN 'M1' WHEN 1 THEN 'E2' END AS moment, CASE p_partkey % 4 WHEN 0 THEN '2014StZZ' WHEN 1 THEN '2016StZV' WHEN 2 THEN '2019StZV,2021StZZ' END AS moment_reference, CASE WHEN p_size % 4 = 0 THEN 'see 2020StZV' END AS moment_comment,
     CASE WHEN p_partkey % 2 = 0 THEN 'B-' END AS decay_type, CASE WHEN p_partkey % 3 = 0 THEN 1.0D END AS nb, CASE WHEN p_partkey % 5 = 0 THEN 0.5D ELSE 1.0D END AS br, CASE WHEN p_partkey % 7 = 0 THEN '34P B+ DECAY' ELSE '34P B- DECAY' END AS dsid,
     p_size - 1.0D AS energy, CAST(p_size - 1 AS STRING) AS energy_text, p_size - 1 + p_partkey % 5 * 0.3D AS adopted_energy, p_partkey % 3 = 1 AS is_quoted,
-    CASE WHEN p_partkey % 2 = 0 THEN '2+' ELSE '3-' END AS jpi_text, CASE WHEN p_size % 2 = 0 THEN '2+' ELSE '3-' END AS adopted_jpi,
+    CASE WHEN p_partkey % 2 = 0 THEN '2+' ELSE '3-' END AS jpi_text, CASE WHEN p_size % 2 = 0 THEN '2+' ELSE '3-' END AS adopted_jpi, p_partkey % 5 = 2 AS is_decay,
     CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END AS t12_text, CASE WHEN p_partkey % 4 = 0 THEN '5 NS' ELSE CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '5 NS' ELSE '7 PS' END END AS adopted_t12,
     p_partkey % 9 = 0 AS is_isomer, CASE WHEN p_partkey % 8 = 2 THEN 1e-6D ELSE 1e-12D END AS t12_seconds, p_size / 5.0D AS hf, CASE WHEN p_partkey % 4 <> 1 THEN 0.3D END AS hf_unc, CASE WHEN p_size % 5 = 1 THEN 'LT' END AS hf_limit, p_partkey % 7 + 17.0D AS alpha, 1.1D AS alpha_unc, p_partkey % 5 = 1 AS to_ground, p_partkey % 2 = 1 AS odd_mass, p_partkey % 3 = 0 AS same_jpi, p_partkey % 5 <> 0 AS natural_parity,
     p_size / 5.0D AS log_ft, CASE WHEN p_partkey % 4 <> 1 THEN 0.3D END AS log_ft_unc, CASE p_size % 5 WHEN 0 THEN 'GT' WHEN 1 THEN 'LT' ELSE '' END AS log_ft_limit, p_partkey % 4 AS dj, p_size % 2 = 0 AS parity_change, CASE WHEN p_partkey % 3 = 0 THEN '1U' END AS unique, p_partkey % 5 = 0 AS zero_to_zero"""
@@ -794,6 +794,7 @@ _LEVEL_TOLD = {
     "R10": [("contains(dsid, ' B+ DECAY')", "'B+ DECAY should be EC DECAY or EC+B+ DECAY'")],
     "R13": [("is_quoted AND adopted_energy <> energy AND CAST(CAST(round(adopted_energy) AS BIGINT) AS VARCHAR) <> energy_text", "'energy quoted from Adopted differs'")],
     "R14": [("is_quoted AND jpi_text <> adopted_jpi", "'spin-parity quoted from Adopted differs'")],
+    "R14 options": [("NOT is_quoted AND is_decay AND jpi_text <> adopted_jpi", "'spin-parity differs from Adopted'"), ("NOT is_quoted AND jpi_text = '3-' AND CAST(energy AS BIGINT) % 3 = 0", "'spin-parity contradicts Adopted'")],
     "R15": [("energy = 0 AND t12_text = ''", "'ground state has no half-life'"), ("t12_text <> adopted_t12", "'half-life differs from Adopted'"), ("t12_seconds >= 1e-7 AND NOT is_isomer", "'half-life of an isomer without its flag'")],
     "R21": [("odd_mass AND (hf + coalesce(hf_unc, 0.2::DOUBLE * hf) < 4 OR hf < 4 AND hf_limit = 'LT') AND NOT same_jpi", "'hindrance factor below 4 needs equal spin and parity'"), ("NOT odd_mass AND NOT natural_parity", "'alpha decay of an even nucleus goes to natural parity only'")],
     "R21 spread": [("to_ground AND (abs(hf_unc / hf / (alpha_unc / alpha) - 1) > 0.2 OR abs(hf_unc / hf / (alpha_unc / alpha) - 1) > 0.1 AND hf_unc / hf > 0.1)", "'relative uncertainties of hindrance factor and branching differ'")],
@@ -835,10 +836,18 @@ def _told_sql(columns: str, source: str, key: str, told: dict[str, list[tuple[st
     return f"WITH t AS (SELECT {plain} FROM {source}) SELECT * FROM ({parts}) WHERE message IS NOT NULL"
 
 
+def rule_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels with the columns of all level rules."""
+    rows = table(spark, sf_dir, "part").selectExpr(*_expressions(_LEVEL_COLUMNS))
+    both, place = F.array(F.lit("2+"), F.lit("3-")), F.col("energy").cast("long") % 3
+    known = F.when(place == 2, both).when(place == 0, F.array(F.lit("2+"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"jpi_options": F.array("jpi_text"), "adopted_options": known})
+
+
 @query(_told_sql(_LEVEL_COLUMNS, "part", "p_partkey", _LEVEL_TOLD))
 def every_level_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels with the columns of all level rules."""
-    rows = table(spark, sf_dir, "part").selectExpr(*_expressions(_LEVEL_COLUMNS))
+    rows = rule_levels(spark, sf_dir)
     return rules.check(rows, rules.level_rules(), ["p_partkey"])
 
 
@@ -913,6 +922,20 @@ def parent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adopted.parent_conflict(rows, 50.0)
 
 
+@query("""WITH p AS (SELECT o_orderkey AS dataset, ['EC', 'B+', 'EC+B+', 'A'][o_orderkey % 4 + 1] AS mode, o_orderkey % 10 * 10 AS br, CASE WHEN c_custkey % 7 <> 0 THEN ['EC', 'B+', 'EC+B+', 'EC+%B+', 'A'][c_custkey % 5 + 1] END AS name, c_custkey % 10 * 10 AS pc, o_orderkey % 3 AS q, c_custkey % 3 AS qa FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+    f AS (SELECT *, coalesce(name = mode OR (mode <> 'A' AND name IN ('EC+%B+', 'EC+B+')) OR (mode = 'EC+B+' AND name <> 'A'), false) AS fits FROM p)
+    SELECT dataset, 'decay mode is missing in Adopted' AS message FROM f WHERE NOT fits UNION ALL SELECT dataset, 'decay mode is named differently in Adopted' FROM f WHERE fits AND name <> mode AND name <> 'EC+%B+'
+    UNION ALL SELECT dataset, 'branching differs from Adopted' FROM f WHERE fits AND br <> pc UNION ALL SELECT dataset, 'parent Q-value differs' FROM f WHERE q <> qa""")
+def parent_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("o_orderkey"), F.col("c_custkey")
+    of = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    levels = table(spark, sf_dir, "customer")
+    joined = table(spark, sf_dir, "orders").join(levels.select("c_custkey"), F.col("o_custkey") == n, "left")
+    parents = joined.select(k.alias("dataset"), F.col("o_custkey").alias("level"), of(["EC", "B+", "EC+B+", "A"], k % 4).alias("mode"), (k % 10 / 10).alias("br"), (k % 3).alias("q"), (n % 3).alias("adopted_q"))
+    modes = levels.where(n % 7 != 0).select(n.alias("level"), of(["EC", "B+", "EC+B+", "EC+%B+", "A"], n % 5).alias("mode"), (n % 10 * 10).alias("percent"))
+    return adopted.branch_conflict(parents, modes)
+
+
 @query("""WITH c AS (SELECT l_suppkey AS record, l_partkey AS candidate, max(l_tax) < 0.05 AS e, max(l_discount) < 0.05 AS j, count(*) AS m, min(l_returnflag) = 'A' AS f, min(l_quantity) AS d FROM lineitem GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY e DESC, j DESC, m DESC, f DESC, d, candidate) AS n, count(*) OVER (PARTITION BY record) AS total FROM c) SELECT record, candidate AS best, total AS n FROM r WHERE r.n = 1""")
 def better_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from matchengine.functions import comments
 from matchengine.functions import similarity as sim
 from matchengine.operators import adopted, averages, groups, grouping, provenance, rules
 from matchengine.plans import matching
-from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, table
+from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.sources import reports
 
 
@@ -370,7 +370,7 @@ _EVERY_GAMMA = _told_sql(_GAMMA_COLUMNS, "lineitem", "l_orderkey, l_linenumber,
 @query(f"SELECT 'level' AS kind, CAST(p_partkey AS VARCHAR) AS key, rule, message FROM ({_EVERY_LEVEL}) UNION ALL SELECT 'gamma', l_orderkey || '/' || l_linenumber || '/' || l_partkey, rule, message FROM ({_EVERY_GAMMA})")
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule over every level and gamma of all datasets."""
-    levels = table(spark, sf_dir, "part").selectExpr(*_expressions(_LEVEL_COLUMNS))
+    levels = rule_levels(spark, sf_dir)
     gammas = table(spark, sf_dir, "lineitem").selectExpr(*_expressions(_GAMMA_COLUMNS.replace('"', "`")))
     even, odd = F.array(F.lit("E2"), F.lit("E4")), F.array(F.lit("E1"), F.lit("M2"))
     gammas = gammas.withColumn("expected_mult", F.when(F.col("level_index") % 2 == 0, even).otherwise(odd)).withColumn("gamma_key", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey"))

@@ -6,7 +6,7 @@ import pytest
 
 from matchengine import queries
 from matchengine.functions import nuclear
-from matchengine.operators import rules
+from matchengine.operators import adopted, rules
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,17 @@ def test_placement(spark):
     got = {r.g: (r.message[:7], r.n_similar) for r in rules.placement_rule(gammas, adopted, ["nuclide"], "g").collect()}
     assert got == {1: ("similar", 2), 3: ("no such", 0), 5: ("no such", 0), 6: ("no such", 0), 7: ("similar", 1)}
     assert rules.placement_rule(gammas.limit(0), adopted, ["nuclide"], "g").count() == 0
+
+
+def test_parent_branches(spark):
+    parents = [(1, 1, "EC", 0.5, "3.1", "3.1"), (2, 1, "EC+B+", 1.0, None, "3.1"), (3, 2, "EC+B+", 0.25, "3.1", "3.2"), (4, 2, "A", 0.1, "1", None), (5, 3, "B+", 0.4, None, None), (6, 3, "EC", None, None, None), (7, 4, "B-", 1.0, None, None), (8, 5, "B-", 0.3, None, None)]
+    modes = [(1, "EC", 50.0), (1, "EC+B+", 90.0), (2, "B+", 25.0), (3, "EC+%B+", 40.0), (5, "B-", 30.0), (5, "A", 70.0)]
+    got = adopted.branch_conflict(spark.createDataFrame(parents, "dataset int, level int, mode string, br double, q string, adopted_q string"), spark.createDataFrame(modes, "level int, mode string, percent double"))
+    assert sorted(map(tuple, got.collect())) == [(2, "branching differs from Adopted"), (3, "decay mode is named differently in Adopted"), (3, "parent Q-value differs"), (4, "decay mode is missing in Adopted"), (7, "decay mode is missing in Adopted")]
+
+
+def test_spin_parities_not_quoted(spark):
+    rows = [(1, "2+", "3-", False, True, ["2+"], ["3-"]), (2, "2+", "3-", False, False, ["2+"], ["3-"]), (3, "(1,2)+", "2+", False, False, ["1+", "2+"], ["2+"]), (4, "", "2+", False, False, [], ["2+"]), (5, "2+", "3-", True, False, ["2+"], ["3-"])]
+    frame = spark.createDataFrame(rows, "k int, jpi_text string, adopted_jpi string, is_quoted boolean, is_decay boolean, jpi_options array<string>, adopted_options array<string>")
+    got = {(r.k, r.message) for r in rules.check(frame, rules.level_rules(), ["k"]).collect()}
+    assert got == {(1, "spin-parity differs from Adopted"), (2, "spin-parity contradicts Adopted"), (5, "spin-parity quoted from Adopted differs")}
