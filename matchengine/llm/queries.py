@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchengine.llm import decontaminate as dc
-from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, packing, quality, quotations, token_files
+from matchengine.llm import byte_dedup, jaccard, langid, line_dedup, mixing, packing, quality, quotations, source_audit, token_files
 from matchengine.durable import own_folder
 from matchengine.llm.tokens import tokenizer_path
 from matchengine.llm.urls import UrlRule, filter_urls
@@ -75,8 +75,16 @@ def op10_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quotation_linking, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op9_byte_suffix_dedup, op10_jaccard_tiles)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quotation_linking, op3_adaptive_quality, op4_harmonic_packing, op5_url_trie, op6_suffix_decontamination, op7_range_coder, op8_string_kernel_language, op9_byte_suffix_dedup, op10_jaccard_tiles, op11_source_divergence, op12_pareto_mixing)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,4 +196,24 @@ def oracle_sql() -> dict[str, str]:
             reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
             SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id
             FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.doc_id = d.doc_id GROUP BY ALL""",
+        "op11_source_divergence": rf"""
+            WITH d AS (
+              SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce({_FOLD}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+            kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+            c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+            dense AS (
+              SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.total
+              FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+            rated AS (
+              SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER o + 5 * count(*) OVER o) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (sum(total) OVER o + 5 * count(*) OVER o) AS q
+              FROM dense WINDOW o AS (PARTITION BY lang, source)),
+            f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM rated x JOIN rated y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+            parts AS (
+              SELECT 'pair' AS part, a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+              FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT 'term', lang, source, term, p - q FROM rated WHERE n > 0 AND p > q),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     }

@@ -15,5 +15,5 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert_same(queries.queries()[name](spark, sf_dir), SQL[name], sf_dir)
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_twelve_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
