@@ -154,6 +154,23 @@ def comment_values(body: Column, keyword: str) -> Column:
     return F.filter(F.transform(items, item), lambda v: v["x"].isNotNull())
 
 
+#: A value as printed, alone or with its uncertainty in units of the last digit.
+_PRINTED = r"^[-+]?[0-9]+(\.[0-9]+)?(\([0-9]+\))?$"
+
+
+def printed_values(words: Column) -> Column:
+    """The words that are values, as (text, x, dx): ``1.25(3)`` has its uncertainty
+    printed, ``1.25`` one inferred from its last digit.  Stops after a word are not
+    part of it."""
+    plain = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[.,;:!?]+$", "")), lambda w: w.rlike(_PRINTED))
+
+    def value(word: Column) -> Column:
+        number, printed = F.regexp_extract(word, r"^([^(]*)", 1), F.regexp_extract(word, r"\(([0-9]+)\)$", 1)
+        return F.struct(word.alias("text"), number.try_cast("double").alias("x"), energy_uncertainty(number, printed)["value"].alias("dx"))
+
+    return F.transform(plain, value)
+
+
 #: Phrases that say a value was taken from the adopted dataset, strongest first.
 _QUOTED = [r"(?i)\bfrom (the )?adopted", r"(?i)\badopted (value|level|gamma)", r"(?i)\brounded[- ]off value from", r"(?i)\bsee adopted"]
 
