@@ -1,8 +1,8 @@
 """Radix selection: the k-th value of every group from histograms of value bits.
 
 A group's values are never sorted or gathered.  Each round counts, per group, the
-next ``DIGIT`` bits of the values that agree with what is settled so far; counts
-are summed before and after the shuffle, and a group has at most 2^DIGIT of them.
+next few bits of the values that agree with what is settled so far; counts
+are summed before and after the shuffle, and a group has at most 2^digit of them.
 The bin that holds the k-th value settles these bits; what lies before it is in,
 what lies behind it is out.  After the last bits the bin is one value, and
 ``need`` says how many of its rows belong to the first k.
@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 
 from matchengine.durable import keep
 
-DIGIT = 13
+DIGIT = 8
+#: For rankings, whose groups are few.
+WIDE_DIGIT = 10
 #: Rows of one value that are sorted without further division.
 SETTLED = 256
 
@@ -40,7 +42,7 @@ def _bin_of_kth(counts: DataFrame, group: list[str], digit: str) -> DataFrame:
     return here.select(*group, digit, "n", (F.col("__need") - F.col("__upto") + F.col("n")).alias("need"))
 
 
-def kth_values(rows: DataFrame, group: list[str], value: str, k: str, bits: int) -> DataFrame:
+def kth_values(rows: DataFrame, group: list[str], value: str, k: str, bits: int, digit: int = DIGIT) -> DataFrame:
     """Per group: ``cut``, the k-th smallest value (the largest if there are
     fewer), ``n`` rows that have it, and ``need``, how many of these are among the
     first k.
@@ -48,16 +50,16 @@ def kth_values(rows: DataFrame, group: list[str], value: str, k: str, bits: int)
     ``value`` is a long from 0 below 2^bits, ``k`` a long column, the same in all
     rows of a group; groups with k below 1 have no row in the result.
     """
-    width = -(-bits // -(-bits // DIGIT))
+    width = -(-bits // -(-bits // digit))
     shift = max(0, bits - width)
     rows = rows.where(F.col(k) > 0).select(*group, F.col(value).alias("__v"), F.col(k).alias("__k"))
-    digit = lambda s: F.shiftright("__v", s).alias("__d")
-    state = _bin_of_kth(rows.groupBy(*group, digit(shift)).agg(F.count("*").alias("n"), F.max("__k").alias("need")), group, "__d")
+    leading = lambda s: F.shiftright("__v", s).alias("__d")
+    state = _bin_of_kth(rows.groupBy(*group, leading(shift)).agg(F.count("*").alias("n"), F.max("__k").alias("need")), group, "__d")
     while shift:
         width = min(width, shift)
         inside = rows.join(state.withColumnRenamed("__d", "__prefix").drop("n"), group).where(F.shiftright("__v", shift) == F.col("__prefix"))
         shift -= width
-        state = _bin_of_kth(inside.groupBy(*group, digit(shift)).agg(F.count("*").alias("n"), F.max("need").alias("need")), group, "__d")
+        state = _bin_of_kth(inside.groupBy(*group, leading(shift)).agg(F.count("*").alias("n"), F.max("need").alias("need")), group, "__d")
     return state.withColumnRenamed("__d", "cut")
 
 
@@ -94,7 +96,7 @@ def top(rows: DataFrame, group: list[str], value: str, item: str, k: int, *, set
     largest = rows.agg(F.max(value)).first()[0]
     bits = max(1, int(largest or 0).bit_length())
     mirrored = rows.withColumn("__v", F.lit((1 << bits) - 1) - F.col(value)).withColumn("__k", F.lit(k).cast("long"))
-    cuts = keep(kth_values(mirrored, group, "__v", "__k", bits), "radix-cuts")
+    cuts = keep(kth_values(mirrored, group, "__v", "__k", bits, WIDE_DIGIT), "radix-cuts")
     near = keep(mirrored.join(cuts.select(*group, "cut", "need"), group).where("__v <= cut"), "radix-near")
     ties = _refined(near.where("__v = cut").select(*group, item, "need"), group, item, settled)
     found = near.where("__v < cut").select(*group, item, value).unionByName(ties.join(cuts.select(*group, (F.lit((1 << bits) - 1) - F.col("cut")).alias(value)), group).select(*group, item, value))
