@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import comments
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, groups, grouping, provenance, rules
+from matchengine.operators import adopted, averages, groups, grouping, insertion, provenance, rules
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
+from matchengine.schema import GAMMAS, SPIN_OPTIONS
 from matchengine.sources import reports
 
 
@@ -114,15 +115,109 @@ def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.round("to_previous", 4).alias("to_previous"), F.round("to_next", 4).alias("to_next"))
 
 
+#: Options and lines of record ``k``: spins 0 to 4, a parity in two of three, none at
+#: all in one of eleven; one gamma in half of the records.
+_OPTIONS = "CASE WHEN {k} % 11 = 0 THEN array() ELSE array(named_struct('twoTimesSpin', CAST(2 * ({k} % 5) AS INT), 'isTentativeSpin', {k} % 3 = 0, 'parity', CASE {k} % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END, 'isTentativeParity', false)) END"
+_LINES = "CASE WHEN {k} % 4 < 2 THEN array(named_struct('energy', 100 + {k} % 7 * 0.5D, 'energy_uncertainty', 0.1D, 'intensity', 1.0D, 'intensity_uncertainty', 0.1D)) ELSE array() END"
+
+
 def _nuclide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as levels: nations are nuclides, segments datasets."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("dsid"), k.alias("record"), F.col("c_acctbal").alias("x"), F.when(k % 2 == 0, 5.0).otherwise(0.5).alias("dx"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("dsid"), k.alias("record"), F.abs("c_acctbal").alias("x"), F.when(k % 2 == 0, 5.0).otherwise(0.5).alias("dx"),
+        F.expr(_OPTIONS.format(k="c_custkey")).cast(SPIN_OPTIONS).alias("spins"), F.expr(_LINES.format(k="c_custkey")).cast(GAMMAS).alias("lines"),
+    )
+
+
+def _adopted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(
+        F.col("s_nationkey").alias("nation"), F.lit("ADOPTED").alias("dsid"), (-F.col("s_suppkey") - 1).alias("record"), F.abs("s_acctbal").alias("x"), F.lit(1.0).alias("dx"),
+        F.expr(_OPTIONS.format(k="s_suppkey")).cast(SPIN_OPTIONS).alias("spins"), F.expr(_LINES.format(k="s_suppkey")).cast(GAMMAS).alias("lines"),
+    )
+
+
+_DELTA = 60.0
+_RATED = """r AS (
+      SELECT c_nationkey AS nation, c_custkey AS k, abs(c_acctbal) AS x, CASE WHEN c_custkey % 2 = 0 THEN 5.0::DOUBLE ELSE 0.5::DOUBLE END AS dx, CASE WHEN c_custkey % 11 > 0 THEN 2 * (c_custkey % 5) END AS j,
+             CASE WHEN c_custkey % 11 > 0 THEN CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END END AS p, c_custkey % 11 > 0 AND c_custkey % 3 = 0 AS tentative, CASE WHEN c_custkey % 4 < 2 THEN 100 + c_custkey % 7 * 0.5::DOUBLE END AS g
+      FROM customer),
+    a AS (SELECT *, greatest(least(greatest(x * (0.2::DOUBLE + exp(-x / 20)), 2.0::DOUBLE), 100.0::DOUBLE), dx) AS reach FROM r WHERE k % 2 = 1),
+    b AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY x, k) AS place FROM r WHERE k % 2 = 0),
+    i AS (SELECT a.nation, a.k AS record, b.k AS grp, place, abs(a.x - b.x) AS d, place - row_number() OVER (PARTITION BY a.nation, a.k ORDER BY place) AS run FROM a JOIN b ON a.nation = b.nation AND abs(a.x - b.x) <= a.reach),
+    n AS (SELECT *, first_value(run) OVER (PARTITION BY nation, record ORDER BY d, grp) AS nearest FROM i),
+    e AS (
+      SELECT n.nation, record, grp, d, a.x, b.x AS mean, d <= least(60, 3 * sqrt(a.dx * a.dx + b.dx * b.dx)) AS energy, NOT coalesce(a.j <> b.j OR a.p <> b.p, false) AS jpi, coalesce(abs(a.g - b.g) <= 1, false) AS gam,
+             coalesce(abs(a.g - b.g) <= 1, false)::INT AS matched, (a.g + b.g IS NOT NULL)::INT AS ng, coalesce(abs(a.g - b.g) <= 2, false)::INT AS loose, abs(a.j - b.j) AS gap, coalesce(a.p <> b.p, false) AS conflict, a.tentative
+      FROM n JOIN a ON a.k = record JOIN b ON b.k = grp WHERE run = nearest),
+    f AS (
+      SELECT *, CASE WHEN energy AND jpi AND ng = 0 THEN 1
+        WHEN energy AND jpi AND NOT gam AND ((d <= 0.5 AND matched > 0) OR coalesce(gap = 0 AND matched = ng, false)) THEN 2
+        WHEN energy AND jpi AND gam THEN 3
+        WHEN NOT (energy AND jpi) AND (jpi OR coalesce(gap <= 2 AND NOT conflict, true)) AND d <= 5 AND (gam OR ng = 0) THEN 3
+        WHEN NOT (energy AND jpi) AND (jpi OR coalesce(gap <= 2 AND NOT conflict, true)) AND d <= 10 AND gam THEN 4
+        WHEN NOT (energy AND jpi) AND (jpi OR coalesce(gap <= 2 AND NOT conflict, true)) AND d <= 60 THEN CASE WHEN gam THEN 5 ELSE 6 END
+        WHEN energy AND gam AND NOT jpi AND coalesce(gap, 0) <= 6 THEN 3 ELSE -1 END AS first
+      FROM e),
+    h AS (
+      SELECT *, row_number() OVER (PARTITION BY nation, record ORDER BY d, grp) = 1 AS near, count(*) OVER (PARTITION BY nation, record) AS n_groups, max(first) OVER (PARTITION BY nation, record) > 0 AS placed,
+             sum((jpi AND d <= 10)::INT) OVER (PARTITION BY nation, grp) AS n_close
+      FROM f),
+    s AS (
+      SELECT *, CASE WHEN first > 0 THEN first
+        WHEN d <= 5 AND ng > 0 AND loose > 0 AND gap <= 4 AND jpi AND tentative AND near THEN 5
+        WHEN n_groups = 1 AND NOT placed AND jpi AND d <= 10 AND n_close = 1 THEN 6 ELSE -1 END AS strength
+      FROM h)"""
+
+
+@query(f"WITH {_RATED} SELECT nation, record, grp, round(d, 6) AS distance, CAST(strength AS INTEGER) AS strength, CAST(matched AS BIGINT) AS n_matched FROM s")
+def insertion_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of each candidate pair of records and groups of one member."""
+    rated = insertion.strengths(insertion.evidence(*_odd_and_even(spark, sf_dir), ["nation"], _DELTA), ["nation"], _DELTA)
+    return rated.select("nation", "record", "grp", r6(F.col("distance")).alias("distance"), F.col("strength").cast("int").alias("strength"), "n_matched")
+
+
+def _odd_and_even(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _nuclide_records(spark, sf_dir)
+    return rows.where("record % 2 = 1"), rows.where("record % 2 = 0").withColumn("grp", F.col("record"))
+
+
+@query(f"""WITH RECURSIVE {_RATED},
+    c AS (SELECT *, row_number() OVER (PARTITION BY nation, record ORDER BY matched DESC, d, grp) AS pg, row_number() OVER (PARTITION BY nation, record ORDER BY d, matched DESC, grp) AS pd, min(strength) OVER (PARTITION BY nation, record) AS best FROM s WHERE strength > 0),
+    kept AS (SELECT *, least(x, mean) AS low, greatest(x, mean) AS high FROM c WHERE (pg = 1 OR pd = 1) AND NOT (best < 5 AND strength > 5)),
+    m AS (SELECT *, max(high) OVER (PARTITION BY nation ORDER BY low, high, record, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM kept),
+    z AS (SELECT *, nation * 1000000 + sum((low > coalesce(reached, low))::INT) OVER (PARTITION BY nation ORDER BY low, high, record, grp ROWS UNBOUNDED PRECEDING) AS island FROM m),
+    q AS (SELECT *, dense_rank() OVER (PARTITION BY island ORDER BY x, record) AS ri, dense_rank() OVER (PARTITION BY island ORDER BY mean, grp) AS gi FROM z),
+    top AS (SELECT island, max(ri) AS last FROM q GROUP BY island),
+    dp(island, i, j, s1, s2, s3, s4, s5, s6, m, d, path) AS (
+      SELECT island, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::DOUBLE, []::BIGINT[] FROM top
+      UNION ALL
+      SELECT island, i, j, s1, s2, s3, s4, s5, s6, m, d, path FROM (
+        SELECT *, row_number() OVER (PARTITION BY island, j ORDER BY s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC, s6 DESC, m DESC, d) AS n FROM (
+          SELECT dp.island, i + 1 AS i, j, s1, s2, s3, s4, s5, s6, m, d, path FROM dp JOIN top ON top.island = dp.island AND i < last
+          UNION ALL
+          SELECT dp.island, i + 1, q.gi, s1 + (strength = 1)::BIGINT, s2 + (strength = 2)::BIGINT, s3 + (strength = 3)::BIGINT, s4 + (strength = 4)::BIGINT, s5 + (strength = 5)::BIGINT, s6 + (strength = 6)::BIGINT, dp.m + matched, dp.d + q.d, list_append(path, record * 1000000 + grp)
+          FROM dp JOIN q ON q.island = dp.island AND q.ri = dp.i + 1 AND q.gi > dp.j)) WHERE n = 1),
+    ends AS (SELECT *, row_number() OVER (PARTITION BY dp.island ORDER BY s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC, s6 DESC, m DESC, d) AS n FROM dp JOIN top ON top.island = dp.island AND i = last)
+    SELECT u // 1000000 AS record, u % 1000000 AS grp FROM (SELECT unnest(path) AS u FROM ends WHERE n = 1)""")
+def strength_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to groups in order of energy, by strength, gammas and distance."""
+    pairs = insertion.chosen_pairs(*_odd_and_even(spark, sf_dir), ["nation"], _DELTA)
+    return insertion.assign(pairs, ["nation"], repair=False).select("record", "grp")
 
 
 @query()
 def grouped_with_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("nation"), (-F.col("s_suppkey")).alias("record"), F.col("s_acctbal").alias("x"))
-    return grouping.group_with_adopted(_nuclide_records(spark, sf_dir), seeds, ["nation"], 60.0)
+    """Groups of all records, seeded by the adopted ones."""
+    rows = _nuclide_records(spark, sf_dir).unionByName(_adopted_records(spark, sf_dir))
+    return insertion.group_nuclides(rows, ["nation"], _DELTA, "ADOPTED").select("nation", "grp", "dsid", "record")
+
+
+@query()
+def grouped_without_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all records, seeded by the largest dataset of each nuclide."""
+    return insertion.group_nuclides(_nuclide_records(spark, sf_dir), ["nation"], _DELTA).select("nation", "grp", "dsid", "record")
 
 
 @query()

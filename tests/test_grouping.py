@@ -44,23 +44,14 @@ def test_candidates_stop_at_the_first_group_out_of_reach(spark):
     assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
 
 
-def test_groups_with_adopted_seeds(spark):
-    seeds = spark.createDataFrame([("n", -1, 100.0), ("n", -2, 200.0)], "by string, record long, x double")
-    rows = [("n", "A", 1, 101.0, 1.0), ("n", "A", 2, 203.0, 1.0), ("n", "A", 3, 300.0, 1.0), ("n", "B", 4, 99.0, 1.0), ("n", "B", 5, 302.0, 1.0), ("m", "A", 6, 50.0, 1.0), ("m", "A", 7, 60.0, 1.0), ("m", "B", 8, 51.0, 1.0)]
-    found = grouping.group_with_adopted(spark.createDataFrame(rows, "by string, dsid string, record long, x double, dx double"), seeds, ["by"], 10.0).collect()
-    grouped: dict = {}
-    for r in found:
-        grouped.setdefault((r.by, r.grp), set()).add(r.record)
-    assert sorted(map(sorted, grouped.values())) == [[-2, 2], [-1, 1, 4], [3, 5], [6, 8], [7]]
-
-
 def test_gamma_subgroups(spark):
-    rows = [(1, "A", 1, 100.0), (1, "B", 2, 101.0), (1, "A", 3, 104.0), (1, "B", 4, 150.0), (2, "A", 5, 100.0)]
-    found = grouping.gamma_subgroups(spark.createDataFrame(rows, "lev int, dsid string, record long, x double"), ["lev"], 5.0).collect()
+    rows = [(1, "A", 1, 100.0, None, False), (1, "B", 2, 101.0, None, False), (1, "A", 3, 104.0, None, False), (1, "B", 4, 150.0, None, False), (2, "A", 5, 100.0, "*", False), (2, "B", 6, 200.0, "*", True), (3, "A", 7, 50.0, "*", False), (3, "C", 8, 52.0, None, False)]
+    found = grouping.gamma_subgroups(spark.createDataFrame(rows, "lev int, dsid string, record long, x double, marker string, is_adopted boolean"), ["lev"], 5.0).collect()
     grouped: dict = {}
     for r in found:
-        grouped.setdefault((r.lev, r.island, r.grp), set()).add(r.record)
-    assert sorted(map(sorted, grouped.values())) == [[1, 2], [3], [4], [5]]
+        grouped.setdefault((r.lev, r.grp), set()).add((r.record, r.marker))
+    # Group 5 is starred and holds nothing adopted; record 7 is left once, and unstarred.
+    assert grouped == {(1, 0): {(1, None), (2, None)}, (1, 1): {(3, None)}, (1, 2): {(4, None)}, (2, 0): {(6, None)}, (3, 0): {(7, None), (8, None)}}
 
 
 def test_coarse_groups_keep_agreeing_neighbours(spark):
