@@ -28,6 +28,44 @@ def multipolarities(two_j1: Column, p1: Column, two_j2: Column, p2: Column, most
     return F.transform(orders, lambda k: F.concat(F.when(same == (F.pmod(k / 2, F.lit(2)) == 0), F.lit("E")).otherwise(F.lit("M")), (k / 2).cast("int").cast("string")))
 
 
+def multipolarity_parts(mult: Column) -> Column:
+    """The multipolarities that a text names, without brackets: ``M1(+E2)``,
+    ``(M1+E2)``, ``[M1,E2]`` all give M1 and E2."""
+    plain = F.regexp_replace(F.upper(F.coalesce(mult, F.lit(""))), r"[\[\]()\s]", "")
+    return F.array_distinct(F.filter(F.split(plain, "[+,]"), lambda m: m != ""))
+
+
+# Orders of dipole, quadrupole and octupole radiation.
+ORDERS = {"D": 1, "Q": 2, "O": 3}
+#: What a transition of unknown multipolarity may be.
+USUAL = ("E1", "M1", "E2")
+
+
+def _part(name: Column) -> Column:
+    """(l, changes) of one multipolarity; null for another text."""
+    order = F.regexp_extract(name, "^[EM]([0-9])$", 1).try_cast("int")
+    for letter, number in ORDERS.items():
+        order = F.when(name == letter, F.lit(number)).otherwise(order)
+    # Electric radiation of order L changes parity as (-1)^L, magnetic the other way.
+    changes = F.when(name.rlike("^[EM]"), (F.pmod(order, F.lit(2)) == 1) == name.startswith("E"))
+    return F.when(order.isNotNull(), F.struct(order.alias("l"), changes.alias("changes")))
+
+
+def transitions(mult: Column) -> Column:
+    """What a multipolarity allows, as alternatives, each an array of (l, changes)
+    that all take part: ``M1+E2`` is one of two parts, ``E1,M2`` two of one.  A part
+    in parentheses inside, as in ``M1(+E2)``, need not take part.  Unknown ones, and
+    those in square brackets, which were taken from the levels themselves, are any of
+    E1, M1 and E2."""
+    text = F.regexp_replace(F.upper(F.coalesce(mult, F.lit(""))), r"\s", "")
+    whole = F.regexp_replace(text, r"^\(([^()]*)\)$", "$1")
+    firm = F.regexp_replace(F.regexp_replace(whole, r"\(\+?[^()]*\)", ""), r"^\+|\+$", "")
+    listed = F.transform(F.split(firm, ","), lambda a: F.filter(F.transform(F.split(a, r"\+"), _part), lambda p: p.isNotNull()))
+    known = F.filter(listed, lambda a: F.size(a) > 0)
+    usual = F.transform(F.array(*map(F.lit, USUAL)), lambda m: F.array(_part(m)))
+    return F.when(text.startswith("[") | (F.size(known) == 0), usual).otherwise(known)
+
+
 def half_life_from_width(width_ev: Column, branching: Column | None = None) -> Column:
     """Half-life in seconds of a level of the given width."""
     whole = width_ev / branching if branching is not None else width_ev

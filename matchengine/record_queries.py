@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import comments
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, groups, grouping, insertion, provenance, rules
+from matchengine.operators import adopted, averages, groups, grouping, insertion, propagation, provenance, rules
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -227,17 +227,48 @@ def gamma_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.gamma_subgroups(rows, ["level_group"], 20.0)
 
 
-@query("""WITH l AS (SELECT p_partkey AS level, [p_size % 7, p_size % 7 + 2, p_partkey % 5] AS o FROM part), d AS (SELECT level, list_sort(list_distinct(o)) AS o FROM l),
-    t AS (SELECT DISTINCT l_partkey AS initial, 1 + l_suppkey % 50 AS final FROM lineitem WHERE l_linenumber = 1),
-    k AS (SELECT d.level, x, count(*) FILTER (f.level IS NOT NULL AND len(list_filter(f.o, lambda a: abs(a - x) <= 2)) > 0) AS hit, count(f.level) AS n
-      FROM (SELECT level, unnest(o) AS x FROM d) d LEFT JOIN t ON t.initial = d.level LEFT JOIN d f ON f.level = t.final GROUP BY ALL)
-    SELECT d.level, (SELECT string_agg(CAST(x AS VARCHAR), ' ' ORDER BY x) FROM k WHERE k.level = d.level AND hit = n) AS options FROM d""")
+def _spin_rounds(n: int) -> str:
+    """CTEs s0 to s<n> (options of levels), c0 to c<n> (levels that contradict):
+    rounds of propagation, each from the tables of the one before."""
+    fits = """CASE mult WHEN 'E2' THEN t2 AND same WHEN 'M1' THEN t1 AND same WHEN 'M1+E2' THEN t1 AND t2 AND same WHEN 'E1,M2' THEN (t1 OR t2) AND NOT same ELSE t1 OR (t2 AND same) END"""
+    parts = []
+    for k in range(n):
+        parts.append(f"""
+    g{k} AS MATERIALIZED (SELECT DISTINCT a, id, j, p FROM (
+        SELECT e.a, e.id, mult, u.j, u.p, abs(b.j - u.j) <= 2 AND b.j + u.j >= 2 AS t1, abs(b.j - u.j) <= 4 AND b.j + u.j >= 4 AS t2, b.p = u.p AS same FROM e JOIN s{k} b ON b.level = e.b JOIN u ON abs(u.j - b.j) <= 4) WHERE {fits}),
+    n{k} AS MATERIALIZED (SELECT a, count(DISTINCT id) AS n FROM e WHERE b IN (SELECT level FROM s{k}) GROUP BY a),
+    a{k} AS MATERIALIZED (SELECT g.a, j, p FROM g{k} g JOIN n{k} USING (a) GROUP BY g.a, j, p HAVING count(*) = max(n)),
+    s{k + 1} AS MATERIALIZED (
+      SELECT s.* FROM s{k} s WHERE level NOT IN (SELECT a FROM n{k}) OR (level, j, p) IN (SELECT (a, j, p) FROM a{k})
+      UNION ALL SELECT a, j, p FROM a{k} WHERE a NOT IN (SELECT level FROM s{k}) AND a NOT IN (SELECT level FROM c{k})),
+    c{k + 1} AS MATERIALIZED (SELECT level FROM c{k} UNION SELECT a FROM n{k} WHERE a NOT IN (SELECT level FROM s{k + 1}))""")
+    return ",".join(parts)
+
+
+#: More rounds than the levels of any table here need.
+_ROUNDS = 14
+
+
+@query(f"""WITH u AS (SELECT 2 * x AS j, p FROM range(0, 60) r(x), (VALUES ('+'), ('-')) v(p)),
+    m AS (SELECT p_partkey AS k, p_size, CASE p_size % 6 WHEN 0 THEN 'E2' WHEN 1 THEN 'M1' WHEN 2 THEN 'M1+E2' WHEN 3 THEN 'E1,M2' WHEN 4 THEN '[E1]' ELSE '' END AS mult FROM part),
+    g AS (SELECT k AS i, k // 2 AS f, mult FROM m UNION ALL SELECT k, 2 * k // 3, '' FROM m WHERE p_size % 5 = 0),
+    e AS (SELECT row_number() OVER () AS id, * FROM g WHERE i <> f), d AS (SELECT id, i AS a, f AS b, mult FROM e UNION ALL SELECT id, f, i, mult FROM e),
+    s0 AS (SELECT k AS level, 2 * (k % 4) AS j, p FROM m, (VALUES ('+'), ('-')) v(p) WHERE k % 8 = 0 AND (k % 3 = 0 OR p = '+') UNION SELECT k, 2 * (k % 4) + 2, '+' FROM m WHERE k % 16 = 0),
+    c0 AS (SELECT k AS level FROM m WHERE false), {_spin_rounds(_ROUNDS).replace(" e ", " d ").replace(" e.", " d.").replace("FROM e ", "FROM d ")}
+    SELECT k AS level, (SELECT string_agg((j // 2) || p, ' ' ORDER BY j, p) FROM s{_ROUNDS} s WHERE s.level = k) AS options, k IN (SELECT level FROM c{_ROUNDS}) AS contradiction, k IN (SELECT level FROM s{_ROUNDS}) AND k % 8 <> 0 AS derived FROM m""")
 def propagated_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, s = F.col("p_partkey"), F.col("p_size")
-    levels = table(spark, sf_dir, "part").select(k.alias("level"), F.sort_array(F.array_distinct(F.array((s % 7).cast("long"), (s % 7 + 2).cast("long"), k % 5))).alias("options"))
-    gammas = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("initial"), (1 + F.col("l_suppkey") % 50).alias("final")).distinct()
-    found = grouping.propagated_options(levels, gammas)
-    return found.select("level", F.array_join(F.col("options").cast("array<string>"), " ").alias("options"))
+    """Spin-parities of one level in eight, carried along gammas through a tree."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part")
+    spin = (2 * (k % 4)).cast("int")
+    one = lambda j, p: F.struct(j.cast("int").alias("two_j"), p.cast("string").alias("parity"))
+    known = F.when(k % 16 == 0, F.array(one(spin, F.when(k % 3 != 0, F.lit("+"))), one(spin + 2, F.lit("+")))).when(k % 8 == 0, F.array(one(spin, F.when(k % 3 != 0, F.lit("+")))))
+    names = F.element_at(F.array(*map(F.lit, ("E2", "M1", "M1+E2", "E1,M2", "[E1]", ""))), (size % 6 + 1).cast("int"))
+    tree = part.select(k.alias("initial"), F.floor(k / 2).alias("final"), names.alias("mult"))
+    more = part.where(size % 5 == 0).select(k.alias("initial"), F.floor(2 * k / 3).alias("final"), F.lit("").alias("mult"))
+    found = propagation.propagated_options(part.select(k.alias("level"), known.alias("options")), tree.unionByName(more))
+    text = F.array_join(F.transform("options", lambda o: F.concat((o["two_j"] / 2).cast("int").cast("string"), o["parity"])), " ")
+    return found.select("level", F.nullif(text, F.lit("")).alias("options"), "contradiction", "derived")
 
 
 @query(f"""WITH {_LEVELS}, a AS (SELECT nation, min(k) AS anchor FROM lev GROUP BY nation)
