@@ -37,6 +37,14 @@ def multipolarity_parts(mult: Column) -> Column:
 
 # Orders of dipole, quadrupole and octupole radiation.
 ORDERS = {"D": 1, "Q": 2, "O": 3}
+def mult_unexpected(mult: Column, expected: Column) -> Column:
+    """Whether a text names a multipolarity that the spins do not allow, in a mixture
+    or as an alternative.  ``expected`` are E and M names; D, Q and O stand for either
+    of their order.  No expected ones (a spin is unknown) allow everything."""
+    letters = F.filter(F.array(*[F.when(F.arrays_overlap(expected, F.array(F.lit(f"E{n}"), F.lit(f"M{n}"))), F.lit(m)) for m, n in ORDERS.items()]), lambda m: m.isNotNull())
+    return F.coalesce((F.size(expected) > 0) & (F.size(F.array_except(multipolarity_parts(mult), F.concat(expected, letters))) > 0), F.lit(False))
+
+
 #: What a transition of unknown multipolarity may be.
 USUAL = ("E1", "M1", "E2")
 

@@ -73,7 +73,7 @@ def gamma_rules() -> list[Rule]:
     icc = ("energy", "z", "dj", "parity_change", "questionable")
     return [
         Rule("R17", ("final_level_index", "level_index"), F.when(c("final_level_index").isNull(), F.lit("gamma has no final level")).when(c("final_level_index") >= c("level_index"), F.lit("final level is not below the initial one"))),
-        Rule("R18", ("mult", "expected_mult"), F.when((c("mult") != "") & ~F.arrays_overlap(F.split(c("mult"), r"\+"), c("expected_mult")), F.lit("multipolarity does not fit the spins"))),
+        Rule("R18", ("mult", "expected_mult"), F.when(nuclear.mult_unexpected(c("mult"), c("expected_mult")), F.lit("multipolarity does not fit the spins"))),
         Rule("R18", ("mult", "adopted_mult", "mult_quoted"), F.when(c("mult_quoted") & nuclear.mult_differs(c("mult"), c("adopted_mult")), F.when(c("mult") == "", "multipolarity quoted from Adopted is not given").otherwise("multipolarity quoted from Adopted differs"))),
         Rule("R18", ("mixing", "adopted_mixing", "mixing_quoted"), F.when(c("mixing_quoted") & (F.trim("mixing") != F.trim("adopted_mixing")), F.lit("mixing ratio quoted from Adopted differs"))),
         Rule("R18", ("mult", "computed_text"), F.when(c("mult").contains("E0") & c("computed_text").contains("BE0"), F.lit("B(E0) should be from experiment"))),

@@ -485,6 +485,26 @@ def quoted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.quoted_from_adopted(body).alias("rule"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, n_name AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS dataset_code, CAST(abs(round(s_acctbal)) AS DOUBLE) AS e FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    l AS (SELECT *, row_number() OVER (PARTITION BY file, dataset_code ORDER BY k) - 1 AS i FROM s),
+    n AS (SELECT a.file, a.dataset_code, a.i, a.e, a.k, min(struct_pack(d := abs(a.e - floor(a.e / 2) - b.e), i := b.i)) FILTER (abs(a.e - floor(a.e / 2) - b.e) <= 50) AS nearest
+      FROM l a JOIN l b USING (file, dataset_code) GROUP BY ALL)
+    SELECT file, dataset_code, CAST(i AS BIGINT) AS initial_level, floor(e / 2) AS energy, CAST(coalesce(nearest.i, 0) AS BIGINT) AS final_level, CAST(2 + k % 2 + 4 * (k // 2) AS BIGINT) AS line_no FROM n""")
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of nations, each with datasets A and B of its own, read again: gammas with
+    initial and final levels and their lines."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, energy = F.col("s_suppkey"), F.abs(F.round("s_acctbal")).cast("long")
+    head = F.concat(F.lit("# Dataset "), F.when(k % 2 == 0, "A").otherwise("B"), F.lit(":"))
+    record = lambda kind, e: F.rpad(F.concat(F.lit(f" 34S   {kind} "), F.rpad(e.cast("string"), 10, " ")), 80, " ")
+    # Each supplier opens its dataset again, so both are spread over the file.
+    lines = s.select(F.col("n_name").alias("file"), F.posexplode(F.array(head, record("L", energy), record("G", F.floor(energy / 2)))).alias("at", "line"), (4 * F.floor(k / 2) + k % 2).alias("first"))
+    placed = lines.select("file", (F.col("first") * 3 + F.col("at")).alias("order"), (F.col("first") + F.col("at")).cast("long").alias("shown"), "line")
+    found = logs.gammas(logs.number_levels(logs.parse_records(logs.carry_forward(placed.withColumnRenamed("order", "line_no")))))
+    back = placed.select("file", F.col("order").alias("line_no"), "shown")
+    return found.join(back, ["file", "line_no"]).select("file", "dataset_code", F.col("initial_level").cast("long").alias("initial_level"), F.col("energy_value").alias("energy"), F.col("final_level").cast("long").alias("final_level"), F.col("shown").alias("line_no"))
+
+
 @query("""SELECT n_name AS dataset_code, CAST(row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS BIGINT) AS level_index, CAST(abs(round(s_acctbal)) AS DOUBLE) AS energy, CAST(s_suppkey % 9 + 1 AS DOUBLE) AS uncertainty
     FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -816,7 +836,7 @@ _polynomial = lambda k: " + ".join(f"{x!r}::DOUBLE * pow(z, {4 - i})" for i, x i
 _ICC_SQL = "CASE " + " ".join(f"WHEN {when} THEN {_polynomial(k)}" for when, k in (("parity_change AND dj >= 2", "M2"), ("parity_change", "E1"), ("NOT parity_change AND dj >= 2", "E2"), ("NOT parity_change", "M1"))) + " END"
 _GAMMA_TOLD = {
     "R17": [("final_level_index IS NULL", "'gamma has no final level'"), ("final_level_index >= level_index", "'final level is not below the initial one'")],
-    "R18": [("mult = 'E3' OR mult = 'E0' OR mult = 'M1+E2' AND level_index % 2 <> 0", "'multipolarity does not fit the spins'")],
+    "R18": [("mult = 'E3' OR mult = 'E0' OR mult = 'M1+E2'", "'multipolarity does not fit the spins'")],
     "R18 adopted": [("mult_quoted AND mult = '' AND adopted_mult <> '[E2]'", "'multipolarity quoted from Adopted is not given'"), ("mult_quoted AND adopted_mult <> '[E2]' AND mult <> adopted_mult AND NOT (mult = 'M1+E2' AND adopted_mult = 'E2+M1')", "'multipolarity quoted from Adopted differs'")],
     "R18 mixing": [("mixing_quoted AND mixing <> adopted_mixing", "'mixing ratio quoted from Adopted differs'")],
     "R18 E0": [("mult = 'E0' AND computed_text = 'BE0=3'", "'B(E0) should be from experiment'")],
@@ -860,6 +880,19 @@ def every_gamma_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.check(rows, rules.gamma_rules(), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query("""WITH t(k, mult, a, b) AS (VALUES (0, '(M1+E2)', ['M1', 'E2'], []), (1, '[E2]', ['E2'], []), (2, 'M1(+E2)', ['M1', 'E2'], []), (3, 'E1,M2', ['E1', 'M2'], []), (4, 'D+Q', [], [1, 2]), (5, 'E2 ', ['E2'], []), (6, 'E1+E2', ['E1', 'E2'], []), (7, '(O)', [], [3]), (8, '', [], [])),
+    x(j, expected, orders) AS (VALUES (0, ['M1', 'E2'], [1, 2]), (1, ['E1', 'M2'], [1, 2]), (2, ['E2', 'M3'], [2, 3]), (3, []::VARCHAR[], []))
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'R18' AS rule FROM lineitem JOIN t ON t.k = l_partkey % 9 JOIN x ON x.j = l_suppkey % 4
+    WHERE len(expected) > 0 AND (len(list_filter(a, lambda m: NOT list_contains(expected, m))) > 0 OR len(list_filter(b, lambda m: NOT list_contains(orders, m))) > 0)""")
+def multipolarity_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipolarities in all notations against those that the spins allow."""
+    names = F.array(*map(F.lit, ("(M1+E2)", "[E2]", "M1(+E2)", "E1,M2", "D+Q", "E2 ", "E1+E2", "(O)", "")))
+    some = lambda *m: F.array(*map(F.lit, m)).cast("array<string>")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(*keys, F.element_at(names, (F.col("l_partkey") % 9 + 1).cast("int")).alias("mult"), F.element_at(F.array(some("M1", "E2"), some("E1", "M2"), some("E2", "M3"), some()), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("expected_mult"))
+    return rules.check(rows, rules.gamma_rules(), keys).select(*keys, "rule")
+
+
 @query("""WITH g AS (SELECT c_custkey, c_nationkey, c_acctbal AS x, c_custkey % 4 = 1 AS q FROM customer WHERE c_custkey % 3 <> 0),
     n AS (SELECT c_custkey, count(s_suppkey) AS n_similar, any_value(q) AS q FROM g LEFT JOIN supplier ON s_nationkey = c_nationkey AND abs(x - s_acctbal) <= 5 GROUP BY 1)
     SELECT c_custkey, 'R17' AS rule, CASE WHEN n_similar > 0 THEN 'similar gammas are placed elsewhere in Adopted' ELSE 'no such gamma in Adopted' END AS message, n_similar FROM n WHERE n_similar > 0 OR NOT q""")

@@ -43,18 +43,22 @@ def standard_levels(raw: DataFrame) -> DataFrame:
 
 
 def to_documents(levels: DataFrame, gammas: DataFrame) -> DataFrame:
-    """One nested row per dataset, from the parsed levels and gammas of a log."""
+    """One nested row per dataset of a file, from the parsed levels and gammas of
+    logs: file, dataset_code, levelsTable, gammasTable."""
+    dataset = ["file", "dataset_code"]
     measure = lambda value, unc, given: F.struct(F.lit("keV").alias("unit"), F.col(value).alias("value"), F.col(unc).alias("uncertainty"), given.alias("evaluatorInput"))
-    own = gammas.groupBy("dataset_code", F.col("initial_level").alias("level_index")).agg(F.sort_array(F.collect_list("gamma_index")).alias("gammas"))
-    joined = levels.join(own, ["dataset_code", "level_index"], "left")
+    own = gammas.groupBy(*dataset, F.col("initial_level").alias("level_index")).agg(F.sort_array(F.collect_list("gamma_index")).alias("gammas"))
+    joined = levels.join(own, [*dataset, "level_index"], "left")
     spin = F.when(F.size("spin_parity_list") > 0, F.struct(F.col("spin_parity_list").alias("values"), F.col("spin_parity_string").alias("evaluatorInput")))
     level = F.struct("level_index", F.struct(measure("energy_value", "uncertainty", F.col("evaluator_input")).alias("energy"), (F.col("energy_value") == 0).alias("isStable"), spin.alias("spinParity"), "gammas").alias("v"))
     gamma = F.struct("gamma_index", F.struct(measure("energy_value", "uncertainty", F.col("energy_value").cast("string")).alias("energy"), F.struct(F.col("intensity").alias("value"), F.col("intensity_uncertainty").alias("uncertainty")).alias("gammaIntensity"), F.col("initial_level").alias("initialLevel"), F.col("final_level").alias("finalLevel")).alias("v"))
-    top = joined.groupBy("dataset_code").agg(F.struct(F.transform(F.sort_array(F.collect_list(level)), lambda x: x["v"]).alias("levels")).alias("levelsTable"))
-    under = gammas.groupBy("dataset_code").agg(F.struct(F.transform(F.sort_array(F.collect_list(gamma)), lambda x: x["v"]).alias("gammas")).alias("gammasTable"))
-    return top.join(under, "dataset_code", "left")
+    top = joined.groupBy(*dataset).agg(F.struct(F.transform(F.sort_array(F.collect_list(level)), lambda x: x["v"]).alias("levels")).alias("levelsTable"))
+    under = gammas.groupBy(*dataset).agg(F.struct(F.transform(F.sort_array(F.collect_list(gamma)), lambda x: x["v"]).alias("gammas")).alias("gammasTable"))
+    return top.join(under, dataset, "left")
 
 
 def write_datasets(documents: DataFrame, path: str) -> None:
-    """One folder of JSON per dataset; keys of absent parts are left out."""
-    documents.write.mode("overwrite").partitionBy("dataset_code").json(path)
+    """One folder of JSON per dataset, ``dataset_code=<code>/log=<name of its file>``;
+    keys of absent parts are left out."""
+    name = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    documents.withColumn("log", name).drop("file").write.mode("overwrite").partitionBy("dataset_code", "log").json(path)

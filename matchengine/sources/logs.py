@@ -3,14 +3,17 @@
 A log holds several datasets, each opened by a ``# Dataset X:`` line.  Column 8
 of a record is its type (L level, G gamma).  Records that do not parse go to a
 reject table instead of ending the run.  Datasets, levels and lines are numbered
-by windows inside one file; files are independent of each other.
+by windows inside one file; files are independent of each other, also where their
+datasets have one code.  Levels and gammas keep file and line, so a message about
+one leads back to its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchengine.durable import keep
 from matchengine.functions import text as tx
 from matchengine.operators.pairs import nearest
 
@@ -18,18 +21,56 @@ HEADER = r"^#\s*Dataset\s+([^:]+):"
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Lines of whole files with their file and number from 0."""
-    reader = spark.read.option("wholetext", True)
+    """Lines with their file, the block of it that a task read (its first byte) and
+    their number in the file from 0.
+
+    A large file is read by many tasks.  Inside a block lines have the order of the
+    rows; the lines of the blocks before are counted, and only these counts meet.
+    """
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = keep(raw, "log-lines")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("shift", before - F.col("first")).select("file", "block", "shift")
+    return rows.join(F.broadcast(starts), ["file", "block"]).select("file", "block", (F.col("row") + F.col("shift")).alias("line_no"), "line")
+
+
+def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``value`` of the last line of the file that has one, as ``name``: inside a
+    block by a window, from the blocks before by a row for each block."""
+    by = ["file", "block"] if "block" in lines.columns else ["file"]
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    marked = lines.withColumn(name, here)
+    if "block" not in lines.columns:
+        return marked
+    ends = lines.where(value.isNotNull()).groupBy("file", "block").agg(F.max_by(value, "line_no").alias("__last"))
+    every = lines.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    earlier = every.select("file", "block", F.last("__last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    return marked.join(F.broadcast(earlier), ["file", "block"]).withColumn(name, F.coalesce(name, "__earlier")).drop("__earlier")
 
 
 def carry_forward(lines: DataFrame) -> DataFrame:
     """Each record line with the dataset whose header stands before it."""
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     code = F.when(F.col("line").rlike(HEADER), F.trim(F.regexp_extract("line", HEADER, 1)))
-    return lines.withColumn("dataset_code", F.last(code, ignorenulls=True).over(order)).where(F.col("dataset_code").isNotNull() & (F.trim("line") != "") & ~F.col("line").rlike("^#"))
+    return _carried(lines, code, "dataset_code").where(F.col("dataset_code").isNotNull() & (F.trim("line") != "") & ~F.col("line").rlike("^#"))
+
+
+def with_continuations(lines: DataFrame) -> DataFrame:
+    """Records of ``carry_forward`` with their continuations: file, dataset_code,
+    line_no (of the first line), n_lines, record (columns 6 to 8 without the mark of
+    the continuation) and text, the fields of all lines parted by a blank.
+
+    Column 6 of a line that continues the one before is neither blank nor 1.
+    """
+    first = F.when(F.substring("line", 6, 1).isin(" ", "1", ""), F.col("line_no"))
+    started = _carried(lines, first, "start").where("start IS NOT NULL")
+    entry = F.struct("line_no", F.rtrim(F.substring("line", 10, 71)).alias("text"), F.concat(F.lit(" "), F.substring("line", 7, 2)).alias("record"))
+    gathered = started.groupBy("file", "dataset_code", F.col("start").alias("line_no")).agg(F.array_sort(F.collect_list(entry)).alias("parts"))
+    # A line that continues a record of the dataset before belongs to none.
+    return gathered.where(F.get("parts", 0)["line_no"] == F.col("line_no")).select("file", "dataset_code", "line_no", F.size("parts").cast("long").alias("n_lines"), F.get("parts", 0)["record"].alias("record"), F.array_join("parts.text", " ").alias("text"))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -61,24 +102,26 @@ def number_levels(records: DataFrame) -> DataFrame:
 
 def levels(numbered: DataFrame) -> DataFrame:
     unc = tx.energy_uncertainty(F.col("energy_text"), F.col("uncertainty_text"))
-    return numbered.where("record = 'L'").select("dataset_code", "level_index", F.col("energy").alias("energy_value"), unc.alias("uncertainty"), tx.evaluator_input(F.col("energy_text"), F.col("uncertainty_text")).alias("evaluator_input"), F.col("spin_parity_text").alias("spin_parity_string"), tx.parse_spin_parity(F.col("spin_parity_text")).alias("spin_parity_list"))
+    return numbered.where("record = 'L'").select("file", "dataset_code", "level_index", "line_no", F.col("energy").alias("energy_value"), unc.alias("uncertainty"), tx.evaluator_input(F.col("energy_text"), F.col("uncertainty_text")).alias("evaluator_input"), F.col("spin_parity_text").alias("spin_parity_string"), tx.parse_spin_parity(F.col("spin_parity_text")).alias("spin_parity_list"))
 
 
 def gammas(numbered: DataFrame, reach: float = 50.0) -> DataFrame:
     """Gammas with initial and final level: the level nearest to what is left
     of the energy, the ground state if none is within ``reach``."""
+    dataset = ["file", "dataset_code"]
     lines = numbered.where("record = 'G'").select(
-        "dataset_code",
+        *dataset,
         "gamma_index",
+        "line_no",
         F.col("level_index").alias("initial_level"),
         F.col("energy").alias("energy_value"),
         tx.energy_uncertainty(F.col("energy_text"), F.col("uncertainty_text")).alias("uncertainty"),
         F.coalesce(F.col("intensity_text").try_cast("double"), F.lit(0.0)).alias("intensity"),
         tx.intensity_uncertainty(F.col("intensity_text"), F.col("intensity_uncertainty_text")).alias("intensity_uncertainty"),
     )
-    known = numbered.where("record = 'L'").select("dataset_code", F.col("level_index").alias("li"), F.col("energy").alias("le"))
-    initial = lines.join(known, (lines.dataset_code == known.dataset_code) & (F.col("initial_level") == F.col("li"))).select(lines["*"], (F.col("le") - F.col("energy_value")).alias("left"))
-    found = nearest(initial, known, F.col("left"), F.col("le"), ["gamma_index"], F.col("li"), reach, by=["dataset_code"])
+    known = numbered.where("record = 'L'").select(*dataset, F.col("level_index").alias("li"), F.col("energy").alias("le"))
+    initial = lines.join(known.withColumnRenamed("li", "initial_level"), [*dataset, "initial_level"]).withColumn("left", F.col("le") - F.col("energy_value")).drop("le")
+    found = nearest(initial, known, F.col("left"), F.col("le"), ["gamma_index"], F.col("li"), reach, by=dataset)
     return found.withColumn("final_level", F.coalesce("nearest.tie", F.lit(0))).drop("left", "nearest")
 
 

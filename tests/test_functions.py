@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,13 +104,67 @@ def test_log_to_json_and_back(spark, tmp_path):
     assert sorted((r.dataset_code, r.level_index, r.energy_value) for r in levels.collect()) == [("A", 0, 0.0), ("A", 1, 600.0), ("A", 2, 2000.0), ("B", 0, 603.0)]
     assert sorted((r.initial_level, r.final_level, r.intensity, r.intensity_uncertainty.value) for r in gammas.collect()) == [(2, 0, 23.0, 3.0), (2, 1, 100.0, 5.0)]
     datasets.write_datasets(datasets.to_documents(levels, gammas), f"file://{tmp_path}/json")
-    back = datasets.read_datasets(spark, f"file://{tmp_path}/json/dataset_code=A", r"dataset_code=([A-Z])/")
+    back = datasets.read_datasets(spark, f"file://{tmp_path}/json/dataset_code=A/log=x", r"dataset_code=([A-Z])/")
     got = {r.level_id: r for r in back.collect()}
     assert sorted(got) == ["A_0", "A_2000", "A_600"] and [g.energy for g in got["A_2000"].gamma_decays] == [1400.0, 2000.0]
     assert [o.twoTimesSpin for o in got["A_2000"].spin_parity_list] == [2, 4]
     assert logs.blocks(logs.read_lines(spark, f"file://{tmp_path}/in/x.log")).agg(F.sum("n_levels")).first()[0] == 6
 
 
+def test_files_with_one_dataset_code_stay_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    record = lambda kind, e: f" 34S   {kind} {e:<10}".ljust(80)
+    for name, energies in (("x", (0, 600)), ("y", (0, 900))):
+        (tmp_path / "in" / f"{name}.log").write_text("\n".join(["# Dataset A:", record("L", energies[0]), record("L", energies[1]), record("G", energies[1])]))
+    numbered = logs.number_levels(logs.parse_records(logs.carry_forward(logs.read_lines(spark, f"file://{tmp_path}/in"))))
+    levels, gammas = logs.levels(numbered), logs.gammas(numbered)
+    assert levels.count() == 4
+    assert sorted((r.file[-5:], r.energy_value, r.initial_level, r.final_level, r.line_no) for r in gammas.collect()) == [("x.log", 600.0, 1, 0, 3), ("y.log", 900.0, 1, 0, 3)]
+    documents = datasets.to_documents(levels, gammas)
+    found = sorted((r.file[-5:], [v.energy.value for v in r.levelsTable.levels], [g.energy.value for g in r.gammasTable.gammas]) for r in documents.collect())
+    assert found == [("x.log", [0.0, 600.0], [600.0]), ("y.log", [0.0, 900.0], [900.0])]
+    datasets.write_datasets(documents, f"file://{tmp_path}/json")
+    back = datasets.read_datasets(spark, f"file://{tmp_path}/json/dataset_code=A/*", r"log=(.)/").collect()
+    assert sorted((r.level_id, len(r.gamma_decays)) for r in back) == [("x_0", 0), ("x_600", 1), ("y_0", 0), ("y_900", 1)]
+
+
+def test_blocks_of_a_large_file(spark, tmp_path):
+    """A file that many tasks read keeps its line numbers, datasets and continuations."""
+    rng, lines = random.Random(4), []
+    for k in range(900):
+        lines.append(rng.choice(["", f"# Dataset D{k}:", f" 34S   L {k}", f" 34S   G {k}", f" 34S  cL comment {k}", f" 34S 2cL goes on {k}", "\u00e9 text"]).ljust(rng.choice([0, 80])))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "b.log").write_text("\r\n".join(["# Dataset B:", " 34S   L 7 "]))
+    with_small_blocks = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in with_small_blocks}
+    try:
+        for k, v in with_small_blocks.items():
+            spark.conf.set(k, v)
+        read = logs.read_lines(spark, f"file://{tmp_path}/in")
+        rows = read.collect()
+        datasets_of = sorted((r.line_no, r.dataset_code) for r in logs.carry_forward(read).collect() if r.file.endswith("a.log"))
+        records = sorted((r.line_no, r.n_lines, r.record, r.text) for r in logs.with_continuations(logs.carry_forward(read)).collect() if r.file.endswith("a.log"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.block for r in rows if r.file.endswith("a.log")}) > 10
+    assert [r.line for r in sorted((r for r in rows if r.file.endswith("a.log")), key=lambda r: r.line_no)] == lines
+    assert sorted((r.line_no, r.line) for r in rows if r.file.endswith("b.log")) == [(0, "# Dataset B:"), (1, " 34S   L 7 ")]
+    code, want, joined = None, [], []
+    for n, line in enumerate(lines):
+        if line.startswith("#"):
+            code = line.split()[2][:-1]
+        elif line.strip() and code:
+            want.append((n, code))
+            if line[5:6] in (" ", "1", ""):
+                joined.append([n, code, line[6:8], [line[9:80].rstrip()]])
+            elif joined and joined[-1][1] == code:
+                joined[-1][3].append(line[9:80].rstrip())
+    assert datasets_of == want
+    assert records == [(n, len(t), " " + kind, " ".join(t)) for n, _, kind, t in joined] and max(r[1] for r in records) > 1
+
+
 def test_stream_of_logs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.log").write_text(LOG)
@@ -159,6 +215,9 @@ def test_rules(spark):
     rows = spark.createDataFrame([(1, 3, 2, "E2", ["M1", "E2"]), (2, 0, 2, "E3", ["M1"]), (3, None, 1, "", [])], "id int, final_level_index int, level_index int, mult string, expected_mult array<string>")
     got = sorted((r.id, r.rule) for r in rules.check(rows, rules.gamma_rules(), ["id"]).collect())
     assert got == [(1, "R17"), (2, "R18"), (3, "R17")]
+    noted = [("(M1+E2)", 0), ("[E2]", 0), ("M1(+E2)", 0), ("E1,M2", 1), ("D+Q", 0), ("E2 ", 0), ("M1+E2", 0), ("E1+E2", 1), ("O", 1), ("E3", 1), ("", 0), (None, 0)]
+    frame = spark.createDataFrame([(m, ["M1", "E2"], n) for m, n in noted], "mult string, expected_mult array<string>, n int")
+    assert all((r.m == "") == (r.n == 0) for r in frame.select("n", F.when(nuclear.mult_unexpected(F.col("mult"), F.col("expected_mult")), "x").otherwise("").alias("m")).collect())
     levels = spark.createDataFrame([(1, "2021WA16", "12", "B- DECAY"), (2, "2012WA38", "12", "34P B+ DECAY")], "id int, q_reference string, q_uncertainties string, dsid string")
     assert sorted((r.id, r.rule) for r in rules.check(levels, rules.level_rules(), ["id"]).collect()) == [(2, "R10"), (2, "R3")]
 
