@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import nuclear, text
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, cluster, groups, learning, pairs, rules
+from matchengine.operators import adopted, averages, boosting, cluster, groups, learning, pairs, rules
 from matchengine.operators.components import components
 from matchengine.plans import matching
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -285,6 +285,14 @@ def boosted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(rows).select("key_1", "key_2", r6(F.col("probability")).alias("probability"))
 
 
+@query()
+def monotone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs scored by trees that learn the labels of all pairs, one in five held."""
+    rows = customer_pairs(spark, sf_dir).withColumnRenamed("probability", "label").withColumn("held", F.pmod(F.xxhash64("key_1", "key_2"), F.lit(5)) == 0)
+    scorer = boosting.MonotoneScorer(boosting.Settings(trees=20, depth=5), ["energy", "spin", "parity"]).fit(rows)
+    return scorer.score(rows).select("key_1", "key_2", r6(F.col("label")).alias("label"), r6(F.col("probability")).alias("probability"))
+
+
 @query("""WITH p AS (SELECT quality::DOUBLE AS y, least(0.99::DOUBLE, greatest(0.01::DOUBLE, n_chars / 5000.0::DOUBLE)) AS p FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)
     SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss FROM p""")
 def metrics_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
