@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import comments
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, groups, grouping, insertion, propagation, provenance, rules
+from matchengine.operators import adopted, averages, best_values, groups, grouping, insertion, propagation, provenance, rules
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -407,6 +407,36 @@ def adopted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", F.round("energy", 2).alias("energy"), "text")
 
 
+@query("""WITH v AS (SELECT l_orderkey AS level, 'D' || l_suppkey % 10 AS dsid, l_linenumber * 100000 + l_partkey AS place, (printf('%.2f', l_extendedprice) || '3')::DOUBLE AS x, CASE WHEN l_partkey % 5 > 0 THEN (l_partkey % 97 * 13703 + l_linenumber * 11170 + 50031)::DOUBLE * 0.001::DOUBLE END AS dx,
+      l_suppkey % 4 = 0 AS tentative, l_partkey % 7 = 0 AS quoted, l_partkey % 3 = 0 AS questionable, l_linenumber = 1 AS is_adopted FROM lineitem),
+    l AS (SELECT * FROM v WHERE NOT tentative AND NOT quoted AND dx IS NOT NULL AND level IN (SELECT level FROM v WHERE NOT tentative AND NOT quoted AND dx IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)),
+    w AS (SELECT *, (1 / (dx * dx)) / sum(1 / (dx * dx)) OVER (PARTITION BY level) >= 0.02 AS used FROM l),
+    a AS (SELECT level, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wa, avg(x) AS u, stddev_samp(x) / sqrt(count(*)) AS eu, min(x) AS low, max(x) AS high, sum(1 / (dx * dx)) AS sw FROM w GROUP BY 1),
+    b AS (SELECT level, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wu FROM w WHERE used GROUP BY 1),
+    c AS (SELECT w.level, coalesce(sum((x - wa) * (x - wa) / (dx * dx)) / nullif(max(a.n) - 1, 0), 0) AS chi_all, coalesce(sum(CASE WHEN used THEN (x - wu) * (x - wu) / (dx * dx) END) / nullif(max(b.n) - 1, 0), 0) AS chi, bool_or(round(x, 6) = round(wu, 6)) AS equals
+      FROM w JOIN a USING (level) JOIN b USING (level) GROUP BY 1),
+    k AS (SELECT *, CASE WHEN low = high OR equals THEN 'N' WHEN least(chi, chi_all) > 3.5 THEN 'U' WHEN round(wu, 6) = round(wa, 6) THEN 'A' WHEN chi_all < chi OR chi_all < 3.0 THEN 'A' ELSE 'W' END AS kind FROM a JOIN (SELECT level, wu FROM b) USING (level) JOIN c USING (level)),
+    d AS (SELECT level, CASE kind WHEN 'U' THEN u WHEN 'A' THEN wa ELSE wu END AS adopted, greatest(1e-6, CASE kind WHEN 'U' THEN eu ELSE greatest(1, sqrt(chi_all)) / sqrt(sw) END) AS spread FROM k),
+    t AS (SELECT *, greatest(0, least(6, floor(log10(35 / spread))))::INT AS dec FROM d),
+    f AS (SELECT level, arg_min(struct_pack(x := x, dx := dx, dsid := dsid), struct_pack(a := dx IS NULL, b := questionable, c := coalesce(dx, 0), d := place, e := dsid)) FILTER (NOT tentative AND NOT quoted) AS firm,
+      arg_min(struct_pack(x := x, dx := dx, dsid := dsid), struct_pack(a := NOT is_adopted, b := place, c := dsid)) FILTER (tentative AND NOT quoted) AS doubtful, arg_min(struct_pack(x := x, dx := dx, dsid := dsid), struct_pack(a := NOT is_adopted, b := place, c := dsid)) AS first FROM v GROUP BY 1)
+    SELECT level, CASE WHEN t.level IS NOT NULL THEN 'average' WHEN firm IS NOT NULL THEN 'firm' WHEN doubtful IS NOT NULL THEN 'tentative' ELSE 'quoted' END AS choice,
+      CASE WHEN t.level IS NOT NULL THEN round(adopted, dec) WHEN firm IS NOT NULL THEN firm.x WHEN doubtful IS NOT NULL THEN doubtful.x ELSE first.x END AS value,
+      CASE WHEN t.level IS NOT NULL THEN round(spread * pow(10, dec)) WHEN firm IS NOT NULL THEN round(firm.dx * 1000) WHEN doubtful IS NOT NULL THEN round(doubtful.dx * 1000) ELSE round(first.dx * 1000) END AS uncertainty,
+      CASE WHEN t.level IS NOT NULL THEN NULL WHEN firm IS NOT NULL THEN firm.dsid WHEN doubtful IS NOT NULL THEN doubtful.dsid END AS source
+    FROM f LEFT JOIN t USING (level)""")
+def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is adopted of each group's values, and why; uncertainties in units of the
+    last digit."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("level"), F.lit("E").alias("field"), F.concat(F.lit("D"), (c("l_suppkey") % 10).cast("string")).alias("dsid"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("place"), F.concat(c("l_extendedprice").cast("decimal(12,2)").cast("string"), F.lit("3")).alias("text"),
+        F.when(c("l_partkey") % 5 > 0, (c("l_partkey") % 97 * 13703 + c("l_linenumber") * 11170 + 50031).cast("string")).alias("unc_text"), (c("l_suppkey") % 4 == 0).alias("tentative"), (c("l_partkey") % 7 == 0).alias("quoted"), (c("l_partkey") % 3 == 0).alias("questionable"), (c("l_linenumber") == 1).alias("is_adopted"),
+    )
+    found = best_values.best_values(rows, ["level"])
+    return found.select("level", "choice", c("value").try_cast("double").alias("value"), c("uncertainty").try_cast("double").alias("uncertainty"), "source")
+
+
 @query("""SELECT s_suppkey, lpad(s_nationkey || 'XY', 5, ' ') || '  ' || CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE 'G' END || ' ' || rpad(CAST(CAST(abs(round(s_acctbal)) AS BIGINT) AS VARCHAR), 10, ' ') || rpad(CAST(s_suppkey % 9 AS VARCHAR), 2, ' ') || ' ' || rpad('(1,2)+', 58, ' ') AS line FROM supplier""")
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
