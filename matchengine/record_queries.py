@@ -407,7 +407,7 @@ def adopted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", F.round("energy", 2).alias("energy"), "text")
 
 
-@query("""WITH v AS (SELECT l_orderkey AS level, 'D' || l_suppkey % 10 AS dsid, l_linenumber * 100000 + l_partkey AS place, (printf('%.2f', l_extendedprice) || '3')::DOUBLE AS x, CASE WHEN l_partkey % 5 > 0 THEN (l_partkey % 97 * 13703 + l_linenumber * 11170 + 50031)::DOUBLE * 0.001::DOUBLE END AS dx,
+@query("""WITH v AS (SELECT l_orderkey AS level, 'D' || l_suppkey % 10 AS dsid, l_linenumber * 100000 + l_partkey AS place, (printf('%.2f', l_extendedprice) || CAST(l_linenumber * 3 + 7 AS VARCHAR))::DOUBLE AS x, CASE WHEN l_partkey % 5 > 0 THEN (l_partkey % 97 * 137031 + l_linenumber * 111701 + 500317)::DOUBLE * 0.0001::DOUBLE END AS dx,
       l_suppkey % 4 = 0 AS tentative, l_partkey % 7 = 0 AS quoted, l_partkey % 3 = 0 AS questionable, l_linenumber = 1 AS is_adopted FROM lineitem),
     l AS (SELECT * FROM v WHERE NOT tentative AND NOT quoted AND dx IS NOT NULL AND level IN (SELECT level FROM v WHERE NOT tentative AND NOT quoted AND dx IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)),
     w AS (SELECT *, (1 / (dx * dx)) / sum(1 / (dx * dx)) OVER (PARTITION BY level) >= 0.02 AS used FROM l),
@@ -422,7 +422,7 @@ def adopted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
       arg_min(struct_pack(x := x, dx := dx, dsid := dsid), struct_pack(a := NOT is_adopted, b := place, c := dsid)) FILTER (tentative AND NOT quoted) AS doubtful, arg_min(struct_pack(x := x, dx := dx, dsid := dsid), struct_pack(a := NOT is_adopted, b := place, c := dsid)) AS first FROM v GROUP BY 1)
     SELECT level, CASE WHEN t.level IS NOT NULL THEN 'average' WHEN firm IS NOT NULL THEN 'firm' WHEN doubtful IS NOT NULL THEN 'tentative' ELSE 'quoted' END AS choice,
       CASE WHEN t.level IS NOT NULL THEN round(adopted, dec) WHEN firm IS NOT NULL THEN firm.x WHEN doubtful IS NOT NULL THEN doubtful.x ELSE first.x END AS value,
-      CASE WHEN t.level IS NOT NULL THEN round(spread * pow(10, dec)) WHEN firm IS NOT NULL THEN round(firm.dx * 1000) WHEN doubtful IS NOT NULL THEN round(doubtful.dx * 1000) ELSE round(first.dx * 1000) END AS uncertainty,
+      CASE WHEN t.level IS NOT NULL THEN round(spread * pow(10, dec)) WHEN firm IS NOT NULL THEN round(firm.dx * 10000) WHEN doubtful IS NOT NULL THEN round(doubtful.dx * 10000) ELSE round(first.dx * 10000) END AS uncertainty,
       CASE WHEN t.level IS NOT NULL THEN NULL WHEN firm IS NOT NULL THEN firm.dsid WHEN doubtful IS NOT NULL THEN doubtful.dsid END AS source
     FROM f LEFT JOIN t USING (level)""")
 def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,8 +430,8 @@ def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     last digit."""
     c = F.col
     rows = table(spark, sf_dir, "lineitem").select(
-        c("l_orderkey").alias("level"), F.lit("E").alias("field"), F.concat(F.lit("D"), (c("l_suppkey") % 10).cast("string")).alias("dsid"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("place"), F.concat(c("l_extendedprice").cast("decimal(12,2)").cast("string"), F.lit("3")).alias("text"),
-        F.when(c("l_partkey") % 5 > 0, (c("l_partkey") % 97 * 13703 + c("l_linenumber") * 11170 + 50031).cast("string")).alias("unc_text"), (c("l_suppkey") % 4 == 0).alias("tentative"), (c("l_partkey") % 7 == 0).alias("quoted"), (c("l_partkey") % 3 == 0).alias("questionable"), (c("l_linenumber") == 1).alias("is_adopted"),
+        c("l_orderkey").alias("level"), F.lit("E").alias("field"), F.concat(F.lit("D"), (c("l_suppkey") % 10).cast("string")).alias("dsid"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("place"), F.concat(c("l_extendedprice").cast("decimal(12,2)").cast("string"), (c("l_linenumber") * 3 + 7).cast("string")).alias("text"),
+        F.when(c("l_partkey") % 5 > 0, (c("l_partkey") % 97 * 137031 + c("l_linenumber") * 111701 + 500317).cast("string")).alias("unc_text"), (c("l_suppkey") % 4 == 0).alias("tentative"), (c("l_partkey") % 7 == 0).alias("quoted"), (c("l_partkey") % 3 == 0).alias("questionable"), (c("l_linenumber") == 1).alias("is_adopted"),
     )
     found = best_values.best_values(rows, ["level"])
     return found.select("level", "choice", c("value").try_cast("double").alias("value"), c("uncertainty").try_cast("double").alias("uncertainty"), "source")
