@@ -29,8 +29,10 @@ def job2_adopted_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _folder(spark, "adopted-averages")
     for _ in range(2):
         adopted_averages.run(spark, f"{sf_dir}/lineitem.parquet", top, load_config(adopted_averages.CONFIG_FILE, adopted_averages.Config))
-    rounded = [F.round(c, d).alias(c) for c, d in (("adopted", 6), ("uncertainty", 4), ("chi2", 4))]
-    return adopted_averages.read_averages(spark, top).select("part", "quantity", "n", "kind", *rounded, "n_outliers")
+    number = lambda c, digits, name: F.round(c, digits).alias(name)
+    one = adopted_averages.read_averages(spark, top).select(F.lit("average").alias("record"), "part", "quantity", F.lit("").alias("dataset"), "n", "kind", number("adopted", 6, "value"), number("uncertainty", 4, "uncertainty"), number("chi2", 4, "measure"), "n_outliers")
+    two = adopted_averages.read_outliers(spark, top).select(F.lit("outlier").alias("record"), "part", "quantity", "dataset", F.lit(1).cast("long").alias("n"), F.lit("Outlier").alias("kind"), number("x", 6, "value"), number("dx", 4, "uncertainty"), number("deviation", 4, "measure"), F.lit(0).cast("long").alias("n_outliers"))
+    return one.unionByName(two)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,7 +55,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, lang, CAST(line_no AS BIGINT) AS line_no, CAST(length(line) AS BIGINT) AS n_chars, CAST(len(words) AS BIGINT) AS n_words, CAST(len(vals) AS BIGINT) AS n_values,
                    array_to_string(vals, ' ') AS value_texts, CAST(list_min(dx) AS DOUBLE) AS least_uncertainty, coalesce(nullif(lang, ''), 'none') AS language FROM u""",
         "job2_adopted_averages": """
-            WITH l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS part, l_partkey AS quantity, l_extendedprice AS x, l_extendedprice * (0.01::DOUBLE + l_discount) AS dx FROM lineitem WHERE l_shipdate IS NOT NULL AND l_partkey IS NOT NULL AND l_extendedprice * (0.01::DOUBLE + l_discount) > 0),
+            WITH l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS part, l_partkey AS quantity, 'S' || l_suppkey AS dataset, l_extendedprice AS x, l_extendedprice * (0.01::DOUBLE + l_discount) AS dx FROM lineitem WHERE l_shipdate IS NOT NULL AND l_partkey IS NOT NULL AND l_extendedprice * (0.01::DOUBLE + l_discount) > 0),
             w AS (SELECT *, (1 / (dx * dx)) / sum(1 / (dx * dx)) OVER (PARTITION BY part, quantity) >= 0.02 AS used FROM l),
             a AS (SELECT part, quantity, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wa, avg(x) AS u, coalesce(stddev_samp(x), 0) / sqrt(count(*)) AS eu, min(x) AS low, max(x) AS high, sum(1 / (dx * dx)) AS sw FROM w GROUP BY ALL),
             b AS (SELECT part, quantity, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wu FROM w WHERE used GROUP BY ALL),
@@ -66,7 +68,8 @@ def oracle_sql() -> dict[str, str]:
                              WHEN chi_all < chi OR chi_all < 3.0 THEN 'Weighted-Of-All' ELSE 'Weighted-Average' END AS kind
               FROM a JOIN (SELECT part, quantity, wu FROM b) USING (part, quantity) JOIN c USING (part, quantity)),
             d AS (SELECT *, CASE kind WHEN 'Unweighted-Average' THEN u WHEN 'Weighted-Of-All' THEN wa ELSE wu END AS adopted, CASE kind WHEN 'Unweighted-Average' THEN eu ELSE greatest(1, sqrt(chi_all)) / sqrt(sw) END AS uncertainty FROM k)
-            SELECT part, quantity, max(d.n) AS n, max(kind) AS kind, round(max(adopted), 6) AS adopted, round(max(uncertainty), 4) AS uncertainty, round(max(chi_all), 4) AS chi2,
-                   count(*) FILTER (abs(x - adopted) > 3 * dx * (1 + 1e-9)) AS n_outliers
-            FROM d JOIN w USING (part, quantity) GROUP BY part, quantity""",
+            SELECT 'average' AS record, part, quantity, '' AS dataset, max(d.n) AS n, max(kind) AS kind, round(max(adopted), 6) AS value, round(max(uncertainty), 4) AS uncertainty, round(max(chi_all), 4) AS measure,
+                   count(*) FILTER (abs(x - adopted) / dx > 3 * (1 + 1e-9)) AS n_outliers
+            FROM d JOIN w USING (part, quantity) GROUP BY part, quantity
+            UNION ALL SELECT 'outlier', part, quantity, dataset, 1, 'Outlier', round(x, 6), round(dx, 4), round(abs(x - adopted) / dx, 4), 0 FROM d JOIN w USING (part, quantity) WHERE abs(x - adopted) / dx > 3 * (1 + 1e-9)""",
     }

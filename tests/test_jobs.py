@@ -96,7 +96,7 @@ def test_empty_folder_gives_an_empty_index(spark, tmp_path):
     assert line_index.read_index(spark, f"{tmp_path}/out").count() == 0
 
 
-MEASURED = adopted_averages.Config(quantity="q", value="x", uncertainty="dx", part="p")
+MEASURED = adopted_averages.Config(quantity="q", dataset="'D'", value="x", uncertainty="dx", part="p")
 ROWS = [(1, 10.0, 1.0, 7), (1, 12.0, 1.0, 7), (1, 30.0, 1.0, 7), (2, 5.0, 2.0, 7), (2, 6.0, 2.0, 8), (2, 7.0, 2.0, 8), (None, 1.0, 1.0, 8), (3, None, 1.0, 8), (3, 1.0, 0.0, 8), (3, 1.0, None, 8), (3, float("nan"), 1.0, 8), (4, 1.0, 1.0, None)]
 
 
@@ -109,19 +109,27 @@ def test_averages_and_rerun(spark, tmp_path):
     frame = spark.createDataFrame(ROWS, "q long, x double, dx double, p int")
     frame.write.parquet(source)
     done = adopted_averages.run(spark, source, output, MEASURED)
-    assert done == {"measurements": 12, "used": 6, "averages": 3}
+    assert done == {"measurements": 12, "used": 6, "averages": 3, "outliers": 3}
     first = averages_of(spark, output)
     assert set(first) == {(7, 1), (7, 2), (8, 2)}
     far = first[7, 1]
     assert (far.n, far.kind, far.n_outliers) == (3, "Unweighted-Average", 3) and far.adopted == pytest.approx(52 / 3)
     assert first[7, 2].kind == "Non-Average" and first[7, 2].uncertainty == pytest.approx(2.0)
     assert first[8, 2].adopted == pytest.approx(6.5) and first[8, 2].uncertainty == pytest.approx(2**0.5) and first[8, 2].n_outliers == 0
+    listed = sorted((r.part, r.quantity, r.dataset, r.x, round(r.deviation, 6)) for r in adopted_averages.read_outliers(spark, output).collect())
+    assert listed == [(7, 1, "D", 10.0, 7.333333), (7, 1, "D", 12.0, 5.333333), (7, 1, "D", 30.0, 12.666667)]
     assert adopted_averages.run(spark, source, output, MEASURED) == done and averages_of(spark, output) == first
+    assert adopted_averages.read_outliers(spark, output).count() == 3
     # New rows of one part: a run over that part replaces it and leaves the rest.
     spark.createDataFrame([(2, 8.0, 2.0, 8)], "q long, x double, dx double, p int").write.mode("append").parquet(source)
-    only = adopted_averages.Config(quantity="q", value="x", uncertainty="dx", part="p", only="part = 8")
+    only = adopted_averages.Config(quantity="q", dataset="'D'", value="x", uncertainty="dx", part="p", only="part = 8")
     assert adopted_averages.run(spark, source, output, only)["averages"] == 1
     second = averages_of(spark, output)
+    assert adopted_averages.read_outliers(spark, output).count() == 3
+    # With a wider limit no outlier is left, and the old ones go.
+    wide = adopted_averages.Config(quantity="q", dataset="'D'", value="x", uncertainty="dx", part="p", reach=100.0)
+    assert adopted_averages.run(spark, source, f"{tmp_path}/out2", MEASURED)["outliers"] == 3 and adopted_averages.run(spark, source, f"{tmp_path}/out2", wide)["outliers"] == 0
+    assert adopted_averages.read_outliers(spark, f"{tmp_path}/out2").count() == 0
     assert second[7, 1] == first[7, 1] and second[8, 2].n == 3 and second[8, 2].adopted == pytest.approx(7.0)
 
 
