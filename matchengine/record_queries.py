@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import comments
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, best_values, groups, grouping, insertion, propagation, provenance, rules
+from matchengine.operators import adopted, averages, best_values, groups, grouping, insertion, propagation, provenance, reference_tables, rules
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -437,6 +437,60 @@ def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", "choice", c("value").try_cast("double").alias("value"), c("uncertainty").try_cast("double").alias("uncertainty"), "source")
 
 
+# --- reference tables in versions ------------------------------------------------
+
+_MASSES = """m AS (SELECT c_custkey % 97 AS nuclide, DATE '1992-01-01' + CAST(c_custkey * 7 % 2600 AS INTEGER) AS since, c_custkey AS version, c_acctbal AS excess, 2 * (c_custkey % 4) AS two_j, CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS parity FROM customer),
+    i AS (SELECT *, lead(since) OVER (PARTITION BY nuclide ORDER BY since, version) AS until FROM m)"""
+
+
+def _masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    since = F.date_add(F.lit("1992-01-01").cast("date"), (k * 7 % 2600).cast("int"))
+    return table(spark, sf_dir, "customer").select((k % 97).alias("nuclide"), since.alias("since"), k.alias("version"), F.col("c_acctbal").alias("excess"), (2 * (k % 4)).alias("two_j"), F.when(k % 3 == 0, "-").when(k % 3 == 1, "+").alias("parity"))
+
+
+@query(f"""WITH {_MASSES}, p AS (SELECT o_orderkey, o_custkey % 97 AS parent, (o_custkey + 1) % 97 AS daughter, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 6 > 0 THEN o_totalprice / 100 END AS q FROM orders),
+    j AS (SELECT p.*, a.excess - b.excess AS adopted_q FROM p LEFT JOIN i a ON a.nuclide = parent AND a.since <= date AND (a.until IS NULL OR date < a.until) LEFT JOIN i b ON b.nuclide = daughter AND b.since <= date AND (b.until IS NULL OR date < b.until))
+    SELECT o_orderkey, 'R11' AS rule, CASE WHEN adopted_q IS NULL THEN 'no masses of that time' ELSE 'parent Q-value differs from the masses' END AS message FROM j WHERE q IS NOT NULL AND (adopted_q IS NULL OR abs(q - adopted_q) > 500)""")
+def decay_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-values against masses as of the date of the order."""
+    c = F.col
+    parents = table(spark, sf_dir, "orders").select("o_orderkey", (c("o_custkey") % 97).alias("parent"), ((c("o_custkey") + 1) % 97).alias("daughter"), c("o_orderdate").cast("date").alias("date"), F.when(c("o_orderkey") % 6 > 0, c("o_totalprice") / 100).alias("q"))
+    return reference_tables.decay_energy_rule(reference_tables.with_decay_energy(parents, _masses(spark, sf_dir)), "o_orderkey", 500.0)
+
+
+@query("""WITH t AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'E1' WHEN 1 THEN 'M1' ELSE 'E2' END AS mult, s_nationkey % 5 * 20 AS low, s_nationkey % 5 * 20 + 19 AS high, DATE '1992-01-01' + CAST(s_suppkey * 29 % 2500 AS INTEGER) AS since, s_suppkey AS version, 10 * abs(s_acctbal) AS lim FROM supplier),
+    i AS (SELECT *, lead(since) OVER (PARTITION BY mult, low ORDER BY since, version) AS until FROM t),
+    g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 5 WHEN 0 THEN 'E1' WHEN 1 THEN '(M1+E2)' WHEN 2 THEN '[E2]' WHEN 3 THEN '' ELSE 'D' END AS mult, l_partkey % 100 AS mass, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS strength FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'R20' AS rule, 'transition strength is above the recommended upper limit' AS message
+    FROM g JOIN i ON i.mult = regexp_extract(g.mult, '[EM][0-9]') AND mass BETWEEN low AND high AND since <= date AND (until IS NULL OR date < until) WHERE strength > lim""")
+def strengths_above_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strengths against limits of their multipolarity, mass and time."""
+    c, k = F.col, F.col("s_suppkey")
+    since = F.date_add(F.lit("1992-01-01").cast("date"), (k * 29 % 2500).cast("int"))
+    low = F.col("s_nationkey") % 5 * 20
+    limits = table(spark, sf_dir, "supplier").select(F.when(k % 3 == 0, "E1").when(k % 3 == 1, "M1").otherwise("E2").alias("mult"), low.alias("low"), (low + 19).alias("high"), since.alias("since"), k.alias("version"), (10 * F.abs("s_acctbal")).alias("limit"))
+    names = F.element_at(F.array(*map(F.lit, ("E1", "(M1+E2)", "[E2]", "", "D"))), (c("l_partkey") % 5 + 1).cast("int"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    gammas = table(spark, sf_dir, "lineitem").select(*keys, names.alias("mult"), (c("l_partkey") % 100).alias("mass"), c("l_shipdate").cast("date").alias("date"), c("l_extendedprice").alias("strength"))
+    return reference_tables.strength_rule(reference_tables.with_limits(gammas, limits), keys)
+
+
+@query(f"""WITH {_MASSES}, r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 97 AS target, CAST(l_shipdate AS DATE) AS date, l_linenumber % 4 AS lt, 2 * (l_suppkey % 5) AS j, CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS p FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+      CASE WHEN j < abs(two_j - 2 * lt) OR j > two_j + 2 * lt OR (j - two_j) % 2 <> 0 THEN 'adopted spin is outside the range of the transfer' ELSE 'adopted parity does not fit the transfer' END AS message
+    FROM r JOIN i ON nuclide = target AND since <= date AND (until IS NULL OR date < until)
+    WHERE j < abs(two_j - 2 * lt) OR j > two_j + 2 * lt OR (j - two_j) % 2 <> 0 OR CASE WHEN lt % 2 = 1 THEN CASE parity WHEN '+' THEN '-' WHEN '-' THEN '+' END ELSE parity END <> p""")
+def transfers_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers against the spin of the target as of the date."""
+    c = F.col
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(*keys, (c("l_partkey") % 97).alias("target"), c("l_shipdate").cast("date").alias("date"), (c("l_linenumber") % 4).alias("lt"), (2 * (c("l_suppkey") % 5)).alias("j"), F.when(c("l_suppkey") % 2 == 0, "+").otherwise("-").alias("p"))
+    found = reference_tables.with_targets(rows, _masses(spark, sf_dir))
+    message = adopted.l_transfer_conflict(c("two_j_target"), c("target_parity"), 2 * c("lt"), c("lt"), c("j"), c("p"))
+    return found.select(*keys, message.alias("message")).where("message IS NOT NULL")
+
+
 @query("""SELECT s_suppkey, lpad(s_nationkey || 'XY', 5, ' ') || '  ' || CASE WHEN s_suppkey % 2 = 0 THEN 'L' ELSE 'G' END || ' ' || rpad(CAST(CAST(abs(round(s_acctbal)) AS BIGINT) AS VARCHAR), 10, ' ') || rpad(CAST(s_suppkey % 9 AS VARCHAR), 2, ' ') || ' ' || rpad('(1,2)+', 58, ' ') AS line FROM supplier""")
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
