@@ -14,7 +14,7 @@ from matchengine.operators import adopted, averages, best_values, groups, groupi
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
-from matchengine.sources import reports
+from matchengine.sources import comment_records, reports
 
 
 def _sql_list(values) -> str:
@@ -361,6 +361,30 @@ def average_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.average_comment(rows, "l_orderkey")
 
 
+@query("""WITH r AS (SELECT l_orderkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' from ' || l_suppkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' from ' || l_suppkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    a AS (SELECT l_orderkey, 'average of ' || string_agg(t, ', ' ORDER BY k) || CASE WHEN max(n) > 9 THEN ', ...' ELSE '' END AS body FROM r WHERE k <= 9 GROUP BY 1)
+    SELECT o_orderkey AS record, 'E' AS field, coalesce(body, 'old energy of ' || o_orderkey) AS body FROM orders LEFT JOIN a ON l_orderkey = o_orderkey UNION ALL SELECT o_orderkey, 'J', 'of ' || o_orderpriority FROM orders""")
+def comments_from_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of orders reported, the report parsed, its comments put into datasets
+    (50 files of level records with old comments) and read from there."""
+    c = F.col
+    values = table(spark, sf_dir, "lineitem").select(c("l_orderkey").cast("string").alias("name"), c("l_linenumber").alias("place"), c("l_quantity").cast("long").cast("string").alias("value_text"), c("l_suppkey").cast("string").alias("source"))
+    comments = reports.average_comment(values, "name", most=9).select("name", F.lit("E").alias("field"), c("comment").alias("body"))
+    report = comment_records.average_report(values, comments)
+    file = lambda name: F.concat(F.lit("log"), (name.cast("long") % 50).cast("string"))
+    shown = groups.numbered(report.withColumn("file", file(c("name"))), ["file"], ["name", "place"], "line_no").select("file", "line_no", "line")
+    parsed = comment_records.parse_average_report(shown)
+    old = lambda kind, *text: F.concat(F.lit(f" 34S {kind} "), *text)
+    key = c("o_orderkey").cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", file(c("o_orderkey")).alias("file"), F.posexplode(F.array(old(" " + " L", key), old(" cL", F.lit("E$old energy")), old("2cL", F.lit("of "), key), old(" cL", F.lit("J$of "), c("o_orderpriority")))).alias("at", "line"))
+    records = orders.withColumn("line_no", c("o_orderkey") * 4 + c("at"))
+    owners = parsed.select("file", (c("name").cast("long") * 4).alias("owner"), "field", "body")
+    patched = comment_records.patch_comments(records.select("file", "line_no", "line"), owners)
+    found = comment_records.parse_comments(patched)
+    names = patched.where(F.substring("line", 6, 3) == "  L").select("file", c("line_no").alias("owner"), F.trim(F.substring("line", 10, 71)).cast("long").alias("record"))
+    return found.join(names, ["file", "owner"]).select("record", "field", "body")
+
+
 @query("""WITH f AS (SELECT DISTINCT l_suppkey % 97 AS level_group, l_orderkey % 1000 AS gamma_group FROM lineitem WHERE l_partkey % 97 > l_suppkey % 97),
     r AS (SELECT level_group, 'G' || gamma_group AS t, row_number() OVER (PARTITION BY level_group ORDER BY (gamma_group * 7919) % 1009, gamma_group) AS k, count(*) OVER (PARTITION BY level_group) AS n FROM f)
     SELECT level_group, max(n) AS n, 'fed by ' || string_agg(t, ', ' ORDER BY k) || CASE WHEN max(n) > 3 THEN ', ...' ELSE '' END AS line FROM r WHERE k <= 3 GROUP BY 1""")
