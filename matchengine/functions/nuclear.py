@@ -28,6 +28,27 @@ def multipolarities(two_j1: Column, p1: Column, two_j2: Column, p2: Column, most
     return F.transform(orders, lambda k: F.concat(F.when(same == (F.pmod(k / 2, F.lit(2)) == 0), F.lit("E")).otherwise(F.lit("M")), (k / 2).cast("int").cast("string")))
 
 
+# Units of half-lives in seconds.
+HALF_LIFE_UNITS = {"Y": 31_556_926.0, "D": 86_400.0, "H": 3_600.0, "M": 60.0, "S": 1.0, "MS": 1e-3, "US": 1e-6, "NS": 1e-9, "PS": 1e-12, "FS": 1e-15, "AS": 1e-18}
+
+
+def half_life_seconds(text: Column) -> Column:
+    """Seconds of a half-life such as ``5 NS``; null for another text."""
+    number = F.regexp_extract(F.upper(text), r"^\s*([0-9.]+(?:E[-+]?[0-9]+)?)\s+[A-Z]+", 1).try_cast("double")
+    unit = F.regexp_extract(F.upper(text), r"^\s*[0-9.]+(?:E[-+]?[0-9]+)?\s+([A-Z]+)", 1)
+    scale = F.lit(None).cast("double")
+    for name, seconds in HALF_LIFE_UNITS.items():
+        scale = F.when(unit == name, F.lit(seconds)).otherwise(scale)
+    return number * scale
+
+
+def half_lives_differ(a: Column, b: Column) -> Column:
+    """Whether two half-lives are not the same: ``5 NS`` is ``5000 PS``, and other
+    texts must be equal."""
+    x, y = half_life_seconds(a), half_life_seconds(b)
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) > 1e-9 * F.abs(y)).otherwise(F.trim(a) != F.trim(b))
+
+
 def multipolarity_parts(mult: Column) -> Column:
     """The multipolarities that a text names, without brackets: ``M1(+E2)``,
     ``(M1+E2)``, ``[M1,E2]`` all give M1 and E2."""

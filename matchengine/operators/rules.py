@@ -57,7 +57,7 @@ def level_rules() -> list[Rule]:
         Rule("R13", ("energy", "energy_text", "adopted_energy", "is_quoted"), F.when(c("is_quoted") & differs & ~rounded, F.lit("energy quoted from Adopted differs"))),
         Rule("R14", ("jpi_text", "adopted_jpi", "is_quoted"), F.when(c("is_quoted") & (c("jpi_text") != c("adopted_jpi")), F.lit("spin-parity quoted from Adopted differs"))),
         Rule("R14", ("jpi_text", "adopted_jpi", "is_quoted", "is_decay", "jpi_options", "adopted_options"), F.when(~c("is_quoted"), F.when(c("is_decay") & (c("jpi_text") != c("adopted_jpi")), F.lit("spin-parity differs from Adopted")).when((F.size("jpi_options") > 0) & (F.size("adopted_options") > 0) & ~F.arrays_overlap("jpi_options", "adopted_options"), F.lit("spin-parity contradicts Adopted")))),
-        Rule("R15", ("t12_text", "adopted_t12", "energy", "is_isomer", "t12_seconds"), F.when((c("energy") == 0) & (c("t12_text") == ""), F.lit("ground state has no half-life")).when(c("t12_text") != c("adopted_t12"), F.lit("half-life differs from Adopted")).when((c("t12_seconds") >= 1e-7) & ~c("is_isomer"), F.lit("half-life of an isomer without its flag"))),
+        Rule("R15", ("t12_text", "adopted_t12", "energy", "is_isomer", "t12_seconds"), F.when((c("energy") == 0) & (c("t12_text") == ""), F.lit("ground state has no half-life")).when(nuclear.half_lives_differ(c("t12_text"), c("adopted_t12")), F.lit("half-life differs from Adopted")).when((c("t12_seconds") >= 1e-7) & ~c("is_isomer"), F.lit("half-life of an isomer without its flag"))),
         Rule("R21", hindrance, nuclear.hindrance_conflict(*map(c, hindrance))),
         Rule("R21", ("hf", "hf_unc", "alpha", "alpha_unc", "to_ground"), F.when(c("to_ground"), nuclear.hindrance_spread(c("hf"), c("hf_unc"), c("alpha"), c("alpha_unc")))),
         Rule("R22", ("dj", "parity_change"), nuclear.log_ft_unlikely(c("dj"), c("parity_change"))),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchengine.functions import comments
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, best_values, groups, grouping, insertion, propagation, provenance, reference_tables, rules
+from matchengine.operators import adopted, averages, best_values, checks, groups, grouping, insertion, propagation, provenance, reference_tables, rules
 from matchengine.plans import matching
 from matchengine.queries import _GAMMA_COLUMNS, _GAMMA_TOLD, _LEVEL_COLUMNS, _LEVEL_TOLD, _LEVELS, _expressions, _told_sql, customer_levels, order_spectra, priced_lines, query, r6, rule_levels, table
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -461,6 +461,60 @@ def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", "choice", c("value").try_cast("double").alias("value"), c("uncertainty").try_cast("double").alias("uncertainty"), "source")
 
 
+# --- all rules from levels, gammas and comments -------------------------------------
+
+_J = ("2+", "3-", "2+,3+", "")
+_JPI = "CASE {k} % 4 WHEN 0 THEN '2+' WHEN 1 THEN '3-' WHEN 2 THEN '2+,3+' ELSE '' END"
+_T12 = "CASE {k} % 5 WHEN 0 THEN '5 NS' WHEN 1 THEN '5000 PS' WHEN 2 THEN '3 US' ELSE '' END"
+_SECONDS = "CASE {t} WHEN '5 NS' THEN 5e-9::DOUBLE WHEN '5000 PS' THEN 5e-9::DOUBLE WHEN '3 US' THEN 3e-6::DOUBLE END"
+_OVERLAP = "{a} = {b} OR {a} = '' OR {b} = '' OR '2+' IN ({a}, {b}) AND '2+,3+' IN ({a}, {b})"
+
+
+@query(f"""WITH l AS (SELECT c_nationkey AS nuclide, CASE WHEN c_custkey % 7 = 0 THEN '34P B+ DECAY' ELSE c_mktsegment END AS dsid, c_custkey AS level, 10 * c_custkey AS line_no, printf('%.1f', abs(c_acctbal)) AS t, printf('%.1f', abs(c_acctbal))::DOUBLE AS e, {_JPI.format(k='c_custkey')} AS j, {_T12.format(k='c_custkey')} AS h FROM customer),
+    a AS (SELECT s_nationkey AS nuclide, s_suppkey AS adopted, CAST(CAST(round(abs(s_acctbal)) AS BIGINT) AS DOUBLE) AS y, {_JPI.format(k='s_suppkey')} AS aj, {_T12.format(k='s_suppkey')} AS ah FROM supplier),
+    w AS (SELECT l.nuclide, l.level, adopted, abs(e - y) AS d, row_number() OVER (PARTITION BY level ORDER BY abs(e - y), adopted) AS n FROM l JOIN a ON a.nuclide = l.nuclide AND abs(e - y) <= 50),
+    m AS (SELECT l.*, w.adopted, d, y, aj, ah FROM l LEFT JOIN w ON w.level = l.level AND n = 1 LEFT JOIN a ON a.adopted = w.adopted),
+    q AS (SELECT DISTINCT o_custkey AS level, CASE o_orderkey % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'J' ELSE 'T' END AS field FROM orders WHERE o_orderkey % 8 < 3),
+    z AS (SELECT *, (level, 'E') IN (SELECT (level, field) FROM q) AS qe, (level, 'J') IN (SELECT (level, field) FROM q) AS qj FROM m),
+    p AS (SELECT *, row_number() OVER (PARTITION BY nuclide, dsid ORDER BY e, level) - 1 AS place FROM l),
+    g AS (SELECT l.nuclide, l.dsid, o_orderkey AS gamma, o_custkey AS level, 10 * o_custkey + 1 + o_orderkey % 7 AS line_no, CAST(CAST(o_totalprice AS BIGINT) % 900 AS DOUBLE) AS e, CASE o_orderkey % 5 WHEN 0 THEN 'M1+E2' WHEN 1 THEN '(E1)' WHEN 2 THEN '[E2]' ELSE '' END AS mult, o_orderkey % 9 = 0 AS said FROM orders JOIN l ON l.level = o_custkey),
+    ends AS (SELECT g.gamma, arg_min(f.place, struct_pack(d := abs(s.e - g.e - f.e), p := f.place)) AS final FROM g JOIN p s ON s.level = g.level JOIN p f ON f.nuclide = g.nuclide AND f.dsid = g.dsid AND abs(s.e - g.e - f.e) <= 50 GROUP BY 1),
+    ag AS (SELECT 1 + p_partkey % 50 AS adopted, 1000000000 + p_partkey AS ag, CAST(CAST(p_retailprice AS BIGINT) % 900 AS DOUBLE) AS ae, CASE p_partkey % 3 WHEN 0 THEN 'M1+E2' WHEN 1 THEN 'E1' ELSE '' END AS am FROM part WHERE 1 + p_partkey % 50 IN (SELECT s_suppkey FROM supplier)),
+    near AS (SELECT g.dsid, g.gamma, ag, ae, am, abs(e - ae) AS d FROM g JOIN (SELECT level, adopted FROM m) USING (level) JOIN ag USING (adopted) WHERE abs(e - ae) <= 5),
+    mut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dsid, gamma ORDER BY d, ag) AS r1, row_number() OVER (PARTITION BY dsid, ag ORDER BY d, gamma) AS r2 FROM near) WHERE r1 = 1 AND r2 = 1),
+    x AS (SELECT g.*, s.place AS i, final, s.j AS ji, f.j AS jf, ag, ae, am, said AND ag IS NOT NULL AS mq FROM g JOIN p s ON s.level = g.level LEFT JOIN ends USING (gamma) LEFT JOIN p f ON f.nuclide = g.nuclide AND f.dsid = g.dsid AND f.place = final LEFT JOIN mut ON mut.gamma = g.gamma),
+    told AS (
+      SELECT nuclide, dsid, line_no, 'R10' AS rule, 'B+ DECAY should be EC DECAY or EC+B+ DECAY' AS message FROM z WHERE adopted IS NOT NULL AND dsid = '34P B+ DECAY'
+      UNION ALL SELECT nuclide, dsid, line_no, 'R13', 'energy quoted from Adopted differs' FROM z WHERE qe AND e <> y
+      UNION ALL SELECT nuclide, dsid, line_no, 'R14', 'spin-parity quoted from Adopted differs' FROM z WHERE qj AND j <> aj
+      UNION ALL SELECT nuclide, dsid, line_no, 'R14', CASE WHEN dsid = '34P B+ DECAY' AND j <> aj THEN 'spin-parity differs from Adopted' ELSE 'spin-parity contradicts Adopted' END FROM z WHERE NOT qj AND adopted IS NOT NULL AND (dsid = '34P B+ DECAY' AND j <> aj OR NOT ({_OVERLAP.format(a='j', b='aj')}))
+      UNION ALL SELECT nuclide, dsid, line_no, 'R15', CASE WHEN e = 0 AND h = '' THEN 'ground state has no half-life' WHEN coalesce({_SECONDS.format(t='h')} <> {_SECONDS.format(t='ah')}, h <> ah) THEN 'half-life differs from Adopted' ELSE 'half-life of an isomer without its flag' END FROM z
+        WHERE adopted IS NOT NULL AND (e = 0 AND h = '' OR coalesce({_SECONDS.format(t='h')} <> {_SECONDS.format(t='ah')}, h <> ah) OR h = '3 US')
+      UNION ALL SELECT nuclide, dsid, line_no, CASE WHEN adopted IS NULL THEN 'R23' ELSE 'R24' END, CASE WHEN adopted IS NULL THEN 'no adopted record' ELSE 'energy is discrepant from the adopted record' END FROM z WHERE nuclide IN (SELECT nuclide FROM a) AND (adopted IS NULL OR d > 10)
+      UNION ALL SELECT nuclide, dsid, line_no, 'R17', CASE WHEN final IS NULL THEN 'gamma has no final level' ELSE 'final level is not below the initial one' END FROM x WHERE final IS NULL OR final >= i
+      UNION ALL SELECT nuclide, dsid, line_no, 'R18', 'multipolarity does not fit the spins' FROM x WHERE ji IN ('2+', '3-') AND jf IN ('2+', '3-') AND CASE WHEN ji = jf THEN mult = '(E1)' ELSE mult IN ('M1+E2', '[E2]') END
+      UNION ALL SELECT nuclide, dsid, line_no, 'R18', CASE WHEN mult = '' THEN 'multipolarity quoted from Adopted is not given' ELSE 'multipolarity quoted from Adopted differs' END FROM x WHERE mq AND mult <> '[E2]' AND mult <> am
+      UNION ALL SELECT nuclide, dsid, line_no, 'R24', 'energy differs from the adopted gamma' FROM x WHERE abs(e - ae) >= greatest(2.0::DOUBLE, 1.5::DOUBLE * sqrt(50.0::DOUBLE)))
+    SELECT nuclide, dsid, line_no, CASE WHEN rule IN ('R10', 'R13', 'R14', 'R17', 'R18') THEN 'E' ELSE 'W' END AS severity, rule, message FROM told""")
+def checked_nuclides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as levels, suppliers as adopted ones, orders as gammas and comments."""
+    c, k, s = F.col, F.col("c_custkey"), F.col("s_suppkey")
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    half = ("5 NS", "5000 PS", "3 US", "", "")
+    whole = lambda x: F.format_string("%.1f", F.abs(x))
+    own = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("nuclide"), F.when(k % 7 == 0, "34P B+ DECAY").otherwise(c("c_mktsegment")).alias("dsid"), k.alias("level"), (10 * k).alias("line_no"), whole(c("c_acctbal")).alias("energy_text"), F.lit("5").alias("unc_text"), pick(_J, k).alias("jpi_text"), pick(half, k).alias("t12_text"))
+    best = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("nuclide"), F.lit("ADOPTED").alias("dsid"), (-s - 1).alias("level"), F.lit(-1).cast("long").alias("line_no"), F.round(F.abs("s_acctbal")).cast("long").cast("string").alias("energy_text"), F.lit("1").alias("unc_text"), pick(_J, s).alias("jpi_text"), pick(half, s).alias("t12_text"))
+    o = c("o_orderkey")
+    orders = table(spark, sf_dir, "orders").join(own.select("nuclide", "dsid", c("level").alias("o_custkey")), "o_custkey")
+    lines = orders.select("nuclide", "dsid", o.alias("gamma"), c("o_custkey").alias("level"), (10 * c("o_custkey") + 1 + o % 7).alias("line_no"), (F.round("o_totalprice").cast("long") % 900).cast("string").alias("energy_text"), F.lit("").alias("unc_text"), pick(("M1+E2", "(E1)", "[E2]", "", ""), o).alias("mult"))
+    p = c("p_partkey")
+    adopted_lines = table(spark, sf_dir, "part").select((-(1 + p % 50) - 1).alias("level"), (1_000_000_000 + p).alias("gamma"), (F.round("p_retailprice").cast("long") % 900).cast("string").alias("energy_text"), pick(("M1+E2", "E1", ""), p).alias("mult"))
+    adopted_lines = adopted_lines.join(best.select("level", "nuclide", "dsid"), "level").withColumns({"line_no": F.lit(-1).cast("long"), "unc_text": F.lit("")})
+    notes = orders.select("nuclide", "dsid", F.lit("level").alias("record"), c("o_custkey").alias("key"), pick(("E", "J", "T"), o).alias("field"), F.when(o % 8 < 3, "From Adopted Levels").otherwise("measured here").alias("body"))
+    notes = notes.unionByName(orders.where(o % 9 == 0).select("nuclide", "dsid", F.lit("gamma").alias("record"), o.alias("key"), F.lit("M").alias("field"), F.lit("from adopted gammas").alias("body")))
+    return checks.check_nuclides(own.unionByName(best), lines.unionByName(adopted_lines), notes).select("nuclide", "dsid", "line_no", "severity", "rule", "message")
+
+
 # --- reference tables in versions ------------------------------------------------
 
 _MASSES = """m AS (SELECT c_custkey % 97 AS nuclide, DATE '1992-01-01' + CAST(c_custkey * 7 % 2600 AS INTEGER) AS since, c_custkey AS version, c_acctbal AS excess, 2 * (c_custkey % 4) AS two_j, CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS parity FROM customer),
