@@ -7,12 +7,15 @@ before the shuffle and a large group costs no more memory than a small one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchengine.durable import discard, keep
+
 
 def _weight(dx: str) -> Column:
     return F.when(F.col(dx) > 0, 1 / (F.col(dx) * F.col(dx)))
@@ -193,10 +196,59 @@ def bootstrap(x: np.ndarray, dx: np.ndarray, draws: int = 20_000, seed: int = 42
 METHODS = {"LWM": limited_weights, "NRM": normalised_residuals, "RT": rajeval, "EVM": expected_value, "MP": mandel_paule, "BS": bootstrap}
 
 
+def limited_weight_means(rows: DataFrame, by: str, x: str, dx: str) -> DataFrame:
+    """by, value and uncertainty with no value above half of the weight, of groups of
+    any size.  One value at most can be above half: it gets the weight of all others
+    together, which one pass of sums and the greatest weight gives."""
+    w = _weight(dx)
+    usable = rows.where(w.isNotNull() & F.col(x).isNotNull()).select(by, F.col(x).alias("x"), w.alias("w"))
+    top = F.max(F.struct("w", "x"))
+    sums = usable.groupBy(by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"), top.alias("top"))
+    rest, rest_x = F.col("sw") - F.col("top.w"), F.col("swx") - F.col("top.w") * F.col("top.x")
+    over = (F.col("n") >= 3) & (F.col("top.w") > 0.5 * F.col("sw") * (1 + 1e-12))
+    return sums.select(by, F.when(over, (rest_x + rest * F.col("top.x")) / (2 * rest)).otherwise(F.col("swx") / F.col("sw")).alias("value"), F.when(over, 1 / F.sqrt(2 * rest)).otherwise(1 / F.sqrt("sw")).alias("uncertainty"))
+
+
+def mandel_paule_means(rows: DataFrame, by: str, x: str, dx: str, tolerance: float = 0.01, rounds: int = 1000) -> DataFrame:
+    """by, value and uncertainty with a common variance added until chi-square is one a
+    degree of freedom, of groups of any size: each step is one pass of sums over the
+    groups that are not done."""
+    points = rows.where((F.col(dx) > 0) & F.col(x).isNotNull()).select(by, F.col(x).alias("x"), (F.col(dx) * F.col(dx)).alias("v"))
+    # About the groups' plain means, so that little is lost in differences of sums.
+    state = keep(points.groupBy(by).agg(F.avg("x").alias("centre")).withColumns({"extra": F.lit(0.0), "done": F.lit(False), "mean": F.lit(0.0), "sw": F.lit(1.0)}), "averages")
+    for _ in range(rounds):
+        w = 1 / (F.col("v") + F.col("extra"))
+        d = F.col("x") - F.col("centre")
+        open_ = points.join(state.where("NOT done").select(by, "centre", "extra"), by).select(by, w.alias("w"), d.alias("d"))
+        part = lambda c: F.sum(F.expr(c))
+        sums = open_.groupBy(by).agg(F.count("*").alias("n"), part("w").alias("s"), part("w * d").alias("sd"), part("w * d * d").alias("sdd"), part("w * w").alias("q"), part("w * w * d").alias("qd"), part("w * w * d * d").alias("qdd"))
+        m = F.col("sd") / F.col("s")
+        excess = F.col("sdd") - F.col("sd") * m - (F.col("n") - 1)
+        slope = F.col("qdd") - 2 * m * F.col("qd") + m * m * F.col("q")
+        told = sums.select(by, F.col("n").alias("__n"), F.col("s").alias("__s"), m.alias("__m"), excess.alias("__e"), slope.alias("__q"))
+        joined = state.join(told, by, "left")
+        over = (F.col("__n") < 2) | (F.abs("__e") <= tolerance) | ((F.col("__e") < 0) & (F.col("extra") == 0))
+        step = F.greatest(F.lit(0.0), F.col("extra") + F.col("__e") / F.col("__q"))
+        fresh = F.col("__n").isNotNull()
+        grown = keep(joined.select(by, "centre", F.when(fresh & ~over, step).otherwise(F.col("extra")).alias("extra"), F.when(fresh, over).otherwise(F.col("done")).alias("done"), F.when(fresh, F.col("__m")).otherwise(F.col("mean")).alias("mean"), F.when(fresh, F.col("__s")).otherwise(F.col("sw")).alias("sw")), "averages")
+        discard(state)
+        state = grown
+        if state.where("NOT done").isEmpty():
+            break
+    return state.select(by, (F.col("centre") + F.col("mean")).alias("value"), (1 / F.sqrt("sw")).alias("uncertainty"))
+
+
+#: Methods that are sums, or rounds of sums.
+BY_SUMS = {"LWM": limited_weight_means, "MP": mandel_paule_means}
+
+
 def other_averages(rows: DataFrame, by: str, x: str, dx: str, methods: list[str] | None = None) -> DataFrame:
-    """(group, method, value, uncertainty) of the iterative methods."""
+    """(group, method, value, uncertainty) of the iterative methods.  LWM and MP take
+    groups of any size, the others up to ``MAX_POINTS`` values."""
     chosen = methods or list(METHODS)
     kind = rows.schema[by].dataType.simpleString()
+    found = [BY_SUMS[m](rows, by, x, dx).select(by, F.lit(m).alias("method"), "value", "uncertainty") for m in chosen if m in BY_SUMS]
+    listed = [m for m in chosen if m not in BY_SUMS]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -204,14 +256,16 @@ def other_averages(rows: DataFrame, by: str, x: str, dx: str, methods: list[str]
             for key, xs, ds in zip(part["k"], part["xs"], part["ds"], strict=True):
                 if len(xs) > MAX_POINTS:
                     raise ValueError(f"group {key} has {len(xs)} points; {MAX_POINTS} at most are averaged by iteration")
-                for m in chosen:
+                for m in listed:
                     value, error = METHODS[m](np.array(xs, float), np.array(ds, float))
                     out.append((key, m, value, error))
             yield pd.DataFrame(out, columns=["k", "method", "value", "uncertainty"])
 
-    lists = rows.where((F.col(dx) > 0) & F.col(x).isNotNull()).groupBy(F.col(by).alias("k")).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(dx).alias("d")))).alias("p"))
-    lists = lists.select("k", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["d"]).alias("ds"))
-    return lists.mapInPandas(solve, f"k {kind}, method string, value double, uncertainty double").withColumnRenamed("k", by)
+    if listed:
+        lists = rows.where((F.col(dx) > 0) & F.col(x).isNotNull()).groupBy(F.col(by).alias("k")).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(dx).alias("d")))).alias("p"))
+        lists = lists.select("k", F.transform("p", lambda p: p["x"]).alias("xs"), F.transform("p", lambda p: p["d"]).alias("ds"))
+        found.append(lists.mapInPandas(solve, f"k {kind}, method string, value double, uncertainty double").withColumnRenamed("k", by))
+    return reduce(DataFrame.unionByName, found)
 
 
 def regression_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:

@@ -331,6 +331,31 @@ def average_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return averages.average_decision(rows, ["part"], "x", "dx").select("part", "n", "kind", F.round("adopted", 4).alias("adopted"))
 
 
+@query(f"""WITH {_SUMS}, t AS (SELECT part, max(struct_pack(w := 1 / (dx * dx), x := x)) AS top FROM l GROUP BY 1), j AS (SELECT s.*, top.w AS w, top.x AS x FROM s JOIN t USING (part))
+    SELECT part, round(CASE WHEN n >= 3 AND w > 0.5 * sw * (1 + 1e-12) THEN (swx - w * x + (sw - w) * x) / (2 * (sw - w)) ELSE swx / sw END, 4) AS value, round(CASE WHEN n >= 3 AND w > 0.5 * sw * (1 + 1e-12) THEN 1 / sqrt(2 * (sw - w)) ELSE 1 / sqrt(sw) END, 6) AS uncertainty FROM j""")
+def limited_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = averages.other_averages(priced_lines(spark, sf_dir), "part", "x", "dx", ["LWM"])
+    return found.select("part", F.round("value", 4).alias("value"), r6(F.col("uncertainty")).alias("uncertainty"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey % 40 AS part, l_linenumber AS k, l_discount * 100 + l_quantity / 7 AS x, (1 + l_linenumber % 3) / 2.0::DOUBLE AS dx FROM lineitem),
+    mp(part, i, extra, done) AS (
+      SELECT DISTINCT part, 0, 0.0::DOUBLE, false FROM l
+      UNION ALL
+      SELECT part, i + 1, CASE WHEN stop THEN extra ELSE greatest(0, extra + e / q) END, stop FROM (
+        SELECT *, n < 2 OR abs(e) <= 0.01 OR (e < 0 AND extra = 0) AS stop FROM (
+          SELECT part, i, extra, n, sum(w * (x - m) * (x - m)) - (n - 1) AS e, sum(w * w * (x - m) * (x - m)) AS q FROM (
+            SELECT *, 1 / (dx * dx + extra) AS w, sum(x / (dx * dx + extra)) OVER o / sum(1 / (dx * dx + extra)) OVER o AS m, count(*) OVER o AS n
+            FROM (SELECT mp.part, mp.i, mp.extra, l.x, l.dx FROM mp JOIN l ON l.part = mp.part WHERE NOT mp.done AND mp.i < 60) WINDOW o AS (PARTITION BY part)) GROUP BY part, i, extra, n))),
+    f AS (SELECT part, arg_max(extra, i) AS extra FROM mp GROUP BY part)
+    SELECT part, round(sum(x / (dx * dx + extra)) / sum(1 / (dx * dx + extra)), 4) AS value, round(1 / sqrt(sum(1 / (dx * dx + extra))), 5) AS uncertainty FROM l JOIN f USING (part) GROUP BY part""")
+def mandel_paule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select((c("l_suppkey") % 40).alias("part"), (c("l_discount") * 100 + c("l_quantity") / 7).alias("x"), ((1 + c("l_linenumber") % 3) / 2.0).alias("dx"))
+    found = averages.other_averages(rows, "part", "x", "dx", ["MP"])
+    return found.select("part", F.round("value", 4).alias("value"), F.round("uncertainty", 5).alias("uncertainty"))
+
+
 @query()
 def average_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = averages.other_averages(priced_lines(spark, sf_dir), "part", "x", "dx", ["LWM", "NRM", "RT", "EVM", "MP"])

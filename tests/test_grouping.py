@@ -139,3 +139,23 @@ def test_ordered_assignment_is_the_best(spark):
         assert [g for _, g in mine] == sorted({g for _, g in mine}) and len({r for r, _ in mine}) == len(mine)
         n, total = best_assignment([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], cost)
         assert len(mine) == n and sum(cost[p] for p in mine) == pytest.approx(total)
+
+
+def test_averages_by_sums_are_those_of_lists(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(60):
+        n = int(rng.integers(1, 12))
+        rows += [(g, float(x), float(d)) for x, d in zip(rng.normal(1000, rng.choice([0.1, 5]), n), rng.choice([0.05, 1, 2], n), strict=True)]
+    rows += [(99, 1.0, None), (99, None, 1.0), (98, 1.0, 0.0)]
+    frame = spark.createDataFrame(rows, "g int, x double, dx double")
+    # No bound of points holds for these two.
+    monkeypatch.setattr(averages, "MAX_POINTS", 1)
+    found = {(r.g, r.method): (r.value, r.uncertainty) for r in averages.other_averages(frame, "g", "x", "dx", ["LWM", "MP"]).collect()}
+    assert set(found) == {(g, m) for g in range(60) for m in ("LWM", "MP")}
+    for g in range(60):
+        x, dx = (np.array([r[k] for r in rows if r[0] == g]) for k in (1, 2))
+        for name, f in (("LWM", averages.limited_weights), ("MP", averages.mandel_paule)):
+            assert found[g, name] == pytest.approx(f(x, dx), rel=1e-6), (g, name)
