@@ -171,18 +171,6 @@ def printed_values(words: Column) -> Column:
     return F.transform(plain, value)
 
 
-#: Phrases that say a value was taken from the adopted dataset, strongest first.
-_QUOTED = [r"(?i)\bfrom (the )?adopted", r"(?i)\badopted (value|level|gamma)", r"(?i)\brounded[- ]off value from", r"(?i)\bsee adopted"]
-
-
-def quoted_from_adopted(body: Column) -> Column:
-    """Number of the first rule that the comment fits, from 1; 0 if none."""
-    chain = F.lit(0)
-    for k, pattern in reversed(list(enumerate(_QUOTED, 1))):
-        chain = F.when(body.rlike(pattern), F.lit(k)).otherwise(chain)
-    return F.coalesce(chain, F.lit(0))
-
-
 def value_text(x: Column, dx: Column, limit: int = 35, most: int = 6) -> Column:
     """Value with its uncertainty in units of the last digit, as many digits as
     keep the uncertainty at most ``limit``: 12.34(5)."""

@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchengine.functions import nuclear, text
+from matchengine.functions import comments, nuclear, text
 from matchengine.functions import similarity as sim
-from matchengine.operators import adopted, averages, boosting, cluster, groups, learning, pairs, rules
+from matchengine.operators import adopted, averages, boosting, cluster, groups, learning, pairs, records, rules
 from matchengine.operators.components import components
 from matchengine.plans import matching
 from matchengine.schema import GAMMAS, SPIN_OPTIONS
@@ -395,8 +395,8 @@ def anchor_min_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations)
     SELECT conv_id, turn, coalesce(asked, -1) AS asked FROM t WHERE role = 'assistant'""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order).alias("asked"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    rows = records.carried(turns, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "asked")
     return rows.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("asked", F.lit(-1)).cast("long").alias("asked"))
 
 
@@ -448,30 +448,26 @@ def branching_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    b = F.col("c_acctbal")
-    return per.rollup("r_name", "n_name").agg(F.count("*").alias("n_levels"), F.round(F.min(b), 2).alias("low"), F.round(F.max(b), 2).alias("high"), F.round(F.avg(b), 4).alias("mean"))
+    found = records.statistics(per, ["r_name", "n_name"], "c_acctbal")
+    return found.select("r_name", "n_name", F.col("n").alias("n_levels"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), F.round("mean", 4).alias("mean"))
 
 
 @query("""SELECT l_orderkey, string_agg(l_suppkey || '(' || CAST(l_quantity AS INT) || '%)', ' + ' ORDER BY l_linenumber, l_suppkey, l_quantity) AS sources FROM lineitem GROUP BY l_orderkey""")
 def xref_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.struct("l_linenumber", "l_suppkey", "l_quantity", F.concat(F.col("l_suppkey").cast("string"), F.lit("("), F.col("l_quantity").cast("int").cast("string"), F.lit("%)")).alias("t"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(" + ", F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["t"])).alias("sources"))
+    return records.source_texts(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_suppkey", "l_quantity"], F.col("l_suppkey"), F.col("l_quantity"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def exclude_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return records.without(table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER () AS i FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY 1),
     v AS (SELECT a.l_orderkey, count(*) AS m FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND abs(a.l_quantity - b.l_quantity) <= 20 GROUP BY 1)
     SELECT n.l_orderkey, n.n AS members, coalesce(v.m, 0) AS valid_pairs, coalesce(v.m, 0) = n.n * (n.n - 1) // 2 AS is_clique FROM n LEFT JOIN v USING (l_orderkey)""")
 def clique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    member = F.collect_list("l_quantity")
-    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(member.alias("q"))
-    valid = F.aggregate(F.transform("q", lambda x, i: F.size(F.filter("q", lambda y, j: (j > i) & (F.abs(x - y) <= 20)))), F.lit(0), lambda a, x: a + x).cast("long")
-    return grouped.select("l_orderkey", F.size("q").cast("long").alias("members"), valid.alias("valid_pairs")).withColumn("is_clique", F.col("valid_pairs") == F.expr("members * (members - 1) div 2"))
+    return records.clique_counts(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", 20)
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_size AND a.p_brand = b.p_brand),
@@ -510,12 +506,11 @@ def comment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.size("v").cast("long").alias("n_values"), r6(v[0]["x"]).alias("first_value"), r6(v[0]["dx"]).alias("first_error"), r6(v[1]["x"]).alias("second_value"), r6(v[1]["dx"]).alias("second_error"))
 
 
-@query("""WITH t AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'From Adopted Levels.' WHEN 1 THEN 'rounded-off value from the table' WHEN 2 THEN 'see Adopted' ELSE 'measured here' END AS body FROM supplier)
-    SELECT s_suppkey, CASE WHEN contains(lower(body), 'from adopted') THEN 1 WHEN contains(lower(body), 'rounded-off value from') THEN 3 WHEN contains(lower(body), 'see adopted') THEN 4 ELSE 0 END AS rule FROM t""")
+@query("""SELECT s_suppkey, s_suppkey % 4 IN (0, 3) AS quoted FROM supplier""")
 def quoted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
-    body = F.when(k == 0, "From Adopted Levels.").when(k == 1, "rounded-off value from the table").when(k == 2, "see Adopted").otherwise("measured here")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.quoted_from_adopted(body).alias("rule"))
+    body = F.when(k == 0, "From Adopted Levels.").when(k == 1, "rounded-off value from the table").when(k == 2, "see Adopted").otherwise("Same as in Adopted Levels")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", comments.says_from_adopted(body, F.lit("E")).alias("quoted"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, n_name AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS dataset_code, CAST(abs(round(s_acctbal)) AS DOUBLE) AS e FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -681,7 +676,7 @@ def fuzzy_dataset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)""")
 def band_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").join(lines, "p_partkey", "left_semi").select("p_partkey", "p_brand")
+    return records.marked(table(spark, sf_dir, "part"), lines, ["p_partkey"]).select("p_partkey", "p_brand")
 
 
 @query("""SELECT l_orderkey AS record, round(sum(abs(l_quantity - 25) / (s * s)) / sum(1 / (s * s)), 6) AS distance FROM (SELECT *, coalesce(nullif(l_tax * 10, 0), 0.2::DOUBLE * l_quantity) AS s FROM lineitem) GROUP BY 1""")
@@ -693,22 +688,18 @@ def group_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
     SELECT o_custkey, arg_min(o_orderkey, struct_pack(a := n, b := o_orderkey)) AS fewest, arg_max(o_orderkey, struct_pack(a := n, b := o_orderkey)) AS most, max(n) AS n_most FROM n GROUP BY 1""")
 def gamma_count_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rank = F.struct("n", "o_orderkey")
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey").groupBy("o_custkey").agg(F.min_by("o_orderkey", rank).alias("fewest"), F.max_by("o_orderkey", rank).alias("most"), F.max("n").alias("n_most"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return records.extremes_by_count(lines, table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
 
 
 @query("""WITH n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, arg_max(l_returnflag, struct_pack(a := n, b := l_returnflag)) AS tag, max(n) AS uses FROM n GROUP BY 1""")
 def most_common_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
-    return n.groupBy("l_suppkey").agg(F.max_by("l_returnflag", F.struct("n", "l_returnflag")).alias("tag"), F.max("n").alias("uses"))
+    return records.most_common(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
 
 
 @query("""SELECT s_nationkey AS z, count(*) AS n_datasets, arg_max(s_suppkey, struct_pack(a := s_acctbal, b := s_suppkey)) AS adopted, s_nationkey % 2 = 0 AND (2 * s_nationkey + 1) % 2 = 0 AS even_even FROM supplier GROUP BY 1""")
 def nuclide_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = F.col("s_nationkey")
-    rows = table(spark, sf_dir, "supplier").groupBy(z.alias("z")).agg(F.count("*").alias("n_datasets"), F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("adopted"))
-    return rows.withColumn("even_even", (F.col("z") % 2 == 0) & ((2 * F.col("z") + 1) % 2 == 0))
+    return records.nuclides(table(spark, sf_dir, "supplier"), "s_nationkey", 2 * F.col("z") + 1, "s_suppkey", "s_acctbal")
 
 
 @query("""SELECT s_suppkey, CASE WHEN lead(s_acctbal) OVER w - s_acctbal < 150 THEN -30 ELSE 0 END + CASE WHEN s_acctbal - lag(s_acctbal) OVER w < 150 THEN 30 ELSE 0 END AS bar_offset FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)""")
@@ -759,9 +750,8 @@ def tag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT l_orderkey, max(l_extendedprice) FILTER (l_linenumber = 2) AS four, max(l_extendedprice) FILTER (l_linenumber = 1) AS two FROM lineitem GROUP BY 1) SELECT l_orderkey, round(four / two, 6) AS ratio FROM a WHERE four IS NOT NULL AND two > 0""")
 def be2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.max(F.when(F.col("l_linenumber") == n, F.col("l_extendedprice")))
-    both = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(at(2).alias("four"), at(1).alias("two"))
-    return both.where("four IS NOT NULL AND two > 0").select("l_orderkey", r6(F.col("four") / F.col("two")).alias("ratio"))
+    found = records.ratio_of_places(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_extendedprice", over=2, under=1)
+    return found.select("l_orderkey", r6(F.col("ratio")).alias("ratio"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b FROM e UNION SELECT b, a FROM e""")
@@ -773,15 +763,13 @@ def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS x, list_distinct(list(l_partkey % 100)) AS y FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(len(list_intersect(x, y)) AS BIGINT) AS shared, len(list_intersect(x, y)) = 0 AS disjoint FROM s""")
 def dataset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("x"), F.collect_set(F.col("l_partkey") % 100).alias("y"))
-    return sets.select("l_orderkey", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (~F.arrays_overlap("x", "y")).alias("disjoint"))
+    return sets.select("l_orderkey", records.shared(F.col("x"), F.col("y")).alias("shared"), records.disjoint(F.col("x"), F.col("y")).alias("disjoint"))
 
 
 @query(r"""WITH a AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g')) AS k FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND trim(regexp_replace(lower(text), '[ \t\n]+', ' ', 'g')) NOT IN (SELECT k FROM a)""")
 def comment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n]+", " "))
-    rows = table(spark, sf_dir, "conversations").withColumn("k", F.xxhash64(norm)).withColumn("k2", F.xxhash64(F.lit(1), norm))
-    known = rows.where("role = 'user'").select("k", "k2").distinct()
-    return rows.where("role = 'assistant'").join(known, ["k", "k2"], "left_anti").select("conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations")
+    return records.without_known_texts(rows.where("role = 'assistant'"), rows.where("role = 'user'"), "text").select("conv_id", "turn")
 
 
 @query("""WITH t AS (SELECT p_partkey, 2 * (p_partkey % 4) AS a, p_size % 6 AS b, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS p, p_size % 5 AS l FROM part)
@@ -938,8 +926,8 @@ def gamma_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) FILTER (length(p_name) >= 8 AND trim(p_type) <> '') AS n_records, count(*) FILTER (NOT contains(p_type, 'BRASS')) AS n_no_theory, count(*) FILTER (p_size > 25 AND p_retailprice >= 1000) AS n_strong FROM part""")
 def record_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if
-    return table(spark, sf_dir, "part").agg(n((F.length("p_name") >= 8) & (F.trim("p_type") != "")).alias("n_records"), n(~F.col("p_type").contains("BRASS")).alias("n_no_theory"), n((F.col("p_size") > 25) & (F.col("p_retailprice") >= 1000)).alias("n_strong"))
+    n, c = F.count_if, F.col
+    return table(spark, sf_dir, "part").agg(n(records.is_record(c("p_name"), c("p_type"))).alias("n_records"), n(~records.is_theory(c("p_type"), "BRASS")).alias("n_no_theory"), n(records.is_strong(c("p_size"), c("p_retailprice"), 25, 1000)).alias("n_strong"))
 
 
 @query("""WITH m AS (SELECT CAST(s_nationkey AS INT) AS cluster_no, CAST(s_suppkey % 3 AS VARCHAR) AS ds, CAST(s_suppkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY abs(s_acctbal), s_suppkey) = 1 AS anchor, s_suppkey % 8 / 8.0::DOUBLE AS p FROM supplier),
@@ -1051,7 +1039,5 @@ def comment_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values listed in a comment, averaged in place (no shuffle)."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     body = F.concat(F.lit("T="), size, F.lit(".5("), (k % 9 + 1).cast("string"), F.lit(") (1973Pa02), "), (F.col("p_size") * 2).cast("string"), F.lit(" ("), (k % 4 + 1).cast("string"), F.lit("); see text."))
-    some = F.filter(text.comment_values(body, "T"), lambda v: v["dx"] > 0)
-    total = lambda f: F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + f(x))
-    mean = total(lambda x: x["x"] / (x["dx"] * x["dx"])) / total(lambda x: 1 / (x["dx"] * x["dx"]))
-    return table(spark, sf_dir, "part").select("p_partkey", some.alias("v")).select("p_partkey", F.size("v").cast("long").alias("n"), F.round(mean, 5).alias("average"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.comment_values(body, "T").alias("v"))
+    return rows.select("p_partkey", F.size(F.filter("v", lambda v: v["dx"] > 0)).cast("long").alias("n"), F.round(records.average_in_place(F.col("v")), 5).alias("average"))
