@@ -223,7 +223,7 @@ def grouped_without_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gamma_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 500).alias("level_group"), c("l_returnflag").alias("dsid"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("record"), (c("l_extendedprice") / 10).alias("x"))
+    rows = table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 500).alias("level_group"), c("l_returnflag").alias("dsid"), (c("l_orderkey") * 10_000_000 + c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("record"), (c("l_extendedprice") / 10).alias("x"))
     return grouping.gamma_subgroups(rows, ["level_group"], 20.0)
 
 
