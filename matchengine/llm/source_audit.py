@@ -44,6 +44,10 @@ SCALE = 1_000_000_000
 ALPHA = 5
 #: Bytes of terms after lower-casing A-Z.
 TERM = tv.byte_class((0x61, 0x7A), (0x80, 0xFF))
+#: Rows of counts that a worker holds and adds up before they are shuffled (some 50 MB),
+#: and the odd number that spreads groups over their terms' hashes.
+MERGE_ROWS = 600_000
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -63,25 +67,49 @@ def _texts_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
 
 
 def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term, per group, in each chunk of text.
+    """Occurrences and documents of each term, per group, in each chunk of text; the
+    counts of some chunks are added up before they leave the worker.
 
     Each group also has a row with an empty term, so that none is lost.
     """
+    names: dict[tuple[str, str], int] = {}
+    held: list[tuple] = []
+    rows = 0
     for batch, data, offsets in tv.text_chunks(batches, 0):
         langs, sources, group = _distinct_groups(batch.column(1), batch.column(2))
+        number = np.array([names.setdefault(g, len(names)) for g in zip(langs.to_pylist(), sources.to_pylist(), strict=True)])
         folded = tv.LOWER[data]
         starts, ends, first = tv.spans(folded, offsets, TERM)
-        hashes = tv.span_hashes(tv.prefix_sums(folded), starts, ends)
-        _, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
-        docs, groups = len(offsets) - 1, len(langs)
-        held, times = np.unique(word * docs + tv.owners(first), return_counts=True)
-        pair, at = np.unique(held // docs * groups + group[held % docs], return_inverse=True)
-        n = np.concatenate([np.zeros(groups, np.int64), np.bincount(at, times, len(pair)).astype(np.int64)])
-        d = np.concatenate([np.zeros(groups, np.int64), np.bincount(at, minlength=len(pair))])
+        hashes, sample, word = np.unique(tv.span_hashes(tv.prefix_sums(folded), starts, ends), return_index=True, return_inverse=True)
+        docs, groups = len(offsets) - 1, len(number)
+        seen, times = np.unique(word * docs + tv.owners(first), return_counts=True)
+        pair, at = np.unique(seen // docs * groups + group[seen % docs], return_inverse=True)
         terms = _texts_at(folded, starts[sample], ends[sample]).take(pa.array(pair // groups))
-        owner = pa.array(np.concatenate([np.arange(groups), pair % groups]))
-        names = pa.concat_arrays([pa.array([""] * groups, pa.large_string()), terms]).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([langs.take(owner), sources.take(owner), names, pa.array(n), pa.array(d)], names=["lang", "source", "term", "n", "docs"])
+        held.append((terms, hashes[pair // groups], number[pair % groups], np.bincount(at, times, len(pair)).astype(np.int64), np.bincount(at, minlength=len(pair))))
+        rows += len(pair)
+        if rows >= MERGE_ROWS:
+            yield _merged(held, names)
+            held, rows = [], 0
+    if names:
+        yield _merged(held, names)
+
+
+def _merged(held: list[tuple], names: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    """One row for each term and group of some chunks, and one for each group."""
+    groups = len(names)
+    terms = pa.chunked_array([h[0] for h in held], pa.large_string()).combine_chunks() if held else pa.array([], pa.large_string())
+    column = lambda k, kind: np.concatenate([np.zeros(0, kind), *[h[k] for h in held]])
+    number = column(2, np.int64)
+    key = tv.mix(column(1, np.uint64) + number.astype(np.uint64) * _SPREAD)
+    _, sample, at = np.unique(key, return_index=True, return_inverse=True)
+    n, d = (np.zeros(len(sample), np.int64) for _ in range(2))
+    np.add.at(n, at, column(3, np.int64))
+    np.add.at(d, at, column(4, np.int64))
+    owner = pa.array(np.concatenate([np.arange(groups), number[sample]]))
+    none = np.zeros(groups, np.int64)
+    lang, source = (pa.array([g[k] for g in names], pa.string()).take(owner) for k in (0, 1))
+    text = pa.concat_arrays([pa.array([""] * groups, pa.large_string()), terms.take(pa.array(sample))]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([lang, source, text, pa.array(np.concatenate([none, n])), pa.array(np.concatenate([none, d]))], names=["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(documents: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
