@@ -75,13 +75,15 @@ def _round(state: DataFrame, arcs: DataFrame) -> DataFrame:
     # An option is allowed by all gammas if as many allow it as there are; the row of
     # no option counts them.
     votes = limits.select("level", F.explode(F.concat("allowed", F.array(F.lit(None).cast("struct<two_j:int,parity:string>")))).alias("o")).groupBy("level", "o").agg(F.count("*").alias("n"))
-    total = votes.where("o IS NULL").select("level", F.col("n").alias("all"))
-    agreed = votes.where("o IS NOT NULL").join(total, "level").where("n = all").groupBy("level").agg(F.collect_list("o").alias("agreed"))
-    joined = state.join(total.select("level", F.lit(True).alias("limited")), "level", "left").join(agreed, "level", "left")
-    allowed = F.coalesce("agreed", F.array().cast(OPTIONS))
+    counted = votes.groupBy("level").agg(F.collect_list(F.struct("o", "n")).alias("votes"))
+    joined = state.join(counted, "level", "left")
+    every = F.get(F.filter("votes", lambda v: v["o"].isNull()), 0)["n"]
+    agreed = F.transform(F.filter("votes", lambda v: v["o"].isNotNull() & (v["n"] == F.col("every"))), lambda v: v["o"])
+    joined = joined.withColumn("every", every).withColumn("allowed", F.coalesce(agreed, F.array().cast(OPTIONS)))
+    allowed = F.col("allowed")
     unknown = (F.size("options") == 0) & ~F.col("contradiction")
-    new = F.when(F.col("limited").isNull() | F.col("contradiction"), F.col("options")).when(unknown, F.array_sort(allowed)).otherwise(F.filter("options", lambda o: F.array_contains(allowed, o)))
-    empty = F.col("contradiction") | (F.col("limited").isNotNull() & (F.size("new") == 0))
+    new = F.when(F.col("every").isNull() | F.col("contradiction"), F.col("options")).when(unknown, F.array_sort(allowed)).otherwise(F.filter("options", lambda o: F.array_contains(allowed, o)))
+    empty = F.col("contradiction") | (F.col("every").isNotNull() & (F.size("new") == 0))
     return joined.withColumn("new", new).select(
         "level",
         F.col("new").alias("options"),
