@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words by which comments say where a value is from.
 FROM = r"FROM (?:THE )?ADOPTED"
 IN = r"ADOPTED IN (?:THE )?ADOPTED"
 #: First words of a sentence that argues for a value of its own.
 ARGUED = r"^(?:PROPOSED|DEDUCED|BASED|IMPLIED|SPIN FROM|PARITY FROM)"
-#: Multipolarities that a comment may give.
+#: Of comments on differences or comments, and on placements in a level scheme.
+DIFFERENT = "DIFFERENT|CONTRADICT"
+PLACED = "LEVEL SCHEME|PLACE|POPULAT|CORRESPOND"
+#: Multipolarities that a comment may give; longer names stand first, as the search takes
+#: the first that fits.
 MULTS = ("M1+E2", "E2+M1", "E1+M2", "M2+E1", "M2+E3", "E3+M2", "D+Q", "Q+D", "Q+O", "M1", "M2", "M3", "E1", "E2", "E3", "D", "Q", "O")
 
 
@@ -37,7 +42,7 @@ def says_from_adopted(body: Column, head: Column) -> Column:
         before = F.when(from_, F.regexp_extract(part, rf"(?s)^(.*?){FROM}", 1)).otherwise(F.regexp_extract(part, rf"(?s)^(.*?){IN}", 1))
         rest = F.when(from_, F.regexp_replace(part, FROM, " ")).otherwise(F.regexp_replace(part, IN, " "))
         silent = ~rest.rlike("[0-9]")
-        other = rest.contains("COMMENT") | (from_ & (rest.rlike("DIFFERENT|CONTRADICT") | before.rlike("LEVEL SCHEME|PLACE|POPULAT|CORRESPOND")))
+        other = rest.contains("COMMENT") | (from_ & (rest.rlike(DIFFERENT) | before.rlike(PLACED)))
         own = (head == "M") & F.regexp_replace(rest, r"MULT|[=()]", "").rlike(r"(?:^|[,\s])(?:D|Q|D\+Q|Q\+D)(?:$|[,\s])")
         said = F.when(other | own, -1).otherwise(1)
         return (

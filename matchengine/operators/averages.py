@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from matchengine.durable import discard, keep
 
 
+# Chi-squares that decide between averages, the least share of the weight
+# of a value that is used, and the limit of normalised residuals.
+UNWEIGHTED_CHI2, WHOLE_CHI2, LEAST_SHARE, CRITICAL = 3.5, 3.0, 0.02, 2.58
+
+
 def _weight(dx: str) -> Column:
     return F.when(F.col(dx) > 0, 1 / (F.col(dx) * F.col(dx)))
 
@@ -46,7 +51,7 @@ def weighted_mean(rows: DataFrame, by: list[str], x: str, dx: str) -> DataFrame:
     )
 
 
-def used_values(rows: DataFrame, by: list[str], dx: str, least: float = 0.02) -> DataFrame:
+def used_values(rows: DataFrame, by: list[str], dx: str, least: float = LEAST_SHARE) -> DataFrame:
     """Rows with their share of the group's weight and whether it is enough."""
     total = rows.groupBy(*by).agg(F.sum(_weight(dx)).alias("__total"))
     share = F.coalesce(_weight(dx) / F.col("__total"), F.lit(0.0))
@@ -57,9 +62,9 @@ def adopted_kind(chi2: Column, chi2_all: Column, weighted: Column, weighted_all:
     """Which average is adopted; the order of the rules matters."""
     return (
         F.when((low == high) | equals_input, "Non-Average")
-        .when(F.least(chi2, chi2_all) > 3.5, "Unweighted-Average")
+        .when(F.least(chi2, chi2_all) > UNWEIGHTED_CHI2, "Unweighted-Average")
         .when(weighted == weighted_all, "Weighted-Of-All")
-        .when((chi2_all < chi2) | (chi2_all < 3.0), "Weighted-Of-All")
+        .when((chi2_all < chi2) | (chi2_all < WHOLE_CHI2), "Weighted-Of-All")
         .otherwise("Weighted-Average")
     )
 
@@ -117,7 +122,7 @@ def limited_weights(x: np.ndarray, dx: np.ndarray, most: float = 0.5) -> tuple[f
     return float((w * x).sum() / w.sum()), float(1 / np.sqrt(w.sum()))
 
 
-def normalised_residuals(x: np.ndarray, dx: np.ndarray, critical: float = 2.58) -> tuple[float, float]:
+def normalised_residuals(x: np.ndarray, dx: np.ndarray, critical: float = CRITICAL) -> tuple[float, float]:
     """Uncertainties of discrepant values are raised until none stands out."""
     s = dx.copy()
     for _ in range(1000):
@@ -157,7 +162,7 @@ def mandel_paule(x: np.ndarray, dx: np.ndarray, tolerance: float = 0.01) -> tupl
     return float((w * x).sum() / w.sum()), float(1 / np.sqrt(w.sum()))
 
 
-def rajeval(x: np.ndarray, dx: np.ndarray, critical: float = 2.58) -> tuple[float, float]:
+def rajeval(x: np.ndarray, dx: np.ndarray, critical: float = CRITICAL) -> tuple[float, float]:
     """Outliers go first, the worst in turn; then inconsistent uncertainties are
     raised."""
     s = dx.copy()

@@ -22,10 +22,12 @@ def match(levels: DataFrame, config: MatchConfig = CONFIG, scorer=None, order: d
 
     ``scorer`` adds ``probability`` to feature rows; without one the rule-based
     score does.  Pairs not above the pair threshold are left out.  Levels are
-    paired inside a ``block`` (columns such as the nuclide) and, with ``reach``,
-    only up to that distance of energies; without either, all pairs of different
-    datasets are formed, which is meant for one nuclide.
+    paired inside a ``block`` of columns, the nuclide where ``levels`` has it, and, with
+    ``reach``, only up to that distance of energies; levels of one nuclide, without
+    that column, form all pairs of different datasets.
     """
+    if block is None and "nuclide" in levels.columns:
+        block = ["nuclide"]
     found = pairs.features(pairs.cross_dataset_pairs(levels, block, order=order, reach=reach), config)
     scored = scorer(found) if scorer else pairs.score(found, config=config)
     edges = scored.where(F.col("probability") > config.pair_threshold).select(

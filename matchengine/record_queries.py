@@ -29,23 +29,23 @@ def _choice(values, key: Column) -> Column:
 
 #: (body, head, whether it says that the value is quoted, value it gives)
 COMMENTS = [
-    ("From Adopted Levels.", "J", True, ""),
-    ("from the Adopted Gammas", "E", True, ""),
-    ("5/2+ from Adopted Levels", "J", False, "5/2+"),
-    ("Deduced from L and the adopted scheme", "J", False, ""),
-    ("From 34S Adopted Levels", "T", True, ""),
-    ("Gammas placed as in the scheme from Adopted Gammas", "E", False, ""),
-    ("measured here", "E", False, ""),
-    ("Not adopted in Adopted Levels", "J", False, ""),
-    ("Value adopted in Adopted Levels", "T", True, ""),
-    ("same as Adopted", "T", True, ""),
-    ("Mult=D+Q from Adopted Gammas", "M", False, "D+Q"),
-    ("Comments are from Adopted Levels", "J", False, ""),
-    ("12.3 {I3} from Adopted Gammas", "E", False, "12.3 3"),
-    ("Adopted value: 2.5 NS 4", "T", False, "2.5 NS 4"),
-    ("M1+E2 from Adopted Gammas", "M", False, "M1+E2"),
-    ("Adopted value is weighted average of 3 and 4", "E", False, ""),
-    ("(1,2+) adopted in Adopted Levels", "J", False, "(1,2+)"),
+    ("From Adopted dataset.", "J", True, ""),
+    ("taken from the Adopted set", "E", True, ""),
+    ("7/2- from Adopted Levels", "J", False, "7/2-"),
+    ("Deduced here with the adopted spins", "J", False, ""),
+    ("From 48Ca Adopted Levels", "T", True, ""),
+    ("Line is placed by its coincidences, from Adopted Gammas", "E", False, ""),
+    ("two runs, this work", "E", False, ""),
+    ("Not adopted in the Adopted Levels", "J", False, ""),
+    ("Half-life adopted in the Adopted Levels", "T", True, ""),
+    ("the same is Adopted", "T", True, ""),
+    ("Mult=Q+D from Adopted Gammas", "M", False, "Q+D"),
+    ("Differences and comments from Adopted Levels", "J", False, ""),
+    ("45.6 {I7} from Adopted Gammas", "E", False, "45.6 7"),
+    ("Adopted value: 81 PS 6", "T", False, "81 PS 6"),
+    ("E2+M3 and M1+E2 from Adopted Gammas", "M", False, "M1+E2"),
+    ("Adopted value is unweighted mean of 8 and 9", "E", False, ""),
+    ("(3,4-) adopted in Adopted Levels", "J", False, "(3,4-)"),
 ]
 
 
