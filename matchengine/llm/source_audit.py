@@ -44,9 +44,9 @@ SCALE = 1_000_000_000
 ALPHA = 5
 #: Bytes of terms after lower-casing A-Z.
 TERM = tv.byte_class((0x61, 0x7A), (0x80, 0xFF))
-#: Rows of counts that a worker holds and adds up before they are shuffled (some 50 MB),
+#: Rows of counts that a worker holds and adds up before they are shuffled (some 15 MB),
 #: and the odd number that spreads groups over their terms' hashes.
-MERGE_ROWS = 600_000
+MERGE_ROWS = 150_000
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
