@@ -56,7 +56,7 @@ def matched_levels(levels: DataFrame, name: str) -> DataFrame:
     seekers = known.where(F.col("dsid") != name).select("nuclide", "level", "dsid", F.col("energy").alias("x"))
     top = known.where(F.col("dsid") == name).select("nuclide", F.col("level").alias("adopted"), F.col("energy").alias("y"), F.array().cast("array<string>").alias("xref"))
     found = adopted.match_adopted(seekers, top, ["nuclide"], LEVEL_REACH, DISCREPANT).select("level", "adopted", "distance", "status")
-    told = known.where(F.col("dsid") == name).select(F.col("level").alias("adopted"), F.col("energy").alias("adopted_energy"), F.col("jpi_text").alias("adopted_jpi"), F.col("t12_text").alias("adopted_t12"))
+    told = known.where(F.col("dsid") == name).select(F.col("level").alias("adopted"), F.col("energy").alias("adopted_energy"), F.col("energy_text").alias("adopted_text"), F.col("jpi_text").alias("adopted_jpi"), F.col("t12_text").alias("adopted_t12"))
     return known.where(F.col("dsid") != name).join(found, "level").join(told, "adopted", "left")
 
 
@@ -117,9 +117,13 @@ def check_nuclides(levels: DataFrame, gammas: DataFrame, comments: DataFrame, na
     lines = gammas.where(F.col("dsid") != name).withColumn("energy", F.trim("energy_text").try_cast("double"))
     spread = lines.join(final_levels(lines.drop("energy"), levels), "gamma").join(matched_gammas(gammas, both.select("level", "adopted"), name), "gamma", "left").join(of("gamma", "gamma"), ["nuclide", "dsid", "gamma"], "left")
     error = lambda value, unc: tx.energy_uncertainty(F.col(value), F.col(unc))["value"]
-    spread = spread.withColumns({"mult": F.coalesce("mult", F.lit("")), "expected_mult": expected(F.col("jpi_i"), F.col("jpi_f")), "unc": error("energy_text", "unc_text"), "adopted_unc": error("adopted_text", "adopted_unc_text"), "mult_quoted": has("M") & F.col("adopted_gamma").isNotNull()})
+    spread = spread.withColumns({"mult": F.coalesce("mult", F.lit("")), "expected_mult": expected(F.col("jpi_i"), F.col("jpi_f")), "unc": error("energy_text", "unc_text"), "adopted_unc": error("adopted_text", "adopted_unc_text"), "mult_said": has("M"), "mult_quoted": has("M") & F.col("adopted_gamma").isNotNull(), "energy_quoted": has("E") & F.col("adopted_gamma").isNotNull()})
     third = rules.check(spread, rules.gamma_rules(), key)
+    given = comments.withColumn("value", cm.adopted_value(F.col("body"), F.col("field"))).where("value <> ''").select("nuclide", "dsid", "record", "key", "field", "value")
+    texts = both.select(*key, F.lit("level").alias("record"), F.col("level").alias("key"), F.inline(F.array(F.struct(F.lit("E").alias("field"), F.col("adopted_text").alias("adopted_text")), F.struct(F.lit("J").alias("field"), F.col("adopted_jpi").alias("adopted_text")))))
+    texts = texts.unionByName(spread.select(*key, F.lit("gamma").alias("record"), F.col("gamma").alias("key"), F.inline(F.array(F.struct(F.lit("E").alias("field"), F.col("adopted_text")), F.struct(F.lit("M").alias("field"), F.col("adopted_mult").alias("adopted_text"))))))
+    fourth = rules.quoted_value_rule(given.join(texts, ["nuclide", "dsid", "record", "key", "field"]), key)
     severity = F.when(F.col("rule").isin(*ERRORS), "E").otherwise("W")
-    out = keep(first.unionByName(second).unionByName(third).select(*key, severity.alias("severity"), "rule", "message"), "messages")
+    out = keep(first.unionByName(second).unionByName(third).unionByName(fourth).select(*key, severity.alias("severity"), "rule", "message"), "messages")
     discard(rows)
     return out

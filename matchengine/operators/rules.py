@@ -72,9 +72,11 @@ def gamma_rules() -> list[Rule]:
     zero = ("two_ji", "two_jf", "parity_change")
     icc = ("energy", "z", "dj", "parity_change", "questionable")
     return [
+        Rule("R13", ("energy", "energy_text", "adopted_energy", "energy_quoted"), F.when(c("energy_quoted") & (c("energy") != c("adopted_energy")) & ~(text.rounded_like(c("adopted_energy"), c("energy_text")) == c("energy_text")), F.lit("energy quoted from Adopted differs"))),
         Rule("R17", ("final_level_index", "level_index"), F.when(c("final_level_index").isNull(), F.lit("gamma has no final level")).when(c("final_level_index") >= c("level_index"), F.lit("final level is not below the initial one"))),
         Rule("R18", ("mult", "expected_mult"), F.when(nuclear.mult_unexpected(c("mult"), c("expected_mult")), F.lit("multipolarity does not fit the spins"))),
         Rule("R18", ("mult", "adopted_mult", "mult_quoted"), F.when(c("mult_quoted") & nuclear.mult_differs(c("mult"), c("adopted_mult")), F.when(c("mult") == "", "multipolarity quoted from Adopted is not given").otherwise("multipolarity quoted from Adopted differs"))),
+        Rule("R18", ("mult", "mult_said", "adopted_gamma"), F.when(c("mult_said") & c("adopted_gamma").isNull() & (c("mult") != "") & ~c("mult").startswith("["), F.lit("multipolarity quoted from Adopted, which has no such gamma"))),
         Rule("R18", ("mixing", "adopted_mixing", "mixing_quoted"), F.when(c("mixing_quoted") & (F.trim("mixing") != F.trim("adopted_mixing")), F.lit("mixing ratio quoted from Adopted differs"))),
         Rule("R18", ("mult", "computed_text"), F.when(c("mult").contains("E0") & c("computed_text").contains("BE0"), F.lit("B(E0) should be from experiment"))),
         Rule("R18", zero, nuclear.zero_to_zero_gamma(*map(c, zero))),
@@ -149,6 +151,50 @@ def status_rule(matches: DataFrame, key: str) -> DataFrame:
     return matches.select(key, F.when(F.col("status") == "discrepant", "R24").otherwise("R23").alias("rule"), message.alias("message")).where("message IS NOT NULL")
 
 
+def level_grades(matches: DataFrame, key: list[str]) -> DataFrame:
+    """Messages on levels by how they and the cross-references of Adopted fit (R23):
+    key, severity (E or W), rule and message.
+
+    ``matches``, from ``adopted.match_candidates``: key, energy_text, questionable,
+    n_matched, n_listed (of these whose cross-reference has the dataset), n_bad (listed,
+    but far), n_missed (near, but not listed), distance (to the only one), small and
+    large (what is discrepant, and largely so).  A questionable level's missing tag is
+    a warning.
+    """
+    c = F.col
+    doubt = F.coalesce("questionable", F.lit(False))
+    told = lambda severity, message: F.struct(severity.alias("severity"), message.alias("message"))
+    warn, strict = F.lit("W"), F.when(doubt, "W").otherwise("E")
+    missing = F.concat(F.when(doubt, "questionable ").otherwise(""), F.lit("level not placed in Adopted"), F.when(c("energy_text").contains("."), " or discrepant").otherwise(""))
+    wrong = F.when((c("n_bad") > 0) & (c("n_missed") > 0), "missing and incorrect").when(c("n_bad") > 0, "incorrect").otherwise("missing")
+    several = F.concat(c("n_matched").cast("string"), F.lit(" possible matches in Adopted, "))
+    grade = (
+        F.when(c("n_matched") == 0, told(warn, missing))
+        .when((c("n_matched") == 1) & (c("n_listed") == 0), told(strict, F.lit("tag of the dataset is missing in the cross-reference")))
+        .when((c("n_matched") == 1) & (c("distance") > c("large")), told(warn, F.lit("energy is largely discrepant from Adopted")))
+        .when((c("n_matched") == 1) & (c("distance") > c("small")), told(warn, F.lit("energy is discrepant from Adopted")))
+        .when((c("n_matched") > 1) & (c("n_listed") == 0), told(strict, F.concat(several, F.lit("none with the tag of the dataset"))))
+        .when((c("n_matched") > 1) & (c("n_bad") + c("n_missed") > 0), told(warn, F.concat(several, wrong, F.lit(" cross-reference"))))
+    )
+    return matches.select(*key, grade.alias("__g")).where("__g IS NOT NULL").select(*key, "__g.severity", F.lit("R23").alias("rule"), "__g.message")
+
+
+def several_spins_rule(matches: DataFrame, key: list[str]) -> DataFrame:
+    """Levels with several adopted ones whose quoted spin-parity is that of none of
+    them (R14).  ``matches``: key, jpi_text, is_quoted, adopted_jpis (array)."""
+    none = F.col("is_quoted") & (F.size("adopted_jpis") > 1) & ~F.array_contains("adopted_jpis", F.col("jpi_text"))
+    return matches.where(F.coalesce(none, F.lit(False))).select(*key, F.lit("R14").alias("rule"), F.lit("spin-parity quoted from Adopted is that of none of its levels").alias("message"))
+
+
+def quoted_value_rule(quotes: DataFrame, key: list[str]) -> DataFrame:
+    """Values that a comment gives as adopted ones and that differ.
+    ``quotes``: key, field (E, J or M), value (empty if none), adopted_text."""
+    name = F.when(F.col("field") == "J", "R14").when(F.col("field") == "M", "R18").otherwise("R13")
+    # An energy is compared with its uncertainty left out.
+    value = F.when(F.col("field") == "E", F.regexp_extract("value", r"^(\S*)", 1)).otherwise(F.col("value"))
+    return quotes.where((F.col("value") != "") & F.col("adopted_text").isNotNull() & (value != F.trim("adopted_text"))).select(*key, name.alias("rule"), F.lit("value quoted in a comment differs from Adopted").alias("message"))
+
+
 def extra_adopted(adopted: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """Adopted records that no record of any dataset was matched to."""
     used = matches.where(F.col(key).isNotNull()).select(key).distinct()

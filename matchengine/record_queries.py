@@ -477,7 +477,7 @@ _OVERLAP = "{a} = {b} OR {a} = '' OR {b} = '' OR '2+' IN ({a}, {b}) AND '2+,3+'
     q AS (SELECT DISTINCT o_custkey AS level, CASE o_orderkey % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'J' ELSE 'T' END AS field FROM orders WHERE o_orderkey % 8 < 3),
     z AS (SELECT *, (level, 'E') IN (SELECT (level, field) FROM q) AS qe, (level, 'J') IN (SELECT (level, field) FROM q) AS qj FROM m),
     p AS (SELECT *, row_number() OVER (PARTITION BY nuclide, dsid ORDER BY e, level) - 1 AS place FROM l),
-    g AS (SELECT l.nuclide, l.dsid, o_orderkey AS gamma, o_custkey AS level, 10 * o_custkey + 1 + o_orderkey % 7 AS line_no, CAST(CAST(o_totalprice AS BIGINT) % 900 AS DOUBLE) AS e, CASE o_orderkey % 5 WHEN 0 THEN 'M1+E2' WHEN 1 THEN '(E1)' WHEN 2 THEN '[E2]' ELSE '' END AS mult, o_orderkey % 9 = 0 AS said FROM orders JOIN l ON l.level = o_custkey),
+    g AS (SELECT l.nuclide, l.dsid, o_orderkey AS gamma, o_custkey AS level, 10 * o_custkey + 1 + o_orderkey % 7 AS line_no, CAST(CAST(o_totalprice AS BIGINT) % 900 AS DOUBLE) AS e, CASE o_orderkey % 5 WHEN 0 THEN 'M1+E2' WHEN 1 THEN '(E1)' WHEN 2 THEN '[E2]' ELSE '' END AS mult, o_orderkey % 9 = 0 AS said, o_orderkey % 10 = 0 AS said_e FROM orders JOIN l ON l.level = o_custkey),
     ends AS (SELECT g.gamma, arg_min(f.place, struct_pack(d := abs(s.e - g.e - f.e), p := f.place)) AS final FROM g JOIN p s ON s.level = g.level JOIN p f ON f.nuclide = g.nuclide AND f.dsid = g.dsid AND abs(s.e - g.e - f.e) <= 50 GROUP BY 1),
     ag AS (SELECT 1 + p_partkey % 50 AS adopted, 1000000000 + p_partkey AS ag, CAST(CAST(p_retailprice AS BIGINT) % 900 AS DOUBLE) AS ae, CASE p_partkey % 3 WHEN 0 THEN 'M1+E2' WHEN 1 THEN 'E1' ELSE '' END AS am FROM part WHERE 1 + p_partkey % 50 IN (SELECT s_suppkey FROM supplier)),
     near AS (SELECT g.dsid, g.gamma, ag, ae, am, abs(e - ae) AS d FROM g JOIN (SELECT level, adopted FROM m) USING (level) JOIN ag USING (adopted) WHERE abs(e - ae) <= 5),
@@ -494,6 +494,9 @@ _OVERLAP = "{a} = {b} OR {a} = '' OR {b} = '' OR '2+' IN ({a}, {b}) AND '2+,3+'
       UNION ALL SELECT nuclide, dsid, line_no, 'R17', CASE WHEN final IS NULL THEN 'gamma has no final level' ELSE 'final level is not below the initial one' END FROM x WHERE final IS NULL OR final >= i
       UNION ALL SELECT nuclide, dsid, line_no, 'R18', 'multipolarity does not fit the spins' FROM x WHERE ji IN ('2+', '3-') AND jf IN ('2+', '3-') AND CASE WHEN ji = jf THEN mult = '(E1)' ELSE mult IN ('M1+E2', '[E2]') END
       UNION ALL SELECT nuclide, dsid, line_no, 'R18', CASE WHEN mult = '' THEN 'multipolarity quoted from Adopted is not given' ELSE 'multipolarity quoted from Adopted differs' END FROM x WHERE mq AND mult <> '[E2]' AND mult <> am
+      UNION ALL SELECT nuclide, dsid, line_no, 'R13', 'energy quoted from Adopted differs' FROM x WHERE said_e AND e <> ae
+      UNION ALL SELECT nuclide, dsid, line_no, 'R18', 'multipolarity quoted from Adopted, which has no such gamma' FROM x WHERE said AND ag IS NULL AND mult NOT IN ('', '[E2]')
+      UNION ALL SELECT nuclide, dsid, z.line_no, 'R14', 'value quoted in a comment differs from Adopted' FROM z JOIN orders ON o_custkey = level AND o_orderkey % 11 = 0 WHERE aj <> '2+'
       UNION ALL SELECT nuclide, dsid, line_no, 'R24', 'energy differs from the adopted gamma' FROM x WHERE abs(e - ae) >= greatest(2.0::DOUBLE, 1.5::DOUBLE * sqrt(50.0::DOUBLE)))
     SELECT nuclide, dsid, line_no, CASE WHEN rule IN ('R10', 'R13', 'R14', 'R17', 'R18') THEN 'E' ELSE 'W' END AS severity, rule, message FROM told""")
 def checked_nuclides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,9 +515,45 @@ def checked_nuclides(spark: SparkSession, sf_dir: str) -> DataFrame:
     adopted_lines = adopted_lines.join(best.select("level", "nuclide", "dsid"), "level").withColumns({"line_no": F.lit(-1).cast("long"), "unc_text": F.lit("")})
     notes = orders.select("nuclide", "dsid", F.lit("level").alias("record"), c("o_custkey").alias("key"), pick(("E", "J", "T"), o).alias("field"), F.when(o % 8 < 3, "From Adopted Levels").otherwise("measured here").alias("body"))
     notes = notes.unionByName(orders.where(o % 9 == 0).select("nuclide", "dsid", F.lit("gamma").alias("record"), o.alias("key"), F.lit("M").alias("field"), F.lit("from adopted gammas").alias("body")))
+    notes = notes.unionByName(orders.where(o % 10 == 0).select("nuclide", "dsid", F.lit("gamma").alias("record"), o.alias("key"), F.lit("E").alias("field"), F.lit("From Adopted Gammas").alias("body")))
+    notes = notes.unionByName(orders.where(o % 11 == 0).select("nuclide", "dsid", F.lit("level").alias("record"), c("o_custkey").alias("key"), F.lit("J").alias("field"), F.lit("2+ from Adopted Levels").alias("body")))
     return checks.check_nuclides(own.unionByName(best), lines.unionByName(adopted_lines), notes).select("nuclide", "dsid", "line_no", "severity", "rule", "message")
 
 
+_CANDIDATES = """l AS (SELECT c_nationkey AS n, c_mktsegment AS ds, c_custkey AS level, abs(c_acctbal) AS x, CASE WHEN c_custkey % 2 = 0 THEN printf('%.2f', abs(c_acctbal)) ELSE CAST(CAST(round(abs(c_acctbal)) AS BIGINT) AS VARCHAR) END AS t, CASE WHEN c_custkey % 4 = 0 THEN 70.0::DOUBLE END AS dx, c_custkey % 6 = 0 AS doubt,
+      CASE c_custkey % 4 WHEN 0 THEN '2+' WHEN 1 THEN '3-' WHEN 2 THEN '2+,3+' ELSE '' END AS j, c_custkey % 5 < 3 AS said FROM customer),
+    a AS (SELECT s_nationkey AS n, abs(s_acctbal) AS y, CASE s_suppkey % 3 WHEN 0 THEN ['BUILDING', 'AUTOMOBILE'] WHEN 1 THEN ['MACHINERY', 'BUILDING'] ELSE ['FURNITURE'] END AS xref, CASE s_suppkey % 4 WHEN 0 THEN '2+' WHEN 1 THEN '3-' WHEN 2 THEN '2+,3+' ELSE '' END AS aj FROM supplier),
+    k AS (SELECT level, count(*) AS m, count(*) FILTER (list_contains(xref, ds)) AS li, count(*) FILTER (list_contains(xref, ds) AND abs(x - y) > 20) AS bad, count(*) FILTER (NOT list_contains(xref, ds) AND abs(x - y) <= 20) AS mis, min(abs(x - y)) AS d, list(DISTINCT aj) AS js FROM l JOIN a ON a.n = l.n AND abs(x - y) <= 400 GROUP BY 1),
+    c AS (SELECT l.*, coalesce(m, 0) AS m, coalesce(li, 0) AS li, coalesce(bad, 0) AS bad, coalesce(mis, 0) AS mis, d, js, greatest(60, coalesce(dx, 0)) AS small, greatest(100, coalesce(dx, 0)) AS large FROM l LEFT JOIN k USING (level))"""
+
+
+def _level_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k, s = F.col, F.col("c_custkey"), F.col("s_suppkey")
+    names = lambda *some: F.array(*map(F.lit, some))
+    text = F.when(k % 2 == 0, F.format_string("%.2f", F.abs("c_acctbal"))).otherwise(F.round(F.abs("c_acctbal")).cast("long").cast("string"))
+    rows = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("n"), c("c_mktsegment").alias("dsid"), k.alias("level"), F.abs("c_acctbal").alias("x"), text.alias("energy_text"), F.when(k % 4 == 0, 70.0).alias("dx"), (k % 6 == 0).alias("questionable"), _choice(_J, k).alias("jpi_text"), (k % 5 < 3).alias("is_quoted"))
+    best = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("n"), s.alias("adopted"), F.abs("s_acctbal").alias("y"), F.when(s % 3 == 0, names("BUILDING", "AUTOMOBILE")).when(s % 3 == 1, names("MACHINERY", "BUILDING")).otherwise(names("FURNITURE")).alias("xref"), _choice(_J, s).alias("jpi_text"))
+    return adopted.match_candidates(rows, best, ["n"], 400.0, 20.0)
+
+
+@query(f"""WITH {_CANDIDATES},
+    g AS (SELECT level, CASE WHEN m = 0 THEN 'W' WHEN li = 0 THEN CASE WHEN doubt THEN 'W' ELSE 'E' END ELSE 'W' END AS severity,
+      CASE WHEN m = 0 THEN CASE WHEN doubt THEN 'questionable ' ELSE '' END || 'level not placed in Adopted' || CASE WHEN contains(t, '.') THEN ' or discrepant' ELSE '' END
+        WHEN m = 1 AND li = 0 THEN 'tag of the dataset is missing in the cross-reference' WHEN m = 1 AND d > large THEN 'energy is largely discrepant from Adopted' WHEN m = 1 AND d > small THEN 'energy is discrepant from Adopted'
+        WHEN m > 1 AND li = 0 THEN m || ' possible matches in Adopted, none with the tag of the dataset'
+        WHEN m > 1 AND bad + mis > 0 THEN m || ' possible matches in Adopted, ' || CASE WHEN bad > 0 AND mis > 0 THEN 'missing and incorrect' WHEN bad > 0 THEN 'incorrect' ELSE 'missing' END || ' cross-reference' END AS message FROM c)
+    SELECT level, severity, 'R23' AS rule, message FROM g WHERE message IS NOT NULL""")
+def level_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers graded by the suppliers in reach and their cross-references."""
+    return rules.level_grades(_level_candidates(spark, sf_dir), ["level"])
+
+
+@query(f"""WITH {_CANDIDATES} SELECT level, 'R14' AS rule, 'spin-parity quoted from Adopted is that of none of its levels' AS message FROM c WHERE said AND len(js) > 1 AND NOT list_contains(js, j)""")
+def spins_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted spins of customers with several suppliers in reach."""
+    return rules.several_spins_rule(_level_candidates(spark, sf_dir), ["level"])
+
+
 # --- reference tables in versions ------------------------------------------------
 
 _MASSES = """m AS (SELECT c_custkey % 97 AS nuclide, DATE '1992-01-01' + CAST(c_custkey * 7 % 2600 AS INTEGER) AS since, c_custkey AS version, c_acctbal AS excess, 2 * (c_custkey % 4) AS two_j, CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS parity FROM customer),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchengine.functions import nuclear
-from matchengine.operators import checks
+from matchengine.operators import checks, rules
 
 LEVELS = "nuclide string, dsid string, level long, line_no long, energy_text string, unc_text string, jpi_text string, t12_text string"
 GAMMAS = "nuclide string, dsid string, gamma long, level long, line_no long, energy_text string, unc_text string, mult string"
@@ -46,6 +46,26 @@ def test_empty_tables(spark, empty):
     assert (out.count() == 0) == (empty == "levels")
 
 
+def test_grades(spark):
+    rows = [
+        (1, "500", False, 0, 0, 0, 0, None), (2, "500.0", True, 0, 0, 0, 0, None), (3, "5", False, 1, 0, 0, 0, 1.0), (4, "5", True, 1, 0, 0, 0, 1.0), (5, "5", False, 1, 1, 0, 0, 70.0), (6, "5", None, 1, 1, 0, 0, 130.0), (7, "5", False, 1, 1, 0, 0, 10.0),
+        (8, "5", False, 3, 0, 0, 0, 1.0), (9, "5", False, 2, 1, 1, 1, 1.0), (10, "5", False, 2, 1, 1, 0, 1.0), (11, "5", False, 2, 1, 0, 1, 1.0), (12, "5", False, 2, 1, 0, 0, 1.0),
+    ]
+    frame = spark.createDataFrame([(*r, 60.0, 100.0) for r in rows], "level int, energy_text string, questionable boolean, n_matched int, n_listed int, n_bad int, n_missed int, distance double, small double, large double")
+    got = {r.level: (r.severity, r.message) for r in rules.level_grades(frame, ["level"]).collect()}
+    tag = "tag of the dataset is missing in the cross-reference"
+    assert got == {
+        1: ("W", "level not placed in Adopted"), 2: ("W", "questionable level not placed in Adopted or discrepant"), 3: ("E", tag), 4: ("W", tag), 5: ("W", "energy is discrepant from Adopted"), 6: ("W", "energy is largely discrepant from Adopted"),
+        8: ("E", "3 possible matches in Adopted, none with the tag of the dataset"), 9: ("W", "2 possible matches in Adopted, missing and incorrect cross-reference"), 10: ("W", "2 possible matches in Adopted, incorrect cross-reference"), 11: ("W", "2 possible matches in Adopted, missing cross-reference"),
+    }
+
+
+def test_quoted_values(spark):
+    rows = [(1, "E", "12.3 3", "12.3"), (2, "E", "12.4 3", "12.3"), (3, "J", "2+", "3-"), (4, "M", "E2", "E2"), (5, "M", "E2", "M1"), (6, "M", "", "M1"), (7, "J", "2+", None)]
+    found = rules.quoted_value_rule(spark.createDataFrame(rows, "k int, field string, value string, adopted_text string"), ["k"])
+    assert {r.k: r.rule for r in found.collect()} == {2: "R13", 3: "R14", 5: "R18"}
+
+
 def test_half_lives(spark):
     rows = [("5 NS", 5e-9), ("1.5E3 Y", 1500 * 31_556_926.0), ("320 fs", 3.2e-13), ("STABLE", None), ("", None), (None, None), ("5 XX", None)]
     found = spark.createDataFrame(rows, "t string, want double").select("want", nuclear.half_life_seconds(F.col("t")).alias("got")).collect()
