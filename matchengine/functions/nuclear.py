@@ -101,6 +101,17 @@ def half_life_from_width(width_ev: Column, branching: Column | None = None) -> C
     return F.when(whole > 0, HBAR * 0.6931471805599453 / whole)
 
 
+def total_width(value: Column, kind: Column, factor: Column, branching: Column) -> Column:
+    """The width of a level from what was measured: ``G`` the width itself, ``G0`` that
+    to the ground state, ``G02/G`` its square over the width, each with ``g`` in front
+    where the spin factor is part of it.  ``branching`` is that to the ground state;
+    null where it is needed and not positive."""
+    bare = F.when(kind.startswith("g"), value / F.nullif(factor, F.lit(0.0))).otherwise(value)
+    known = F.when(branching > 0, branching)
+    form = F.regexp_replace(kind, "^g", "")
+    return F.when(form == "G", bare).when(form == "G0", bare / known).when(form == "G02/G", bare / (known * known))
+
+
 def spin_factor(two_jx: Column, two_j0: Column) -> Column:
     return (two_jx + 1) / (two_j0 + 1)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,22 @@ def gamma_similarity(g1: Column, g2: Column, c: MatchConfig = CONFIG) -> Column:
     return F.when(empty, F.lit(c.neutral)).when((strongest(a) > 0) & (strongest(b) > 0), weighed).otherwise(counted)
 
 
+# Uncertainties of lines that have none in the older variant, its least and
+# relative one of intensities, and its limit of intensities that agree.
+OLD_ENERGY_ERROR, OLD_INTENSITY_ERROR, OLD_INTENSITY_SHARE, OLD_INTENSITY_Z = 1.0, 0.5, 0.1, 2.0
+
+
+def old_gamma_similarity(g1: Column, g2: Column, c: MatchConfig = CONFIG) -> Column:
+    """``gamma_similarity`` with the older variant's uncertainties and limit."""
+
+    def filled(g: Column) -> Column:
+        energy = F.when(g["energy_uncertainty"] > 0, g["energy_uncertainty"]).otherwise(F.lit(OLD_ENERGY_ERROR))
+        least = F.when(g["intensity"] > 0, F.greatest(F.lit(OLD_INTENSITY_ERROR), OLD_INTENSITY_SHARE * g["intensity"])).otherwise(F.lit(0.0))
+        return g.withField("energy_uncertainty", energy).withField("intensity_uncertainty", F.when(g["intensity_uncertainty"] > 0, g["intensity_uncertainty"]).otherwise(least))
+
+    return gamma_similarity(F.transform(g1, filled), F.transform(g2, filled), replace(c, intensity_z=OLD_INTENSITY_Z))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

@@ -79,6 +79,12 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: Column, by: list[
     return ranked.select("*", first.alias("__r1"), second.alias("__r2")).where("__r1 = 1 AND __r2 = 1").drop("__d", "__r1", "__r2")
 
 
+def any_above(pairs: DataFrame, scores: list[str], least: float) -> DataFrame:
+    """Pairs of which one of several models' scores is above ``least``; a null score
+    is not."""
+    return pairs.where(F.greatest(*[F.coalesce(c, F.lit(float("-inf"))) for c in scores], F.lit(float("-inf"))) > least)
+
+
 def valid_both_ways(edges: DataFrame, a: str = "level_1_id", b: str = "level_2_id") -> DataFrame:
     return edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct()
 

@@ -640,6 +640,38 @@ def width_to_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", r6(life * 1e12).alias("half_life_ps"), r6(nuclear.spin_factor(2 * (F.col("p_size") % 4), 2 * (F.col("p_partkey") % 3))).alias("factor"))
 
 
+@query("""WITH w AS (SELECT p_partkey, p_retailprice / 1e6 AS v, p_partkey % 6 AS k, (2 * (p_size % 4) + 1.0::DOUBLE) / (2 * (p_partkey % 3) + 1) AS g, (p_size % 11) / 10.0::DOUBLE AS br FROM part),
+    t AS (SELECT p_partkey, k, CASE WHEN k >= 3 THEN v / g ELSE v END / CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN nullif(br, 0) ELSE nullif(br * br, 0) END AS width FROM w)
+    SELECT p_partkey, round(6.582119569e-16 * 0.6931471805599453 / width * 1e12, 6) AS half_life_ps FROM t""")
+def half_lives_of_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-lives from widths in all forms, squared branchings included."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.element_at(F.array(*map(F.lit, ("G", "G0", "G02/G", "gG", "gG0", "gG02/G"))), (k % 6 + 1).cast("int"))
+    width = nuclear.total_width(F.col("p_retailprice") / 1e6, kind, nuclear.spin_factor(2 * (size % 4), 2 * (k % 3)).cast("double"), (size % 11) / 10.0)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(nuclear.half_life_from_width(width) * 1e12).alias("half_life_ps"))
+
+
+@query("""SELECT key_1, key_2 FROM (SELECT a.c_custkey AS key_1, b.c_custkey AS key_2, CASE WHEN a.c_custkey % 3 > 0 THEN abs(a.c_acctbal - b.c_acctbal) / 25 END AS p, (b.c_custkey % 10) / 10.0 AS q FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 25) WHERE p > 0.7 OR q > 0.7""")
+def shown_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that either of two scores shows."""
+    c = table(spark, sf_dir, "customer")
+    side = lambda n: c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias(f"key_{n}"), F.col("c_acctbal").alias(f"x{n}"))
+    near = pairs.range_join(side(1), side(2), F.col("x1"), F.col("x2"), REACH, ["nation"]).where("key_1 < key_2")
+    scored = near.withColumns({"p": F.when(F.col("key_1") % 3 > 0, F.abs(F.col("x1") - F.col("x2")) / 25), "q": (F.col("key_2") % 10) / 10.0})
+    return pairs.any_above(scored, ["p", "q"], 0.7).select("key_1", "key_2")
+
+
+@query("""WITH l AS (SELECT o_custkey % 50 AS nuclide, o_orderpriority AS dsid, o_orderkey AS line_no, 'order ' || o_orderkey AS line FROM orders),
+    b AS (SELECT nuclide, dsid, line_no, line FROM l UNION ALL SELECT DISTINCT nuclide, dsid, NULL, '' FROM l)
+    SELECT nuclide, CAST(row_number() OVER (PARTITION BY nuclide ORDER BY CASE WHEN dsid = '3-MEDIUM' THEN 0 ELSE 1 END, dsid, line_no NULLS LAST, line) - 1 AS BIGINT) AS place, line FROM b""")
+def merged_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all datasets of a nuclide in one text, the adopted one first."""
+    o = table(spark, sf_dir, "orders")
+    lines = o.select((F.col("o_custkey") % 50).alias("nuclide"), F.col("o_orderpriority").alias("dsid"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("line"))
+    ranks = lines.select("nuclide", "dsid").distinct().withColumn("rank", F.when(F.col("dsid") == "3-MEDIUM", 0).otherwise(1))
+    return reports.merged_lines(lines, ranks)
+
+
 @query("""WITH s AS (SELECT s_suppkey AS dsid FROM supplier), t AS (SELECT DISTINCT l_suppkey + 3 AS dsid FROM lineitem)
     SELECT dsid, 'cross-reference names no dataset' AS message FROM t WHERE dsid NOT IN (SELECT dsid FROM s) UNION ALL SELECT dsid, 'dataset has no cross-reference tag' FROM s WHERE dsid NOT IN (SELECT dsid FROM t)""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:

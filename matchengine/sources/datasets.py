@@ -10,9 +10,12 @@ from matchengine.schema import CONFIG, DATASET, GAMMAS, SPIN_OPTIONS
 
 
 def read_datasets(spark: SparkSession, path: str, code: str = r"([A-Za-z0-9]+)\.json$") -> DataFrame:
-    """Standard levels of all files; the dataset's code comes from the name."""
-    raw = spark.read.schema(DATASET).option("multiLine", True).json(path)
-    return standard_levels(raw.select(F.regexp_extract(F.input_file_name(), code, 1).alias("dataset_code"), "levelsTable", "gammasTable"))
+    """Standard levels of all files; the dataset's code comes from the name.  A file is
+    one dataset: an object with its tables, or a bare list of levels without gammas."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), code, 1).alias("dataset_code"), "value")
+    bare = F.concat(F.lit('{"levelsTable": {"levels": '), "value", F.lit("}}"))
+    read = F.from_json(F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(F.col("value")), DATASET)
+    return standard_levels(raw.select("dataset_code", read.alias("d")).select("dataset_code", "d.levelsTable", "d.gammasTable"))
 
 
 def standard_levels(raw: DataFrame) -> DataFrame:

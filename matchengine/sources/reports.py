@@ -114,6 +114,27 @@ def adopted_blocks(levels: DataFrame, gammas: DataFrame) -> DataFrame:
     return rows.groupBy("level", "of").agg(F.concat_ws("\n", listed).alias("text")).withColumnRenamed("of", "energy")
 
 
+def merged_lines(lines: DataFrame, datasets: DataFrame) -> DataFrame:
+    """The datasets of each nuclide as one text: nuclide, place (from 0) and line, each
+    dataset's lines in their order and a blank one after it.  ``lines``: nuclide, dsid,
+    line_no, line (of records of any type, continuations and comments included);
+    ``datasets``: nuclide, dsid, rank (adopted first).  Lines of a dataset that is not
+    named are left out."""
+    ranked = lines.join(datasets.select("nuclide", "dsid", "rank"), ["nuclide", "dsid"])
+    ends = ranked.select("nuclide", "dsid", "rank").distinct().select("nuclide", "dsid", "rank", F.lit(None).cast("long").alias("line_no"), F.lit("").alias("line"))
+    both = ranked.select("nuclide", "dsid", "rank", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(ends)
+    order = Window.partitionBy("nuclide").orderBy("rank", "dsid", F.col("line_no").asc_nulls_last(), "line")
+    return both.select("nuclide", (F.row_number().over(order) - 1).cast("long").alias("place"), "line")
+
+
+def write_merged(merged: DataFrame, path: str) -> None:
+    """A folder of text for each nuclide (``nuclide=<name>``), in one file of 80-column
+    lines; rewritten nuclides replace theirs."""
+    ready = merged.select("nuclide", F.when(F.length("line") < 80, F.rpad("line", 80, " ")).otherwise(F.col("line")).alias("line"), "place")
+    ordered = ready.repartition("nuclide").sortWithinPartitions("nuclide", "place").select("nuclide", "line")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("nuclide").text(path)
+
+
 def record_lines(records: DataFrame) -> DataFrame:
     """80-column records: nuclide, continuation, type, energy, uncertainty and the
     field from column 23 on.  ``records``: nucid, record (L or G), energy_text,

@@ -286,3 +286,34 @@ def test_levels_of_both_ends_join_each_others_clusters():
     # After the first two edges the clusters A+C(c1) and B+C(c2) both hold C.
     assert (("A", "a1"), ("B", "b1"), ("C", "c1")) in got
     assert (("A", "a1"), ("B", "b1"), ("C", "c2")) in got
+
+
+def test_older_gamma_similarity(spark):
+    line = "array<struct<energy:double,energy_uncertainty:double,intensity:double,intensity_uncertainty:double>>"
+    rows = [
+        # Energies two keV apart agree only with the older 1 keV on each side.
+        (1, [(500.0, 0.0, 100.0, 0.0)], [(502.0, 0.0, 100.0, 0.0)], 1.0),
+        # Intensities 100(10) and 72(7): within 2.4 sigmas, beyond the older limit of 2.
+        (2, [(500.0, 1.0, 100.0, 0.0), (900.0, 1.0, 100.0, 0.0)], [(500.0, 1.0, 100.0, 0.0), (900.0, 1.0, 72.0, 0.0)], (100 + 72) / 172),
+        (3, [], [(1.0, 1.0, 1.0, 1.0)], 0.5),
+    ]
+    found = spark.createDataFrame(rows, f"k int, a {line}, b {line}, want double").select("k", "want", similarity.old_gamma_similarity(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.got == pytest.approx(r.want) for r in found), found
+
+
+def test_bare_lists_of_levels(spark, tmp_path):
+    (tmp_path / "A.json").write_text('{"levelsTable": {"levels": [{"energy": {"value": 1.0}, "gammas": [0]}]}, "gammasTable": {"gammas": [{"energy": {"value": 1.0}}]}}')
+    (tmp_path / "B.json").write_text('\n [{"energy": {"value": 2.0}},\n {"energy": {"value": 3.0}, "gammas": [0]}]')
+    found = sorted((r.dataset_code, r.energy_value, len(r.gamma_decays)) for r in datasets.read_datasets(spark, f"file://{tmp_path}").collect())
+    assert found == [("A", 1.0, 1), ("B", 2.0, 0), ("B", 3.0, 0)]
+
+
+def test_merged_datasets_are_written_in_order(spark, tmp_path):
+    lines = [("34S", d, n, f"{d} line {n}") for d in ("X", "ADOPTED") for n in range(30)] + [("35S", "X", 0, "one"), ("35S", "gone", 0, "none")]
+    ranks = [("34S", "ADOPTED", 0), ("34S", "X", 1), ("35S", "X", 1)]
+    merged = reports.merged_lines(spark.createDataFrame(lines, "nuclide string, dsid string, line_no int, line string").repartition(3), spark.createDataFrame(ranks, "nuclide string, dsid string, rank int"))
+    reports.write_merged(merged, f"file://{tmp_path}/out")
+    read = logs.read_lines(spark, f"file://{tmp_path}/out/nuclide=34S").orderBy("line_no").collect()
+    assert [r.line.rstrip() for r in read] == [f"ADOPTED line {n}" for n in range(30)] + [""] + [f"X line {n}" for n in range(30)] + [""] and {len(r.line) for r in read} == {80}
+    reports.write_merged(merged.where("nuclide = '35S'"), f"file://{tmp_path}/out")
+    assert logs.read_lines(spark, f"file://{tmp_path}/out/nuclide=34S").count() == 62
