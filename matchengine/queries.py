@@ -356,6 +356,22 @@ def mandel_paule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("part", F.round("value", 4).alias("value"), F.round("uncertainty", 5).alias("uncertainty"))
 
 
+@query("""WITH l AS (SELECT l_partkey AS part, l_returnflag AS flag, l_extendedprice * 1.0123457::DOUBLE AS x, l_extendedprice * (0.013::DOUBLE + l_discount) AS dx FROM lineitem),
+    w AS (SELECT *, (1 / (dx * dx)) / sum(1 / (dx * dx)) OVER (PARTITION BY part, flag) >= 0.02 AS used FROM l),
+    a AS (SELECT part, flag, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wa, avg(x) AS u, min(x) AS low, max(x) AS high FROM w GROUP BY ALL),
+    b AS (SELECT part, flag, count(*) AS n, sum(x / (dx * dx)) / sum(1 / (dx * dx)) AS wu FROM w WHERE used GROUP BY ALL),
+    c AS (SELECT w.part, w.flag, coalesce(sum((x - wa) * (x - wa) / (dx * dx)) / nullif(max(a.n) - 1, 0), 0) AS chi_all, coalesce(sum(CASE WHEN used THEN (x - wu) * (x - wu) / (dx * dx) END) / nullif(max(b.n) - 1, 0), 0) AS chi, bool_or(round(x, 6) = round(wu, 6)) AS equals FROM w JOIN a USING (part, flag) JOIN b USING (part, flag) GROUP BY ALL),
+    k AS (SELECT a.part, a.flag, a.n, wa, u, wu, chi, chi_all, CASE WHEN low = high OR equals THEN 'Non-Average' WHEN least(chi, chi_all) > 3.5 THEN 'Unweighted-Average' WHEN round(wu, 6) = round(wa, 6) THEN 'Weighted-Of-All' WHEN chi_all < chi OR chi_all < 3.0 THEN 'Weighted-Of-All' ELSE 'Weighted-Average' END AS kind FROM a JOIN b USING (part, flag) JOIN c USING (part, flag))
+    SELECT part, flag, kind, n, round(CASE kind WHEN 'Unweighted-Average' THEN u WHEN 'Weighted-Of-All' THEN wa ELSE wu END, 3) AS adopted FROM k""")
+def decision_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report lines on the averages of gamma groups (flags) in level groups (parts),
+    read back."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") * 1.0123457).alias("x"), (F.col("l_extendedprice") * (0.013 + F.col("l_discount"))).alias("dx"))
+    lines = reports.decision_lines(averages.average_decision(rows, ["part", "flag"], "x", "dx"), ["part", "flag"])
+    told = lambda pattern, kind: F.regexp_extract("line", pattern, 1).cast(kind)
+    return lines.select(told(r"^(\d+) /", "long").alias("part"), told(r"/ (\w+):", "string").alias("flag"), told(r": (\S+) ", "string").alias("kind"), told(r"n=(\d+)", "long").alias("n"), told(r": \S+ (-?[0-9.]+),", "double").alias("adopted"))
+
+
 @query()
 def average_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = averages.other_averages(priced_lines(spark, sf_dir), "part", "x", "dx", ["LWM", "NRM", "RT", "EVM", "MP"])

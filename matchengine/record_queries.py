@@ -554,6 +554,26 @@ def spins_of_several(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.several_spins_rule(_level_candidates(spark, sf_dir), ["level"])
 
 
+@query(r"""WITH t AS (SELECT DISTINCT l_orderkey AS k, CASE l_returnflag WHEN 'N' THEN '3' ELSE l_returnflag END || l_suppkey % 10 AS tag FROM lineitem),
+    x AS (SELECT k, 'XREF=' || string_agg(tag, '' ORDER BY CASE WHEN tag < 'A' THEN '0' ELSE '1' END || tag, tag) AS x FROM t GROUP BY 1)
+    SELECT o_orderkey AS level, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(x, 'none') ELSE 'XREF=OLD' END AS xref FROM orders LEFT JOIN x ON k = o_orderkey""")
+def new_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adopted datasets (50 files of levels) in which each third level gets new
+    cross-references; all else stays."""
+    c, key = F.col, F.col("o_orderkey")
+    file = lambda k: F.concat(F.lit("log"), (k % 50).cast("string"))
+    lines = table(spark, sf_dir, "orders").select(file(key).alias("file"), F.posexplode(F.array(F.concat(F.lit(" 34S   L "), key.cast("string")), F.lit(" 34S X L XREF=OLD"), F.lit(" 34S  cL J$stays"))).alias("at", "line"), (key * 3).alias("first"))
+    records = lines.select("file", (c("first") + c("at")).alias("line_no"), F.rpad("line", 80, " ").alias("line"))
+    tags = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("level"), F.concat(F.when(c("l_returnflag") == "N", "3").otherwise(c("l_returnflag")), (c("l_suppkey") % 10).cast("string")).alias("tag")).distinct()
+    tags = tags.withColumns({"marker": F.lit(None).cast("string"), "energy": F.lit(1.0), "energy_text": F.lit("1"), "adopted_energy": F.lit(1.0)})
+    new = best_values.cross_reference_lines(tags, ["level"])
+    third = table(spark, sf_dir, "orders").where(key % 3 == 0).select(key.alias("level")).join(new, "level", "left").select(file(c("level")).alias("file"), (c("level") * 3).alias("owner"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+    patched = comment_records.patch_xrefs(records, third)
+    own = comment_records._owned(patched)
+    found = own.groupBy("file", "owner").agg(F.max(F.when(c("line_no") == c("owner"), F.trim(F.substring("line", 10, 71)).try_cast("long"))).alias("level"), F.max(F.when(F.substring("line", 6, 1) == "X", F.trim(F.substring("line", 10, 71)))).alias("xref"))
+    return found.select("level", F.coalesce("xref", F.lit("none")).alias("xref"))
+
+
 # --- reference tables in versions ------------------------------------------------
 
 _MASSES = """m AS (SELECT c_custkey % 97 AS nuclide, DATE '1992-01-01' + CAST(c_custkey * 7 % 2600 AS INTEGER) AS since, c_custkey AS version, c_acctbal AS excess, 2 * (c_custkey % 4) AS two_j, CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS parity FROM customer),

@@ -100,3 +100,19 @@ def patch_comments(records: DataFrame, comments: DataFrame) -> DataFrame:
     new = comments.join(bodies, ["file", "owner"]).select("file", "line_no", "field", F.posexplode(lines).alias("at", "line"))
     order = Window.partitionBy("file").orderBy("line_no", "field", "at")
     return kept.unionByName(new).select("file", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
+
+
+def patch_xrefs(records: DataFrame, xrefs: DataFrame) -> DataFrame:
+    """``records`` (file, line_no, line) with new cross-references: the ``X L XREF``
+    lines of the levels named go, and theirs stand behind the level's record.  All else
+    stays as it is; lines are numbered anew.  ``xrefs``: file, owner (the level's line),
+    lines (array, see ``best_values.cross_reference_lines``; empty removes them)."""
+    own = _owned(records)
+    old = (F.substring("line", 6, 3) == "X L") & F.substring("line", 10, 5).isin("XREF=", "XREF+")
+    named = xrefs.select("file", "owner", F.lit(True).alias("named"))
+    kept = own.join(named, ["file", "owner"], "left").where(~(F.coalesce("named", F.lit(False)) & old)).select("file", "line_no", F.lit(-1).alias("at"), "line")
+    heads = own.where("line_no = owner").select("file", "owner", F.substring("line", 1, 5).alias("nucid"))
+    new = xrefs.join(heads, ["file", "owner"]).select("file", F.col("owner").alias("line_no"), "nucid", F.posexplode("lines").alias("at", "part"))
+    lines = new.select("file", "line_no", "at", F.rpad(F.concat(F.lpad("nucid", 5, " "), F.lit("X L "), F.col("part")), 80, " ").alias("line"))
+    order = Window.partitionBy("file").orderBy("line_no", "at")
+    return kept.unionByName(lines).select("file", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")

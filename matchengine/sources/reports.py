@@ -68,6 +68,15 @@ def average_lines(averages: DataFrame, key: str) -> DataFrame:
     return averages.select(key, line.alias("line"))
 
 
+def decision_lines(decided: DataFrame, by: list[str]) -> DataFrame:
+    """by and line of the report on averages of level groups, or gamma groups inside
+    them: what is adopted and why, the averages of used and of all values with their
+    chi-squares.  ``decided``: by and what ``averages.average_decision`` gives."""
+    name = F.concat_ws(" / ", *[F.col(c).cast("string") for c in by])
+    line = F.format_string("%s: %s %.3f, n=%d, used %.3f (chi2 %.2f), all %.3f (chi2 %.2f), unweighted %.3f", name, "kind", "adopted", "n", "w_used", "chi2_used", "weighted", "chi2", "unweighted")
+    return decided.select(*by, line.alias("line"))
+
+
 def average_comment(members: DataFrame, key: str, most: int = 3) -> DataFrame:
     """Text of a comment on an average: the values it is made of with their
     sources in order, the first ``most`` of them, then dots."""

@@ -59,3 +59,10 @@ def test_very_long_comments_and_empty_tables(spark):
     assert cr.patch_comments(records.where("false"), comments).count() == 0
     assert cr.patch_comments(records, comments.where("false")).count() == 1
     assert cr.parse_average_report(records.where("false")).count() == 0
+
+
+def test_new_cross_references(spark):
+    records = frame(spark, [x.ljust(80) for x in RECORDS])
+    xrefs = spark.createDataFrame([("f", 1, ["XREF=CD", "XREF+=E"]), ("f", 8, ["XREF=F"]), ("f", 77, ["XREF=G"])], "file string, owner long, lines array<string>")
+    lines = [r.line.rstrip() for r in cr.patch_xrefs(records, xrefs).orderBy("line_no").collect()]
+    assert lines == [RECORDS[0], RECORDS[1], " 34S X L XREF=CD", " 34S X L XREF+=E", *RECORDS[3:9], " 34S X L XREF=F", RECORDS[9]]
