@@ -136,20 +136,45 @@ def message_line(column: Column, text: Column, kind: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), column), F.lit("*"), F.repeat(F.lit(" "), 81 - column), F.lit("<"), kind, F.lit(">"), text)
 
 
+#: Units that may stand between a value and its uncertainty.
+UNITS = ("Y", "D", "H", "M", "S", "MS", "US", "NS", "PS", "FS", "AS", "EV", "KEV", "MEV", "%")
+
+
+def printed_value(text: Column) -> Column:
+    """Struct (x, up, down, unit) of a printed value: ``12.34(5)``, ``12.34 5``,
+    ``320 FS 40``, ``1.2 PS +4-3`` and ``1.2(+4-3) PS``; uncertainties are in units of
+    the last digit.  Null up and down: none printed; a null x: no value."""
+    plain = F.regexp_replace(F.upper(F.trim(text)), r"\{I([^}]*)\}", "($1)")
+    number = F.regexp_extract(plain, r"^([-+]?[0-9]+(?:\.[0-9]+)?(?:E[-+]?[0-9]+)?)(?![0-9.])", 1)
+    rest = F.trim(F.substring(plain, F.length(number) + 1, F.lit(1_000_000)))
+    units = "|".join(UNITS)
+    unit = F.regexp_extract(rest, rf"(?:^|[\s)])({units})(?=$|[\s(])", 1)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(rest, rf"(^|[\s)])(?:{units})(?=$|[\s(])", "$1 "), "[()]", " "))
+    up = F.regexp_extract(bare, r"^\+\s*([0-9]+)\s*-\s*[0-9]+$", 1)
+    down = F.regexp_extract(bare, r"^\+\s*[0-9]+\s*-\s*([0-9]+)$", 1)
+    both = F.regexp_extract(bare, r"^([0-9]+)$", 1)
+    side = lambda one: F.when(F.concat(one, both) != "", absolute_uncertainty(number, F.concat(one, both)))
+    return F.struct(number.try_cast("double").alias("x"), side(up).alias("up"), side(down).alias("down"), F.nullif(unit, F.lit("")).alias("unit"))
+
+
 def comment_values(body: Column, keyword: str) -> Column:
-    """Values with uncertainties listed after ``keyword=`` in a comment.
+    """Values with uncertainties listed after ``keyword=`` in a comment, as (x, dx,
+    label, up, down, unit).
 
     The list ends at the first sentence end outside brackets; items are parted
-    by commas or ``and`` outside brackets; ``{I12}`` marks an uncertainty.
+    by commas or ``and`` outside brackets; ``{I12}`` marks an uncertainty, and
+    ``+4-3`` one that is not symmetric, whose mean is dx; -1 for none.
     """
-    listed = F.regexp_extract(body, keyword + r"\s*=\s*((?:\([^)]*\)|[^().;]|\.(?=[0-9]))*)", 1)
+    listed = F.regexp_extract(body, keyword + r"\s*=\s*((?:\([^)]*\)|\{[^}]*\}|[^().;]|\.(?=[0-9]))*)", 1)
     plain = F.regexp_replace(listed, r"\{I([^}]*)\}", "($1)")
     items = F.split(plain, r",(?![^(]*\))|\s+and\s+(?![^(]*\))")
 
     def item(part: Column) -> Column:
-        number = F.regexp_extract(part, r"([-+]?[0-9]+(?:\.[0-9]+)?)", 1)
-        error = F.regexp_extract(part, r"[0-9]\s*(?:[a-zA-Z%]+\s*)?\(([0-9]+)\)", 1)
-        return F.struct(number.try_cast("double").alias("x"), F.when(error == "", F.lit(-1.0)).otherwise(absolute_uncertainty(number, error)).alias("dx"), F.trim(F.regexp_extract(part, r"\(([0-9]{4}[A-Za-z]{2}[^)]*)\)", 1)).alias("label"))
+        # The value up to what is not a number, a unit or an uncertainty.
+        head = F.regexp_extract(part, r"([-+]?[0-9]+(?:\.[0-9]+)?(?:\s*\((?:[0-9]+|\+[0-9]+\s*-\s*[0-9]+)\)|\s+(?:[A-Za-z]{1,3}|%)(?![A-Za-z])|\s+\+[0-9]+\s*-\s*[0-9]+)*)", 1)
+        found = printed_value(head)
+        error = F.coalesce((found["up"] + found["down"]) / 2, F.lit(-1.0))
+        return F.struct(found["x"].alias("x"), error.alias("dx"), F.trim(F.regexp_extract(part, r"\(([0-9]{4}[A-Za-z]{2}[^)]*)\)", 1)).alias("label"), found["up"].alias("up"), found["down"].alias("down"), found["unit"].alias("unit"))
 
     return F.filter(F.transform(items, item), lambda v: v["x"].isNotNull())
 

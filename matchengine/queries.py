@@ -302,6 +302,19 @@ def metrics_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[r6(F.col(c)).alias(c) for c in found.columns])
 
 
+@query("""WITH v AS (SELECT p_partkey, p_retailprice * 1.0123457::DOUBLE AS x, p_size / 7.0::DOUBLE AS dx, CAST(greatest(0, least(6, floor(log10(35.0::DOUBLE / (p_size / 7.0::DOUBLE))))) AS INT) AS d FROM part)
+    SELECT p_partkey, round(round(x * pow(10.0::DOUBLE, d)) / pow(10.0::DOUBLE, d), 6) AS x, round(round(dx * pow(10.0::DOUBLE, d)) / pow(10.0::DOUBLE, d), 6) AS up, round(CASE WHEN p_partkey % 2 = 0 THEN round(dx * pow(10.0::DOUBLE, d)) ELSE p_partkey % 9 + 1 END / pow(10.0::DOUBLE, d), 6) AS down, CASE WHEN p_partkey % 3 = 0 THEN 'NS' END AS unit FROM v""")
+def values_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values printed, with units and uncertainties of one or two sides, and read."""
+    k = F.col("p_partkey")
+    shown = text.value_text(F.col("p_retailprice") * 1.0123457, F.col("p_size") / 7.0)
+    number, error = F.regexp_extract(shown, r"^([^(]*)", 1), F.regexp_extract(shown, r"\(([0-9]+)\)", 1)
+    sides = F.when(k % 2 == 0, error).otherwise(F.concat(F.lit("+"), error, F.lit("-"), (k % 9 + 1).cast("string")))
+    printed = F.when(k % 3 == 0, F.concat(number, F.lit(" NS "), sides)).otherwise(F.concat(number, F.lit("("), sides, F.lit(")")))
+    v = F.col("v")
+    return table(spark, sf_dir, "part").select("p_partkey", text.printed_value(printed).alias("v")).select("p_partkey", r6(v["x"]).alias("x"), r6(v["up"]).alias("up"), r6(v["down"]).alias("down"), v["unit"].alias("unit"))
+
+
 # --- averages -------------------------------------------------------------------
 
 

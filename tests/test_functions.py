@@ -317,3 +317,18 @@ def test_merged_datasets_are_written_in_order(spark, tmp_path):
     assert [r.line.rstrip() for r in read] == [f"ADOPTED line {n}" for n in range(30)] + [""] + [f"X line {n}" for n in range(30)] + [""] and {len(r.line) for r in read} == {80}
     reports.write_merged(merged.where("nuclide = '35S'"), f"file://{tmp_path}/out")
     assert logs.read_lines(spark, f"file://{tmp_path}/out/nuclide=34S").count() == 62
+
+
+def test_printed_values_of_two_sides(spark):
+    rows = [
+        ("12.34(5)", 12.34, 0.05, 0.05, None), ("12.34 5", 12.34, 0.05, 0.05, None), ("320 FS 40", 320.0, 40.0, 40.0, "FS"), ("1.2 PS +4-3", 1.2, 0.4, 0.3, "PS"), ("1.2(+4-3) PS", 1.2, 0.4, 0.3, "PS"), ("-5.0 {I12}", -5.0, 1.2, 1.2, None),
+        ("7", 7.0, None, None, None), ("7 %", 7.0, None, None, "%"), ("1.5E3 2", 1500.0, 200.0, 200.0, None), ("LT 5", None, None, None, None), ("", None, None, None, None), (None, None, None, None, None), ("5 GT", 5.0, None, None, None),
+    ]
+    found = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, t string").select("k", text.printed_value(F.col("t")).alias("v")).collect()
+    for r in found:
+        want = rows[r.k][1:]
+        assert tuple(r.v) == tuple(pytest.approx(w) if isinstance(w, float) else w for w in want), rows[r.k]
+    body = "T=1.2 ps {I4} (1999Ab01), 1.5(+3-2) (2001Cd02) and 2 from others. T=9"
+    (got,) = [r.v for r in spark.createDataFrame([(body,)], "b string").select(text.comment_values(F.col("b"), "T").alias("v")).collect()]
+    assert [(v.x, v.label, v.unit) for v in got] == [(1.2, "1999Ab01", "PS"), (1.5, "2001Cd02", None), (2.0, "", None)]
+    assert [(v.dx, v.up, v.down) for v in got] == [(pytest.approx(0.4), pytest.approx(0.4), pytest.approx(0.4)), (pytest.approx(0.25), pytest.approx(0.3), pytest.approx(0.2)), (-1.0, None, None)]
