@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,26 +23,58 @@ def gap_islands(rows: DataFrame, by: list[str], x: Column, gap: float, name: str
 def by_island(rows: DataFrame, key: list[str], columns: list[str], solve: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """``solve(*columns)`` of each island (rows of one key, as lists) in Python.
 
-    Many small islands share a call, whose number follows that of the partitions;
-    ``solve`` gives tuples, the result is the key and ``schema``.
+    Islands come one after the other in the order of a sorted partition, so a task
+    holds one of them and a batch of rows, however many there are; ``solve`` gives
+    tuples, the result is the key and ``schema``.
     """
-    calls = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [x.split(" ")[0].strip("`") for x in schema.split(", ")]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        number = part.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
-        part = part.iloc[np.argsort(number, kind="stable")]
-        edges = np.flatnonzero(np.append(True, np.diff(np.sort(number)) > 0)).tolist() + [len(part)]
+    def answers(part: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
         lists, keys = [part[c].tolist() for c in columns], [part[c].tolist() for c in key]
         out = []
         for a, b in zip(edges, edges[1:], strict=False):
-            head = tuple(k[a] for k in keys)
+            head = tuple(None if pd.isna(k[a]) else k[a] for k in keys)
             out += [(*head, *row) for row in solve(*[x[a:b] for x in lists])]
         return pd.DataFrame(out, columns=[*key, *names])
 
-    dealt = rows.select(*key, *columns, F.pmod(F.xxhash64(*key), F.lit(calls)).alias("__call"))
-    return dealt.groupBy("__call").applyInPandas(lambda part: run(part), f"{kinds}, {schema}")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[pd.DataFrame] = []  # pieces of the island that may go on
+        for part in parts:
+            if not len(part):
+                continue
+            if open_ and not _begins(pd.concat([open_[-1].tail(1), part.head(1)]), key)[1]:
+                # It goes on: only what is complete behind it can be answered.
+                starts = np.flatnonzero(_begins(part, key))[1:]
+                if not len(starts):
+                    open_.append(part)
+                    continue
+                whole = pd.concat([*open_, part.iloc[: starts[0]]])
+                yield answers(whole, [0, len(whole)])
+                part = part.iloc[starts[0] :]
+            elif open_:
+                whole = pd.concat(open_)
+                yield answers(whole, [0, len(whole)])
+            starts = np.flatnonzero(_begins(part, key)).tolist()
+            if len(starts) > 1:
+                yield answers(part, starts)
+            open_ = [part.iloc[starts[-1] :]]
+        if open_:
+            whole = pd.concat(open_)
+            yield answers(whole, [0, len(whole)])
+
+    ordered = rows.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInPandas(run, f"{kinds}, {schema}")
+
+
+def _begins(part: pd.DataFrame, key: list[str]) -> np.ndarray:
+    """Whether a row's key is another than that of the row before; nulls are equal."""
+    new = np.zeros(len(part), bool)
+    new[0] = True
+    for c in key:
+        now, before = part[c].iloc[1:].reset_index(drop=True), part[c].iloc[:-1].reset_index(drop=True)
+        new[1:] |= ~((now == before) | (now.isna() & before.isna())).to_numpy(bool)
+    return new
 
 
 def coarse_groups(rows: DataFrame, by: str, delta: float) -> DataFrame:

@@ -159,3 +159,22 @@ def test_averages_by_sums_are_those_of_lists(spark, monkeypatch):
         x, dx = (np.array([r[k] for r in rows if r[0] == g]) for k in (1, 2))
         for name, f in (("LWM", averages.limited_weights), ("MP", averages.mandel_paule)):
             assert found[g, name] == pytest.approx(f(x, dx), rel=1e-6), (g, name)
+
+
+def test_islands_over_batches(spark):
+    """Islands that span Arrow batches, with nulls in their keys, are solved whole and
+    one by one."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), k) for k in range(600)] + [(9, "long", k) for k in range(300)]
+    frame = spark.createDataFrame(rows, "k int, s string, v int").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = groups.by_island(frame, ["k", "s"], ["v"], lambda v: [(len(v), sum(v))], "n int, total int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want: dict = {}
+    for k, s, v in rows:
+        n, total = want.get((k, s), (0, 0))
+        want[k, s] = (n + 1, total + v)
+    assert len(found) == len(want) and {(r.k, r.s): (r.n, r.total) for r in found} == want
