@@ -913,10 +913,13 @@ _GAMMA_COLUMNS = """l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber
     CASE l_partkey % 4 WHEN 0 THEN 'E2+M1' WHEN 1 THEN 'E3' WHEN 2 THEN '[E2]' ELSE 'M1,E2' END AS adopted_mult, l_partkey % 3 = 0 AS mult_quoted, CASE WHEN l_partkey % 2 = 0 THEN '0.5 2' ELSE '' END AS mixing, CASE WHEN l_linenumber % 2 = 0 THEN '0.5 2' ELSE '-0.3 1' END AS adopted_mixing, l_partkey % 5 = 0 AS mixing_quoted,
     CASE WHEN l_linenumber % 2 = 0 THEN 'BE0=3' ELSE '' END AS computed_text, l_linenumber % 4 AS two_ji, l_partkey % 2 AS two_jf, CASE WHEN l_partkey % 7 <> 0 THEN l_suppkey % 2 = 0 END AS parity_change,
     CASE WHEN l_linenumber % 2 = 0 THEN 0.1D END AS icc, l_partkey % 3 = 1 AS is_absolute, 10 * l_linenumber AS z, l_partkey % 4 AS dj, l_suppkey % 3 = 0 AS questionable,
-    l_extendedprice AS strength, l_quantity * 1800 AS "limit", CAST(l_quantity AS DOUBLE) AS energy, CAST(l_quantity + l_linenumber AS DOUBLE) AS adopted_energy, CAST(l_linenumber % 3 AS DOUBLE) AS unc, 2.0D AS adopted_unc"""
+    l_extendedprice AS strength, l_quantity * 1800 AS "limit", CAST(l_quantity AS DOUBLE) AS energy, CAST(l_quantity + l_linenumber AS DOUBLE) AS adopted_energy, CAST(l_linenumber % 3 AS DOUBLE) AS unc, 2.0D AS adopted_unc,
+    CAST(CAST(l_quantity AS BIGINT) AS STRING) AS energy_text, l_partkey % 6 = 5 AS energy_quoted, l_suppkey % 5 = 0 AS mult_said, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS adopted_gamma"""
 _polynomial = lambda k: " + ".join(f"{x!r}::DOUBLE * pow(z, {4 - i})" for i, x in enumerate(nuclear.ICC_LIMITS[k, 0.01]))
 _ICC_SQL = "CASE " + " ".join(f"WHEN {when} THEN {_polynomial(k)}" for when, k in (("parity_change AND dj >= 2", "M2"), ("parity_change", "E1"), ("NOT parity_change AND dj >= 2", "E2"), ("NOT parity_change", "M1"))) + " END"
 _GAMMA_TOLD = {
+    "R13": [("energy_quoted AND adopted_energy <> energy", "'energy quoted from Adopted differs'")],
+    "R18 lacking": [("mult_said AND adopted_gamma IS NULL AND mult <> ''", "'multipolarity quoted from Adopted, which has no such gamma'")],
     "R17": [("final_level_index IS NULL", "'gamma has no final level'"), ("final_level_index >= level_index", "'final level is not below the initial one'")],
     "R18": [("mult = 'E3' OR mult = 'E0' OR mult = 'M1+E2'", "'multipolarity does not fit the spins'")],
     "R18 adopted": [("mult_quoted AND mult = '' AND adopted_mult <> '[E2]'", "'multipolarity quoted from Adopted is not given'"), ("mult_quoted AND adopted_mult <> '[E2]' AND mult <> adopted_mult AND NOT (mult = 'M1+E2' AND adopted_mult = 'E2+M1')", "'multipolarity quoted from Adopted differs'")],
