@@ -36,6 +36,13 @@ def test_consistent_gammas(spark):
     assert got == {k: brute_matches(positive(a), positive(b), 1.5) for k, (a, b) in enumerate(rows)}
 
 
+def test_a_candidate_at_the_very_end_of_the_reach(spark):
+    """601.19 is at most 501.19 + 100 as a sum, farther than 100 as a difference."""
+    records = spark.createDataFrame([("n", 1, 601.19, 1.0)], "by string, record int, e double, dx double")
+    known = spark.createDataFrame([("n", 10, 500.19 - 1, 500.19 + 1, 500.19)], "by string, grp int, low double, high double, mean double")
+    assert [r.grp for r in grouping.candidate_groups(records, known, ["by"]).collect()] == [10]
+
+
 def test_candidates_stop_at_the_first_group_out_of_reach(spark):
     records = spark.createDataFrame([("n", 1, 1000.0, 1.0), ("n", 2, 5.0, None)], "by string, record int, e double, dx double")
     known = spark.createDataFrame([("n", g, m - 1, m + 1, m) for g, m in enumerate([4.0, 905.0, 960.0, 1002.0, 1050.0, 1180.0])], "by string, grp int, low double, high double, mean double")
