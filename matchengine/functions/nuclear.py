@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchengine.functions import text as tx
+
 #: hbar in eV s.
 HBAR = 6.582119569e-16
 
@@ -34,7 +36,7 @@ HALF_LIFE_UNITS = {"Y": 31_556_926.0, "D": 86_400.0, "H": 3_600.0, "M": 60.0, "S
 
 def half_life_seconds(text: Column) -> Column:
     """Seconds of a half-life such as ``5 NS``; null for another text."""
-    number = F.regexp_extract(F.upper(text), r"^\s*([0-9.]+(?:E[-+]?[0-9]+)?)\s+[A-Z]+", 1).try_cast("double")
+    number = tx.number_in(F.regexp_extract(F.upper(text), r"^\s*([0-9.]+(?:E[-+]?[0-9]+)?)\s+[A-Z]+", 1), "double")
     unit = F.regexp_extract(F.upper(text), r"^\s*[0-9.]+(?:E[-+]?[0-9]+)?\s+([A-Z]+)", 1)
     scale = F.lit(None).cast("double")
     for name, seconds in HALF_LIFE_UNITS.items():
@@ -72,7 +74,7 @@ USUAL = ("E1", "M1", "E2")
 
 def _part(name: Column) -> Column:
     """(l, changes) of one multipolarity; null for another text."""
-    order = F.regexp_extract(name, "^[EM]([0-9])$", 1).try_cast("int")
+    order = tx.number_in(F.regexp_extract(name, "^[EM]([0-9])$", 1), "int")
     for letter, number in ORDERS.items():
         order = F.when(name == letter, F.lit(number)).otherwise(order)
     # Electric radiation of order L changes parity as (-1)^L, magnetic the other way.

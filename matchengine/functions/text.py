@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from matchengine.schema import CONFIG, SPIN_OPTIONS
 
 
+def number_in(text: Column, kind: str) -> Column:
+    """The number a text gives, null for none.  Empty texts, as of patterns that are not
+    there, are told apart first: a failing ``try_cast`` costs an exception a row."""
+    return F.nullif(text, F.lit("")).try_cast(kind)
+
+
 def _digits_after_point(number: Column) -> Column:
     return F.length(F.regexp_extract(number, r"\.([0-9]*)", 1))
 
@@ -18,7 +24,7 @@ def _ten_to(n: Column) -> Column:
 
 
 def _exponent(text: Column) -> Column:
-    return F.regexp_extract(text, r"^[^E]*E([+-]?[0-9]+)$", 1).try_cast("int")
+    return number_in(F.regexp_extract(text, r"^[^E]*E([+-]?[0-9]+)$", 1), "int")
 
 
 def uncertainty_from_precision(text: Column, default: float = CONFIG.default_uncertainty) -> Column:
@@ -35,19 +41,19 @@ def absolute_uncertainty(value: Column, uncertainty: Column) -> Column:
     number = F.upper(F.trim(value))
     decimals = _digits_after_point(F.regexp_extract(number, r"^([^E]*)", 1))
     shift = F.coalesce(_exponent(number), F.lit(0)) - decimals
-    return F.when(F.coalesce(F.trim(uncertainty), F.lit("")) == "", F.lit(0.0)).otherwise(F.trim(uncertainty).try_cast("double") * _ten_to(shift))
+    return F.when(F.coalesce(F.trim(uncertainty), F.lit("")) == "", F.lit(0.0)).otherwise(number_in(F.trim(uncertainty), "double") * _ten_to(shift))
 
 
 def energy_uncertainty(value: Column, uncertainty: Column) -> Column:
     """Struct (value, type): printed, or inferred from precision, 0 at energy 0."""
     given = F.coalesce(F.trim(uncertainty), F.lit("")) != ""
-    inferred = F.when(F.trim(value).try_cast("double") == 0, F.lit(0.0)).otherwise(uncertainty_from_precision(value))
+    inferred = F.when(number_in(F.trim(value), "double") == 0, F.lit(0.0)).otherwise(uncertainty_from_precision(value))
     return F.struct(F.when(given, absolute_uncertainty(value, uncertainty)).otherwise(inferred).alias("value"), F.when(given, F.lit("symmetric")).otherwise(F.lit("inferred")).alias("type"))
 
 
 def intensity_uncertainty(value: Column, uncertainty: Column) -> Column:
     given = F.coalesce(F.trim(uncertainty), F.lit("")) != ""
-    positive = F.coalesce(F.trim(value).try_cast("double"), F.lit(0.0)) > 0
+    positive = F.coalesce(number_in(F.trim(value), "double"), F.lit(0.0)) > 0
     size = F.when(given, absolute_uncertainty(value, uncertainty)).when(positive, uncertainty_from_precision(value)).otherwise(F.lit(0.0))
     return F.struct(F.when(size > 0, size).alias("value"), F.when(size > 0, F.lit("symmetric")).otherwise(F.lit("unreported")).alias("type"))
 
@@ -60,7 +66,7 @@ def parse_spin_parity(text: Column) -> Column:
     """Options of a spin-parity text as an array; empty where nothing parses."""
     none = F.array().cast(SPIN_OPTIONS)
     body = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\.$", "")
-    low, high = (F.regexp_extract(body, r"^([0-9]+):([0-9]+)$", k).try_cast("int") for k in (1, 2))
+    low, high = (number_in(F.regexp_extract(body, r"^([0-9]+):([0-9]+)$", k), "int") for k in (1, 2))
     spans = F.transform(F.sequence(low, high), lambda k: F.struct((2 * k).alias("twoTimesSpin"), F.lit(False).alias("isTentativeSpin"), F.lit(None).cast("string").alias("parity"), F.lit(False).alias("isTentativeParity")))
     whole = body.rlike(r"^\(.*,.*\)$")
     inner = F.when(whole, F.regexp_extract(body, r"^\((.*)\)$", 1)).otherwise(body)
@@ -69,8 +75,8 @@ def parse_spin_parity(text: Column) -> Column:
         parity = F.when(part.contains("+"), F.lit("+")).when(part.contains("-"), F.lit("-"))
         tentative = whole | part.contains("(") | part.contains(")")
         spin = F.trim(F.regexp_replace(part, r"[-+()]", ""))
-        top = F.regexp_extract(spin, r"^([0-9]+)(?:/[0-9]+)?$", 1).try_cast("int")
-        under = F.coalesce(F.regexp_extract(spin, r"^[0-9]+/([0-9]+)$", 1).try_cast("int"), F.lit(1))
+        top = number_in(F.regexp_extract(spin, r"^([0-9]+)(?:/[0-9]+)?$", 1), "int")
+        under = F.coalesce(number_in(F.regexp_extract(spin, r"^[0-9]+/([0-9]+)$", 1), "int"), F.lit(1))
         return F.struct(F.when(under > 0, F.floor(2 * top / F.nullif(under, F.lit(0)))).cast("int").alias("twoTimesSpin"), tentative.alias("isTentativeSpin"), parity.alias("parity"), (tentative & parity.isNotNull()).alias("isTentativeParity"))
 
     options = F.filter(F.transform(F.split(inner, ","), option), lambda x: x["twoTimesSpin"].isNotNull())
@@ -114,7 +120,7 @@ def tag_order(tag: Column) -> Column:
 
 def nuclide(folder: Column) -> Column:
     """Mass number and symbol of a folder name like ``34S``."""
-    return F.struct(F.regexp_extract(folder, r"^([0-9]+)", 1).try_cast("int").alias("mass"), F.initcap(F.regexp_extract(folder, r"^[0-9]+_?([A-Za-z]{1,2})", 1)).alias("symbol"))
+    return F.struct(number_in(F.regexp_extract(folder, r"^([0-9]+)", 1), "int").alias("mass"), F.initcap(F.regexp_extract(folder, r"^[0-9]+_?([A-Za-z]{1,2})", 1)).alias("symbol"))
 
 
 def rounded_like(value: Column, printed: Column) -> Column:
@@ -154,7 +160,7 @@ def printed_value(text: Column) -> Column:
     down = F.regexp_extract(bare, r"^\+\s*[0-9]+\s*-\s*([0-9]+)$", 1)
     both = F.regexp_extract(bare, r"^([0-9]+)$", 1)
     side = lambda one: F.when(F.concat(one, both) != "", absolute_uncertainty(number, F.concat(one, both)))
-    return F.struct(number.try_cast("double").alias("x"), side(up).alias("up"), side(down).alias("down"), F.nullif(unit, F.lit("")).alias("unit"))
+    return F.struct(number_in(number, "double").alias("x"), side(up).alias("up"), side(down).alias("down"), F.nullif(unit, F.lit("")).alias("unit"))
 
 
 def comment_values(body: Column, keyword: str) -> Column:
@@ -191,7 +197,7 @@ def printed_values(words: Column) -> Column:
 
     def value(word: Column) -> Column:
         number, printed = F.regexp_extract(word, r"^([^(]*)", 1), F.regexp_extract(word, r"\(([0-9]+)\)$", 1)
-        return F.struct(word.alias("text"), number.try_cast("double").alias("x"), energy_uncertainty(number, printed)["value"].alias("dx"))
+        return F.struct(word.alias("text"), number_in(number, "double").alias("x"), energy_uncertainty(number, printed)["value"].alias("dx"))
 
     return F.transform(plain, value)
 

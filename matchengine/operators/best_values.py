@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchengine.durable import keep
 from matchengine.functions import nuclear
 from matchengine.functions import text as tx
 from matchengine.operators import averages
@@ -43,13 +44,13 @@ def best_values(values: DataFrame, by: list[str]) -> DataFrame:
     chosen, not averaged.
     """
     key = [*by, "field"]
-    known = values.where("trim(text) <> ''").withColumn("x", F.trim("text").try_cast("double"))
+    known = values.where("trim(text) <> ''").withColumn("x", tx.number_in(F.trim("text"), "double"))
     error = tx.absolute_uncertainty(F.col("text"), F.col("unc_text"))
-    known = known.withColumn("dx", F.when(F.trim("unc_text").rlike("^[0-9]+$") & (error > 0), error))
+    # Written once: filters further on would read the texts again for each use of a number.
+    known = keep(known.withColumn("dx", F.when(F.trim("unc_text").rlike("^[0-9]+$") & (error > 0), error)), "printed-values")
     own = known.where("NOT tentative AND NOT quoted")
     measured = own.where("x IS NOT NULL AND dx IS NOT NULL")
-    several = measured.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key)
-    decided = averages.average_decision(measured.join(several, key, "left_semi").select(*key, "x", "dx"), key, "x", "dx")
+    decided = averages.average_decision(measured.select(*key, "x", "dx"), key, "x", "dx").where("n >= 2")
     spread = F.when(F.col("kind") == "Unweighted-Average", F.col("unweighted_error")).otherwise(F.greatest("internal", "external"))
     shown = tx.value_text(F.col("adopted"), F.greatest(spread, F.lit(1e-6)))
     averaged = decided.select(*key, F.regexp_extract(shown, r"^([^(]*)", 1).alias("a_value"), F.regexp_extract(shown, r"\(([0-9]+)\)$", 1).alias("a_uncertainty"))
@@ -158,7 +159,7 @@ def adopted_scheme(levels: DataFrame, gammas: DataFrame) -> DataFrame:
     as its energy follows from theirs; a ground state has no half-life of an average.
     """
     key = ["nuclide", "level"]
-    energy = F.trim("energy_text").try_cast("double")
+    energy = tx.number_in(F.trim("energy_text"), "double")
     tentative = F.coalesce(F.col("marker").isin("*", "?"), F.lit(False))
     order = F.struct((~F.col("is_adopted")).alias("a"), F.col("place").alias("b"), F.col("dsid").alias("c"))
     first = levels.groupBy(*key).agg(F.min_by(F.struct("energy_text", "energy_unc", "spin_text", energy.alias("energy")), order).alias("f"), F.max(F.col("n_gammas") > 0).alias("fed"), F.min_by("t12_unit", F.when(F.trim("t12_text") != "", order)).alias("unit"), F.count("*").alias("members"))

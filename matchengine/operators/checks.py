@@ -51,7 +51,7 @@ def quoted_fields(comments: DataFrame) -> DataFrame:
 def matched_levels(levels: DataFrame, name: str) -> DataFrame:
     """Levels of all but the adopted dataset with their adopted one: energy, adopted
     level and its texts, distance and status."""
-    energy = F.trim("energy_text").try_cast("double")
+    energy = tx.number_in(F.trim("energy_text"), "double")
     known = levels.withColumn("energy", energy).where("energy IS NOT NULL")
     seekers = known.where(F.col("dsid") != name).select("nuclide", "level", "dsid", F.col("energy").alias("x"))
     top = known.where(F.col("dsid") == name).select("nuclide", F.col("level").alias("adopted"), F.col("energy").alias("y"), F.array().cast("array<string>").alias("xref"))
@@ -64,9 +64,9 @@ def final_levels(gammas: DataFrame, levels: DataFrame) -> DataFrame:
     """gamma, level_index, final_level_index (places of the levels by energy in their
     dataset), and the spins' texts of both."""
     order = Window.partitionBy("nuclide", "dsid").orderBy("energy", "level")
-    placed = levels.withColumn("energy", F.trim("energy_text").try_cast("double")).where("energy IS NOT NULL").withColumn("place", F.row_number().over(order) - 1)
+    placed = levels.withColumn("energy", tx.number_in(F.trim("energy_text"), "double")).where("energy IS NOT NULL").withColumn("place", F.row_number().over(order) - 1)
     start = placed.select("level", F.col("place").alias("level_index"), F.col("energy").alias("from"), F.col("jpi_text").alias("jpi_i"))
-    lines = gammas.withColumn("energy", F.trim("energy_text").try_cast("double")).where("energy IS NOT NULL").join(start, "level").withColumn("left", F.col("from") - F.col("energy"))
+    lines = gammas.withColumn("energy", tx.number_in(F.trim("energy_text"), "double")).where("energy IS NOT NULL").join(start, "level").withColumn("left", F.col("from") - F.col("energy"))
     ends = placed.select("nuclide", "dsid", "place", F.col("energy").alias("to"))
     found = pairs.nearest(lines.select("nuclide", "dsid", "gamma", "left", "level_index", "jpi_i", "energy"), ends, F.col("left"), F.col("to"), ["gamma"], F.col("place"), FINAL_REACH, by=["nuclide", "dsid"])
     at = placed.select("nuclide", "dsid", F.col("place").alias("final_level_index"), F.col("jpi_text").alias("jpi_f"))
@@ -76,7 +76,7 @@ def final_levels(gammas: DataFrame, levels: DataFrame) -> DataFrame:
 def matched_gammas(gammas: DataFrame, at: DataFrame, name: str) -> DataFrame:
     """gamma and its adopted gamma: of the matched level, each the other's nearest.
     ``at``: level, adopted."""
-    known = gammas.withColumn("energy", F.trim("energy_text").try_cast("double")).where("energy IS NOT NULL")
+    known = gammas.withColumn("energy", tx.number_in(F.trim("energy_text"), "double")).where("energy IS NOT NULL")
     one = known.where(F.col("dsid") != name).join(at, "level").select("dsid", "gamma", "adopted", "energy")
     two = known.where(F.col("dsid") == name).select(F.col("level").alias("adopted"), F.col("gamma").alias("adopted_gamma"), F.col("energy").alias("adopted_energy"), F.trim("unc_text").alias("adopted_unc_text"), F.col("energy_text").alias("adopted_text"), F.col("mult").alias("adopted_mult"))
     near = pairs.range_join(one, two, F.col("energy"), F.col("adopted_energy"), GAMMA_REACH, ["adopted"])
@@ -114,7 +114,7 @@ def check_nuclides(levels: DataFrame, gammas: DataFrame, comments: DataFrame, na
     status = rules.status_rule(rows.join(has_adopted, "nuclide", "left_semi").select("level", "status", F.lit(True).alias("listed")), "level")
     second = rows.select(*key, "level").join(status, "level").select(*key, "rule", "message")
 
-    lines = gammas.where(F.col("dsid") != name).withColumn("energy", F.trim("energy_text").try_cast("double"))
+    lines = gammas.where(F.col("dsid") != name).withColumn("energy", tx.number_in(F.trim("energy_text"), "double"))
     spread = lines.join(final_levels(lines.drop("energy"), levels), "gamma").join(matched_gammas(gammas, both.select("level", "adopted"), name), "gamma", "left").join(of("gamma", "gamma"), ["nuclide", "dsid", "gamma"], "left")
     error = lambda value, unc: tx.energy_uncertainty(F.col(value), F.col(unc))["value"]
     spread = spread.withColumns({"mult": F.coalesce("mult", F.lit("")), "expected_mult": expected(F.col("jpi_i"), F.col("jpi_f")), "unc": error("energy_text", "unc_text"), "adopted_unc": error("adopted_text", "adopted_unc_text"), "mult_said": has("M"), "mult_quoted": has("M") & F.col("adopted_gamma").isNotNull(), "energy_quoted": has("E") & F.col("adopted_gamma").isNotNull()})

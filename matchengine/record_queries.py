@@ -458,7 +458,7 @@ def best_values_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_partkey") % 5 > 0, (c("l_partkey") % 97 * 137031 + c("l_linenumber") * 111701 + 500317).cast("string")).alias("unc_text"), (c("l_suppkey") % 4 == 0).alias("tentative"), (c("l_partkey") % 7 == 0).alias("quoted"), (c("l_partkey") % 3 == 0).alias("questionable"), (c("l_linenumber") == 1).alias("is_adopted"),
     )
     found = best_values.best_values(rows, ["level"])
-    return found.select("level", "choice", c("value").try_cast("double").alias("value"), c("uncertainty").try_cast("double").alias("uncertainty"), "source")
+    return found.select("level", "choice", c("value").try_cast("double").alias("value"), F.nullif(c("uncertainty"), F.lit("")).try_cast("double").alias("uncertainty"), "source")
 
 
 # --- all rules from levels, gammas and comments -------------------------------------

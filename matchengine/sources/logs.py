@@ -85,8 +85,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
         field(23, 7).alias("intensity_text"),
         field(30, 2).alias("intensity_uncertainty_text"),
     )
-    energy = F.col("energy_text").try_cast("double")
-    reject = F.when(energy.isNull(), "energy is not a number").when((F.col("uncertainty_text") != "") & F.col("uncertainty_text").try_cast("double").isNull(), "uncertainty is not a number")
+    energy = tx.number_in(F.col("energy_text"), "double")
+    reject = F.when(energy.isNull(), "energy is not a number").when((F.col("uncertainty_text") != "") & tx.number_in(F.col("uncertainty_text"), "double").isNull(), "uncertainty is not a number")
     return cut.where("energy_text <> ''").withColumn("energy", energy).withColumn("rejected", reject)
 
 
@@ -116,7 +116,7 @@ def gammas(numbered: DataFrame, reach: float = 50.0) -> DataFrame:
         F.col("level_index").alias("initial_level"),
         F.col("energy").alias("energy_value"),
         tx.energy_uncertainty(F.col("energy_text"), F.col("uncertainty_text")).alias("uncertainty"),
-        F.coalesce(F.col("intensity_text").try_cast("double"), F.lit(0.0)).alias("intensity"),
+        F.coalesce(tx.number_in(F.col("intensity_text"), "double"), F.lit(0.0)).alias("intensity"),
         tx.intensity_uncertainty(F.col("intensity_text"), F.col("intensity_uncertainty_text")).alias("intensity_uncertainty"),
     )
     known = numbered.where("record = 'L'").select(*dataset, F.col("level_index").alias("li"), F.col("energy").alias("le"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.functions import text as tx
+
 
 def pair_report(pairs: DataFrame) -> DataFrame:
     """One line per pair in rank order, probabilities with one decimal."""
@@ -25,7 +27,7 @@ def parse_cluster_report(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     number = F.last(F.when(header, F.regexp_extract("line", "^Cluster ([0-9]+)", 1).cast("int")), ignorenulls=True).over(order)
     read = lines.withColumn("cluster_no", number).where(~header & F.col("line").rlike(r"^\s+\S"))
-    percent: Column = F.regexp_extract("line", r"probability ([0-9.]+)%", 1).try_cast("double")
+    percent: Column = tx.number_in(F.regexp_extract("line", r"probability ([0-9.]+)%", 1), "double")
     return read.select("cluster_no", F.regexp_extract("line", r"^\s+(\S+)", 1).alias("level_id"), F.col("line").contains("(anchor)").alias("is_anchor"), (percent / 100).alias("match_probability"))
 
 
