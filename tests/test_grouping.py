@@ -44,6 +44,13 @@ def test_a_candidate_at_the_very_end_of_the_reach(spark):
     assert [r.grp for r in grouping.candidate_groups(records, known, ["by"]).collect()] == [10]
 
 
+def test_a_group_of_one_energy_has_a_distance(spark):
+    """600.19 is at most 500.19 + 100 as a sum, but its distance is above 100."""
+    records = spark.createDataFrame([("n", 1, 600.19, 1.0)], "by string, record int, e double, dx double")
+    known = spark.createDataFrame([("n", 10, 500.19, 500.19, 500.19)], "by string, grp int, low double, high double, mean double")
+    assert grouping.candidate_groups(records, known, ["by"]).isEmpty()
+
+
 def test_in_order_holds_near_pairs_only():
     """A square of 1,500 records and groups took 18 MB and 16 times that at 6,000."""
     rng = random.Random(5)
