@@ -75,7 +75,9 @@ def decision_lines(decided: DataFrame, by: list[str]) -> DataFrame:
     them: what is adopted and why, the averages of used and of all values with their
     chi-squares.  ``decided``: by and what ``averages.average_decision`` gives."""
     name = F.concat_ws(" / ", *[F.col(c).cast("string") for c in by])
-    line = F.format_string("%s: %s %.3f, n=%d, used %.3f (chi2 %.2f), all %.3f (chi2 %.2f), unweighted %.3f", name, "kind", "adopted", "n", "w_used", "chi2_used", "weighted", "chi2", "unweighted")
+    # The thousandfold double is rounded, not its shortest text: 1.0005 is below a half.
+    shown = lambda c: F.round(F.col(c) * 1000) / 1000
+    line = F.format_string("%s: %s %.3f, n=%d, used %.3f (chi2 %.2f), all %.3f (chi2 %.2f), unweighted %.3f", name, "kind", shown("adopted"), "n", shown("w_used"), "chi2_used", shown("weighted"), "chi2", shown("unweighted"))
     return decided.select(*by, line.alias("line"))
 
 

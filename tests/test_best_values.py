@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from matchengine.operators import averages
 from matchengine.operators import best_values as bv
+from matchengine.sources import reports
 
 VALUES = "grp int, field string, dsid string, place int, text string, unc_text string, tentative boolean, quoted boolean, questionable boolean, is_adopted boolean"
 
@@ -38,6 +40,14 @@ def test_the_decision_shuffles_the_values_once(spark):
     assert "Join" not in plan and plan.count("Range (") == 1
 
 
+def test_report_lines_round_as_sql_does(spark):
+    values = [1.0005, 4.0005, 1.0015, 1234.5675, 2.0005, 8.0025]
+    told = ["adopted", "w_used", "chi2_used", "weighted", "chi2", "unweighted"]
+    rows = spark.createDataFrame([(k, "W", 2, *[x] * 6) for k, x in enumerate(values)], "g int, kind string, n long, " + ", ".join(f"{c} double" for c in told))
+    got = {r.g: float(r.line.split("used ")[1].split(" ")[0]) for r in reports.decision_lines(rows, ["g"]).collect()}
+    assert got == {k: duckdb.execute("SELECT round(?::DOUBLE, 3)", [x]).fetchone()[0] for k, x in enumerate(values)}
+
+
 MULTS = "g int, dsid string, place int, mult string, quoted boolean, argued boolean, two_ji int, parity_i string, two_jf int, parity_f string"
 
 
