@@ -292,6 +292,17 @@ def test_matching_adopted_levels(spark):
     assert got == {1: (11, "chosen"), 2: (12, "discrepant"), 3: (13, "single"), 4: (None, "none")}
 
 
+def test_matching_adopted_levels_forms_no_pairs(spark):
+    """Listed ones first, several in reach by equal energies, none with null energies."""
+    from matchengine.operators import adopted
+
+    levels = spark.createDataFrame([("n", 1, "B", 100.0), ("n", 2, "B", 205.0), ("n", 3, None, 205.0), ("n", 4, "B", None)], "nuclide string, level long, dsid string, x double")
+    known = spark.createDataFrame([("n", 10, 101.0, None), ("n", 11, 101.0, ["A"]), ("n", 12, 210.0, ["A", "B", "B"]), ("n", 13, 205.0, []), ("n", 14, None, ["B"])], "nuclide string, adopted long, y double, xref array<string>")
+    found = adopted.match_adopted(levels, known, ["nuclide"], 10.0, 5.0)
+    assert {r.level: (r.adopted, r.listed, r.distance, r.status) for r in found.collect()} == {1: (10, False, 1.0, "chosen"), 2: (12, True, 5.0, "chosen"), 3: (13, False, 0.0, "chosen"), 4: (None, None, None, "none")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 0
+
+
 def test_rounded_like(spark):
     cases = [(1234.56, "1234.5", "1234.6"), (999.99, "1000.0", "1000.0"), (1234.56, "1234", "1235"), (0.123456784, "0.12345678", "0.12345678"), (-0.06, "1.0", "-0.1"), (5.0, "5.000", "5.000"), (1234567.5, "1234567.50", "1234567.50"), (0.004, "0.00", "0.00")]
     got = values(spark, [c[:2] for c in cases], "v double, p string", text.rounded_like(F.col("v"), F.col("p")))
