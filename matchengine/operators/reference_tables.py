@@ -4,7 +4,9 @@ transition strengths.
 A table has a row for each key and version, with the date from which it holds.  A
 record is looked up as of its own date: the version that held then, not the newest.
 Versions become intervals that do not overlap, so a record joins one row at most and
-a key of very many records is split like any other join's.  Of several versions of
+a key of very many records is split like any other join's.  Intervals that have ended
+are spread over blocks of ``DAYS``, so a record meets those of its own block only,
+however many versions its key has, and the one that still holds.  Of several versions of
 one date the one of the highest number holds.
 
 A record before the first version, of an unknown key, or without a date finds nothing
@@ -16,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days of a block; a key has as many intervals in it at most, and one more.
+DAYS = 8
+
 
 def intervals(versions: DataFrame, key: list[str]) -> DataFrame:
     """``versions`` (key, since, version and values) with ``until``, null for the one
@@ -28,13 +33,22 @@ def intervals(versions: DataFrame, key: list[str]) -> DataFrame:
 def as_of(rows: DataFrame, versions: DataFrame, key: list[str], at: str, columns: dict[str, str]) -> DataFrame:
     """``rows`` with the values that held at their date: ``columns`` names the values
     of the table and what they are called in the result."""
-    dim = intervals(versions, key).select(*[F.col(k).alias(f"__{k}") for k in key], "since", "until", *[F.col(c).alias(f"__v_{c}") for c in columns])
+    dim = intervals(versions, key).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("since").alias("__since"), F.col("until").alias("__until"), *[F.col(c).alias(f"__v_{c}") for c in columns])
     same = F.lit(True)
     for k in key:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    held = same & (F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    gone = [f"__{k}" for k in key] + ["since", "until"]
-    return rows.join(dim, held, "left").withColumnsRenamed({f"__v_{c}": n for c, n in columns.items()}).drop(*gone)
+    return _held(rows, dim, same, at, {f"__v_{c}": n for c, n in columns.items()})
+
+
+def _held(rows: DataFrame, dim: DataFrame, same: Column, at: str, values: dict[str, str]) -> DataFrame:
+    """``rows`` with the ``values`` (and their new names) of the interval of ``dim``
+    (__since, __until and others) that is the ``same`` and holds at the date."""
+    block = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / DAYS)
+    past = dim.where("__until IS NOT NULL").withColumn("__of", F.explode(F.sequence(block("__since"), block("__until"))))
+    inside = (F.col("__since") <= F.col(at)) & (F.col(at) < F.col("__until"))
+    ended = rows.withColumn("__block", block(at)).join(past, same & (F.col("__block") == F.col("__of")) & inside, "left").select(*rows.columns, *[F.col(v).alias(f"{v}_past") for v in values])
+    found = ended.join(dim.where("__until IS NULL"), same & (F.col("__since") <= F.col(at)), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"{v}_past", v).alias(n) for v, n in values.items()])
 
 
 def with_limits(gammas: DataFrame, limits: DataFrame, at: str = "date") -> DataFrame:
@@ -42,10 +56,10 @@ def with_limits(gammas: DataFrame, limits: DataFrame, at: str = "date") -> DataF
     their multipolarity in their region of masses (R20).  ``limits``: mult, low, high
     (masses, both inside), since, version, limit; regions of one multipolarity do not
     overlap.  The first part of a mixture counts."""
-    dim = intervals(limits, ["mult", "low", "high"]).select(F.col("mult").alias("__m"), "low", "high", "since", "until", F.col("limit"))
+    dim = intervals(limits, ["mult", "low", "high"]).select(F.col("mult").alias("__m"), F.col("low").alias("__low"), F.col("high").alias("__high"), F.col("since").alias("__since"), F.col("until").alias("__until"), F.col("limit").alias("__limit"))
     part = F.upper(F.regexp_extract(F.coalesce("mult", F.lit("")), r"([EM][0-9])", 1))
-    held = (F.col("__part") == F.col("__m")) & F.col("mass").between(F.col("low"), F.col("high")) & (F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    return gammas.withColumn("__part", part).join(dim, held, "left").drop("__part", "__m", "low", "high", "since", "until")
+    same = (F.col("__part") == F.col("__m")) & F.col("mass").between(F.col("__low"), F.col("__high"))
+    return _held(gammas.withColumn("__part", part), dim, same, at, {"__limit": "limit"}).drop("__part")
 
 
 def with_decay_energy(parents: DataFrame, masses: DataFrame, at: str = "date") -> DataFrame:

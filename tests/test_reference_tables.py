@@ -51,3 +51,13 @@ def test_empty_tables(spark):
     rows = spark.range(3).select(F.lit("a").alias("target"), F.lit(DAY).alias("date"))
     assert [r.two_j_target for r in rt.with_targets(rows, masses).collect()] == [None] * 3
     assert rt.with_targets(rows.where("false"), masses).count() == 0
+
+
+def test_versions_of_many_years_meet_in_blocks(spark):
+    """Long and short intervals, and no record meets all versions of its key."""
+    since = [0, 3, 4, 700, 701, 9000]
+    table = spark.createDataFrame([("a", DAY + dt.timedelta(d), d, float(d)) for d in since], "nuclide string, since date, version int, excess double")
+    rows = spark.createDataFrame([("a", n, DAY + dt.timedelta(n)) for n in (-1, 0, 3, 5, 699, 700, 5000, 8999, 9000, 20000)], "nuclide string, n int, date date")
+    found = rt.as_of(rows, table, ["nuclide"], "date", {"excess": "mass"})
+    assert {r.n: r.mass for r in found.collect()} == {-1: None, 0: 0.0, 3: 3.0, 5: 4.0, 699: 4.0, 700: 700.0, 5000: 701.0, 8999: 701.0, 9000: 9000.0, 20000: 9000.0}
+    assert "__block" in found._jdf.queryExecution().optimizedPlan().toString()
