@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchengine.schema import CONFIG, SPIN_OPTIONS
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used; inside
+    lambdas Spark evaluates a repeated expression again at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_in(text: Column, kind: str) -> Column:
     """The number a text gives, null for none.  Empty texts, as of patterns that are not
     there, are told apart first: a failing ``try_cast`` costs an exception a row."""
@@ -150,17 +158,26 @@ def printed_value(text: Column) -> Column:
     """Struct (x, up, down, unit) of a printed value: ``12.34(5)``, ``12.34 5``,
     ``320 FS 40``, ``1.2 PS +4-3`` and ``1.2(+4-3) PS``; uncertainties are in units of
     the last digit.  Null up and down: none printed; a null x: no value."""
-    plain = F.regexp_replace(F.upper(F.trim(text)), r"\{I([^}]*)\}", "($1)")
-    number = F.regexp_extract(plain, r"^([-+]?[0-9]+(?:\.[0-9]+)?(?:E[-+]?[0-9]+)?)(?![0-9.])", 1)
-    rest = F.trim(F.substring(plain, F.length(number) + 1, F.lit(1_000_000)))
     units = "|".join(UNITS)
-    unit = F.regexp_extract(rest, rf"(?:^|[\s)])({units})(?=$|[\s(])", 1)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(rest, rf"(^|[\s)])(?:{units})(?=$|[\s(])", "$1 "), "[()]", " "))
-    up = F.regexp_extract(bare, r"^\+\s*([0-9]+)\s*-\s*[0-9]+$", 1)
-    down = F.regexp_extract(bare, r"^\+\s*[0-9]+\s*-\s*([0-9]+)$", 1)
-    both = F.regexp_extract(bare, r"^([0-9]+)$", 1)
-    side = lambda one: F.when(F.concat(one, both) != "", absolute_uncertainty(number, F.concat(one, both)))
-    return F.struct(number_in(number, "double").alias("x"), side(up).alias("up"), side(down).alias("down"), F.nullif(unit, F.lit("")).alias("unit"))
+
+    def uncertainties(number: Column, unit: Column, bare: Column) -> Column:
+        up = F.regexp_extract(bare, r"^\+\s*([0-9]+)\s*-\s*[0-9]+$", 1)
+        down = F.regexp_extract(bare, r"^\+\s*[0-9]+\s*-\s*([0-9]+)$", 1)
+        both = F.regexp_extract(bare, r"^([0-9]+)$", 1)
+        side = lambda one: once(F.concat(one, both), lambda given: F.when(given != "", absolute_uncertainty(number, given)))
+        return F.struct(number_in(number, "double").alias("x"), side(up).alias("up"), side(down).alias("down"), F.nullif(unit, F.lit("")).alias("unit"))
+
+    def parts(number: Column, rest: Column) -> Column:
+        unit = F.regexp_extract(rest, rf"(?:^|[\s)])({units})(?=$|[\s(])", 1)
+        bare = F.trim(F.regexp_replace(F.regexp_replace(rest, rf"(^|[\s)])(?:{units})(?=$|[\s(])", "$1 "), "[()]", " "))
+        return once(F.struct(unit.alias("unit"), bare.alias("bare")), lambda s: uncertainties(number, s["unit"], s["bare"]))
+
+    def split(plain: Column) -> Column:
+        first = F.regexp_extract(plain, r"^([-+]?[0-9]+(?:\.[0-9]+)?(?:E[-+]?[0-9]+)?)(?![0-9.])", 1)
+        rest = lambda number: F.trim(F.substring(plain, F.length(number) + 1, F.lit(1_000_000)))
+        return once(first, lambda number: once(rest(number), lambda r: parts(number, r)))
+
+    return once(F.regexp_replace(F.upper(F.trim(text)), r"\{I([^}]*)\}", "($1)"), split)
 
 
 def comment_values(body: Column, keyword: str) -> Column:
@@ -178,9 +195,9 @@ def comment_values(body: Column, keyword: str) -> Column:
     def item(part: Column) -> Column:
         # The value up to what is not a number, a unit or an uncertainty.
         head = F.regexp_extract(part, r"([-+]?[0-9]+(?:\.[0-9]+)?(?:\s*\((?:[0-9]+|\+[0-9]+\s*-\s*[0-9]+)\)|\s+(?:[A-Za-z]{1,3}|%)(?![A-Za-z])|\s+\+[0-9]+\s*-\s*[0-9]+)*)", 1)
-        found = printed_value(head)
-        error = F.coalesce((found["up"] + found["down"]) / 2, F.lit(-1.0))
-        return F.struct(found["x"].alias("x"), error.alias("dx"), F.trim(F.regexp_extract(part, r"\(([0-9]{4}[A-Za-z]{2}[^)]*)\)", 1)).alias("label"), found["up"].alias("up"), found["down"].alias("down"), found["unit"].alias("unit"))
+        label = F.trim(F.regexp_extract(part, r"\(([0-9]{4}[A-Za-z]{2}[^)]*)\)", 1))
+        error = lambda found: F.coalesce((found["up"] + found["down"]) / 2, F.lit(-1.0))
+        return once(printed_value(head), lambda found: F.struct(found["x"].alias("x"), error(found).alias("dx"), label.alias("label"), found["up"].alias("up"), found["down"].alias("down"), found["unit"].alias("unit")))
 
     return F.filter(F.transform(items, item), lambda v: v["x"].isNotNull())
 

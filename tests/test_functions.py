@@ -365,3 +365,9 @@ def test_printed_values_of_two_sides(spark):
     (got,) = [r.v for r in spark.createDataFrame([(body,)], "b string").select(text.comment_values(F.col("b"), "T").alias("v")).collect()]
     assert [(v.x, v.label, v.unit) for v in got] == [(1.2, "1999Ab01", "PS"), (1.5, "2001Cd02", None), (2.0, "", None)]
     assert [(v.dx, v.up, v.down) for v in got] == [(pytest.approx(0.4), pytest.approx(0.4), pytest.approx(0.4)), (pytest.approx(0.25), pytest.approx(0.3), pytest.approx(0.2)), (-1.0, None, None)]
+
+
+def test_parts_of_printed_values_are_evaluated_once(spark):
+    frame = spark.createDataFrame([("T=1.2(3)",)], "b string").select(text.comment_values(F.col("b"), "T").alias("v"))
+    # Each pattern stands in the plan once or twice; it is evaluated at each place.
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 30
