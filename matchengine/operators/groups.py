@@ -176,6 +176,62 @@ def assign_in_order(rows: DataFrame, by: list[str]) -> DataFrame:
     return by_island(rows, by, ["record", "grp", "cost"], solve, "record int, grp int")
 
 
+def assign_near(rows: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """What ``assign_in_order`` gives for all pairs no farther apart than ``reach``,
+    their distance the cost, without forming them.  ``rows``: by, side (``record`` or
+    ``grp``), place (rank on its side, ascending in x) and x.
+
+    An island is read as its records and groups; of a comparison only the step is
+    kept, in a byte.
+    """
+
+    def solve(sides: list[str], places: list[int], xs: list[float]) -> list[tuple]:
+        one, two = (sorted((p, x) for s, p, x in zip(sides, places, xs, strict=True) if s == name) for name in ("record", "grp"))
+        taken = _near_in_order([x for _, x in one], [x for _, x in two], reach)
+        return [(one[i][0], two[j][0]) for i, j in taken]
+
+    return by_island(rows.where("x IS NOT NULL"), by, ["side", "place", "x"], solve, "record int, grp int")
+
+
+def _near_in_order(xs: list[float], centres: list[float], reach: float) -> list[tuple[int, int]]:
+    """Pairs (place of x, place of centre) of ascending values, as many as can be, then
+    as near; of equal choices the pair, then no centre for the x.  Left of the centres
+    in reach of an x the best so far stays as it was, right of them it is one value."""
+    best = [(0, 0.0)] * (len(centres) + 1)
+    steps: list[tuple[int, bytearray, int]] = []
+    first = last = 0  # centres[first:last] may be in reach, best holds up to last
+    for x in xs:
+        top, before = best[last], last
+        while last < len(centres) and (centres[last] <= x or abs(x - centres[last]) <= reach):
+            last += 1
+        while first < last and abs(x - centres[first]) > reach:
+            first += 1
+        best[before + 1 : last + 1] = [top] * (last - before)
+        codes = bytearray(last - first)
+        corner = left = best[first]
+        for j in range(first, last):
+            up = best[j + 1]
+            pair = (corner[0] + 1, corner[1] - abs(x - centres[j]))
+            new = max(up, left, pair)
+            codes[j - first] = 2 if new == pair else 0 if new == up else 1
+            best[j + 1] = left = new
+            corner = up
+        steps.append((first, codes, int(best[last] != top)))
+    out: list[tuple[int, int]] = []
+    i, j = len(xs), len(centres)
+    while i and j:
+        start, codes, beyond = steps[i - 1]
+        step = 0 if j <= start else codes[j - start - 1] if j <= start + len(codes) else beyond
+        if step == 2:
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif step == 0:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
 def drop_marked_groups(members: DataFrame) -> DataFrame:
     """Groups all of whose tags are ``*`` and that hold no adopted record go; a
     star on a tag that has become unique goes with them."""

@@ -633,9 +633,7 @@ def ordered_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("grp").alias("side"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("x"))
     both = groups.gap_islands(c.unionByName(s), ["nation"], F.col("x"), 60.0, tie=["side", "key"])
     ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("nation", "island", "side").orderBy("x", "key")))
-    side = lambda name, value: ranked.where(F.col("side") == name).select("nation", "island", F.col("place").alias(name), F.col("x").alias(value))
-    near = pairs.range_join(side("record", "a"), side("grp", "b"), F.col("a"), F.col("b"), 60.0, ["nation", "island"])
-    return groups.assign_in_order(near.select("nation", "island", "record", "grp", F.abs(F.col("a") - F.col("b")).alias("cost")), ["nation", "island"])
+    return groups.assign_near(ranked, ["nation", "island"], 60.0)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, 'R17' AS rule, 'final level is not below the initial one' AS message FROM lineitem WHERE l_linenumber >= l_quantity

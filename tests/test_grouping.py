@@ -209,3 +209,17 @@ def test_islands_over_batches(spark):
         n, total = want.get((k, s), (0, 0))
         want[k, s] = (n + 1, total + v)
     assert len(found) == len(want) and {(r.k, r.s): (r.n, r.total) for r in found} == want
+
+
+def test_assignment_without_pairs_is_that_of_pairs(spark):
+    rng = random.Random(5)
+    rows = [(99, "record", 1, None), (99, "grp", 1, 5.0)]
+    for n in range(40):
+        for side in ("record", "grp"):
+            xs = sorted(rng.choice([rng.randint(0, 30) * 1.0, rng.uniform(0, 30)]) for _ in range(rng.randint(0, 14)))
+            rows += [(n, side, k, x) for k, x in enumerate(xs, 1)]
+    frame = spark.createDataFrame(rows, "n int, side string, place int, x double")
+    found = groups.assign_near(frame, ["n"], 4.0).collect()
+    side = lambda name, value: frame.where(F.col("side") == name).select("n", F.col("place").alias(name), F.col("x").alias(value))
+    near = side("record", "a").join(side("grp", "b"), "n").withColumn("cost", F.abs(F.col("a") - F.col("b"))).where("cost <= 4")
+    assert sorted(map(tuple, found)) == sorted(map(tuple, groups.assign_in_order(near, ["n"]).collect())) and len(found) > 100
