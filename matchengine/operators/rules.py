@@ -209,6 +209,10 @@ def level_xref_rule(tags: DataFrame, datasets: DataFrame, matches: DataFrame, to
     dataset), energy_text.  Marks: ``*`` and ``?`` for several or doubtful levels,
     ``S`` for a pseudo level; else the note is the level's energy in the dataset.
     """
+    # Both are dealt by level once, over as many tasks however small they look: a task
+    # sorts its share of them, and neither is sent whole to all.
+    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tags, matches = (frame.repartition(parts, "level", "tag").hint("merge") for frame in (tags, matches))
     known = datasets.select("tag", F.lit(True).alias("known"), "is_theory")
     rows = tags.join(known, "tag", "left").join(matches, ["level", "tag"], "left")
     mark = F.coalesce("marker", F.lit(""))

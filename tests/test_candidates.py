@@ -38,3 +38,14 @@ def test_candidates_are_those_of_pairs(spark):
         assert (r.n_matched, r.n_listed, r.n_bad, r.n_missed) == (len(near), sum(li for _, li, _ in near), sum(li and d > 20 for d, li, _ in near), sum(not li and d <= 20 for d, li, _ in near))
         assert r.distance == min((d for d, *_ in near), default=None)
         assert (set(r.adopted_jpis) if near else r.adopted_jpis) == ({j for *_, j in near if j is not None} if near else None)
+
+
+def test_cross_references_are_dealt_by_level(spark):
+    from matchengine.operators import rules
+
+    tags = spark.createDataFrame([(1, "A", ""), (2, "B", "7")], "level int, tag string, marker string")
+    datasets = spark.createDataFrame([("A", False)], "tag string, is_theory boolean")
+    matches = spark.createDataFrame([(1, "A", 99.0, "1"), (2, "A", 1.0, "2")], "level int, tag string, distance double, energy_text string")
+    found = rules.level_xref_rule(tags, datasets, matches, 50.0)
+    assert "BroadcastHashJoin [level" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.level, r.message) for r in found.collect()) == [(1, "level is discrepant and has no note"), (2, "dataset is missing in the cross-reference"), (2, "tag names no dataset")]
