@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from matchengine.operators.cluster import GreedyCliques, greedy_clusters
+from matchengine.operators.components import _forests
 
 EDGES = "level_1_id string, level_2_id string, probability double, pair_rank string"
 LEVELS = "dataset_code string, level_id string, seq string, energy_value double, energy_uncertainty double"
@@ -55,3 +57,46 @@ def test_a_mix_of_large_and_small_components(spark):
     edges = spark.createDataFrame([e for _, es in made for e in es], EDGES)
     rows = lambda largest: sorted((r.component, r.n, r.dataset_code, r.level_id) for r in greedy_clusters(levels, edges, largest=largest).collect())
     assert rows(8) == rows(10**6)
+
+
+def test_pairs_without_a_fit_change_nothing():
+    """The clusters are those of meeting every cluster of one level with every one of the other."""
+
+    class Plain(GreedyCliques):
+        def _edge(self, a, b):
+            done = False
+            for one in list(self.in_[a]):
+                for two in list(self.in_[b]):
+                    if one is two:
+                        done = True
+                    elif one.keys() & two.keys():
+                        for level, cluster in ((a, two), (b, one)):
+                            if self._fits(level, cluster):
+                                self._join(level, cluster)
+                                done = True
+                    elif all(y in self.valid[x] for x in one.values() for y in two.values()):
+                        self._merge(one, two)
+                        done = True
+            if not done:
+                # No cluster of either fits the other level, so neither is alone.
+                fresh = {self.of[a]: a, self.of[b]: b}
+                for level in (a, b):
+                    self.in_[level].append(fresh)
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        levels = [(f"d{rng.randrange(4)}", f"{k:02d}") for k in range(rng.randint(2, 16))]
+        edges = [(a, b) for d, a in levels for e, b in levels if d < e and rng.random() < 0.6]
+        rng.shuffle(edges)
+        assert GreedyCliques(levels, edges).rows() == Plain(levels, edges).rows()
+
+
+def test_forests_of_names():
+    """Edges between strings become a forest in their task, as those between integers do."""
+    names = [f"v{k:02d}" for k in range(40)]
+    edges = [(a, b) for a in names[:20] for b in names[:20] if a < b] + [(names[k], names[k + 1]) for k in range(20, 39)]
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges]), pa.array([b for _, b in edges])], names=["a", "b"])
+    (found,) = _forests(iter([batch]))
+    rows = list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    assert len(rows) == 38 and len({b for _, b in rows}) == 38
+    assert {a in names[:20] for a, b in rows if b in names[:20]} == {True} and {a in names[20:] for a, b in rows if b in names[20:]} == {True}
