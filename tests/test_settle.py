@@ -77,11 +77,15 @@ def test_pairs_without_a_fit_change_nothing():
                     elif all(y in self.valid[x] for x in one.values() for y in two.values()):
                         self._merge(one, two)
                         done = True
-            if not done:
-                # No cluster of either fits the other level, so neither is alone.
-                fresh = {self.of[a]: a, self.of[b]: b}
-                for level in (a, b):
-                    self.in_[level].append(fresh)
+            if done:
+                return
+            for level, alone in ((b, self.in_[a]), (a, self.in_[b])):
+                for cluster in [c for c in alone if len(c) == 1][:1]:
+                    if self._fits(level, cluster):
+                        return self._join(level, cluster)
+            fresh = {self.of[a]: a, self.of[b]: b}
+            for level in (a, b):
+                self.in_[level].append(fresh)
 
     for seed in range(200):
         rng = random.Random(seed)
