@@ -572,7 +572,7 @@ def new_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = best_values.cross_reference_lines(tags, ["level"])
     third = table(spark, sf_dir, "orders").where(key % 3 == 0).select(key.alias("level")).join(new, "level", "left").select(file(c("level")).alias("file"), (c("level") * 3).alias("owner"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
     patched = comment_records.patch_xrefs(records, third)
-    own = comment_records._owned(patched)
+    own = comment_records.owned_in_blocks(patched)
     found = own.groupBy("file", "owner").agg(F.max(F.when(c("line_no") == c("owner"), F.trim(F.substring("line", 10, 71)).try_cast("long"))).alias("level"), F.max(F.when(F.substring("line", 6, 1) == "X", F.trim(F.substring("line", 10, 71)))).alias("xref"))
     return found.select("level", F.coalesce("xref", F.lit("none")).alias("xref"))
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.durable import discard, keep
 from matchengine.functions import text as tx
 from matchengine.sources import logs
 
@@ -68,9 +69,21 @@ def comment_lines(nucid: Column, kind: Column, field: Column, body: Column) -> C
 def _owned(records: DataFrame) -> DataFrame:
     """Lines with ``owner``, the line of the level or gamma record they belong to, and
     ``start``, the first line of their record."""
-    plain = F.substring("line", 6, 2).isin("  ", "1 ") & F.substring("line", 8, 1).isin("L", "G")
-    owned = logs._carried(records, F.when(plain, F.col("line_no")), "owner")
-    return logs._carried(owned, F.when(F.substring("line", 6, 1).isin(" ", "1", ""), F.col("line_no")), "start")
+    owned = logs._carried(records, F.when(_plain_record(), F.col("line_no")), "owner")
+    return logs._carried(owned, F.when(_starts(), F.col("line_no")), "start")
+
+
+def owned_in_blocks(records: DataFrame) -> DataFrame:
+    """The same by blocks of a file: more steps, but no task sorts a whole file."""
+    return logs.last_lines(records, {"owner": _plain_record(), "start": _starts()})
+
+
+def _starts() -> Column:
+    return F.substring("line", 6, 1).isin(" ", "1", "")
+
+
+def _plain_record() -> Column:
+    return F.substring("line", 6, 2).isin("  ", "1 ") & F.substring("line", 8, 1).isin("L", "G")
 
 
 def _comment_field() -> Column:
@@ -107,12 +120,14 @@ def patch_xrefs(records: DataFrame, xrefs: DataFrame) -> DataFrame:
     lines of the levels named go, and theirs stand behind the level's record.  All else
     stays as it is; lines are numbered anew.  ``xrefs``: file, owner (the level's line),
     lines (array, see ``best_values.cross_reference_lines``; empty removes them)."""
-    own = _owned(records)
+    xrefs = keep(xrefs, "xrefs")
+    own = owned_in_blocks(records)
     old = (F.substring("line", 6, 3) == "X L") & F.substring("line", 10, 5).isin("XREF=", "XREF+")
     named = xrefs.select("file", "owner", F.lit(True).alias("named"))
     kept = own.join(named, ["file", "owner"], "left").where(~(F.coalesce("named", F.lit(False)) & old)).select("file", "line_no", F.lit(-1).alias("at"), "line")
-    heads = own.where("line_no = owner").select("file", "owner", F.substring("line", 1, 5).alias("nucid"))
+    heads = records.where(_plain_record()).select("file", F.col("line_no").alias("owner"), F.substring("line", 1, 5).alias("nucid"))
     new = xrefs.join(heads, ["file", "owner"]).select("file", F.col("owner").alias("line_no"), "nucid", F.posexplode("lines").alias("at", "part"))
     lines = new.select("file", "line_no", "at", F.rpad(F.concat(F.lpad("nucid", 5, " "), F.lit("X L "), F.col("part")), 80, " ").alias("line"))
-    order = Window.partitionBy("file").orderBy("line_no", "at")
-    return kept.unionByName(lines).select("file", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
+    patched = logs.numbered_anew(kept.unionByName(lines), ["at"])
+    discard(xrefs)
+    return patched

@@ -17,6 +17,8 @@ from matchengine.durable import keep
 from matchengine.functions import text as tx
 from matchengine.operators.pairs import nearest
 
+#: Line numbers of a file that one task sorts at once.
+BLOCK = 1 << 18
 HEADER = r"^#\s*Dataset\s+([^:]+):"
 
 
@@ -52,6 +54,45 @@ def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return marked.join(F.broadcast(earlier), ["file", "block"]).withColumn(name, F.coalesce(name, "__earlier")).drop("__earlier")
 
 
+def last_lines(lines: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """For each name the number of the last line of the file, up to this one, of which
+    its condition holds.
+
+    A file is worked on in blocks of line numbers, by many tasks; a row for each block
+    brings the numbers of the blocks before.
+    """
+    if "block" in lines.columns:
+        for name, mark in marks.items():
+            lines = _carried(lines, F.when(mark, F.col("line_no")), name)
+        return lines
+    spot = ["file", "__block"]
+    dealt = lines.select("*", _block(), *[F.when(mark, F.col("line_no")).alias(name) for name, mark in marks.items()])
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*spot).agg(*[F.max(name).alias(name) for name in marks])
+    earlier = ends.select(*spot, *[F.max(name).over(before).alias(name) for name in marks])
+    rows = dealt.withColumn("__of", F.lit(1)).unionByName(earlier.withColumn("__of", F.lit(0)), allowMissingColumns=True)
+    here = Window.partitionBy(*spot).orderBy("__of", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({name: F.max(name).over(here) for name in marks}).where("__of = 1").drop("__of", "__block")
+
+
+def _block() -> Column:
+    return F.floor(F.col("line_no") / BLOCK).alias("__block")
+
+
+def numbered_anew(lines: DataFrame, order: list[str]) -> DataFrame:
+    """file, line_no and line: lines in the order of their old number and ``order``,
+    numbered from 0 in blocks; only the numbers of lines of the blocks before meet."""
+    spot = ["file", "__block"]
+    rows = keep(lines.select("*", _block()), "lines")
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(*spot).agg(F.count("*").alias("n")).select(*spot, F.coalesce(upto, F.lit(0)).alias("__start"))
+    every = rows.withColumn("__of", F.lit(1)).unionByName(starts.withColumn("__of", F.lit(0)), allowMissingColumns=True)
+    window = Window.partitionBy(*spot).orderBy("__of", "line_no", *order)
+    # The first row of a block is the one with its start.
+    number = F.max("__start").over(window.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(window) - 2
+    return every.select("file", number.cast("long").alias("line_no"), "line", "__of").where("__of = 1").drop("__of")
+
+
 def carry_forward(lines: DataFrame) -> DataFrame:
     """Each record line with the dataset whose header stands before it."""
     code = F.when(F.col("line").rlike(HEADER), F.trim(F.regexp_extract("line", HEADER, 1)))

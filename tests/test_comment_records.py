@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from matchengine.sources import comment_records as cr
+from matchengine.sources import logs
 
 LINES = "file string, line_no long, line string"
 
@@ -66,3 +67,16 @@ def test_new_cross_references(spark):
     xrefs = spark.createDataFrame([("f", 1, ["XREF=CD", "XREF+=E"]), ("f", 8, ["XREF=F"]), ("f", 77, ["XREF=G"])], "file string, owner long, lines array<string>")
     lines = [r.line.rstrip() for r in cr.patch_xrefs(records, xrefs).orderBy("line_no").collect()]
     assert lines == [RECORDS[0], RECORDS[1], " 34S X L XREF=CD", " 34S X L XREF+=E", *RECORDS[3:9], " 34S X L XREF=F", RECORDS[9]]
+
+
+def test_lines_of_a_file_in_blocks(spark, monkeypatch):
+    """Owners, starts and new numbers go from block to block, also past empty ones."""
+    monkeypatch.setattr(logs, "BLOCK", 3)
+    records = spark.createDataFrame([(f, 7 * (n // 4) + n, x.ljust(80)) for f in ("f", "g") for n, x in enumerate(RECORDS)], LINES)
+    at = [7 * (n // 4) + n for n in range(len(RECORDS))]
+    own = sorted((r.line_no, r.owner, r.start) for r in cr.owned_in_blocks(records).where("file = 'g'").collect())
+    assert own == [(at[n], *(None if k is None else at[k] for k in x)) for n, x in enumerate([(None, 0), (1, 1), (1, 1), (1, 3), (1, 3), (1, 5), (6, 6), (6, 7), (8, 8), (8, 9)])]
+    xrefs = spark.createDataFrame([("f", at[1], ["XREF=CD", "XREF+=E"]), ("g", at[8], ["XREF=F"])], "file string, owner long, lines array<string>")
+    patched = cr.patch_xrefs(records, xrefs).collect()
+    lines = {f: [(r.line_no, r.line.rstrip()) for r in sorted(patched, key=lambda r: r.line_no) if r.file == f] for f in ("f", "g")}
+    assert lines["f"] == list(enumerate([*RECORDS[:2], " 34S X L XREF=CD", " 34S X L XREF+=E", *RECORDS[3:]])) and lines["g"] == list(enumerate([*RECORDS[:9], " 34S X L XREF=F", RECORDS[9]]))
