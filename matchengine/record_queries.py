@@ -174,8 +174,8 @@ _RATED = """r AS (
 @query(f"WITH {_RATED} SELECT nation, record, grp, round(d, 6) AS distance, CAST(strength AS INTEGER) AS strength, CAST(matched AS BIGINT) AS n_matched FROM s")
 def insertion_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength of each candidate pair of records and groups of one member."""
-    rated = insertion.strengths(insertion.evidence(*_odd_and_even(spark, sf_dir), ["nation"], _DELTA), ["nation"], _DELTA)
-    return rated.select("nation", "record", "grp", r6(F.col("distance")).alias("distance"), F.col("strength").cast("int").alias("strength"), "n_matched")
+    rated = insertion.strengths(*_odd_and_even(spark, sf_dir), ["nation"], _DELTA)
+    return rated.select("nation", "record", "grp", r6(F.col("distance")).alias("distance"), "strength", "n_matched")
 
 
 def _odd_and_even(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
